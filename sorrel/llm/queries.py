@@ -2,15 +2,61 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, sharding
+from . import decontamination, language_id, mixing, near_duplicates, quality_classifier, quality_rules, sharding, token_counts, url_filter, warc
 from .common import table
 
 QUERIES = {
+    "op1_language_id": lambda spark, d: language_id.language_table(table(spark, d, "documents")),
+    "op2_token_counts": lambda spark, d: token_counts.token_table(table(spark, d, "documents")),
     "op3_sharding": lambda spark, d: sharding.shard_table(table(spark, d, "documents")),
+    "op4_quality_classifier": lambda spark, d: quality_classifier.score_table(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op5_decontamination": lambda spark, d: decontamination.contamination_table(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op6_quality_rules": lambda spark, d: quality_rules.quality_table(table(spark, d, "documents")),
+    "op7_url_filter": lambda spark, d: url_filter.url_table(table(spark, d, "pages")),
+    "op8_near_duplicates": lambda spark, d: near_duplicates.near_duplicate_table(table(spark, d, "documents")),
     "op9_mixing": lambda spark, d: mixing.mix_table(table(spark, d, "documents")),
+    "op10_warc": lambda spark, d: warc.warc_table(table(spark, d, "pages")),
 }
 
+#: Windows of ten words (or the whole of a shorter item) met as joined strings; words covered by a met window are counted.
+DECONTAMINATION_SQL = r"""
+WITH dw AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS (SELECT DISTINCT item, least(10, len(w)) AS m, array_to_string(list_slice(w, k, k + least(10, len(w)) - 1), ' ') AS g
+      FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM bw WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT m FROM p),
+dg AS (SELECT r, m, k, array_to_string(list_slice(w, k, k + m - 1), ' ') AS g
+       FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM dw, lengths WHERE len(w) >= m)),
+met AS (SELECT dg.r, dg.k, dg.m, p.item FROM dg JOIN p ON dg.m = p.m AND dg.g = p.g),
+hits AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(range(k, k + m)) AS place FROM (SELECT DISTINCT r, k, m FROM met)) GROUP BY r),
+items AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM met) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(items.s, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
+"""
+
+URL_SQL = r"""
+WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+r AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+                     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+                     WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+                     WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM h)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN regexp_matches(host || path, '(?i)(^|[^A-Za-z0-9])(cheap-pills|spam-farm|online-casino|free-money|adult-cams)($|[^A-Za-z0-9])') THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first_id FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM f
+"""
+
 #: Running sums over the same hash order; the clock is the highest of the levels, as in mixing.source_targets.
 MIXING_SQL = r"""
 WITH d AS (
@@ -35,4 +81,4 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
 FROM b
 """
 
-ORACLE_SQL = {"op9_mixing": MIXING_SQL}
+ORACLE_SQL = {"op5_decontamination": DECONTAMINATION_SQL, "op7_url_filter": URL_SQL, "op9_mixing": MIXING_SQL, "op10_warc": WARC_SQL}
