@@ -55,6 +55,12 @@ def expand(queries: DataFrame) -> DataFrame:
     }).withColumn("should_include", F.col("bm25_terms"))
 
 
+def settled(expanded: DataFrame) -> DataFrame:
+    """The expansions as literal rows, so that plans that use them many times stay small. For the queries of a session; a
+    large batch of queries is written to a table instead."""
+    return expanded.sparkSession.createDataFrame(expanded.collect(), expanded.schema)
+
+
 def overlay_model(expanded: DataFrame, answer: Column) -> DataFrame:
     """A model's expansion over the rules' one: only keys that its answer has; an answer that can't be parsed changes nothing."""
     schema = "rewritten_query string, bm25_terms array<string>, dense_query string, must_include array<string>, should_include array<string>, should_exclude array<string>, target_sentiment string, target_aspect string"
@@ -213,8 +219,8 @@ def embed(c: Column, size: int = vocab.VECTOR_SIZE) -> Column:
 
 
 def search(spark: SparkSession, documents: DataFrame, query: str, size: int = vocab.FINAL_TOP) -> DataFrame:
-    """One query over enriched documents with dense vectors (columns of operators.documents, and vector): its SearchOutput."""
-    expanded = expand(spark.createDataFrame([(0, query)], "query_id int, query string"))
+    """One query over a stored table of enriched documents with dense vectors (columns of operators.documents, and vector): its SearchOutput."""
+    expanded = settled(expand(spark.createDataFrame([(0, query)], "query_id int, query string")))
     lex = lexical_leg(documents, expanded)
     eligible = issue_filter(documents.join(expanded.select("target_aspect", "target_sentiment")))
     dense = dense_leg(eligible.select(F.col("review_id").alias("doc_id"), "vector"), expanded.select("query_id", F.explode("dense_queries").alias("q")).select("query_id", embed(F.col("q")).alias("vector")))
