@@ -226,3 +226,19 @@ def search(spark: SparkSession, documents: DataFrame, query: str, size: int = vo
     dense = dense_leg(eligible.select(F.col("review_id").alias("doc_id"), "vector"), expanded.select("query_id", F.explode("dense_queries").alias("q")).select("query_id", embed(F.col("q")).alias("vector")))
     candidates = fuse(lex, dense).join(documents.select(F.col("review_id").alias("doc_id"), "product_name", "content", "dense_text"), "doc_id").withColumn("query", F.lit(query))
     return search_output(post_filter(rerank(candidates), size), expanded.select("query_id", "query"))
+
+
+def dense_leg_approximate(vectors: DataFrame, queries: DataFrame, top: int = vocab.DENSE_TOP, tables: int = 8, bucket: float = 1.0, reach: float = 1.5) -> DataFrame:
+    """Nearest vectors by random-projection hashing of unit vectors; only vectors within reach that share a bucket are scored.
+
+    Without a cross join: for collections of which an exact scan would be too slow. reach is a Euclidean distance; for
+    unit vectors cosine = 1 - reach ** 2 / 2.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    shaped = lambda df, key: df.select(key, array_to_vector(F.col("vector")).alias("features"))
+    index = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=42).fit(shaped(vectors, "doc_id"))
+    near = index.approxSimilarityJoin(shaped(vectors, "doc_id"), shaped(queries, "query_id"), reach, "distance")
+    scored = near.select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.doc_id").alias("doc_id"), (1 - F.col("distance") * F.col("distance") / 4).alias("score"))
+    return ranked(scored.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), top)

@@ -98,3 +98,26 @@ def create_table(spark: SparkSession, name: str, schema: str, recreate: bool = F
         return False
     spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet")
     return True
+
+
+def experiment_tag(model: str, seed: int, folds: int, loss: str = "ce", weights: str = "none", gamma: float | None = None) -> str:
+    """A name for a run's outputs; parts that are at their default are left out."""
+    from sorrel.functions.text import float_tag
+
+    parts = [model, *([loss] if loss != "ce" else []), *([f"g{float_tag(gamma)}"] if gamma is not None else []), *([weights] if weights != "none" else []), f"seed{seed}", f"k{folds}"]
+    return "_".join(parts)
+
+
+def save_predictions(df: DataFrame, folder: str, model: str, seed: int, folds: int) -> None:
+    """Predictions of a run, in place of those that it wrote before; other runs' stay."""
+    tagged = df.withColumns({"model": F.lit(model), "seed": F.lit(seed), "k": F.lit(folds)})
+    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "seed", "k").parquet(folder)
+
+
+def load_predictions(spark: SparkSession, folder: str, models: list[str], seed: int, folds: int) -> DataFrame:
+    """The saved predictions of the named models; a model without any raises."""
+    for model in models:
+        if not path_exists(spark, f"{folder}/model={model}/seed={seed}/k={folds}"):
+            raise FileNotFoundError(f"no saved predictions of {model} with seed {seed} and {folds} folds")
+    saved = spark.read.option("basePath", folder).parquet(folder)
+    return saved.where(F.col("model").isin(models) & (F.col("seed") == seed) & (F.col("k") == folds))
