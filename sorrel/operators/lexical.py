@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sorrel.functions import text
@@ -30,9 +30,14 @@ def occurrences(docs: DataFrame, id_column: str, fields: dict[str, Column]) -> D
     return flat.select("field", "doc_id", "dl", F.posexplode("tokens").alias("place", "term"))
 
 
-def build_index(docs: DataFrame, id_column: str, fields: dict[str, Column]) -> Index:
-    """The index of docs: N and mean length by field, document frequency by term. Fields without a token don't count for N."""
+def build_index(docs: DataFrame, id_column: str, fields: dict[str, Column], only: DataFrame | None = None) -> Index:
+    """The index of docs: N and mean length by field, document frequency by term. Fields without a token don't count for N.
+
+    only: a table of term, to index nothing but the terms that will be asked for. Lengths and N still cover all tokens.
+    """
     places = occurrences(docs, id_column, fields)
+    if only is not None:
+        places = places.join(only.select("term").distinct(), "term", "left_semi").select("field", "doc_id", "dl", "place", "term")
     postings = places.groupBy("field", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     lengths = [F.struct(F.lit(n).alias("field"), F.size(t).cast("long").alias("dl")) for n, t in fields.items()]
     sizes = docs.select(F.explode(F.array(*lengths)).alias("f")).select("f.*").where("dl > 0")
@@ -40,6 +45,17 @@ def build_index(docs: DataFrame, id_column: str, fields: dict[str, Column]) -> I
     return Index(postings, stats, postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")), places.select("field", "term", "doc_id", "place"))
 
 
+def store_index(index: Index, folder: str, files: int = 64) -> None:
+    """Write the index as tables ordered by term, so that a query's terms prune row groups on reading."""
+    for name in ("postings", "terms", "places"):
+        getattr(index, name).repartitionByRange(files, "term").sortWithinPartitions("term", "field").write.mode("overwrite").parquet(f"{folder}/{name}")
+    index.fields.coalesce(1).write.mode("overwrite").parquet(f"{folder}/fields")
+
+
+def load_index(spark: SparkSession, folder: str) -> Index:
+    return Index(*[spark.read.parquet(f"{folder}/{name}") for name in ("postings", "fields", "terms", "places")])
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 

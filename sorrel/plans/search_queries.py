@@ -41,7 +41,8 @@ WEIGHTS = {"content": 3.0, "product_name": 1.5, "item_name": 1.2}
 
 
 def index_of(spark, d, names=tuple(WEIGHTS)):
-    return lexical.build_index(reviews(spark, d), "doc_id", lexical.standard_fields(list(names)))
+    asked_for = asked(spark, d).select(F.explode(tokens()).alias("term"))
+    return lexical.build_index(reviews(spark, d), "doc_id", lexical.standard_fields(list(names)), asked_for)
 
 
 def tokens():

@@ -131,6 +131,18 @@ def test_search_end_to_end(spark, tmp_path):
     assert [r.review_id for r in row.results] == ["2"] and got.select(search.valid_output(F.col("output"))).first()[0]
 
 
+def test_stored_and_restricted_indexes_score_alike(spark, tmp_path):
+    from sorrel.functions.text import tokens
+
+    docs = spark.createDataFrame([(1, "red fox"), (2, "red red hen"), (3, ""), (4, None)], "id int, t string")
+    queries = spark.createDataFrame([(0, "red hen"), (1, "none")], "query_id int, query string")
+    index = lexical.build_index(docs, "id", lexical.standard_fields(["t"]))
+    lexical.store_index(index, str(tmp_path), 2)
+    some = lexical.build_index(docs, "id", lexical.standard_fields(["t"]), spark.createDataFrame([("red",), ("hen",)], "term string"))
+    scores = [sorted((r.doc_id, round(r.score, 9)) for r in lexical.match(i, queries, tokens(F.col("query")), {"t": 1.0}).collect()) for i in (index, lexical.load_index(spark, str(tmp_path)), some)]
+    assert scores[0] == scores[1] == scores[2] and [d for d, _ in scores[0]] == [1, 2]
+
+
 def test_phrase_and_wildcard(spark):
     docs = spark.createDataFrame([(1, "the red fox ran"), (2, "red the fox"), (3, "fox")], "id int, t string")
     index = lexical.build_index(docs, "id", lexical.standard_fields(["t"]))
