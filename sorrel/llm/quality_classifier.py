@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -117,10 +117,10 @@ def with_statistics(docs: DataFrame, keep: list[Column], model: FlatTrees | None
     kept = docs.select(*keep, F.col("text").alias("quality_text"))
     names = [f.name for f in kept.schema.fields[:-1]]
     kind = T.ArrayType(T.FloatType()) if model is None else T.DoubleType()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model and astuple(model))  # plain values: workers need no class to read them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = shared.value
+        trees = FlatTrees(*shared.value) if shared.value else None
         for batch in batches:
             column, parts = batch.column("quality_text"), []
             for k in range(0, batch.num_rows, 1000):

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -101,11 +101,12 @@ def judge_urls(pages: DataFrame, keep: list[Column], rules: tuple[UrlRule, ...]
     kept = pages.select(*keep, F.col("url").alias("filter_url"))
     host, path = host_and_path(F.col("filter_url"))
     addresses = kept.select("*", host.alias("host"), path.alias("path")).drop("filter_url")
-    shared = pages.sparkSession.sparkContext.broadcast((rules, token_frequencies(addresses, rules)))
+    shared = pages.sparkSession.sparkContext.broadcast(([astuple(r) for r in rules], token_frequencies(addresses, rules)))
     names = addresses.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = RuleIndex(*shared.value)
+        fields, frequencies = shared.value
+        index = RuleIndex(tuple(UrlRule(*f) for f in fields), frequencies)
         for batch in batches:
             found = [index.judge(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *[pa.array([f[k] for f in found], pa.string()) for k in (0, 1)]], [*names, "rule", "verdict"])
