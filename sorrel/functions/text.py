@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 TAGS, URLS = r"<[^>]+>", r"(?U)https?://\S+|www\.\S+"
 EMAILS = r"(?U)[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
 PHONES = r"(?U)\b(?:\d{2,3}[-.\s]?\d{3,4}[-.\s]?\d{4})\b"
-ZERO_WIDTH, CONTROLS = "​‌‍﻿", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+ZERO_WIDTH = "".join(map(chr, (0x200B, 0x200C, 0x200D, 0xFEFF)))
+CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 
 
 def _unescape(values: pd.Series) -> pd.Series:
