@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sorrel.functions import text
 from sorrel.operators import documents as docs_ops
+from sorrel.operators import lexical
 from sorrel.sources.files import path_exists
 
 
@@ -25,24 +26,37 @@ def stored(spark: SparkSession, folder: str, before: int | None = None) -> DataF
     return rows if before is None else rows.where(F.col("batch_id") < before)
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, folder: str, failures: str, prepare: Callable[[DataFrame], DataFrame] = docs_ops.to_documents) -> None:
-    """One micro-batch: prepare, split off rows with an error, drop known ones, dedupe, write."""
+def ingest_batch(batch: DataFrame, batch_id: int, folder: str, failures: str, prepare: Callable[[DataFrame], DataFrame] = docs_ops.to_documents) -> dict[str, int]:
+    """One micro-batch: prepare, split off rows with an error, drop known ones, dedupe, write. Returns counts of its rows.
+
+    The counts come with the writes, as observed metrics, and cost no pass of their own.
+    """
     spark = batch.sparkSession
-    ready = prepare(batch).persist()
+    cached = prepare(batch).persist()
+    prepared, kept = Observation(f"prepared-{batch_id}"), Observation(f"kept-{batch_id}")
+    ready = cached.observe(prepared, F.count(F.lit(1)).alias("prepared"), F.count("error").alias("failed"))
     try:
         errors = ready.where(F.col("error").isNotNull()).select(F.lit("preprocess").alias("stage"), "review_id", "error", F.lit(batch_id).alias("batch_id"))
-        errors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").json(failures)
+        errors.coalesce(8).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").json(failures)
         good = ready.where(F.col("error").isNull()).drop("error")
         if (known := stored(spark, folder, batch_id)) is not None:
             good = docs_ops.without_known(good, known, "review_id", "content")
         order = F.struct("review_id", "content")
         fresh = docs_ops.dedupe_greedy(good.withColumns({"_print": text.fingerprint_any(F.col("content")), "_place": order}), "review_id", "_print", "_place").drop("_print", "_place")
-        fresh.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(folder)
+        fresh.observe(kept, F.count(F.lit(1)).alias("kept")).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(folder)
+        return prepared.get | kept.get
     finally:
-        ready.unpersist()
+        cached.unpersist()
 
 
 def ingest_stream(source: DataFrame, folder: str, failures: str, checkpoint: str, prepare=docs_ops.to_documents):
     """A query that takes what is there and stops; started again with the same checkpoint it takes only what is new."""
     writer = source.writeStream.foreachBatch(lambda batch, batch_id: ingest_batch(batch, batch_id, folder, failures, prepare))
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def reindex(spark: SparkSession, folder: str, index_folder: str, fields: tuple[str, ...] = ("content", "title", "product_name", "item_name")) -> lexical.Index:
+    """Build and store the lexical index of all documents of the table, from what was written and not from the raw reviews."""
+    index = lexical.build_index(stored(spark, folder), "review_id", lexical.standard_fields(list(fields)))
+    lexical.store_index(index, index_folder)
+    return lexical.load_index(spark, index_folder)

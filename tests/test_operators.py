@@ -169,8 +169,17 @@ def test_json_sources(spark, tmp_path):
 
 def test_ingest_resumes_and_is_idempotent(spark, tmp_path):
     folder, failures = str(tmp_path / "docs"), str(tmp_path / "bad")
-    for batch_id, rows in ((0, REVIEWS[:2]), (1, REVIEWS[2:]), (1, REVIEWS[2:])):
-        ingest.ingest_batch(raw(spark, rows), batch_id, folder, failures)
+    counts = [ingest.ingest_batch(raw(spark, rows), batch_id, folder, failures) for batch_id, rows in ((0, REVIEWS[:2]), (1, REVIEWS[2:]), (1, REVIEWS[2:]))]
+    assert counts[0] == {"prepared": 2, "failed": 0, "kept": 2} and counts[1] == counts[2] == {"prepared": 2, "failed": 1, "kept": 0}
     stored = ingest.stored(spark, folder)
     assert sorted(r.review_id for r in stored.collect()) == ["1", "2"]
     assert [r.review_id for r in spark.read.json(failures).collect()] == ["5"]
+    assert ingest.reindex(spark, folder, str(tmp_path / "index")).fields.where("field = 'content'").first().n == 2
+
+
+def test_sentiment_analysis_runs_from_file_to_kappa(spark, tmp_path):
+    from sorrel import api, config
+
+    (tmp_path / "in.json").write_text('[{"review_id": "1", "content": "good!!!!", "label": 1}, {"review_id": "2", "content": "bad", "label": 0}]')
+    assert api.run_sentiment_analysis(spark, str(tmp_path / "in.json"), str(tmp_path / "out"), lambda t: int(t == "good!!!")) == 1.0
+    assert config.load_config({"SORREL_INDEX": "x"}).index == "x" and not config.load_config({}).model_expansion
