@@ -94,6 +94,11 @@ def text_node(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def id_key(doc_id: Column) -> Column:
+    """A key that null ids have too."""
+    return F.coalesce(doc_id.cast("string"), F.lit("null"))
+
+
 def signatures(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
     """(doc_id, node, bands) for each row of docs; bands is null where this task has given that node's bands before."""
     kept = docs.select("doc_id", text_node(F.col("text")).alias("node"), F.col("text").alias("body"))
@@ -189,12 +194,15 @@ def forest(links: np.ndarray, nodes: np.ndarray) -> np.ndarray:
 def verify(docs: DataFrame, members: DataFrame, threshold: float, words: int) -> DataFrame:
     """(node, texts, docs, peer) for blocks of candidates: how many other texts, and rows of docs with them, link to node.
 
-    members: (node, root, copies). A component of more than BLOCK texts is dealt into blocks by a hash; each pair of blocks
-    is a group, so a text goes to as many groups as its component has blocks.
+    members: (node, root, copies, low). A component of more than BLOCK texts is dealt into blocks by a hash; each pair of
+    blocks is a group, so a text goes to as many groups as its component has blocks. Of equal texts the row with the least
+    id is fetched, so that copies of one text spread over tasks; the join is by merging at any size.
     """
     blocks = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    texts = docs.select(text_node(F.col("text")).alias("node"), F.col("text").alias("body")).join(placed, "node").dropDuplicates(["node"])
+    placed = placed.withColumn("near_id", id_key(F.col("low"))).hint("merge")
+    bodies = docs.select(id_key(F.col("doc_id")).alias("near_id"), text_node(F.col("text")).alias("node"), F.col("text").alias("body"))
+    texts = bodies.join(placed, ["near_id", "node"]).dropDuplicates(["near_id", "node"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,7 +234,7 @@ def join_near(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
     bands, per_band = choose_bands(threshold, recall)
     signed = written(signatures(docs, bands, per_band, words), "signatures")
     counted = signed.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"))
-    members = written(components(candidate_edges(signed), "candidates").join(counted.select("node", "copies"), "node"), "candidates")
+    members = written(components(candidate_edges(signed), "candidates").join(counted, "node"), "candidates")
     links = written(verify(docs, members, threshold, words), "links")
     sums = links.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     roots = components(links.select(F.col("node").alias("a"), F.col("peer").alias("b")), "classes")
@@ -254,9 +262,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """Of each class of near-duplicates the row with the least doc_id, with docs' columns. Of equal rows one stays."""
     _, nodes = join_near(docs)
     first = F.min(F.struct(F.col("low").isNull().alias("none"), F.col("low"), F.col("node")))
-    kept = nodes.groupBy("root").agg(first.alias("first")).select(F.coalesce(F.col("first.low").cast("string"), F.lit("null")).alias("near_id"), F.col("first.node").alias("near_node"))
-    keyed = docs.withColumns({"near_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "near_node": text_node(F.col("text"))})
-    return keyed.join(written(kept, "kept"), ["near_id", "near_node"], "left_semi").dropDuplicates(["near_id", "near_node"]).select(*docs.columns)
+    kept = nodes.groupBy("root").agg(first.alias("first")).select(id_key(F.col("first.low")).alias("near_id"), F.col("first.node").alias("near_node"))
+    keyed = docs.withColumns({"near_id": id_key(F.col("doc_id")), "near_node": text_node(F.col("text"))})
+    return keyed.join(written(kept, "kept").hint("merge"), ["near_id", "near_node"], "left_semi").dropDuplicates(["near_id", "near_node"]).select(*docs.columns)
 
 
 ship(__name__)
