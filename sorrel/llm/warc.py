@@ -26,8 +26,8 @@ VERSION, MAGIC, RESPONSE, REVISIT = b"WARC/1.1", b"\x1f\x8b\x08", "response", "r
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The date of every record: archives of the same pages are the same bytes.
 DATE = "2024-01-01T00:00:00Z"
-#: Payloads of fewer bytes are stored again each time. Archives are closed at about ROLL compressed bytes.
-LEAST_SHARED, ROLL = 100, 32 << 20
+#: Payloads of fewer bytes are stored again each time. Archives are closed at about ROLL compressed bytes. Most tasks that read archives.
+LEAST_SHARED, ROLL, MOST_READERS = 100, 32 << 20, 10_000
 #: Bytes fed to the decompressor at a time; what lies beyond a member is copied at most once.
 STEP = 1 << 14
 RECORD_SCHEMA = "archive string, start long, page_key string, record_type string, refers_to_key string, payload_digest string, payload_bytes long, payload binary, gap_end long, gap_reason string"
@@ -198,8 +198,10 @@ def write_archives(pages: DataFrame, folder: str, roll: int = ROLL) -> DataFrame
 def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """RECORD_SCHEMA rows of the named archives: records, and gaps (those with gap_reason). Damage is logged, never raised.
 
-    Each task streams the archives that its rows name, one at a time.
+    Each task reads the archives that its rows name, one at a time. A stated number of partitions keeps adaptive execution
+    from putting the names, which are few and short, into one task.
     """
+    parts = min(max(archives.count(), 1), MOST_READERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -219,7 +221,7 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> Da
                         rows, held = [], 0
                 yield records_batch(rows)
 
-    spread = archives.select("archive").repartition("archive")
+    spread = archives.select("archive").repartition(parts, "archive")
     return spread.mapInArrow(run, RECORD_SCHEMA)
 
 
