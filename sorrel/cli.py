@@ -41,8 +41,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output-dir", required=True)
     p.add_argument("--n-splits", type=int, default=5)
     p.add_argument("--seed", type=int, default=42)
-    p.add_argument("--max-features", type=int, default=20_000)
-    p.add_argument("--max-iter", type=int, default=100)
+    p.add_argument("--max-features", type=int, default=learning.CONFIG["max_features"])
+    p.add_argument("--max-iter", type=int, default=learning.CONFIG["max_iter"])
     p = sub.add_parser("sample", help="run on three made-up reviews")
     p.add_argument("what", choices=["sentiment", "search"])
     p.add_argument("--query", default="배터리")

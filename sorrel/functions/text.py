@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections import Counter
 from functools import reduce
 
 import pandas as pd
@@ -133,6 +134,28 @@ def char_wb_ngrams(c: Column, low: int = 2, high: int = 5) -> Column:
     return F.concat(F.flatten(longer), F.flatten(whole))
 
 
+def _count_grams(value: str | None, low: int, high: int) -> Counter:
+    counts: Counter = Counter()
+    for word, times in Counter((value or "").lower().split()).items():
+        word = f" {word} "
+        for n in range(low, min(high, len(word) - 1) + 1):
+            for k in range(len(word) - n + 1):
+                counts[word[k : k + n]] += times
+        if len(word) <= high:
+            counts[word] += times
+    return counts
+
+
+def char_wb_counts(c: Column, low: int = 2, high: int = 5) -> Column:
+    """(terms, tfs): the different grams of char_wb_ngrams and how often each occurs, counted in Arrow batches."""
+
+    def run(values: pd.Series) -> pd.DataFrame:
+        counted = [_count_grams(v, low, high) for v in values]
+        return pd.DataFrame({"terms": [list(x) for x in counted], "tfs": [list(x.values()) for x in counted]})
+
+    return F.pandas_udf(run, "terms array<string>, tfs array<int>")(c)
+
+
 def contains_any(c: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(t)) for t in terms], F.lit(False))
 

@@ -75,7 +75,7 @@ def sweep(rows: DataFrame, candidates: dict[str, Candidate], folder: str, folds:
     return learning.leaderboard(reduce(DataFrame.unionByName, boards))
 
 
-def tfidf_candidate(features: int = 20_000, iterations: int = 100) -> Candidate:
+def tfidf_candidate(features: int = learning.CONFIG["max_features"], iterations: int = learning.CONFIG["max_iter"]) -> Candidate:
     return lambda rows, folds, seed: learning.cross_validate(rows, folds, seed, features, iterations)
 
 

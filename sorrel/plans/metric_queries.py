@@ -180,5 +180,5 @@ def focal_loss_eval(spark, d):
 @query()
 def tfidf_logreg_cv(spark, d):
     """Cross-validated metrics by fold; the optimiser is iterative, so there is no SQL."""
-    said = learning.cross_validate(rows(spark, d).drop("pred"), folds=3, features=5000, iterations=20)
+    said = learning.cross_validate(rows(spark, d).drop("pred"))
     return said.groupBy("fold").agg(classify.kappa().alias("qwk"), classify.accuracy().alias("accuracy"))
