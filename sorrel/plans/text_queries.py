@@ -105,6 +105,15 @@ def survey_nested(spark, d):
     return nested.select("conv_id", F.size("turns").cast("long").alias("answers"), F.array_join(lines, " / ").alias("survey"))
 
 
+@query("""SELECT conv_id, count(*)::BIGINT AS answers, md5(string_agg(role || ': ' || trim(text), ' / ' ORDER BY turn, text, role)) AS survey FROM conversations WHERE coalesce(role, '') <> '' AND coalesce(text, '') <> '' GROUP BY conv_id""")
+def survey_nested_whole(spark, d):
+    """survey_nested with whole answers, as a digest of the joined text."""
+    rows = load(spark, d, "conversations").where((F.coalesce("role", F.lit("")) != "") & (F.coalesce("text", F.lit("")) != ""))
+    nested = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))).alias("turns"))
+    lines = F.transform("turns", lambda s: F.concat(s["role"], F.lit(": "), F.trim(s["text"])))
+    return nested.select("conv_id", F.size("turns").cast("long").alias("answers"), F.md5(F.array_join(lines, " / ").cast("binary")).alias("survey"))
+
+
 @query("SELECT doc_id, coalesce(nullif(lang, ''), nullif(source, ''), '') AS name FROM documents")
 def alias_coalesce(spark, d):
     return load(spark, d, "documents").select("doc_id", F.coalesce(arrays.first_filled(F.col("lang"), F.col("source")), F.lit("")).alias("name"))
