@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -149,9 +150,11 @@ def _count_grams(value: str | None, low: int, high: int) -> Counter:
 def char_wb_counts(c: Column, low: int = 2, high: int = 5) -> Column:
     """(terms, tfs): the different grams of char_wb_ngrams and how often each occurs, counted in Arrow batches."""
 
-    def run(values: pd.Series) -> pd.DataFrame:
-        counted = [_count_grams(v, low, high) for v in values]
-        return pd.DataFrame({"terms": [list(x) for x in counted], "tfs": [list(x.values()) for x in counted]})
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for values in batches:
+            for start in range(0, len(values), 64):  # a whole batch of counts would fill the worker's memory
+                counted = [_count_grams(v, low, high) for v in values.iloc[start : start + 64]]
+                yield pd.DataFrame({"terms": [list(x) for x in counted], "tfs": [list(x.values()) for x in counted]})
 
     return F.pandas_udf(run, "terms array<string>, tfs array<int>")(c)
 

@@ -145,6 +145,26 @@ def tfidf_weights(spark, d):
     return weighed.select("item_id", "term", F.round("weight", 6).alias("weight"))
 
 
+def document_grams(spark, d):
+    """(doc_id, term, n) of all documents."""
+    counted = load(spark, d, "documents").select("doc_id", text.char_wb_counts(F.col("text")).alias("g")).select("doc_id", F.explode(F.arrays_zip("g.terms", "g.tfs")).alias("g"))
+    return counted.select("doc_id", F.col("g.terms").alias("term"), F.col("g.tfs").cast("long").alias("n"))
+
+
+@query()
+def char_wb_ngrams_documents(spark, d):
+    """char_wb_ngrams over documents. Tests hold it against brute force; there is no SQL."""
+    return document_grams(spark, d)
+
+
+@query()
+def tfidf_weights_documents(spark, d):
+    """tfidf_weights over documents. Tests hold it against brute force; there is no SQL."""
+    size = load(spark, d, "documents").agg(F.count(F.lit(1)).alias("n"))
+    weighed = learning.weights_of_counts(document_grams(spark, d).withColumnRenamed("n", "tf"), size, "doc_id")
+    return weighed.select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
 @query(r"SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY doc_id, term) GROUP BY term")
 def postings(spark, d):
     index = lexical.build_index(load(spark, d, "documents"), "doc_id", {"text": text.tokens(F.col("text"))})

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -61,3 +62,15 @@ def test_counts_and_vocabulary(spark):
     assert {r.i: dict(zip(r.g.terms, r.g.tfs, strict=True)) for r in got} == {i: dict(plain_grams(v)) for i, v in enumerate(values)}
     stats = spark.createDataFrame([("a", [1, 2, 3, 6], [1, 1, 1, 3]), ("b", [1, 1, 9, 11], [1, 1, 1, 3]), ("c", [4, 0, 4, 8], [1, 0, 1, 2]), ("d", [0, 9, 0, 9], [0, 1, 0, 1])], "term string, tfs array<long>, dfs array<long>")
     assert [list(learning._vocabulary(stats, k, 2, 2)) for k in (1, 2, 3)] == [["b", "a"], ["b", "c"], ["a", "b"]]
+
+
+def test_grams_and_weights_cover_the_documents(spark, tmp_path):
+    values = ["Red fox ran ran", "red  foxes", "", None, "fox"]
+    spark.createDataFrame(list(enumerate(values)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tf = {(i, g): n for i, v in enumerate(values) for g, n in plain_grams(v).items()}
+    got = registry.QUERIES["char_wb_ngrams_documents"](spark, str(tmp_path)).collect()
+    assert len(got) == len(tf) and {(r.doc_id, r.term): r.n for r in got} == tf
+    df = Counter(g for _, g in tf)
+    raw = {(i, g): (1 + math.log(n)) * (math.log(6 / (1 + df[g])) + 1) for (i, g), n in tf.items() if df[g] >= 2}
+    wanted = {(i, g): x / math.sqrt(sum(y * y for (j, _), y in raw.items() if j == i)) for (i, g), x in raw.items()}
+    assert {(r.doc_id, r.term): r.weight for r in registry.QUERIES["tfidf_weights_documents"](spark, str(tmp_path)).collect()} == pytest.approx(wanted, abs=1e-6)
