@@ -1,51 +1,22 @@
-"""Scratch tables in the shared folder, and column helpers that several operators use."""
+"""Column helpers that several operators use, and the scratch tables of the library."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import sys
-import tempfile
-import uuid
-
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sorrel.scratch import forget, scratch_path, ship, written
+
+__all__ = ["SPACES", "SPACE_RUN", "fold_held_out", "forget", "packed", "scratch_path", "ship", "table", "word_array", "word_count", "written"]
+
 #: The six ASCII white-space characters U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
-def ship(module: str) -> None:
-    """Send a module's functions to the Python workers by value, so executors need no copy of the package."""
-    cloudpickle.register_pickle_by_value(sys.modules[module])
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only where no folder is named (tests, a laptop) does this make a temporary one, which goes when the process ends.
-    """
-    context = spark.sparkContext
-    if named := context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir():
-        return named.rstrip("/")
-    made = tempfile.mkdtemp(prefix="sorrel-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    context.setCheckpointDir(made)
-    return context.getCheckpointDir().rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/sorrel-{uuid.uuid4().hex}/{name}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once to the shared folder and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def packed(docs: DataFrame, name: str) -> Column:
+    """A whole row of docs as one struct column, so that no column of docs can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
