@@ -57,28 +57,28 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
 FROM f
 """
 
-#: Running sums over the same hash order; the clock is the highest of the levels, as in mixing.source_targets.
+#: Copies sorted by virtual finish time (10 units of time to a word of weight 1), their words summed in that order and the order cut at the budget.
 MIXING_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(concat_ws(':', doc_id::VARCHAR, md5(coalesce(text, '')))) AS key
+         md5(concat_ws(':', doc_id::VARCHAR, md5(coalesce(text, '')))) AS key, row_number() OVER () AS r
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3) + 1] AS weight FROM s),
+w AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS nth, [5, 2, 1][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3) + 1] AS weight FROM s),
 l AS (
   SELECT *, (sum(source_size) OVER ()
              - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(weight) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM w),
-t AS (SELECT source, source_size, weight, least(weight * max(level) OVER (), (3 * source_size)::DOUBLE) AS target FROM l),
+t AS (SELECT source, nth, source_size, weight, least(weight * max(level) OVER (), (3 * source_size)::DOUBLE) AS target FROM l),
 b AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
-         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, round(target, 6) AS target,
-       (size * ((before + size / 2 <= target)::INT + (source_size + before + size / 2 <= target)::INT
-                + (2 * source_size + before + size / 2 <= target)::INT))::BIGINT AS taken
-FROM b
+  SELECT d.r, d.doc_id, d.size, t.nth, t.source_size, t.weight, t.target,
+         coalesce(sum(size) OVER (PARTITION BY t.nth ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT r, size, nth, (k * source_size + before + size) * (10 // weight) AS finish FROM b, (VALUES (0), (1), (2)) v(k) WHERE size > 0),
+q AS (SELECT r, size, sum(size) OVER (ORDER BY finish, nth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2 AS middle FROM c),
+x AS (SELECT r, sum(size) AS taken FROM q WHERE middle <= (SELECT sum(size) FROM d) GROUP BY r)
+SELECT doc_id, size, source_size, round(target, 6) AS target, coalesce(taken, 0)::BIGINT AS taken FROM b LEFT JOIN x USING (r)
 """
 
 ORACLE_SQL = {"op5_decontamination": DECONTAMINATION_SQL, "op7_url_filter": URL_SQL, "op9_mixing": MIXING_SQL, "op10_warc": WARC_SQL}
