@@ -13,7 +13,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, word_array, written
+from .common import SPACES, packed, word_array, written
 
 #: Fixed values of the base rules: least words, and most per cent of words in repeated windows; words in a window.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
@@ -38,16 +38,16 @@ def repeated_words(pairs: Column) -> Column:
     return covered["n"]
 
 
-def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct column quality_stats; a row costs time in proportion to its text, and nothing is moved.
+def text_stats(rows: DataFrame) -> DataFrame:
+    """rows of (quality_row, text) as (quality_row, quality_stats); a row costs time in proportion to its text, and nothing is moved.
 
     Null texts have no words. Windows are compared by 64-bit hashes of their words.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col("text"), F.lit(""))
     # What is left without lower-case letters, digits, white space and commas is short, and all counts of characters come from it.
     marks = F.regexp_replace(body, r"[\p{Ll}\p{Lo}\p{Nd}\x20\x09-\x0D,]+", "")
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    step = docs.withColumns({"q_words": word_array(F.col(text)), "q_lines": lines, "q_marks": marks})
+    step = rows.select("quality_row", word_array(F.col("text")).alias("q_words"), lines.alias("q_lines"), marks.alias("q_marks"))
     step = step.withColumn("q_hashes", F.transform("q_words", lambda w: F.xxhash64(w)))
     # A window's hash, from those of its first two words, first four words and last word: each step pairs an array with itself moved on.
     on = lambda column, by: F.slice(column, by + 1, F.size(column))
@@ -74,7 +74,7 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
         count("[.?]+").alias("n_stops"),
         count("!+").alias("n_shouts"),
     )
-    return step.withColumn("quality_stats", stats).drop("q_words", "q_lines", "q_marks", "q_hashes", "q_two", "q_four", "q_grams", "q_pairs")
+    return step.select("quality_row", stats.alias("quality_stats"))
 
 
 def base_failed(s: Column) -> Column:
@@ -156,9 +156,10 @@ def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], rules: int, rou
     return LabelModel(log(prior / (1 - prior)), good, bad)
 
 
-def with_votes(docs: DataFrame) -> DataFrame:
-    """docs with columns quality_stats and quality_votes (one small integer for each rule)."""
-    return text_stats(docs).withColumn("quality_votes", F.array(*votes(F.col("quality_stats"))).cast("array<tinyint>"))
+def with_votes(docs: DataFrame, keep: Column) -> DataFrame:
+    """quality_row (a struct of what to keep of docs), quality_stats and quality_votes (one small integer for each rule)."""
+    voted = text_stats(docs.select(keep.alias("quality_row"), F.col("text").alias("text")))
+    return voted.withColumn("quality_votes", F.array(*votes(F.col("quality_stats"))).cast("array<tinyint>"))
 
 
 def fit(voted: DataFrame) -> LabelModel:
@@ -178,17 +179,19 @@ def judge(voted: DataFrame, model: LabelModel) -> DataFrame:
 def quality_table(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, posterior.
 
-    Null and blank texts have no words and fail the base rules. Ids may be null or repeated; each row is judged alone.
+    Null and blank texts have no words and fail the base rules; very long texts are counted whole. Ids may be null or
+    repeated: each row is judged alone, so equal texts get equal verdicts, and a posterior of just KEEP_AT keeps. An empty
+    table gives no rows. Only doc_id and text are read, so other columns can't clash.
     """
-    voted = written(with_votes(docs.select("doc_id", "text")).drop("text"), "quality-votes")
+    voted = written(with_votes(docs, F.struct("doc_id")), "quality-votes")
     judged = judge(voted, fit(voted))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return judged.select(
-        "doc_id", *[F.col("quality_stats")[n].alias(n) for n in names], base_failed(F.col("quality_stats")).alias("base_failed"), F.col("quality_kept").alias("kept"), F.col("quality_posterior").alias("posterior")
+        "quality_row.doc_id", *[F.col("quality_stats")[n].alias(n) for n in names], base_failed(F.col("quality_stats")).alias("base_failed"), F.col("quality_kept").alias("kept"), F.col("quality_posterior").alias("posterior")
     )
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with docs' columns (apart from any named quality_stats or quality_votes)."""
-    voted = written(with_votes(docs), "quality-docs")
-    return judge(voted, fit(voted)).where("quality_kept").select(*[c for c in docs.columns if c not in ("quality_stats", "quality_votes")])
+    """The rows of docs that are kept, with docs' columns as they are, whatever their names; see quality_table for odd rows."""
+    voted = written(with_votes(docs, packed(docs, "quality_row")), "quality-docs")
+    return judge(voted, fit(voted)).where("quality_kept").select("quality_row.*")
