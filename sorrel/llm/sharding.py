@@ -14,11 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import packed, written
 
 ROW_OVERHEAD = 8
-#: Hex digits of the text hash in the first summary and in each finer one; a group is known by KEY_DIGITS of them.
-FIRST_DIGITS, MORE_DIGITS, KEY_DIGITS = 3, 2, 32
+#: Hex digits of the text hash in the first summary and in each finer one; a group is known by KEY_DIGITS of them. Two texts
+#: of one hash (at 10^10 different texts some forty pairs) count as one group, which keeps equal texts together all the same.
+FIRST_DIGITS, MORE_DIGITS, KEY_DIGITS = 3, 2, 15
 #: Parts of a shard that are numbered in parallel.
 SLOT_PARTS = 2048
 
@@ -28,8 +29,13 @@ def document_size(text: Column) -> Column:
 
 
 def group_key(text: Column) -> Column:
-    """128 bits of the text's SHA-256 in hex. Null counts as the empty text."""
-    return F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, KEY_DIGITS)
+    """60 bits of the text's hash as a whole number. Null counts as the empty text."""
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 4)
+
+
+def key_digits(gkey: Column, digits: int) -> Column:
+    """The first hex digits of a group's key, as a whole number."""
+    return F.shiftright(gkey, 4 * (KEY_DIGITS - digits))
 
 
 @dataclass(frozen=True)
@@ -135,8 +141,9 @@ def minimax(spans: list[Span], shards: int, finer) -> tuple[list[str], list[str]
 
 
 def spans_of(groups: DataFrame, digits: int) -> list[Span]:
-    summed = groups.groupBy(F.substring("gkey", 1, digits).alias("prefix")).agg(F.sum("size").alias("total"), F.min("gkey").alias("first"), F.max("gkey").alias("last"))
-    return sorted((Span(*row) for row in summed.collect()), key=lambda s: s.prefix)
+    summed = groups.groupBy(key_digits(F.col("gkey"), digits).alias("prefix")).agg(F.sum("size").alias("total"), F.min("gkey").alias("first"), F.max("gkey").alias("last"))
+    hex_of = lambda value, length: f"{value:0{length}x}"
+    return sorted((Span(hex_of(p, digits), total, hex_of(a, KEY_DIGITS), hex_of(b, KEY_DIGITS)) for p, total, a, b in summed.collect()), key=lambda s: s.prefix)
 
 
 def plan_shards(groups: DataFrame, shards: int) -> tuple[list[str], list[str], int]:
@@ -146,7 +153,7 @@ def plan_shards(groups: DataFrame, shards: int) -> tuple[list[str], list[str], i
         found: list[Span] = []
         for length in sorted({len(p) for p in prefixes}):
             some = sorted(p for p in prefixes if len(p) == length)
-            found += spans_of(groups.where(F.substring("gkey", 1, length).isin(some)), min(length + MORE_DIGITS, KEY_DIGITS))
+            found += spans_of(groups.where(key_digits(F.col("gkey"), length).isin([int(p, 16) for p in some])), min(length + MORE_DIGITS, KEY_DIGITS))
         return found
 
     return minimax(spans_of(groups, FIRST_DIGITS), shards, finer)
@@ -156,9 +163,9 @@ def shard_of(gkey: Column, alone: list[str], firsts: list[str]) -> Column:
     """The shard of a group, by comparison with at most as many literals as there are shards."""
     shard = F.lit(len(alone))
     for first in firsts:
-        shard = shard + (gkey >= first).cast("int")
+        shard = shard + (gkey >= int(first, 16)).cast("int")
     for k, key in reversed(list(enumerate(alone))):
-        shard = F.when(gkey == key, k).otherwise(shard)
+        shard = F.when(gkey == int(key, 16), k).otherwise(shard)
     return shard.cast("int")
 
 
@@ -177,21 +184,26 @@ def add_slots(rows: DataFrame, parts: int = SLOT_PARTS) -> DataFrame:
     return numbered.join(F.broadcast(offsets), ["shard", "part"]).withColumn("slot", F.col("slot") + F.col("offset")).drop("part", "offset")
 
 
-def assign_shards(docs: DataFrame, shards: int = 24, text: str = "text") -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
     """docs with two more columns: size (UTF-8 bytes plus 8) and shard, from 0 to shards - 1. Reads docs twice, moves none.
 
     Equal texts share a shard; null counts as the empty text. Fewer groups than shards leave shards empty; an empty table
-    gives no rows. Repeated rows each count. Columns of docs named size or shard are replaced.
+    gives no rows. Repeated rows each count, and a very long text is one group. docs' columns pass through unchanged;
+    where one is named size or shard, the new column is called shard_size or shard_number.
     """
-    groups = written(docs.select(document_size(F.col(text)).alias("size"), group_key(F.col(text)).alias("gkey")), "shard-groups")
+    groups = written(docs.select(document_size(F.col("text")).alias("size"), group_key(F.col("text")).alias("gkey")), "shard-groups")
     alone, firsts, _ = plan_shards(groups, shards)
-    return docs.withColumns({"size": document_size(F.col(text)), "shard": shard_of(group_key(F.col(text)), alone, firsts)})
+    size, shard = (other if name in {c.lower() for c in docs.columns} else name for name, other in (("size", "shard_size"), ("shard", "shard_number")))
+    placed = docs.select(packed(docs, "shard_row"), document_size(F.col("text")).alias("size"), group_key(F.col("text")).alias("gkey"))
+    return placed.select("shard_row.*", F.col("size").alias(size), shard_of(F.col("gkey"), alone, firsts).alias(shard))
 
 
 def shard_table(docs: DataFrame, shards: int = 24) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, under the law of near-equal bytes.
 
-    Null ids are kept. grown_shard is null: under this law a further shard moves rows between all shards.
+    Null texts count as empty; null ids are kept. Rows of equal id and text are numbered in any order, as they can't be
+    told apart. grown_shard is null: under this law a further shard moves rows between all shards. An empty table gives no
+    rows. Only doc_id and text are read, so other columns can't clash.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = written(docs.select("doc_id", document_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), group_key(F.col("text")).alias("gkey")), "shard-rows")
