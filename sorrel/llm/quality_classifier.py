@@ -135,14 +135,19 @@ def with_statistics(docs: DataFrame, keep: list[Column], model: FlatTrees | None
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS) -> FlatTrees:
     """A model from up to most_rows rows of labels (doc_id, quality 0 or 1) and their documents.
 
-    A hash of the label row thins the labels to nine tenths of the bound; only those ids are broadcast, so that no text
-    is shuffled. Labels without a document, with null or other values count for nothing; repeated ones count again.
+    A hash of the label row thins the labels to nine tenths of the bound and orders them; only those ids are broadcast, so
+    that no text is shuffled. Labels without a document, with null or other values count for nothing; repeated ones count
+    again. Where ids of documents repeat there are more statistics than labels: up to twice the bound are learned from,
+    chosen by their hash. Both choices depend on the rows only, not on their order.
     """
     usable = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("double").alias("quality_label"))
     spread = 1 << 30
+    place = F.pmod(F.xxhash64("doc_id", "quality_label"), F.lit(spread))
     share = int(spread * min(1.0, 0.9 * most_rows / max(usable.count(), 1)))
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id", "quality_label"), F.lit(spread)) < share).limit(most_rows)
-    rows = with_statistics(docs.join(F.broadcast(chosen), "doc_id"), [F.col("quality_label")]).limit(2 * most_rows).collect()
+    chosen = usable.where(place < share).orderBy(place, "doc_id", "quality_label").limit(most_rows)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = with_statistics(texts, [F.col("quality_label")])
+    rows = found.orderBy(F.xxhash64("score", "quality_label"), "score").limit(2 * most_rows).collect()
     rows = sorted((tuple(r["score"]), r["quality_label"]) for r in rows)
     return grow(np.array([r[0] for r in rows], np.float32).reshape(-1, len(FEATURES)), np.array([r[1] for r in rows]))
 
@@ -150,7 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS) -> Fl
 def score_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted (1 at GOOD_AT or more).
 
-    Learns from labels of the folds that are not held out. Null texts are scored as empty ones; ids may be null or repeat.
+    Learns from labels of the folds that are not held out. Null texts are scored as empty ones, very long ones whole; ids
+    may be null or repeat, and equal texts get equal scores (0.7 itself is predicted 1). Without labels every score is
+    0.5; an empty table gives no rows. Only doc_id and text of docs are read, so other columns can't clash.
     """
     model = train(docs, labels.where(~fold_held_out(F.col("doc_id"))))
     scored = with_statistics(docs, [F.col("doc_id"), fold_held_out(F.col("doc_id")).alias("held_out")], model)
