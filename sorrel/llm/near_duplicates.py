@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, written
+from .common import forget, packed, ship, written
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 448
 #: Texts in a block of a component; columns of a block's shingle matrix at a time; texts that a task remembers.
 BLOCK, COLUMNS, SEEN = 256, 4096, 1_000_000
+#: A key is heavy if it has more than a HEAVY-th of all rows (and more than LEAST_HEAVY); its rows are dealt over SALTS tasks.
+HEAVY, LEAST_HEAVY, SALTS = 1000, 64, 64
 
 #: Fixed rule: A-Z become a-z; digits, letters and all bytes beyond ASCII are word characters; the rest becomes a blank.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -95,8 +97,25 @@ def text_node(text: Column) -> Column:
 
 
 def id_key(doc_id: Column) -> Column:
-    """A key that null ids have too."""
-    return F.coalesce(doc_id.cast("string"), F.lit("null"))
+    """A key that null ids have too; no id's text equals it."""
+    return F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit(""))
+
+
+def heavy_from(rows: int) -> int:
+    """More rows of a key than this make it heavy; there are fewer than HEAVY such keys at any size."""
+    return max(rows // HEAVY, LEAST_HEAVY)
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, spread: str, most: int) -> DataFrame:
+    """left joined with right (one row a key, near_n: how many rows of left have it), with left's rows of heavy keys dealt over SALTS tasks by spread.
+
+    Only the heavy keys, fewer than HEAVY by their definition, are broadcast.
+    """
+    heavy = right.where(F.col("near_n") > most).select(key, F.lit(True).alias("near_hot"))
+    salt = F.when(F.col("near_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int")
+    dealt = left.join(F.broadcast(heavy), key, "left").withColumn("near_salt", salt).drop("near_hot")
+    every = F.when(F.col("near_n") > most, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(right.withColumn("near_salt", F.explode(every)).drop("near_n"), [key, "near_salt"]).drop("near_salt")
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
@@ -127,31 +146,34 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     round is written to the shared folder. Ends when a round changes nothing: all nodes are then tied to their root.
     """
 
-    def tied(both: DataFrame) -> DataFrame:
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return both.join(least, "a")
+    def tied(both: DataFrame, most: int) -> DataFrame:
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("near_n")).select("a", F.least("a", "m").alias("m"), "near_n")
+        return skew_join(both, least, "a", "b", most)
 
     state, edges = None, written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
+    size = edges.count()
     while True:
+        most, before = heavy_from(size), edges
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = tied(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small = tied(large)
+        large = tied(both, most).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = tied(large, most)
         edges = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         edges = written(edges, f"{name}-round")
+        forget(before)
         found = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(found) == state or not found[0]:
             break
-        state = tuple(found)
+        state, size = tuple(found), found[0]
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
-def candidate_edges(signed: DataFrame) -> DataFrame:
-    """(a, b): each text of a band with two or more texts, tied to the band's least."""
+def candidate_edges(signed: DataFrame, rows: int) -> DataFrame:
+    """(a, b): each text of a band with two or more texts, tied to the band's least. signed has so many rows."""
     banded = signed.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("band"))
-    least = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"))
-    shared = least.where("least < most").select("band", "least")
-    return banded.join(shared, "band").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    least = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("near_n"))
+    shared = least.where("least < most").select("band", "least", "near_n")
+    return skew_join(banded, shared, "band", "node", heavy_from(rows)).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> np.ndarray:
@@ -198,8 +220,8 @@ def verify(docs: DataFrame, members: DataFrame, threshold: float, words: int) ->
     blocks is a group, so a text goes to as many groups as its component has blocks. Of equal texts the row with the least
     id is fetched, so that copies of one text spread over tasks; the join is by merging at any size.
     """
-    blocks = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    blocks = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("near_n"))
+    placed = skew_join(members, blocks, "root", "node", heavy_from(members.count())).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     placed = placed.withColumn("near_id", id_key(F.col("low"))).hint("merge")
     bodies = docs.select(id_key(F.col("doc_id")).alias("near_id"), text_node(F.col("text")).alias("node"), F.col("text").alias("body"))
     texts = bodies.join(placed, ["near_id", "node"]).dropDuplicates(["near_id", "node"])
@@ -230,17 +252,19 @@ def verify(docs: DataFrame, members: DataFrame, threshold: float, words: int) ->
 
 
 def join_near(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """(rows, nodes): rows of (doc_id, node), one for each of docs; nodes of (node, root, copies, low, texts, docs)."""
+    """(rows, nodes): rows of (doc_id, node), one for each of docs; nodes, written, of (node, root, copies, low, texts, docs)."""
     bands, per_band = choose_bands(threshold, recall)
     signed = written(signatures(docs, bands, per_band, words), "signatures")
     counted = signed.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"))
-    members = written(components(candidate_edges(signed), "candidates").join(counted, "node"), "candidates")
+    tied = written(components(candidate_edges(signed, signed.count()), "candidates"), "candidate-roots")
+    members = written(tied.join(counted, "node"), "candidates")
     links = written(verify(docs, members, threshold, words), "links")
+    forget(tied, members)
     sums = links.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     roots = components(links.select(F.col("node").alias("a"), F.col("peer").alias("b")), "classes")
     nodes = counted.join(sums, "node", "left").join(roots, "node", "left")
     nodes = nodes.select("node", F.coalesce("root", "node").alias("root"), "copies", "low", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs"))
-    return signed.select("doc_id", "node"), nodes
+    return signed.select("doc_id", "node"), written(nodes, "nodes")
 
 
 def near_duplicate_table(docs: DataFrame) -> DataFrame:
@@ -248,23 +272,30 @@ def near_duplicate_table(docs: DataFrame) -> DataFrame:
 
     class_id is the least doc_id of the documents that links connect. n_links counts the other documents at the threshold
     or more, equal texts among them; n_copies the rows with an equal text, itself included; n_text_links the different
-    texts linked. Texts without a word (null too) link with equal ones only. A class of null ids has a null class_id.
+    texts linked. Texts without a word (null too) link with equal ones only; texts of fewer than WORDS words are one
+    shingle; very long texts are shingled whole. Repeated rows each count. A class of null ids has a null class_id. An
+    empty table gives no rows. Only doc_id and text are read, so other columns can't clash.
     """
     rows, nodes = join_near(docs)
-    nodes = written(nodes, "nodes")
-    classes = nodes.groupBy("root").agg(F.min("low").alias("class_id"))
-    named = nodes.join(classes, "root")
-    per_node = named.select("node", "class_id", (F.col("docs") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), F.col("texts").alias("n_text_links"))
-    return rows.join(per_node, "node").select("doc_id", "class_id", "n_links", "n_copies", "n_text_links")
+    alone = nodes.where("texts = 0").withColumn("class_id", F.col("low"))
+    linked_nodes = nodes.where("texts > 0")
+    classes = linked_nodes.groupBy("root").agg(F.min("low").alias("class_id"), F.count(F.lit(1)).alias("near_n"))
+    most = heavy_from(rows.count())
+    named = alone.unionByName(skew_join(linked_nodes, classes, "root", "node", most))
+    per_node = named.select("node", "class_id", (F.col("docs") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), F.col("texts").alias("n_text_links"), F.col("copies").alias("near_n"))
+    return skew_join(rows, per_node, "node", "doc_id", most).select("doc_id", "class_id", "n_links", "n_copies", "n_text_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each class of near-duplicates the row with the least doc_id, with docs' columns. Of equal rows one stays."""
+    """Of each class of near-duplicates the row with the least doc_id (null ids last); of rows with equal id and text one stays.
+
+    docs' columns pass through unchanged, whatever their names; see near_duplicate_table for odd rows.
+    """
     _, nodes = join_near(docs)
     first = F.min(F.struct(F.col("low").isNull().alias("none"), F.col("low"), F.col("node")))
     kept = nodes.groupBy("root").agg(first.alias("first")).select(id_key(F.col("first.low")).alias("near_id"), F.col("first.node").alias("near_node"))
-    keyed = docs.withColumns({"near_id": id_key(F.col("doc_id")), "near_node": text_node(F.col("text"))})
-    return keyed.join(written(kept, "kept").hint("merge"), ["near_id", "near_node"], "left_semi").dropDuplicates(["near_id", "near_node"]).select(*docs.columns)
+    keyed = docs.select(packed(docs, "near_row"), id_key(F.col("doc_id")).alias("near_id"), text_node(F.col("text")).alias("near_node"))
+    return keyed.join(written(kept, "kept").hint("merge"), ["near_id", "near_node"], "left_semi").dropDuplicates(["near_id", "near_node"]).select("near_row.*")
 
 
 ship(__name__)
