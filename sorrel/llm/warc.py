@@ -13,13 +13,16 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, ship, written
+from sorrel.scratch import remove
+
+from .common import forget, scratch_path, ship, written
 
 #: Fixed values of the format.
 VERSION, MAGIC, RESPONSE, REVISIT = b"WARC/1.1", b"\x1f\x8b\x08", "response", "revisit"
@@ -28,6 +31,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 #: Payloads of fewer bytes are stored again each time. Archives are closed at about ROLL compressed bytes. Most tasks that read archives.
 LEAST_SHARED, ROLL, MOST_READERS = 100, 32 << 20, 10_000
+#: A digest is heavy if more than a HEAVY-th of all pages (and more than LEAST_HEAVY) have it.
+HEAVY, LEAST_HEAVY = 1000, 64
 #: Bytes fed to the decompressor at a time; what lies beyond a member is copied at most once.
 STEP = 1 << 14
 RECORD_SCHEMA = "archive string, start long, page_key string, record_type string, refers_to_key string, payload_digest string, payload_bytes long, payload binary, gap_end long, gap_reason string"
@@ -48,7 +53,12 @@ class Record:
 
 
 def record_id(key: str) -> str:
-    return f"<urn:x-page:{key}>"
+    """A record's id: the page's key, in which anything but letters, digits and a few marks is written as %XX."""
+    return f"<urn:x-page:{quote(key, safe='')}>"
+
+
+def key_of(record_id: str) -> str:
+    return unquote(record_id.removeprefix("<urn:x-page:").removesuffix(">"))
 
 
 def clean_header(value: str | None) -> str:
@@ -93,7 +103,7 @@ def decode_record(data: bytes, start: int = 0) -> tuple[Record, int]:
     try:
         size = int(fields["content-length"])
         block_digest, payload_digest = (fields[k].removeprefix("sha256:") for k in ("warc-block-digest", "warc-payload-digest"))
-        key, kind = fields["warc-record-id"].removeprefix("<urn:x-page:").removesuffix(">"), fields["warc-type"]
+        key, kind = key_of(fields["warc-record-id"]), fields["warc-type"]
     except (KeyError, ValueError) as e:
         raise Damaged(f"header field missing or wrong: {e}") from None
     body, end = head_end + 4, head_end + 4 + size
@@ -107,7 +117,7 @@ def decode_record(data: bytes, start: int = 0) -> tuple[Record, int]:
         raise Damaged("no HTTP header")
     if kind == REVISIT:
         length = next((int(x[15:]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:") and x[15:].strip().isdigit()), -1)
-        return Record(key, kind, fields.get("warc-refers-to", "").removeprefix("<urn:x-page:").removesuffix(">"), payload_digest, length, b""), end + 4
+        return Record(key, kind, key_of(fields.get("warc-refers-to", "")), payload_digest, length, b""), end + 4
     if hashlib.sha256(payload).hexdigest() != payload_digest:
         raise Damaged("payload digest differs")
     return Record(key, kind, None, payload_digest, len(payload), payload), end + 4
@@ -232,32 +242,82 @@ def records_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
-    """(page_key, url, html, digest, refers_to_key) for each row of pages.
+    """(page_key, url, html, digest, refers_to_key) for each row of pages. A key is the id's text after =, and empty for null.
 
-    Only digests that stand more than once are joined back. Rows with the same, smallest id and equal payloads are all
-    responses. Among payloads whose ids are all null, none is a revisit.
+    Digests are counted without html, and those that stand more than once are written, so that Spark knows their size:
+    within its bound for broadcasts (spark.sql.autoBroadcastJoinThreshold) no html moves, beyond it pages are joined by
+    merging. Heavy digests, fewer than HEAVY by their definition, are always broadcast and their pages spread at random,
+    so no task gets all copies of one. Rows with the same, smallest id and equal payloads are all responses. Among payloads
+    whose ids are all null, none is a revisit.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id"), F.col("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).alias("n"))
-    first = rows.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    shared = first.where((F.col("copies") > 1) & F.col("first_id").isNotNull()).select(F.col("digest").alias("first_digest"), "first_id")
-    joined = rows.join(shared, (F.col("digest") == F.col("first_digest")) & (F.col("n") >= least), "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id").cast("string"))
-    return joined.select(F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("page_key"), "url", "html", "digest", refers.alias("refers_to_key"))
+    digest, n = F.sha2(html.cast("binary"), 256), F.octet_length(html)
+    first = pages.where(n >= least).select("page_id", digest.alias("digest")).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    shared = written(first.where((F.col("copies") > 1) & F.col("first_id").isNotNull()), "warc-shared")
+    most = max((shared.agg(F.sum("copies")).first()[0] or 0) // HEAVY, LEAST_HEAVY)
+    hot = shared.where(F.col("copies") > most).select("digest", F.col("first_id").alias("hot_id"))
+    cold = shared.where(F.col("copies") <= most).select(F.col("digest").alias("cold_digest"), F.col("first_id").alias("cold_id"))
+    rows = pages.select("page_id", "url", html.alias("html"), digest.alias("digest")).join(F.broadcast(hot), "digest", "left")
+    # A page that needs no look-up gets a key that meets nothing and is as good as random.
+    asked = F.when(F.col("hot_id").isNull() & (F.octet_length("html") >= least), F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    joined = rows.withColumn("asked", asked).join(cold, F.col("asked") == F.col("cold_digest"), "left")
+    key = lambda c: F.concat(F.lit("="), c.cast("string"))
+    first_id = F.coalesce("hot_id", "cold_id")
+    refers = F.when(~F.col("page_id").eqNullSafe(first_id), key(first_id))
+    return joined.select(F.coalesce(key(F.col("page_id")), F.lit("")).alias("page_key"), "url", "html", "digest", refers.alias("refers_to_key"))
+
+
+def store_uri(folder: str) -> str:
+    """A folder of Spark's as a URI that pyarrow opens."""
+    if "://" in folder:
+        return folder
+    return "file://" + folder.removeprefix("file:")
+
+
+def salvage(archives: DataFrame, folder: str, payloads: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(records, gaps) of the archives, both written: RECORD_SCHEMA rows, and (archive, start, gap_end, gap_reason) of what is quarantined."""
+    read = written(read_archives(archives, folder, payloads), "warc-read")
+    return read.where(F.col("gap_reason").isNull()), read.where(F.col("gap_reason").isNotNull()).select("archive", "start", "gap_end", "gap_reason")
+
+
+def check_whole(archives: DataFrame, records: DataFrame, gaps: DataFrame) -> None:
+    """Raise Damaged if an archive gave another number of records than the manifest states. The message names the first archives and gaps."""
+    found = records.groupBy("archive").agg(F.count(F.lit(1)).alias("found"))
+    wrong = archives.join(found, "archive", "left").where(F.coalesce("found", F.lit(0)) != F.col("records"))
+    some = wrong.orderBy("archive").limit(5).collect()
+    if some:
+        lost = gaps.orderBy("archive", "start").limit(5).collect()
+        told = ", ".join(f"{r['archive']}: {r['found'] or 0} of {r['records']} records" for r in some)
+        raise Damaged(f"{told}; gaps: " + ", ".join(f"{g['archive']} {g['start']}-{g['gap_end']} ({g['gap_reason']})" for g in lost))
+
+
+def read_back(archives: DataFrame, folder: str, id_type: str = "bigint", strict: bool = True) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of the archives' records.
+
+    strict: a record that can't be read raises, as its page would be missing; else the records that can be read are
+    returned, and salvage() tells the gaps.
+    """
+    records, gaps = salvage(archives, folder)
+    if strict:
+        check_whole(archives, records, gaps)
+    as_id = lambda c: F.when(F.col(c) != "", F.col(c).substr(F.lit(2), F.length(c))).cast(id_type)
+    return records.select(as_id("page_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_id("refers_to_key").alias("refers_to"))
 
 
 def warc_table(pages: DataFrame) -> DataFrame:
     """Write all pages to archives, read them back, and return page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Null html is an empty payload; pages with a null id are read back with a null id.
+    Null html is an empty payload; pages with a null id are read back with a null id, ids of any type with that type.
+    Repeated rows are written each; of equal ids and payloads all are responses. A very long payload is one record in an
+    archive of its own size. An empty table gives no rows. A record that can't be read back raises, with the gaps in the
+    message. Only page_id, url and html are read, so other columns can't clash.
     """
     folder = scratch_path(pages.sparkSession, "warc")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    folder = folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
-    archives = write_archives(with_revisits(pages), folder)
-    records = read_archives(archives, folder, payloads=False).where(F.col("gap_reason").isNull())
-    as_id = lambda c: F.expr(f"try_cast({c} as bigint)")
-    return records.select(as_id("page_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_id("refers_to_key").alias("refers_to"))
+    archives = write_archives(with_revisits(pages), store_uri(folder))
+    back = read_back(archives, store_uri(folder), pages.schema["page_id"].dataType.simpleString())
+    remove(pages.sparkSession, folder)
+    forget(archives)
+    return back
 
 
 ship(__name__)
