@@ -44,9 +44,9 @@ r AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AN
                      WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM h)
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-            WHEN regexp_matches(host || path, '(?i)(^|[^A-Za-z0-9])(cheap-pills|spam-farm|online-casino|free-money|adult-cams)($|[^A-Za-z0-9])') THEN 'block' ELSE 'allow' END AS verdict
+            WHEN host <> '' AND regexp_matches(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9])(SPAM)($|[^a-z0-9])') THEN 'block' ELSE 'allow' END AS verdict
 FROM r
-"""
+""".replace("SPAM", "|".join(url_filter.spam_words()))
 
 WARC_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),

@@ -34,22 +34,58 @@ class UrlRule:
     weight: int = 0
 
 
+#: Fixed rule: A-Z become a-z and nothing else does, in patterns, tokens and URLs alike.
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_rule(action: str, host: str, path: str) -> UrlRule:
     """A rule for a host and all its subdomains, with paths that start with path. Longer rules weigh more."""
-    whole = re.findall(TOKEN, host) + [t for t in re.findall(TOKEN, (path if re.search(r"[^A-Za-z0-9]$", path) else re.sub(r"[A-Za-z0-9]+$", "", path)).lower())]
+    host = host.translate(_LOWER)
+    ended = path if re.search(r"[^A-Za-z0-9]$", path) else re.sub(r"[A-Za-z0-9]+$", "", path)  # a last token may go on in a URL
+    whole = re.findall(TOKEN, host) + re.findall(TOKEN, ended.translate(_LOWER))
     return UrlRule(action, host + path, rf"^(?:[^/]*\.)?{re.escape(host)}(?={re.escape(path[:1]) or '/|$'}){re.escape(path)}", tuple(whole), len(host) + len(path))
 
 
 def word_rule(action: str, words: str) -> UrlRule:
-    """A rule for URLs in which words, as hyphen-joined tokens, stand between other characters than letters and digits."""
-    return UrlRule(action, words, rf"(?<![A-Za-z0-9])(?i:{re.escape(words)})(?![A-Za-z0-9])", tuple(re.findall(TOKEN, words)))
+    """A rule for URLs in which words, as hyphen-joined tokens, stand between other characters than ASCII letters and digits. A-Z match a-z."""
+    words = words.translate(_LOWER)
+    either = "".join(f"[{c}{c.upper()}]" if "a" <= c <= "z" else re.escape(c) for c in words)
+    return UrlRule(action, words, rf"(?<![A-Za-z0-9]){either}(?![A-Za-z0-9])", tuple(re.findall(TOKEN, words)))
 
 
 #: The contract's rules.
 HOST_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: The method's own verdicts elsewhere: block names that advertise.
-WORD_RULES = ("cheap-pills", "spam-farm", "online-casino", "free-money", "adult-cams")
-DEFAULT_RULES = tuple(host_rule(*r) for r in HOST_RULES) + tuple(word_rule("block", w) for w in WORD_RULES)
+#: The method's own verdicts elsewhere: kinds of spam, each as what is offered and how. Every pair is a rule, joined by a hyphen in either order.
+SPAM = {
+    "gambling": (("casino", "casinos", "poker", "slots", "bet", "bets", "betting", "roulette", "jackpot", "lottery"), ("win", "wins", "free", "online", "bonus", "live", "cash", "spins", "best")),
+    "pharmacy": (("pills", "pharmacy", "meds", "viagra", "cialis", "steroids"), ("cheap", "buy", "online", "discount", "order", "generic")),
+    "adult": (("adult", "xxx", "porn", "sex"), ("cams", "chat", "dating", "video", "videos", "live", "free", "x")),
+    "advertising": (("ads", "ad", "adserver", "popup", "banner"), ("track", "tracker", "tracking", "click", "clicks", "server", "serve")),
+    "money": (("money", "loans", "loan", "credit", "crypto"), ("free", "fast", "payday", "easy", "cheap", "instant")),
+    "link farms": (("spam", "link", "links", "seo"), ("farm", "farms", "exchange", "wheel")),
+}
+
+
+def spam_words() -> list[str]:
+    return sorted({w for what, how in SPAM.values() for a in what for b in how for w in (f"{a}-{b}", f"{b}-{a}")})
+
+
+DEFAULT_RULES = tuple(host_rule(*r) for r in HOST_RULES) + tuple(word_rule("block", w) for w in spam_words())
+#: Most rules of a list: all are with the driver and every worker.
+MOST_RULES = 1_000_000
+
+
+def read_rules(rules: DataFrame) -> tuple[UrlRule, ...]:
+    """Rules of a table (action, host, path, words): a host rule where host is filled, else a word rule. Rows with neither count for nothing.
+
+    More than MOST_RULES raise, as a rule list must fit into a worker; none is dropped.
+    """
+    filled = (F.coalesce("host", F.lit("")) != "") | (F.coalesce("words", F.lit("")) != "")
+    rows = rules.where(filled & F.col("action").isin("allow", "block")).select("action", "host", "path", "words").distinct().limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    made = [host_rule(r["action"], r["host"], r["path"] or "") if r["host"] else word_rule(r["action"], r["words"]) for r in rows]
+    return tuple(sorted(made, key=lambda r: (r.name, r.action)))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -63,7 +99,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def token_frequencies(addresses: DataFrame, rules: tuple[UrlRule, ...]) -> dict[str, int]:
     """In how many of all URLs each literal token of the rules stands. One row for each such token reaches the driver."""
     wanted = sorted({t for r in rules for t in r.literals})
-    tokens = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.concat("host", "path")), F.lit(TOKEN), F.lit(0)))).alias("token")
+    tokens = F.explode(F.array_distinct(F.regexp_extract_all(F.translate(F.concat("host", "path"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(TOKEN), F.lit(0)))).alias("token")
     counted = addresses.select(tokens).where(F.col("token").isin(wanted)).groupBy("token").count()
     return {t: 0 for t in wanted} | {r[0]: r[1] for r in counted.collect()}
 
@@ -72,7 +108,8 @@ class RuleIndex:
     def __init__(self, rules: tuple[UrlRule, ...], frequencies: dict[str, int]):
         self.filed: dict[str, list[int]] = defaultdict(list)
         self.always: list[int] = []
-        self.rules = [(r, re.compile(r.pattern)) for r in rules]
+        self.rules = rules
+        self.compiled: dict[int, re.Pattern] = {}
         for k, rule in enumerate(rules):
             if rule.literals:
                 self.filed[min(rule.literals, key=lambda t: (frequencies.get(t, 0), t))].append(k)
@@ -82,18 +119,23 @@ class RuleIndex:
 
     def candidates(self, address: str) -> list[int]:
         found = set(self.always)
-        for token in set(self.tokens.findall(address.lower())):
+        for token in set(self.tokens.findall(address.translate(_LOWER))):
             found.update(self.filed.get(token, ()))
         return sorted(found)
 
+    def pattern(self, k: int) -> re.Pattern:
+        if k not in self.compiled:
+            self.compiled[k] = re.compile(self.rules[k].pattern)
+        return self.compiled[k]
+
     def judge(self, host: str, path: str) -> tuple[str | None, str]:
         """(name of the deciding rule, verdict). Rules without weight give a verdict but no name; else the verdict is allow."""
         address = host + path
-        fitting = [r for r, p in (self.rules[k] for k in self.candidates(address)) if p.search(address)] if host else []
+        fitting = [self.rules[k] for k in self.candidates(address) if self.pattern(k).search(address)] if host else []
         if deciding := [r for r in fitting if r.weight]:
-            best = max(deciding, key=lambda r: (r.weight, r.name))
+            best = max(deciding, key=lambda r: (r.weight, r.name, r.action))
             return best.name, best.action
-        return None, next((r.action for r in fitting), "allow")
+        return None, "block" if any(r.action == "block" for r in fitting) else "allow"
 
 
 def judge_urls(pages: DataFrame, keep: list[Column], rules: tuple[UrlRule, ...] = DEFAULT_RULES) -> DataFrame:
@@ -114,9 +156,14 @@ def judge_urls(pages: DataFrame, keep: list[Column], rules: tuple[UrlRule, ...]
     return addresses.mapInArrow(run, T.StructType([*addresses.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())]))
 
 
-def url_table(pages: DataFrame) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict. A URL that is null or has no :// has an empty host, fits no rule and is allowed."""
-    return judge_urls(pages, [F.col("page_id")])
+def url_table(pages: DataFrame, rules: tuple[UrlRule, ...] = DEFAULT_RULES) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict.
+
+    A URL that is null, empty or has no :// has an empty host, fits no rule and is allowed. Repeated rows and null ids are
+    judged each; of rules of equal length that fit, the last by name and then block before allow. Very long URLs are
+    searched whole. An empty table gives no rows. Only page_id and url are read, so other columns can't clash.
+    """
+    return judge_urls(pages, [F.col("page_id")], rules)
 
 
 ship(__name__)
