@@ -3,6 +3,9 @@
 A text is encoded with each language's raw-content zstandard dictionary; the language that makes it smallest wins, and a
 narrow margin is rejected. Encoding is by pieces of PIECE characters of the whole text, so that the dictionary matters
 all the way through a long text and not only at its start.
+
+A dictionary is learned from a bounded sample: SAMPLE_ROWS different texts of its language, and SAMPLE_LETTERS letters of
+each, in stretches spread evenly over the whole text. All that is sampled goes into the dictionary.
 """
 
 from __future__ import annotations
@@ -19,8 +22,10 @@ from pyspark.sql.window import Window
 
 from .common import fold_held_out, ship
 
-#: The sample that dictionaries are made of: rows of each language, characters of each row, bytes of a dictionary.
-SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 2000, 32 * 1024
+#: The sample that dictionaries are made of: different texts of each language, letters of each text, and of each stretch of it.
+SAMPLE_ROWS, SAMPLE_LETTERS, STRETCH = 128, 512, 128
+#: Rows of a batch that are read at a time.
+SLICE = 256
 PIECE, LEVEL = 1500, 12
 #: A decision is rejected if the second language needs less than this share more bytes; bytes per unit of log odds.
 NARROW, SCALE = 0.005, 4.0
@@ -32,30 +37,36 @@ def letters(text: str | None) -> str:
     return regex.sub(r"[^\p{L}]+", " ", text or "").strip().lower()
 
 
+def spread(body: str, most: int = SAMPLE_LETTERS, stretch: int = STRETCH) -> str:
+    """The whole of a short body; of a longer one stretches at even distances, from its start to its end, most letters in all."""
+    if len(body) <= most:
+        return body
+    parts = max(most // stretch, 1)
+    starts = [k * (len(body) - stretch) // max(parts - 1, 1) for k in range(parts)]
+    return " ".join(body[k : k + stretch] for k in starts)
+
+
 def train_dictionaries(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
-    """A dictionary for each language, from up to sample_rows rows of (text, lang), chosen by a hash of the text.
+    """A dictionary for each language, from up to sample_rows different texts of (text, lang), those of the least hashes.
 
-    Rows without text or language are left out. The hash first thins each language to about twice the sample, by its
-    count, so the window that takes the exact number sees a bounded number of rows of any language.
+    Rows without text or language are left out, copies of a text count once. Hashes are made distinct and ranked without
+    the texts, of which only the chosen ones are then read; the driver gets the dictionaries' stretches. What it holds grows
+    with the number of languages, of which every worker must hold a dictionary anyway.
     """
-    labelled = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if not counts:
-        return {}
-    spread = 1 << 30
-    place = F.pmod(F.xxhash64("text"), F.lit(spread))
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, int(spread * min(1.0, 2 * sample_rows / n))).otherwise(share)
-    thin = labelled.where(place < share).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), place.alias("place"))
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
-    chosen = thin.withColumn("order", order).where(F.col("order") <= sample_rows).collect()
-    found = {}
-    for lang in sorted(counts):
-        body = " ".join(dict.fromkeys(letters(r["text"]) for r in sorted((r for r in chosen if r["lang"] == lang), key=lambda r: r["order"])))
-        if body.strip():
-            found[lang] = body.encode()[:DICTIONARY_BYTES]
-    return found
+    labelled = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", F.xxhash64("text").alias("place"), "text")
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    chosen = labelled.select("lang", "place").distinct().withColumn("nth", order).where(F.col("nth") <= sample_rows)
+    texts = labelled.join(F.broadcast(chosen), ["lang", "place"]).groupBy("lang", "nth").agg(F.min("text").alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("nth"), pa.array([spread(letters(t.as_py())) for t in batch.column("text")], pa.string())], ["lang", "nth", "body"])
+
+    bodies: dict[str, list[str]] = {}
+    for r in sorted(texts.mapInArrow(cut, "lang string, nth int, body string").collect()):
+        bodies.setdefault(r["lang"], []).append(r["body"])
+    joined = {lang: " ".join(b for b in parts if b) for lang, parts in bodies.items()}
+    return {lang: body.encode() for lang, body in joined.items() if body}
 
 
 class Compressors:
@@ -92,10 +103,12 @@ def classify_languages(docs: DataFrame, dictionaries: dict[str, bytes], keep: li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Compressors(shared.value)
-        for batch in batches:
-            found = [model.classify(t) for t in batch.column("lang_text").to_pylist()]
-            added = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + added, [*names, "lang_pred", "score", "rejected"])
+        for whole in batches:
+            for low in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(low, SLICE)
+                found = [model.classify(t.as_py()) for t in batch.column("lang_text")]
+                added = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + added, [*names, "lang_pred", "score", "rejected"])
 
     return kept.mapInArrow(run, schema)
 
@@ -104,10 +117,12 @@ def language_table(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, rejected.
 
     Learns from the folds that are not held out. lang_pred is the smallest language even where the margin is narrow
-    (rejected tells), and und only for texts without a letter, null ones among them. Equal sizes: first by name.
+    (rejected tells), and und only for texts without a letter, null ones among them, or where nothing could be learned.
+    Equal sizes: first by name. Very long texts are encoded whole; repeated rows are predicted each and learned once. An
+    empty table gives no rows. Only doc_id, text and, to learn, lang are read, so other columns can't clash.
     """
     held = fold_held_out(F.col("doc_id"))
-    dictionaries = train_dictionaries(docs.where(~held))
+    dictionaries = train_dictionaries(docs.where(~held).select("text", "lang"))
     return classify_languages(docs, dictionaries, [F.col("doc_id"), held.alias("held_out")])
 
 
