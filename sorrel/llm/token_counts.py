@@ -1,8 +1,9 @@
 """Token counts of a byte-level BPE vocabulary, without materialising ids.
 
-A text's pre-tokens are counted, the pieces of each distinct pre-token are counted once, and the two are joined and
-summed. The join is by a hash table within blocks of documents: the table of piece counts is kept from block to block and
-started anew when it has MEMO entries, so memory is bounded and no row is shuffled at any size of the corpus.
+The pre-tokens of all texts are counted into a table of distinct ones, and the pieces of each are counted once. That table
+is joined to the pre-token frequencies of every document, and the products are summed. Of the table, the COMMON most
+frequent pre-tokens, which make up nearly all occurrences, are broadcast and joined within the tasks that read the texts;
+what a document has besides is joined by a shuffle on the pre-token, which without the common ones has no heavy keys.
 """
 
 from __future__ import annotations
@@ -17,17 +18,23 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, written
 
 #: Fixed value: the published pattern that byte-level BPE splits texts by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LIMIT = 512
-MEMO = 2_000_000
+#: Different pre-tokens that a task counts before it passes them on; pre-tokens that are broadcast, and their most characters.
+MEMO, COMMON, COMMON_CHARS = 500_000, 100_000, 64
+REST_TYPE = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("times", T.LongType())]))
+REST = pa.list_(pa.struct([("token", pa.string()), ("times", pa.int64())]))
+#: Rows of a batch that are read at a time.
+SLICE = 256
 
 
 class PieceCounter:
-    """Counts of pieces by distinct pre-token, as the tokenizers library gives them."""
+    """Pre-tokens of texts and pieces of pre-tokens, as the tokenizers library gives them."""
 
     def __init__(self, definition: str):
         import os
@@ -39,7 +46,6 @@ class PieceCounter:
         added = [t["content"] for t in json.loads(definition)["added_tokens"]]
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
         self.split = regex.compile(PATTERN).findall
-        self.pieces: dict[str, int] = {}
         self.assigned: dict[str, bool] = {}
 
     def pre_tokens(self, text: str) -> list[str]:
@@ -53,26 +59,21 @@ class PieceCounter:
                     return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         return self.split(text)
 
-    def frequencies(self, text: str) -> tuple[Counter, int]:
-        """Counts of a text's pre-tokens, and how many special strings stand in it: by default each is one token."""
+    def add(self, text: str, counts: Counter) -> int:
+        """Add a text's pre-tokens to counts; returns how many special strings stand in it: by default each is one token."""
         if self.special is None or not (found := len(self.special.findall(text))):
-            return Counter(self.pre_tokens(text)), 0
-        counts: Counter = Counter()
+            counts.update(self.pre_tokens(text))
+            return 0
         for part in self.special.split(text):
             counts.update(self.pre_tokens(part))
-        return counts, found
+        return found
+
+    def frequencies(self, text: str) -> tuple[Counter, int]:
+        counts: Counter = Counter()
+        return counts, self.add(text, counts)
 
-    def totals(self, texts: list[str | None]) -> list[int]:
-        tallies = [self.frequencies(t) if t else (Counter(), 0) for t in texts]
-        if len(self.pieces) > MEMO:
-            self.pieces = {}
-        pieces = self.pieces
-        new = list({t for tally, _ in tallies for t in tally if t not in pieces})
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            for token, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                pieces[token] = len(coded)
-        return [sum(pieces[t] * n for t, n in tally.items()) + special for tally, special in tallies]
+    def pieces(self, tokens: list[str]) -> list[int]:
+        return [len(e) for k in range(0, len(tokens), 20_000) for e in self.tokenizer.encode_batch_fast(tokens[k : k + 20_000], add_special_tokens=False)]
 
 
 def check_definition(definition: str) -> None:
@@ -84,28 +85,86 @@ def check_definition(definition: str) -> None:
         raise ValueError("token counts need a byte-level BPE vocabulary without a normalizer or prefix space")
 
 
-def count_tokens(docs: DataFrame, vocabulary: str, keep: list[Column], limit: int = LIMIT) -> DataFrame:
-    """keep's columns and n_bytes, n_tokens, over_limit for each row of docs. vocabulary: the path of a .json file on the driver."""
-    definition = Path(vocabulary).read_text()
-    check_definition(definition)
+def pre_token_table(docs: DataFrame, definition: str) -> DataFrame:
+    """(token, times, pieces), written: every distinct pre-token of docs' texts, how often it stands, and its pieces, counted once."""
     shared = docs.sparkSession.sparkContext.broadcast(definition)
-    kept = docs.select(*keep, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.col("text").alias("token_text"))
-    names = [f.name for f in kept.schema.fields[:-1]]
-    schema = kept.drop("token_text").schema.add("n_tokens", "long").add("over_limit", "boolean")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch_of(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "times"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, counts = PieceCounter(shared.value), Counter()
+        for batch in batches:
+            for text in batch.column("text"):
+                if body := text.as_py():
+                    counter.add(body, counts)
+                    if len(counts) >= MEMO:
+                        yield batch_of(counts)
+                        counts = Counter()
+        yield batch_of(counts)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter(shared.value)
         for batch in batches:
-            texts, n = batch.column("token_text"), []
-            for k in range(0, batch.num_rows, 500):
-                n += counter.totals(texts.slice(k, 500).to_pylist())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], [*names, "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("times"), pa.array(counter.pieces(batch.column("token").to_pylist()), pa.int32())], ["token", "times", "pieces"])
+
+    distinct = docs.select("text").mapInArrow(count, "token string, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    return written(distinct.mapInArrow(encode, "token string, times long, pieces int"), "pre-tokens")
+
 
-    return kept.mapInArrow(run, schema)
+def count_tokens(docs: DataFrame, vocabulary: str, keep: list[Column], limit: int = LIMIT, common: int = COMMON) -> DataFrame:
+    """keep's columns and n_bytes, n_tokens, over_limit for each row of docs. vocabulary: the path of a .json file on the driver.
+
+    common: how many pre-tokens to broadcast; the result is the same for any number.
+    """
+    definition = Path(vocabulary).read_text()
+    check_definition(definition)
+    context = docs.sparkSession.sparkContext
+    pieces = pre_token_table(docs, definition)
+    # Both sides of the join choose the broadcast pre-tokens from this one written table.
+    short = pieces.where(F.length("token") <= COMMON_CHARS).orderBy(F.desc("times"), "token").limit(common)
+    chosen = {r["token"]: r["pieces"] for r in short.select("token", "pieces").collect()}
+    whole = pieces.count() == len(chosen)
+    shared, known = context.broadcast(definition), context.broadcast(chosen)
+    sizes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    kept = docs.select(F.struct(*keep).alias("token_row"), sizes.alias("n_bytes"), F.col("text").alias("token_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, lookup = PieceCounter(shared.value), known.value.get
+        for whole_batch in batches:
+            for low in range(0, whole_batch.num_rows, SLICE):
+                batch, sums, rests = whole_batch.slice(low, SLICE), [], []
+                for text in batch.column("token_text"):
+                    tally, total = counter.frequencies(text.as_py() or "")
+                    rest = []
+                    for token, times in tally.items():
+                        n = lookup(token)
+                        if n is None:
+                            rest.append({"token": token, "times": times})
+                        else:
+                            total += n * times
+                    sums.append(total)
+                    rests.append(rest)
+                yield pa.RecordBatch.from_arrays([batch.column("token_row"), batch.column("n_bytes"), pa.array(sums, pa.int64()), pa.array(rests, REST)], ["token_row", "n_bytes", "n_known", "rest"])
+
+    schema = kept.drop("token_text").schema.add("n_known", "long").add("rest", REST_TYPE)
+    counted = kept.mapInArrow(run, schema)
+    n_tokens = F.col("n_known")
+    if not whole:
+        counted = written(counted.withColumn("token_doc", F.monotonically_increasing_id()), "token-documents")
+        rare = counted.select("token_doc", F.explode("rest").alias("r")).select("token_doc", "r.token", "r.times")
+        sums = rare.join(pieces.select("token", "pieces"), "token").groupBy("token_doc").agg(F.sum(F.col("times") * F.col("pieces")).alias("n_rare"))
+        counted = counted.drop("rest").join(sums, "token_doc", "left")
+        n_tokens = n_tokens + F.coalesce("n_rare", F.lit(0))
+    return counted.withColumn("n_tokens", n_tokens).select("token_row.*", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def token_table(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_tokens, over_limit. Null and empty texts have 0 bytes and tokens; ids may repeat."""
+    """One row per document: doc_id, n_bytes, n_tokens, over_limit.
+
+    Null and empty texts have 0 bytes and tokens; very long texts and pre-tokens are counted whole; ids may be null or
+    repeat, each row is counted. An empty table gives no rows. Only doc_id and text are read, so other columns can't clash.
+    """
     if vocabulary is None:
         import public_tokenizers
 

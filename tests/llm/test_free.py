@@ -44,18 +44,35 @@ def tokenizer():
 @given(st.lists(st.one_of(st.text(max_size=60), st.sampled_from(["a<|endoftext|> b", "<|endoftext|>", "it's  \n\n x", "  ", "\u0558a\u088f", "가나 다1२", "\r\n\t x", "\x85\u2028 y"])), max_size=6))
 def test_tokens_equal_the_library(tokenizer, texts):
     library, definition = tokenizer
-    assert token_counts.PieceCounter(definition).totals(texts) == [len(e) for e in library.encode_batch(texts, add_special_tokens=False)]
+    counter, totals = token_counts.PieceCounter(definition), []
+    for text in texts:
+        tally, special = counter.frequencies(text)
+        totals.append(special + sum(n * p for n, p in zip(tally.values(), counter.pieces(list(tally)), strict=True)))
+    assert totals == [len(e) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_token_table(spark):
-    got = {r.doc_id: tuple(r)[1:] for r in token_counts.token_table(table(spark, [(1, None, "x"), (2, "", "x"), (3, "é", "x"), (4, "word " * 600, "x"), (None, "a", "x")])).collect()}
-    assert got[1] == got[2] == (0, 0, False) and got[3][0] == 2 and got[4][2] is True and got[None] == (1, 1, False)
+    odd = [(1, None, "x"), (2, "", "x"), (3, "é", "x"), (4, "word " * 600, "x"), (None, "a", "x"), (3, "é", "x"), (5, "z" * 90_000, "x")]
+    got = token_counts.token_table(table(spark, odd)).collect()
+    by_id = {r.doc_id: tuple(r)[1:] for r in got}
+    assert len(got) == len(odd) and by_id[1] == by_id[2] == (0, 0, False) and by_id[3][0] == 2 and by_id[4][2] is True and by_id[None] == (1, 1, False) and by_id[5][2]
+    assert token_counts.token_table(table(spark, odd).limit(0)).collect() == []
     with pytest.raises(ValueError):
         import public_tokenizers
 
         token_counts.token_table(table(spark, []), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@pytest.mark.parametrize("common", [100_000, 500, 0])
+def test_tokens_by_broadcast_and_by_shuffle(spark, tokenizer, common):
+    import public_tokenizers
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), [docs.doc_id], common=common).collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(tokenizer[0].encode(t, add_special_tokens=False)) for i, t in texts.items()}
+
+
 def test_quality_classifier(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = quality_classifier.score_table(docs, labels).join(labels, "doc_id").where("held_out").collect()
