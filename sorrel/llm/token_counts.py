@@ -1,9 +1,10 @@
 """Token counts of a byte-level BPE vocabulary, without materialising ids.
 
 The pre-tokens of all texts are counted into a table of distinct ones, and the pieces of each are counted once. That table
-is joined to the pre-token frequencies of every document, and the products are summed. Of the table, the COMMON most
-frequent pre-tokens, which make up nearly all occurrences, are broadcast and joined within the tasks that read the texts;
-what a document has besides is joined by a shuffle on the pre-token, which without the common ones has no heavy keys.
+is joined to the pre-token frequencies of every document, and the products are summed. The common pre-tokens of the table,
+those with more than a COMMON-th of all occurrences, are broadcast and joined within the tasks that read the texts: there
+are fewer than COMMON of them at any size. What a document has besides is joined by a shuffle on the pre-token, which
+without the common ones has no heavy keys.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from .common import ship, written
 #: Fixed value: the published pattern that byte-level BPE splits texts by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LIMIT = 512
-#: Different pre-tokens that a task counts before it passes them on; pre-tokens that are broadcast, and their most characters.
-MEMO, COMMON, COMMON_CHARS = 500_000, 100_000, 64
+#: Different pre-tokens that a task counts before it passes them on; the bound of those that are broadcast, and their most characters.
+MEMO, COMMON, COMMON_CHARS = 500_000, 1_000_000, 64
 REST_TYPE = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("times", T.LongType())]))
 REST = pa.list_(pa.struct([("token", pa.string()), ("times", pa.int64())]))
 #: Rows of a batch that are read at a time.
@@ -115,16 +116,16 @@ def pre_token_table(docs: DataFrame, definition: str) -> DataFrame:
 def count_tokens(docs: DataFrame, vocabulary: str, keep: list[Column], limit: int = LIMIT, common: int = COMMON) -> DataFrame:
     """keep's columns and n_bytes, n_tokens, over_limit for each row of docs. vocabulary: the path of a .json file on the driver.
 
-    common: how many pre-tokens to broadcast; the result is the same for any number.
+    common: pre-tokens with more than a common-th of all occurrences are broadcast; the result is the same for any number.
     """
     definition = Path(vocabulary).read_text()
     check_definition(definition)
     context = docs.sparkSession.sparkContext
     pieces = pre_token_table(docs, definition)
-    # Both sides of the join choose the broadcast pre-tokens from this one written table.
-    short = pieces.where(F.length("token") <= COMMON_CHARS).orderBy(F.desc("times"), "token").limit(common)
+    distinct, total = pieces.agg(F.count(F.lit(1)), F.coalesce(F.sum("times"), F.lit(0))).first()
+    short = pieces.where((F.col("times") * common > total) & (F.length("token") <= COMMON_CHARS))
     chosen = {r["token"]: r["pieces"] for r in short.select("token", "pieces").collect()}
-    whole = pieces.count() == len(chosen)
+    whole = distinct == len(chosen)
     shared, known = context.broadcast(definition), context.broadcast(chosen)
     sizes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     kept = docs.select(F.struct(*keep).alias("token_row"), sizes.alias("n_bytes"), F.col("text").alias("token_text"))

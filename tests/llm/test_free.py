@@ -63,7 +63,7 @@ def test_token_table(spark):
         token_counts.token_table(table(spark, []), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@pytest.mark.parametrize("common", [100_000, 500, 0])
+@pytest.mark.parametrize("common", [1_000_000, 500, 0])
 def test_tokens_by_broadcast_and_by_shuffle(spark, tokenizer, common):
     import public_tokenizers
 
