@@ -1,88 +1,141 @@
-"""Text cleaning and keys as column expressions. Only HTML unescaping and NFKC need Python; both run on Arrow batches."""
+"""Text cleaning and keys as column expressions.
+
+The cleaners need HTML unescaping and NFKC, which Spark lacks, so their texts go to Python anyway: all steps run there, in
+one Arrow pass, and a step's regular expression only runs on texts that hold what it looks for.
+"""
 
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What the cleaners remove or shorten. (?U) makes \w, \d, \s and \b follow Unicode.
-TAGS, URLS = r"<[^>]+>", r"(?U)https?://\S+|www\.\S+"
-EMAILS = r"(?U)[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
-PHONES = r"(?U)\b(?:\d{2,3}[-.\s]?\d{3,4}[-.\s]?\d{4})\b"
+from sorrel.scratch import ship
+
+#: What the cleaners remove or shorten.
+TAGS, URLS = r"<[^>]+>", r"https?://\S+|www\.\S+"
+EMAILS = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
+PHONES = r"\b(?:\d{2,3}[-.\s]?\d{3,4}[-.\s]?\d{4})\b"
 ZERO_WIDTH = "".join(map(chr, (0x200B, 0x200C, 0x200D, 0xFEFF)))
 CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 
+Rule = tuple[re.Pattern, str, Callable[[str], bool]]
 
-def _unescape(values: pd.Series) -> pd.Series:
-    return values.map(html.unescape, na_action="ignore")
 
+def holds(*marks: str) -> Callable[[str], bool]:
+    return lambda value: any(m in value for m in marks)
 
-def _unescape_nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: unicodedata.normalize("NFKC", html.unescape(v)), na_action="ignore")
 
+def beyond_ascii(value: str) -> bool:
+    return not value.isascii()
 
-def unescape(c: Column) -> Column:
-    return F.pandas_udf(_unescape, "string")(c)
 
+def may_hold_digits(value: str) -> bool:
+    return not value.isascii() or any(d in value for d in "0123456789")
 
-def unescape_nfkc(c: Column) -> Column:
-    return F.pandas_udf(_unescape_nfkc, "string")(c)
 
+def blank(pattern: str, where: Callable[[str], bool]) -> Rule:
+    return re.compile(pattern), " ", where
 
-def strip(c: Column) -> Column:
-    """Without Unicode white space at either end; trim() only takes blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
+def shorten(group: str, least: int, to: int, where: Callable[[str], bool] = beyond_ascii) -> Rule:
+    """Runs of least or more of one character of the group become to of it."""
+    return re.compile(rf"({group})\1{{{least - 1},}}"), r"\1" * to, where
 
-def squeeze(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
+REMOVALS = (
+    blank(TAGS, holds("<")), blank(URLS, holds("http", "www.")), blank(EMAILS, holds("@")), blank(PHONES, may_hold_digits),
+    (re.compile(f"[{ZERO_WIDTH}]"), "", beyond_ascii),
+)
+LAUGHS = (shorten("ㅋ", 5, 4), shorten("ㅎ", 5, 4))
+MARKS = (shorten("[!?]", 3, 3, holds("!!!", "???")), shorten(r"\.", 3, 3, holds("...")))
 
-def blanked(pattern: str):
-    return lambda c: F.regexp_replace(c, pattern, " ")
+#: The cleaners' steps between unescaping and the squeezing of white space, in order.
+DOCUMENT_RULES = (*REMOVALS, *LAUGHS, *MARKS)
+SENTIMENT_RULES = (*REMOVALS, blank(CONTROLS, lambda value: True), *MARKS, *LAUGHS, shorten("[ㅠㅜ]", 5, 4), shorten("[가-힣]", 4, 2))
 
 
-def shortened(group: str, least: int, to: int):
-    """Runs of least or more of one character of the group become to of it."""
-    return lambda c: F.regexp_replace(c, rf"({group})\1{{{least - 1},}}", "$1" * to)
+def apply_rules(value: str, rules: tuple[Rule, ...]) -> str:
+    for pattern, to, where in rules:
+        if where(value):
+            value = pattern.sub(to, value)
+    return " ".join(value.split())
 
 
-def drop_zero_width(c: Column) -> Column:
-    return F.translate(c, ZERO_WIDTH, "")
+def document_text(value: str | None) -> str:
+    """The document cleaner: null and "nan" are empty; entities are resolved before tags are looked for."""
+    if value is None or value.lower() == "nan":
+        return ""
+    value = html.unescape(value)
+    return apply_rules(value if value.isascii() else unicodedata.normalize("NFKC", value), DOCUMENT_RULES)
 
 
-COMMON_REMOVALS = (blanked(TAGS), blanked(URLS), blanked(EMAILS), blanked(PHONES), drop_zero_width)
-MARK_RUNS = (shortened("[!?]", 3, 3), shortened(r"\.", 3, 3))
-LAUGH_RUNS = (shortened("ㅋ", 5, 4), shortened("ㅎ", 5, 4))
+def sentiment_text(value: str | None) -> str:
+    """The classifier's cleaner; it also shortens runs of Hangul syllables. Null counts as the text None."""
+    return apply_rules(html.unescape("None" if value is None else value).strip(), SENTIMENT_RULES)
 
-#: The cleaners' steps after unescaping, in order.
-DOCUMENT_STEPS = (*COMMON_REMOVALS, *LAUGH_RUNS, *MARK_RUNS, squeeze)
-SENTIMENT_STEPS = (strip, *COMMON_REMOVALS, blanked(CONTROLS), *MARK_RUNS, *LAUGH_RUNS, shortened("[ㅠㅜ]", 5, 4), shortened("[가-힣]", 4, 2), squeeze)
 
+def clean_columns(rows: DataFrame, names: tuple[str, ...], lists: tuple[str, ...] = (), clean: Callable[[str | None], str] = document_text) -> DataFrame:
+    """rows with the named text columns, and the texts of the named array columns, cleaned: all in one Arrow pass over the rows.
 
-def run_steps(c: Column, steps) -> Column:
-    return reduce(lambda value, step: step(value), steps, c)
+    What follows sees plain columns, so no cleaning is done twice, however often a cleaned column is used.
+    """
+    columns = rows.columns
+
+    def one(name: str, column: pa.Array) -> pa.Array:
+        if name in names:
+            return pa.array([clean(v.as_py()) for v in column], pa.string())
+        if name in lists:
+            return pa.array([None if v is None else [clean(x) for x in v] for v in column.to_pylist()], pa.list_(pa.string()))
+        return column
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 256):
+                batch = whole.slice(low, 256)
+                yield pa.RecordBatch.from_arrays([one(c, batch.column(k)) for k, c in enumerate(columns)], columns)
 
-def missing_as_empty(c: Column) -> Column:
-    return F.when(c.isNull() | (F.lower(c) == "nan"), "").otherwise(c)
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _mapped(clean: Callable[[str | None], str]) -> Callable[[pd.Series], pd.Series]:
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([clean(v) for v in values], dtype=object)
+
+    return run
 
 
 def clean_document(c: Column) -> Column:
-    """The document cleaner: null and "nan" are empty; entities are resolved before tags are looked for."""
-    return run_steps(unescape_nfkc(missing_as_empty(c)), DOCUMENT_STEPS)
+    return F.pandas_udf(_mapped(document_text), "string")(c)
 
 
 def clean_sentiment(c: Column) -> Column:
-    """The classifier's cleaner; it also shortens runs of Hangul syllables. Null counts as the text None."""
-    return run_steps(unescape(F.coalesce(c, F.lit("None"))), SENTIMENT_STEPS)
+    return F.pandas_udf(_mapped(sentiment_text), "string")(c)
+
+
+def strip(c: Column) -> Column:
+    """Without Unicode white space at either end; trim() only takes blanks."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def squeeze(c: Column) -> Column:
+    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+
+
+def blanked(pattern: str):
+    return lambda c: F.regexp_replace(c, pattern, " ")
+
+
+def run_steps(c: Column, steps) -> Column:
+    return reduce(lambda value, step: step(value), steps, c)
 
 
 def fingerprint(c: Column) -> Column:
@@ -178,7 +231,10 @@ def joined(items: Column, separator: str) -> Column:
 
 
 def dense_text(d: dict[str, Column]) -> Column:
-    """The one labelled text that stands for a document in dense retrieval. d maps field names to columns."""
+    """The one labelled text that stands for a document in dense retrieval. d maps field names to columns.
+
+    The labels are fixed values, in the order in which lines stand.
+    """
     sentiments = F.transform(d["issue_sentiments"], lambda s: joined(F.array(strip(s["issue_category"]), strip(s["sentiment"]), strip(s["evidence"])), " | "))
     blank = lambda v: F.coalesce(v, F.lit(""))
     asked = F.filter(d["review_survey_answers"], lambda s: (blank(s["question"]) != "") | (blank(s["answer"]) != ""))
@@ -193,3 +249,6 @@ def dense_text(d: dict[str, Column]) -> Column:
 def float_tag(value: float) -> str:
     """A number in a file name: shortest form, m for minus, p for the point."""
     return f"{value:g}".translate(str.maketrans("-.", "mp"))
+
+
+ship(__name__)

@@ -22,10 +22,15 @@ def accuracy(label: str = "label", pred: str = "pred") -> Column:
     return F.avg((F.col(label) == F.col(pred)).cast("double"))
 
 
-def align(predictions: DataFrame, labels: DataFrame, key: str = "review_id") -> DataFrame:
-    """(key, label, pred); raises where a key is on one side only."""
-    both = predictions.select(key, "pred", F.lit(1).alias("_p")).join(labels.select(key, "label", F.lit(1).alias("_l")), key, "full_outer")
-    checked = F.when(F.col("_p").isNull() | F.col("_l").isNull(), F.raise_error(F.lit("predictions and labels have different ids")).cast("int")).otherwise(F.col("label"))
+def align(predictions: DataFrame, labels: DataFrame, key: str = "review_id", order: str | None = None) -> DataFrame:
+    """(key, label, pred), a row a key; raises where a key is on one side only. Of rows that repeat a key the last counts: by the named column, else as they are read."""
+
+    def last(rows: DataFrame, value: str) -> DataFrame:
+        place = F.monotonically_increasing_id() if order is None else F.col(order)
+        return rows.select(key, F.col(value).alias("_value"), place.alias("_at")).groupBy(key).agg(F.max_by(F.struct("_value"), "_at")["_value"].alias(value), F.lit(1).alias(f"_{value}"))
+
+    both = last(predictions, "pred").join(last(labels, "label"), key, "full_outer")
+    checked = F.when(F.col("_pred").isNull() | F.col("_label").isNull(), F.raise_error(F.lit("predictions and labels have different ids")).cast("int")).otherwise(F.col("label"))
     return both.select(key, checked.alias("label"), "pred")
 
 
@@ -56,9 +61,18 @@ def macro_f1(rows: DataFrame, classes: int = CLASSES) -> DataFrame:
     return per_class(rows, classes).where("support + predicted > 0").agg(F.avg("f1").alias("macro_f1"))
 
 
-def metrics(rows: DataFrame) -> DataFrame:
-    """qwk, accuracy and macro_f1 in one row."""
-    return rows.agg(kappa().alias("qwk"), accuracy().alias("accuracy")).join(macro_f1(rows))
+def macro_f1_of(classes: int = CLASSES) -> Column:
+    """macro_f1() as an aggregate, for grouped rows."""
+    count = lambda test: F.sum(test.cast("long"))
+    hit = [count((F.col("label") == k) & (F.col("pred") == k)) for k in range(classes)]
+    both = [count(F.col("label") == k) + count(F.col("pred") == k) for k in range(classes)]
+    f1 = F.filter(F.array(*[F.when(b > 0, 2.0 * h / b) for h, b in zip(hit, both, strict=True)]), lambda x: x.isNotNull())
+    return F.aggregate(f1, F.lit(0.0), lambda a, x: a + x) / F.size(f1)
+
+
+def metrics(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """qwk, accuracy and macro_f1: one row, or one for each group."""
+    return rows.groupBy(*by).agg(kappa().alias("qwk"), accuracy().alias("accuracy"), macro_f1_of().alias("macro_f1"))
 
 
 def distribution(rows: DataFrame, column: str = "label", classes: int = CLASSES) -> DataFrame:
@@ -70,30 +84,51 @@ def shuffle_key(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
 
 
+def in_turn(rows: DataFrame, seed: int, key: str) -> DataFrame:
+    """rows with _turn, from 1 in each label in shuffled order, and _n, the rows of the label.
+
+    A label's rows are numbered in 256 parts by the first digits of the shuffle key, offset by the parts' counts, of which
+    there are few enough to broadcast; so a label with most of the rows is not one task's work.
+    """
+    dealt = rows.withColumn("_key", shuffle_key(key, seed)).withColumn("_part", F.substring("_key", 1, 2))
+    counts = dealt.groupBy("label", "_part").agg(F.count(F.lit(1)).alias("_in_part"))
+    of_label = Window.partitionBy("label")
+    ahead = of_label.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("label").alias("_label"), "_part", F.coalesce(F.sum("_in_part").over(ahead), F.lit(0)).alias("_ahead"), F.sum("_in_part").over(of_label).alias("_n"))
+    numbered = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("label", "_part").orderBy("_key", key)))
+    placed = numbered.join(F.broadcast(offsets), F.col("label").eqNullSafe(F.col("_label")) & (numbered["_part"] == offsets["_part"]))
+    return placed.withColumn("_turn", F.col("_nth") + F.col("_ahead")).select(*rows.columns, "_turn", "_n")
+
+
 def stratified_folds(rows: DataFrame, folds: int, seed: int, key: str = "review_id") -> DataFrame:
     """rows with fold, from 1: rows of a label in shuffled order, dealt in turn. A class smaller than folds is an error."""
     if folds < 2:
         raise ValueError("at least two folds are needed")
-    of_class = Window.partitionBy("label")
-    turn = F.row_number().over(of_class.orderBy(shuffle_key(key, seed), key))
-    checked = F.when(F.count(F.lit(1)).over(of_class) < folds, F.raise_error(F.lit("a class has fewer rows than folds")).cast("int")).otherwise((turn - 1) % folds + 1)
-    return rows.withColumn("fold", checked.cast("int"))
+    fold = F.when(F.col("_n") < folds, F.raise_error(F.lit("a class has fewer rows than folds")).cast("int")).otherwise((F.col("_turn") - 1) % folds + 1)
+    return in_turn(rows, seed, key).withColumn("fold", fold.cast("int")).drop("_turn", "_n")
 
 
 def stratified_holdout(rows: DataFrame, share: float, seed: int, key: str = "review_id") -> DataFrame:
     """rows with held_out: the first of each label in shuffled order."""
     if not 0 < share < 1:
         raise ValueError("the held-out share must lie between 0 and 1")
-    of_class = Window.partitionBy("label")
-    turn = F.row_number().over(of_class.orderBy(shuffle_key(key, seed), key))
-    return rows.withColumn("held_out", turn <= arrays.holdout_size(F.count(F.lit(1)).over(of_class), share))
+    return in_turn(rows, seed, key).withColumn("held_out", F.col("_turn") <= arrays.holdout_size(F.col("_n"), share)).drop("_turn", "_n")
 
 
 def fold_metadata(folded: DataFrame, classes: int = CLASSES) -> DataFrame:
-    """By fold: rows in it and in the others, and rows of each label in it."""
-    labels = [F.sum((F.col("label") == k).cast("long")).alias(f"label_{k}") for k in range(classes)]
-    own = folded.groupBy("fold").agg(F.count(F.lit(1)).alias("n_validation"), *labels)
-    return own.join(folded.agg(F.count(F.lit(1)).alias("_all"))).withColumn("n_train", F.col("_all") - F.col("n_validation")).drop("_all")
+    """By fold: rows in it and in the others, and rows of each label in it and in the others."""
+    count = lambda k: F.sum((F.col("label") == k).cast("long"))
+    own = folded.groupBy("fold").agg(F.count(F.lit(1)).alias("n_validation"), *[count(k).alias(f"label_{k}") for k in range(classes)])
+    whole = folded.agg(F.count(F.lit(1)).alias("_all"), *[count(k).alias(f"_all_{k}") for k in range(classes)])
+    train = {"n_train": F.col("_all") - F.col("n_validation")} | {f"train_label_{k}": F.col(f"_all_{k}") - F.col(f"label_{k}") for k in range(classes)}
+    return own.join(F.broadcast(whole)).withColumns(train).select("fold", "n_validation", *[f"label_{k}" for k in range(classes)], *train)
+
+
+def fold_members(folded: DataFrame, key: str = "review_id") -> DataFrame:
+    """(fold, part, key): every row as validation row of its fold and as training row of each other, as rows and not as one list a fold."""
+    folds = folded.select(F.col("fold").alias("_fold")).distinct()
+    part = F.when(F.col("fold") == F.col("_fold"), "validation").otherwise("train")
+    return folded.join(F.broadcast(folds)).select(F.col("_fold").alias("fold"), part.alias("part"), key)
 
 
 def fold_summary(scores: DataFrame) -> DataFrame:
@@ -139,8 +174,8 @@ def hard_vote(members: DataFrame, key: str = "review_id", classes: int = CLASSES
 
 
 def soft_vote(members: DataFrame, key: str = "review_id", classes: int = CLASSES) -> DataFrame:
-    """key, pred, scores by weighted sums of members' probabilities, the weights made to sum to 1."""
-    total = F.sum("weight")
+    """key, pred, scores by weighted sums of members' probabilities, the weights made to sum to 1; a sum of 0 or less raises."""
+    total = F.when(F.sum("weight") > 0, F.sum("weight")).otherwise(F.raise_error(F.lit("weights must sum to more than 0")).cast("double"))
     scores = F.array(*[F.sum(F.col("weight") * F.element_at("probabilities", k + 1)) / total for k in range(classes)])
     summed = members.groupBy(key).agg(scores.alias("scores"))
     return summed.select(key, arrays.first_argmax(F.col("scores")).alias("pred"), "scores")

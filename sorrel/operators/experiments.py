@@ -27,6 +27,7 @@ class Training:
     learning_rate: float = 2e-5
     max_length: int = 256
     warmup_share: float = 0.1
+    weight_decay: float = 0.01
     clip_norm: float = 1.0
     loss: str = "ce"
     gamma: float = 2.0
@@ -57,12 +58,12 @@ def distributed_trainer(settings: Training, train: Callable[[dict], None], proce
 
 def fold_scores(said: DataFrame) -> DataFrame:
     """fold, qwk, accuracy, macro_f1 of (fold, label, pred) rows, all folds in one aggregate."""
-    k = classify.CLASSES
-    count = lambda test: F.sum(test.cast("long"))
-    hit = [count((F.col("label") == c) & (F.col("pred") == c)) for c in range(k)]
-    both = [count(F.col("label") == c) + count(F.col("pred") == c) for c in range(k)]
-    f1 = F.filter(F.array(*[F.when(b > 0, 2.0 * h / b) for h, b in zip(hit, both, strict=True)]), lambda x: x.isNotNull())
-    return said.groupBy("fold").agg(classify.kappa().alias("qwk"), classify.accuracy().alias("accuracy"), (F.aggregate(f1, F.lit(0.0), lambda a, x: a + x) / F.size(f1)).alias("macro_f1"))
+    return classify.metrics(said, ("fold",))
+
+
+def out_of_fold(said: DataFrame) -> DataFrame:
+    """The metrics of all folds' predictions taken together: one row."""
+    return classify.metrics(said)
 
 
 def sweep(rows: DataFrame, candidates: dict[str, Candidate], folder: str, folds: int = 5, seed: int = 42) -> DataFrame:
@@ -79,14 +80,21 @@ def tfidf_candidate(features: int = learning.CONFIG["max_features"], iterations:
     return lambda rows, folds, seed: learning.cross_validate(rows, folds, seed, features, iterations)
 
 
-def ensemble_saved(spark: SparkSession, folder: str, models: list[str], method: str = "soft", folds: int = 5, seed: int = 42, key: str = "review_id") -> DataFrame:
-    """(key, label, pred, scores) of an ensemble of saved predictions. Rows that a member lacks are an error."""
+def ensemble_saved(spark: SparkSession, folder: str, models: list[str], method: str = "soft", folds: int = 5, seed: int = 42, key: str = "review_id", weights: list[float] | None = None) -> DataFrame:
+    """(key, label, pred, scores) of an ensemble of saved predictions. Rows that a member lacks are an error.
+
+    weights: one for each model, in order; without any, weighted_soft takes the models' mean kappa over folds.
+    """
     if method not in ENSEMBLES:
         raise ValueError("unknown ensemble method")
+    if weights is not None and (len(weights) != len(models) or sum(weights) <= 0):
+        raise ValueError("one weight for each model, and a sum of more than 0")
     said = files.load_predictions(spark, folder, models, seed, folds)
-    if method == "weighted_soft":
-        weights = reduce(DataFrame.unionByName, [classify.fold_summary(fold_scores(said.where(F.col("model") == m))).select(F.lit(m).alias("model"), F.coalesce("qwk_mean", F.lit(1.0)).alias("weight")) for m in models])
-        said = said.join(F.broadcast(weights), "model")
+    if weights is not None:
+        said = said.join(F.broadcast(spark.createDataFrame(list(zip(models, map(float, weights), strict=True)), "model string, weight double")), "model")
+    elif method == "weighted_soft":
+        means = reduce(DataFrame.unionByName, [classify.fold_summary(fold_scores(said.where(F.col("model") == m))).select(F.lit(m).alias("model"), F.coalesce("qwk_mean", F.lit(1.0)).alias("weight")) for m in models])
+        said = said.join(F.broadcast(means), "model")
     else:
         said = said.withColumn("weight", F.lit(1.0))
     whole = said.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first("label").alias("label"))

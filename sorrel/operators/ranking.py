@@ -33,12 +33,28 @@ def missing(runs: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     return gold.distinct().join(runs.where(F.col("rank") <= k), ["query_id", "doc_id"], "left_anti")
 
 
-def stage_summary(stages: dict[str, tuple[DataFrame, int]], gold: DataFrame) -> DataFrame:
-    """query_id, and recall for each named stage of (runs, k)."""
-    out = gold.select("query_id").distinct()
+def ranked_ids(runs: DataFrame, k: int) -> DataFrame:
+    """query_id, ids: the first k documents of each query, in order."""
+    top = runs.where(F.col("rank") <= k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("_found"))
+    return top.select("query_id", F.transform("_found", lambda x: x["doc_id"].cast("string")).alias("ids"))
+
+
+def stage_summary(stages: dict[str, tuple[DataFrame, int]], gold: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """query_id, and for each named stage of (runs, k) its ids, hits, recall and ap. Queries without gold or hits have zeros and no ids."""
+    out = (gold if queries is None else queries).select("query_id").distinct()
     for name, (runs, k) in stages.items():
-        out = out.join(recall_at(runs, gold, k).select("query_id", F.col("hits").alias(f"{name}_hits"), F.col("recall").alias(f"{name}_recall")), "query_id", "left")
-    return out
+        scored = recall_at(runs, gold, k).join(average_precision(runs, gold, k), "query_id")
+        out = out.join(scored.select("query_id", *[F.col(c).alias(f"{name}_{c}") for c in ("hits", "recall", "ap")]), "query_id", "left")
+        out = out.join(ranked_ids(runs, k).withColumnRenamed("ids", f"{name}_ids"), "query_id", "left")
+    zeros = {f"{n}_{c}": 0 for n in stages for c in ("hits", "recall", "ap")}
+    return out.na.fill(zeros).withColumns({f"{n}_ids": F.coalesce(f"{n}_ids", F.array().cast("array<string>")) for n in stages})
+
+
+def macro_means(summary: DataFrame) -> DataFrame:
+    """One row: query_count, map_at_k, and the mean recall of each stage of stage_summary(); zeros without queries."""
+    stages = [c.removesuffix("_recall") for c in summary.columns if c.endswith("_recall")]
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    return summary.agg(F.count(F.lit(1)).alias("query_count"), *([mean("final_ap").alias("map_at_k")] if "final" in stages else []), *[mean(f"{s}_recall").alias(f"mean_{s}_recall") for s in stages])
 
 
 def by_category(per_query: DataFrame) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -24,3 +25,13 @@ def build_session(app: str = "sorrel", master: str | None = None, **conf: str) -
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+#: Tables of fewer bytes than one split of Spark's default size are dealt over all cores before work that is heavy by the row.
+ONE_SPLIT = 128 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt over all cores where the whole table may stand in one task; larger tables are left as their files lie."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size < ONE_SPLIT else rows
