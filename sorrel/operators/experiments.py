@@ -80,6 +80,17 @@ def tfidf_candidate(features: int = learning.CONFIG["max_features"], iterations:
     return lambda rows, folds, seed: learning.cross_validate(rows, folds, seed, features, iterations)
 
 
+def random_candidate() -> Candidate:
+    """Classes by a hash, with certainty: what any model must beat."""
+
+    def predict(rows: DataFrame, folds: int, seed: int) -> DataFrame:
+        folded = classify.stratified_folds(rows, folds, seed).select("review_id", "label", "fold")
+        said = folded.join(learning.random_baseline(rows, seed), "review_id")
+        return said.withColumn("probabilities", F.transform(F.sequence(F.lit(0), F.lit(classify.CLASSES - 1)), lambda k: (k == F.col("pred")).cast("double")))
+
+    return predict
+
+
 def ensemble_saved(spark: SparkSession, folder: str, models: list[str], method: str = "soft", folds: int = 5, seed: int = 42, key: str = "review_id", weights: list[float] | None = None) -> DataFrame:
     """(key, label, pred, scores) of an ensemble of saved predictions. Rows that a member lacks are an error.
 

@@ -1,6 +1,6 @@
 """Inverted index as tables, and BM25 clauses over it.
 
-postings: (field, term, doc_id, tf, dl); places: (field, term, doc_id, place). A clause is a set of weighted query terms;
+postings: (field, term, doc_id, tf, dl); places: (field, term, doc_id, place, dl). A clause is a set of weighted query terms;
 scoring joins them with postings and sums, so every query of a batch is answered by one plan.
 """
 
@@ -42,7 +42,7 @@ def build_index(docs: DataFrame, id_column: str, fields: dict[str, Column], only
     lengths = [F.struct(F.lit(n).alias("field"), F.size(t).cast("long").alias("dl")) for n, t in fields.items()]
     sizes = docs.select(F.explode(F.array(*lengths)).alias("f")).select("f.*").where("dl > 0")
     stats = sizes.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return Index(postings, stats, postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")), places.select("field", "term", "doc_id", "place"))
+    return Index(postings, stats, postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")), places.select("field", "term", "doc_id", "place", "dl"))
 
 
 def store_index(index: Index, folder: str, files: int = 64) -> None:
@@ -99,10 +99,8 @@ def phrase(index: Index, queries: DataFrame, tokens: Column, fields: dict[str, f
     words = words.select("query_id", "offset", "term", "length", each).select("query_id", "offset", "term", "length", "f.field", "f.weight")
     known = words.join(index.terms, ["field", "term"]).join(F.broadcast(index.fields), "field")
     starts = index.places.join(known, ["field", "term"]).withColumn("start", F.col("place") - F.col("offset"))
-    hits = starts.groupBy("query_id", "field", "weight", "length", "doc_id", "start").agg(F.count(F.lit(1)).alias("found"), F.sum(idf(F.col("n"), F.col("df"))).alias("idf"), F.first("avgdl").alias("avgdl"))
-    counted = hits.where("found = length").groupBy("query_id", "field", "weight", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"), F.first("avgdl").alias("avgdl"))
-    lengths = index.postings.select("field", "doc_id", "dl").distinct()
-    scored = counted.join(lengths, ["field", "doc_id"])
+    hits = starts.groupBy("query_id", "field", "weight", "length", "doc_id", "start").agg(F.count(F.lit(1)).alias("found"), F.sum(idf(F.col("n"), F.col("df"))).alias("idf"), F.first("avgdl").alias("avgdl"), F.first("dl").alias("dl"))
+    scored = hits.where("found = length").groupBy("query_id", "field", "weight", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"), F.first("avgdl").alias("avgdl"), F.first("dl").alias("dl"))
     gain = F.col("weight") * F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
     return best_fields(scored.select("query_id", "doc_id", "field", gain.alias("score")))
 

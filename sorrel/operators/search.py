@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +16,7 @@ from pyspark.sql.window import Window
 from sorrel import vocab
 from sorrel.functions import arrays, text
 from sorrel.operators import lexical
+from sorrel.scratch import ship, written
 
 OUTPUT = "struct<query:string,results:array<struct<review_id:string,score:double,product_name:string,content:string>>>"
 
@@ -56,9 +61,8 @@ def expand(queries: DataFrame) -> DataFrame:
 
 
 def settled(expanded: DataFrame) -> DataFrame:
-    """The expansions as literal rows, so that plans that use them many times stay small. For the queries of a session; a
-    large batch of queries is written to a table instead."""
-    return expanded.sparkSession.createDataFrame(expanded.collect(), expanded.schema)
+    """The expansions as a written table, so that plans that use them many times stay small, for any number of queries."""
+    return written(expanded, "expansions")
 
 
 def overlay_model(expanded: DataFrame, answer: Column) -> DataFrame:
@@ -74,37 +78,54 @@ def overlay_model(expanded: DataFrame, answer: Column) -> DataFrame:
     return got.withColumn("dense_queries", F.array_distinct(F.array_compact(F.array(F.col("query"), rewritten)))).drop("_m")
 
 
-def lexical_leg(documents: DataFrame, expanded: DataFrame, tokens: Callable[[Column], Column] = text.tokens_cased, top: int = vocab.LEXICAL_TOP) -> DataFrame:
-    """(query_id, doc_id, score, rank): the full clause list over enriched documents."""
+Tokens = Callable[[Column], Column]
+
+
+def review_index(documents: DataFrame, tokens: Tokens = text.tokens_cased) -> lexical.Index:
+    """The lexical index of enriched documents over all searched fields."""
     blank = lambda n: F.coalesce(F.col(n), F.lit(""))
     columns = {n: tokens(F.array_join(F.coalesce(F.col(n), F.array()), " ") if n == "aspect_keywords" else blank(n)) for n in vocab.SEARCH_FIELDS}
-    index = lexical.build_index(documents, "review_id", columns)
-    mood = F.col("target_sentiment")
-    mood_terms = F.when(mood == "positive", F.col("positive_terms")).otherwise(F.col("negative_terms"))
+    return lexical.build_index(documents, "review_id", columns)
+
+
+def mood_terms() -> Column:
+    """The target aspect's terms of the target sentiment; the negative ones unless it is positive."""
+    return F.when(F.col("target_sentiment") == "positive", F.col("positive_terms")).otherwise(F.col("negative_terms"))
+
+
+def clauses(documents: DataFrame, expanded: DataFrame, index: lexical.Index | None = None, tokens: Tokens = text.tokens_cased) -> dict[str, DataFrame]:
+    """The should clauses of the full query by name, each as (query_id, doc_id, score). index: a stored review_index()."""
+    index = index or review_index(documents, tokens)
+    told = expanded.where(F.col("target_aspect") != vocab.OTHER)
     of = lambda c: tokens(F.array_join(c, " "))
-    answers = documents.select("review_id", F.explode("review_survey_answers").alias("a")).select("review_id", "a.answer")
-    clauses = [
-        lexical.match(index, expanded, tokens(F.col("query")), vocab.SEARCH_FIELDS, 3.0),
-        lexical.nested_match(answers, "review_id", expanded, tokens(blank("answer")), tokens(F.col("query")), 0.6),
-        lexical.match(index, expanded, of(F.col("bm25_terms")), vocab.SEARCH_FIELDS, 1.2, "most"),
-        lexical.match(index, expanded, of(F.col("aspect_terms")), vocab.ASPECT_FIELDS, 1.6, "most"),
-        lexical.match(index, expanded.where(F.col("target_aspect") != vocab.OTHER), of(mood_terms), vocab.SENTIMENT_FIELDS, 0.8, "most"),
-        lexical.keyword_term(documents, "review_id", F.coalesce("issue_category", F.array()), expanded.where(F.col("target_aspect") != vocab.OTHER), "target_aspect", 2.2),
-        issue_clause(documents, expanded, tokens, mood_terms),
-    ]
+    answers = documents.select("review_id", F.posexplode("review_survey_answers").alias("nth", "a")).select("review_id", F.struct("review_id", "nth").alias("_element"), "a.answer")
+    mood = F.col("target_sentiment")
     phrases = F.when(mood == "positive", F.col("positive_phrases")).when(mood == "negative", F.col("negative_phrases")).otherwise(_terms([]))
     each = expanded.select("query_id", F.posexplode(phrases).alias("nth", "phrase")).select(F.struct("query_id", "nth").alias("query_id"), "phrase")
     spoken = lexical.phrase(index, each, tokens(F.col("phrase")), vocab.PHRASE_FIELDS, 2.4)
-    clauses.append(spoken.select(F.col("query_id.query_id").alias("query_id"), "doc_id", "score"))
-    scored = lexical.any_of(clauses)
-    fitting = issue_filter(scored.join(documents.select(F.col("review_id").alias("doc_id"), "issue_sentiments"), "doc_id").join(expanded.select("query_id", "target_aspect", "target_sentiment"), "query_id"))
+    return {
+        "query": lexical.match(index, expanded, tokens(F.col("query")), vocab.SEARCH_FIELDS, 3.0),
+        "answers": lexical.nested_match(answers, "review_id", expanded, tokens(F.coalesce("answer", F.lit(""))), tokens(F.col("query")), 0.6),
+        "expanded": lexical.match(index, expanded, of(F.col("bm25_terms")), vocab.SEARCH_FIELDS, 1.2, "most"),
+        "aspect": lexical.match(index, expanded, of(F.col("aspect_terms")), vocab.ASPECT_FIELDS, 1.6, "most"),
+        "sentiment": lexical.match(index, told, of(mood_terms()), vocab.SENTIMENT_FIELDS, 0.8, "most"),
+        "category": lexical.keyword_term(documents, "review_id", F.coalesce("issue_category", F.array()), told, "target_aspect", 2.2),
+        "issue": issue_clause(documents, expanded, tokens, mood_terms()),
+        "phrase": spoken.groupBy(F.col("query_id.query_id").alias("query_id"), "doc_id").agg(F.sum("score").alias("score")),
+    }
+
+
+def lexical_leg(documents: DataFrame, expanded: DataFrame, tokens: Tokens = text.tokens_cased, top: int = vocab.LEXICAL_TOP, index: lexical.Index | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): the full clause list over enriched documents, without those that the filter excludes."""
+    scored = lexical.any_of(list(clauses(documents, expanded, index, tokens).values())).withColumn("score", F.round("score", 9))
+    issues = documents.select(F.col("review_id").alias("doc_id"), "issue_sentiments")
+    fitting = issue_filter(scored.join(issues, "doc_id").join(F.broadcast(expanded.select("query_id", "target_aspect", "target_sentiment")), "query_id"))
     return ranked(fitting.select("query_id", "doc_id", "score"), top)
 
 
 def issue_clause(documents: DataFrame, expanded: DataFrame, tokens, mood_terms: Column) -> DataFrame:
     """Issue sentiments of the query's aspect (and sentiment, if it has one), with their evidence; the best element counts."""
-    elements = documents.select("review_id", F.explode("issue_sentiments").alias("s"), F.monotonically_increasing_id().alias("_d")).select(
-        F.struct("review_id", "_d", F.col("s.issue_category").alias("c"), F.col("s.sentiment").alias("m"), F.col("s.evidence").alias("e")).alias("_element"), "s.*")
+    elements = documents.select("review_id", F.posexplode("issue_sentiments").alias("nth", "s")).select(F.struct("review_id", "nth").alias("_element"), "s.*")
     total = elements.agg(F.count(F.lit(1)).alias("n"))
     counts = lambda c: elements.groupBy(c).agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).select(F.col(c), lexical.idf(F.col("n"), F.col("df")).alias(f"idf_{c}"))
     aimed = expanded.where(F.col("target_aspect") != vocab.OTHER).select("query_id", F.col("target_aspect").alias("issue_category"), "target_sentiment")
@@ -131,14 +152,90 @@ def ranked(scored: DataFrame, top: int) -> DataFrame:
     return scored.select("query_id", "doc_id", "score", order.alias("rank")).where(F.col("rank") <= top)
 
 
-def dense_leg(vectors: DataFrame, queries: DataFrame, top: int = vocab.DENSE_TOP) -> DataFrame:
-    """Exact nearest vectors: vectors (doc_id, vector), queries (query_id, vector); score (1 + cosine) / 2.
+def nearest(vectors: DataFrame, queries: DataFrame, top: int, group: str | None = None, block: int | None = None) -> DataFrame:
+    """(query_id, doc_id, cosine): the top vectors of each query, exactly; 0 for a zero vector.
 
-    The queries of a batch are the small side; a query with several vectors takes a document's best.
+    vectors: doc_id, vector; queries: query_id, vector; with group, only vectors with the query's value in that column count.
+    Queries are a stated set: they are taken in blocks of bounded size, each broadcast as one matrix of unit vectors, and
+    every task multiplies its vectors by it and keeps its own top, so that tasks x queries x top rows are merged. Ties go to
+    the lower document.
     """
-    asked = queries.select("query_id", F.col("vector").alias("query_vector"))
-    scored = vectors.join(asked).select("query_id", "doc_id", ((1 + arrays.cosine(F.col("vector"), F.col("query_vector"))) / 2).alias("score"))
-    return ranked(scored.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), top)
+    asked = queries.select("query_id", "vector", *([group] if group else [])).orderBy("query_id")
+    asked = written(asked, "query-vectors")
+    found = None
+    for part in query_blocks(asked, block or vocab.QUERY_BLOCK):
+        if not (rows := part.collect()):
+            continue
+        each = _nearest_block(vectors, asked, rows, top, group)
+        found = each if found is None else found.unionByName(each)
+    if found is None:
+        return vectors.join(asked.select("query_id"), F.lit(False)).select("query_id", "doc_id", F.lit(0.0).alias("cosine"))
+    # A query with several vectors takes a document's best.
+    return found.groupBy("query_id", "doc_id").agg(F.max("cosine").alias("cosine"))
+
+
+def query_blocks(asked: DataFrame, most: int) -> Iterator[DataFrame]:
+    """The query rows in blocks of about most rows."""
+    blocks = -(-asked.count() // most)
+    for k in range(blocks):
+        yield asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+
+
+def _nearest_block(vectors: DataFrame, asked: DataFrame, rows: list, top: int, group: str | None) -> DataFrame:
+    unit = lambda m: m / np.where((size := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, size)
+    matrix = unit(np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1))
+    shared = vectors.sparkSession.sparkContext.broadcast((matrix, [r[group] for r in rows] if group else None))
+    kept = vectors.select("doc_id", "vector", *([group] if group else []))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, groups = shared.value
+        groups = None if groups is None else np.array(groups)
+        best_score = [np.zeros(0)] * len(matrix)
+        best_doc = [np.zeros(0, object)] * len(matrix)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            docs = np.array(batch.column("doc_id").to_pylist(), object)
+            mine = unit(np.array(batch.column("vector").to_pylist(), np.float64).reshape(len(docs), -1))
+            scores = matrix @ mine.T
+            fits = None if groups is None else groups[:, None] == np.array(batch.column(2).to_pylist())[None, :]
+            for q in range(len(matrix)):
+                use = slice(None) if fits is None else np.flatnonzero(fits[q])
+                value, doc = np.concatenate([best_score[q], scores[q][use]]), np.concatenate([best_doc[q], docs[use]])
+                if len(value) > top:
+                    edge = np.partition(value, len(value) - top)[len(value) - top]
+                    cut = np.flatnonzero(value >= edge - 1e-12)  # all ties with the last one, for the merge to settle
+                    value, doc = value[cut], doc[cut]
+                best_score[q], best_doc[q] = value, doc
+        for q in range(len(matrix)):
+            n = len(best_doc[q])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, q), pa.int32()), pa.array(list(best_doc[q]), kind), pa.array(best_score[q], pa.float64())], ["nth", "doc_id", "cosine"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+
+    kind = to_arrow_type(vectors.schema["doc_id"].dataType)
+    schema = StructType([StructField("nth", IntegerType()), StructField("doc_id", vectors.schema["doc_id"].dataType), StructField("cosine", DoubleType())])
+    names = vectors.sparkSession.createDataFrame([(k, r["query_id"]) for k, r in enumerate(rows)], StructType([StructField("nth", IntegerType()), StructField("query_id", asked.schema["query_id"].dataType)]))
+    return kept.mapInArrow(run, schema).join(F.broadcast(names), "nth").select("query_id", "doc_id", "cosine")
+
+
+def dense_leg(vectors: DataFrame, queries: DataFrame, top: int = vocab.DENSE_TOP, group: str | None = None) -> DataFrame:
+    """Exact nearest vectors: vectors (doc_id, vector), queries (query_id, vector); score (1 + cosine) / 2. See nearest()."""
+    return ranked(nearest(vectors, queries, top, group).select("query_id", "doc_id", F.round((1 + F.col("cosine")) / 2, 9).alias("score")), top)
+
+
+def dense_scan(vectors: DataFrame, queries: DataFrame, top: int = vocab.DENSE_TOP) -> DataFrame:
+    """What stands in where nearest-vector search fails: an exact scan, with score cosine + 1."""
+    return ranked(nearest(vectors, queries, top).select("query_id", "doc_id", F.round(F.col("cosine") + 1, 9).alias("score")), top)
+
+
+def dense_leg_or_scan(vectors: DataFrame, queries: DataFrame, top: int = vocab.DENSE_TOP, leg: Callable[[DataFrame, DataFrame, int], DataFrame] = dense_leg) -> DataFrame:
+    """leg's rows, written; where it raises, the exact scan's."""
+    try:
+        return written(leg(vectors, queries, top), "dense-leg")
+    except Exception:  # noqa: BLE001  any failure of the leg is what the scan is for
+        return dense_scan(vectors, queries, top)
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int = vocab.FUSION_K, top: int = vocab.FUSION_TOP) -> DataFrame:
@@ -152,31 +249,56 @@ def fuse(first: DataFrame, second: DataFrame, k: int = vocab.FUSION_K, top: int
 
 
 def rerank(candidates: DataFrame, score_pairs: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
-    """candidates (with query and dense_text) and final_score: from a cross-encoder slot, or the fusion score without one."""
+    """candidates (with query and dense_text) and final_score: from a cross-encoder slot, or the fusion score without one.
+
+    A missing dense_text is built anew from the candidate's fields. Where the slot fails on any batch of a query's
+    candidates, all of that query's candidates keep the fusion order; rerank_error tells why.
+    """
     if score_pairs is None:
         return candidates.withColumns({"rerank_score": F.col("rrf_score"), "final_score": F.col("rrf_score")})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            scores = score_pairs(batch["query"], batch["dense_text"])
-            yield batch.assign(rerank_score=scores, final_score=scores)
+            try:
+                yield batch.assign(rerank_score=pd.Series(score_pairs(batch["query"], batch["dense_text"]), index=batch.index).astype(float), rerank_error=None)
+            except Exception as e:  # noqa: BLE001  reported in the rows
+                yield batch.assign(rerank_score=0.0, rerank_error=repr(e))
+
+    pairs = candidates.select("query_id", "doc_id", "query", rerank_text(candidates).alias("dense_text"))
+    scored = pairs.mapInPandas(run, _with_scores(pairs)).select("query_id", "doc_id", "rerank_score", "rerank_error")
+    failed = F.max("rerank_error").over(Window.partitionBy("query_id"))
+    both = candidates.join(scored.withColumn("rerank_error", failed), ["query_id", "doc_id"])
+    score = F.when(F.col("rerank_error").isNull(), F.col("rerank_score")).otherwise(F.col("rrf_score"))
+    return both.withColumn("rerank_score", score).withColumn("final_score", F.col("rerank_score"))
+
 
-    return candidates.mapInPandas(run, _with_scores(candidates))
+def rerank_text(candidates: DataFrame) -> Column:
+    """dense_text, or where it is empty the text that documents with these fields would have."""
+    issues = "array<struct<issue_category:string,sentiment:string,evidence:string>>"
+    answers = "array<struct<question:string,answer:string>>"
+    kinds = {"product_name": "string", "item_name": "string", "title": "string", "content": "string", "short_summary": "string", "issue_category": "array<string>", "aspect_keywords": "array<string>", "issue_sentiments": issues, "review_survey_answers": answers}
+    fields = {n: F.col(n) if n in candidates.columns else F.lit(None).cast(k) for n, k in kinds.items()}
+    rebuilt = text.dense_text(fields)
+    return F.coalesce(F.nullif(F.col("dense_text"), F.lit("")), rebuilt) if "dense_text" in candidates.columns else rebuilt
 
 
-def _with_scores(candidates: DataFrame):
-    from pyspark.sql.types import DoubleType, StructField, StructType
+def _with_scores(pairs: DataFrame):
+    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    return StructType([*candidates.schema.fields, StructField("rerank_score", DoubleType()), StructField("final_score", DoubleType())])
+    return StructType([*pairs.schema.fields, StructField("rerank_score", DoubleType()), StructField("rerank_error", StringType())])
 
 
-def post_filter(candidates: DataFrame, size: int = vocab.FINAL_TOP) -> DataFrame:
+def post_filter(candidates: DataFrame, size: int = vocab.FINAL_TOP, expanded: DataFrame | None = None) -> DataFrame:
     """The best size candidates of each query with enough signal, without repeated ids or content prefixes.
 
     candidates: query_id, doc_id, content, final_score, rank. Ids are unique in a fused list, so the first row of each
-    content prefix is what a pass through the list would keep.
+    content prefix is what a pass through the list would keep. With the queries' expansions, candidates must also have an
+    issue sentiment of the query's aspect and sentiment, where it has both.
     """
-    usable = candidates.where((text.strip(F.coalesce("content", F.lit(""))) != "") & (text.meaningful_chars(F.col("content")) >= vocab.LEAST_MEANINGFUL))
+    usable = candidates.where((F.coalesce(F.col("doc_id").cast("string"), F.lit("")) != "") & (text.strip(F.coalesce("content", F.lit(""))) != "") & (text.meaningful_chars(F.col("content")) >= vocab.LEAST_MEANINGFUL))
+    if expanded is not None:
+        aimed = usable.join(F.broadcast(expanded.select("query_id", "target_aspect", "target_sentiment")), "query_id")
+        usable = issue_filter(aimed).select(*candidates.columns)
     prefix = text.fingerprint_prefix(F.col("content"), vocab.DEDUPE_PREFIX)
     in_order = [F.desc(F.round("final_score", 12)), F.col("rank")]
     first = usable.withColumn("_nth", F.row_number().over(Window.partitionBy("query_id", prefix).orderBy(*in_order))).where("_nth = 1")
@@ -198,47 +320,108 @@ def valid_output(output: Column) -> Column:
 
 
 def embed(c: Column, size: int = vocab.VECTOR_SIZE) -> Column:
-    """The default embedding slot: signed hashed character n-grams, unit length; a zero vector for empty text."""
-    import numpy as np
-    import xxhash
+    """The default embedding slot: signed hashed character n-grams of 2 to 4, unit length; a zero vector for empty text.
+
+    A gram's hash is made by array arithmetic over the text's code points.
+    """
+
+    def grams(value: str) -> np.ndarray:
+        points = np.frombuffer(f" {value.lower().strip()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        hashed = []
+        for n in (2, 3, 4):
+            h = np.full(max(len(points) - n + 1, 0), n, np.uint64)
+            for k in range(n):
+                h = (h ^ points[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            hashed.append(h)
+        return np.concatenate(hashed)
 
     def run(values: pd.Series) -> pd.Series:
         def one(value: str | None) -> list[float]:
-            out = np.zeros(size)
-            padded = f" {(value or '').lower().strip()} "
-            for n in (2, 3, 4):
-                for k in range(len(padded) - n + 1 if value else 0):
-                    h = xxhash.xxh64_intdigest(padded[k : k + n])
-                    out[h % size] += 1 if h >> 63 else -1
+            if not value:
+                return [0.0] * size
+            h = grams(value)
+            out = np.bincount((h % np.uint64(size)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), size)
             length = np.linalg.norm(out)
             return (out / length if length else out).tolist()
 
-        return values.map(one)
+        return pd.Series([one(v) for v in values], dtype=object)
 
     return F.pandas_udf(run, "array<float>")(c)
 
 
-def search(spark: SparkSession, documents: DataFrame, query: str, size: int = vocab.FINAL_TOP) -> DataFrame:
+@dataclass(frozen=True)
+class Legs:
+    """The ranked lists of a batch of queries: lexical, dense, fused and final."""
+
+    lexical: DataFrame
+    dense: DataFrame
+    fused: DataFrame
+    final: DataFrame
+
+
+def search_batch(documents: DataFrame, expanded: DataFrame, index: lexical.Index | None = None, score_pairs=None, size: int = vocab.FINAL_TOP, tokens: Tokens = text.tokens_cased, dense: Callable = dense_leg) -> Legs:
+    """All stages of hybrid search for expanded queries over enriched documents with a vector; each stage is written once.
+
+    The dense leg searches the documents that the query's aspect and sentiment allow: queries are dealt into groups by
+    them, of which there are at most aspects x 2 + 1, and each group is searched over its own documents.
+    """
+    lex = written(lexical_leg(documents, expanded, tokens, index=index), "lexical-leg")
+    vectors = documents.select(F.col("review_id").alias("doc_id"), "vector", "issue_sentiments")
+    wanted = (F.col("target_aspect") != vocab.OTHER) & F.col("target_sentiment").isin("positive", "negative")
+    asked = expanded.withColumn("aim", F.when(wanted, F.struct("target_aspect", "target_sentiment")))
+    found = []
+    for row in asked.select("aim").distinct().collect():
+        aim = row["aim"]
+        fits = vectors if aim is None else vectors.where(arrays.has_issue(F.col("issue_sentiments"), aim["target_aspect"], aim["target_sentiment"]))
+        mine = asked.where(F.col("aim").isNull() if aim is None else (F.col("target_aspect") == aim["target_aspect"]) & (F.col("target_sentiment") == aim["target_sentiment"]))
+        variants = mine.select("query_id", F.explode("dense_queries").alias("q")).select("query_id", embed(F.col("q")).alias("vector"))
+        found.append(dense_leg_or_scan(fits.select("doc_id", "vector"), variants, vocab.DENSE_TOP, dense))
+    near = reduce(DataFrame.unionByName, found) if found else lex.limit(0)
+    fused = written(fuse(lex, near), "fused")
+    columns = [c for c in ("product_name", "content", "dense_text", "issue_sentiments") if c in documents.columns]
+    candidates = documents.select(F.col("review_id").alias("doc_id"), *columns).join(F.broadcast(fused), "doc_id").join(F.broadcast(expanded.select("query_id", "query")), "query_id")
+    final = written(post_filter(rerank(candidates, score_pairs), size, expanded), "final")
+    return Legs(lex, near, fused, final)
+
+
+def search(spark: SparkSession, documents: DataFrame, query: str, size: int = vocab.FINAL_TOP, score_pairs=None, index: lexical.Index | None = None) -> DataFrame:
     """One query over a stored table of enriched documents with dense vectors (columns of operators.documents, and vector): its SearchOutput."""
     expanded = settled(expand(spark.createDataFrame([(0, query)], "query_id int, query string")))
-    lex = lexical_leg(documents, expanded)
-    eligible = issue_filter(documents.join(expanded.select("target_aspect", "target_sentiment")))
-    dense = dense_leg(eligible.select(F.col("review_id").alias("doc_id"), "vector"), expanded.select("query_id", F.explode("dense_queries").alias("q")).select("query_id", embed(F.col("q")).alias("vector")))
-    candidates = fuse(lex, dense).join(documents.select(F.col("review_id").alias("doc_id"), "product_name", "content", "dense_text"), "doc_id").withColumn("query", F.lit(query))
-    return search_output(post_filter(rerank(candidates), size), expanded.select("query_id", "query"))
+    return search_output(search_batch(documents, expanded, index, score_pairs, size).final, expanded.select("query_id", "query"))
 
 
-def dense_leg_approximate(vectors: DataFrame, queries: DataFrame, top: int = vocab.DENSE_TOP, tables: int = 8, bucket: float = 1.0, reach: float = 1.5) -> DataFrame:
-    """Nearest vectors by random-projection hashing of unit vectors; only vectors within reach that share a bucket are scored.
+def dense_leg_approximate(vectors: DataFrame, queries: DataFrame, top: int = vocab.DENSE_TOP, tables: int = 16, bits: int | None = None, seed: int = 42) -> DataFrame:
+    """Nearest vectors by random-hyperplane hashing with multi-probe: scores only vectors that share a bucket of some table with a query.
 
-    Without a cross join: for collections of which an exact scan would be too slow. reach is a Euclidean distance; for
-    unit vectors cosine = 1 - reach ** 2 / 2.
+    A vector is filed once in each table, under bits signs of random projections (by default so many that a bucket holds
+    about 32 vectors). A query looks into its own bucket and those that differ in up to two of its signs; candidates are scored exactly. Queries that find fewer than
+    top candidates are searched exactly. Vectors move only as far as the join on (table, bucket) takes them; the queries'
+    probes, the small side, carry the query's vector.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    shaped = lambda df, key: df.select(key, array_to_vector(F.col("vector")).alias("features"))
-    index = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=42).fit(shaped(vectors, "doc_id"))
-    near = index.approxSimilarityJoin(shaped(vectors, "doc_id"), shaped(queries, "query_id"), reach, "distance")
-    scored = near.select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.doc_id").alias("doc_id"), (1 - F.col("distance") * F.col("distance") / 4).alias("score"))
-    return ranked(scored.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), top)
+    from itertools import combinations
+
+    bits = bits or min(max(vectors.count().bit_length() - 5, 4), 24)
+    flips = [0, *[1 << i for i in range(bits)], *[(1 << i) | (1 << j) for i, j in combinations(range(bits), 2)]]
+    size = len(vectors.select("vector").first()["vector"]) if vectors.take(1) else 1
+    planes = np.random.default_rng(seed).standard_normal((size, tables * bits))
+
+    def run(values: pd.Series) -> pd.Series:
+        m = np.array(values.tolist(), np.float64).reshape(len(values), -1)
+        signs = (m @ planes > 0).reshape(len(m), tables, bits)
+        return pd.Series((signs * (1 << np.arange(bits))).sum(axis=2).astype(np.int32).tolist(), dtype=object)
+
+    buckets = F.pandas_udf(run, "array<int>")
+    filed = vectors.select("doc_id", "vector", F.posexplode(buckets(F.col("vector"))).alias("table", "bucket"))
+    probe = F.explode(F.array(*[F.lit(f) for f in flips])).alias("flip")
+    looked = queries.select("query_id", F.col("vector").alias("query_vector"), F.posexplode(buckets(F.col("vector"))).alias("table", "own")).select("query_id", "query_vector", "table", "own", probe)
+    looked = looked.select("query_id", "query_vector", "table", F.expr("own ^ flip").alias("bucket"))
+    met = filed.join(looked, ["table", "bucket"]).select("query_id", "doc_id", ((1 + arrays.cosine(F.col("vector"), F.col("query_vector"))) / 2).alias("score"))
+    scored = written(met.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), "near-candidates")
+    enough = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= top).select("query_id")
+    short = written(queries.join(enough, "query_id", "left_anti"), "short-queries")
+    few = ranked(scored.join(enough, "query_id", "left_semi"), top)
+    return few.unionByName(dense_leg(vectors, short.select("query_id", "vector"), top)) if short.take(1) else few
+
+
+ship(__name__)

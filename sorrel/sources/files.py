@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-DUMMY_ROWS = [("r1", "iphone_17", 5, "배터리가 오래가서 만족합니다", 3), ("r2", "iphone_17", 1, "포장이 파손되어 실망했어요", 0), ("r3", "galaxy_s26", 4, "화면이 선명하고 부드러워요", 2)]
+from sorrel.scratch import written
+
+#: Three made-up reviews for trying things out.
+DUMMY_ROWS = [("demo-1", "sorrel_one", 2, "충전 단자가 헐거워서 케이블이 자꾸 빠져요", 1), ("demo-2", "sorrel_two", 5, "사진이 밝게 나오고 가벼워서 매일 들고 다녀요", 3), ("demo-3", "sorrel_two", 3, "포장은 무난했지만 배송이 이틀 늦었습니다", 2)]
 DUMMY_SCHEMA = "review_id string, product_name string, rating int, content string, label int"
 REVIEW_SCHEMA = (
     "reviewId string, review_id string, reviewAt string, product_name string, itemName string, item_name string, title string, content string, summary string, short_summary string, "
@@ -25,7 +29,23 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """Rows as a folder of JSON lines, written by all tasks; null fields are kept, and letters of any script as they are."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_document(spark: SparkSession, value, path: str) -> None:
+    """One JSON document, indented, letters of any script as they are; missing folders are made. For summaries and settings."""
+    put_text(spark, json.dumps(value, ensure_ascii=False, indent=2), path)
+
+
+def put_text(spark: SparkSession, body: str, path: str) -> None:
+    """A small text as one file of any store that Spark writes to."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        stream.write(bytearray(body.encode()))
+    finally:
+        stream.close()
 
 
 def timestamped(folder: str, prefix: str, now: datetime | None = None) -> str:
@@ -46,10 +66,15 @@ def read_lines_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def required(df: DataFrame, *names: str) -> DataFrame:
+    """df, in which a row that lacks one of the named values raises."""
+    checked = {n: F.when(F.col(n).isNull(), F.raise_error(F.lit(f"a row has no {n}")).cast(df.schema[n].dataType)).otherwise(F.col(n)) for n in names}
+    return df.withColumns(checked)
+
+
 def load_labelled(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Labelled reviews; a row without review_id raises."""
-    read = read_json(spark, path, schema)
-    return read.withColumn("review_id", F.when(F.col("review_id").isNull(), F.raise_error(F.lit("a review has no review_id"))).otherwise(F.col("review_id")))
+    return required(read_json(spark, path, schema), "review_id")
 
 
 def load_evaluation(spark: SparkSession, path: str) -> DataFrame:
@@ -61,7 +86,27 @@ def load_evaluation(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """Rows as a folder of CSV files, each with a header in the order of df's columns."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+
+
+def first_rows(df: DataFrame, n: int | None) -> DataFrame:
+    """The first n rows as they are read; all without a number."""
+    return df if n is None else df.withColumn("_at", F.monotonically_increasing_id()).orderBy("_at").limit(n).drop("_at")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df, written, with ordinal, from 1 in the order of reading: counts of partitions give the offsets, so no task numbers all rows."""
+    placed = written(df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "numbered")
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
+    return placed.withColumn("_nth", nth).join(F.broadcast(offsets), "_part").withColumn("ordinal", F.col("_nth") + F.col("_ahead")).drop("_part", "_at", "_nth", "_ahead")
 
 
 def dummy_reviews(spark: SparkSession) -> DataFrame:
@@ -90,6 +135,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def any_path(spark: SparkSession, pattern: str) -> bool:
+    """True if some path fits the pattern."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    return found is not None and len(found) > 0
+
+
 def create_table(spark: SparkSession, name: str, schema: str, recreate: bool = False) -> bool:
     """Make an empty table; an existing one is left alone unless it is to be made anew. True if one was made."""
     if recreate:

@@ -1,62 +1,124 @@
 """Resumable ingestion: micro-batches of raw reviews into a document table, with dead letters.
 
-Each batch is written under its own batch_id partition, so a batch that runs again overwrites itself. Rows already in the
-table, by id or by content, are dropped first; within a batch the greedy dedupe holds. Documents and dead letters of a
-batch are separate outputs of one idempotent step.
+Each batch is written under its own batch_id partition, so a batch that runs again overwrites itself. Reviews whose id is in
+the table are skipped before any cleaning; then rows with errors are set aside, those with a known content dropped, and within
+the batch the greedy dedupe holds in order of arrival. Enrichment and indexing are optional slots. Documents and dead letters
+(stages preprocess, llm_enrich, index) are separate outputs of one idempotent step.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from sorrel.functions import text
+from sorrel.functions import arrays, text
 from sorrel.operators import documents as docs_ops
 from sorrel.operators import lexical
-from sorrel.sources.files import path_exists
+from sorrel.scratch import forget, written
+from sorrel.sources import files
+
+#: Fields of the plain index.
+INDEXED = ("content", "title", "product_name", "item_name")
+DEAD_LETTERS = "stage string, review_id string, error string, batch_id int"
 
 
 def stored(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
     """The table's rows of batches before the given one; None where nothing was written yet."""
-    if not path_exists(spark, folder):
+    if not files.any_path(spark, f"{folder}/batch_id=*"):
         return None
     rows = spark.read.option("basePath", folder).parquet(folder)
     return rows if before is None else rows.where(F.col("batch_id") < before)
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, folder: str, failures: str, prepare: Callable[[DataFrame], DataFrame] = docs_ops.to_documents) -> dict[str, int]:
-    """One micro-batch: prepare, split off rows with an error, drop known ones, dedupe, write. Returns counts of its rows.
+def raw_id(rows: DataFrame) -> Column:
+    """The id of raw reviews, from whichever of its two names they have."""
+    named = [F.col(c).cast("string") for c in ("reviewId", "review_id") if c in rows.columns]
+    return text.strip(F.coalesce(arrays.first_filled(*named), F.lit(""))) if named else F.lit("")
+
+
+@dataclass(frozen=True)
+class Steps:
+    """What a batch goes through. prepare(rows, keep): documents with an error column, and keep as kept_column. enrich: documents
+    again, with an error column for those that failed. index: (review_id, error) of documents that could not be indexed."""
+
+    prepare: Callable[[DataFrame, Column], DataFrame] = docs_ops.to_documents
+    enrich: Callable[[DataFrame], DataFrame] | None = None
+    index: Callable[[DataFrame, int], DataFrame] | None = None
 
-    The counts come with the writes, as observed metrics, and cost no pass of their own.
+
+def ingest_batch(batch: DataFrame, batch_id: int, folder: str, failures: str, steps: Steps | None = None) -> dict[str, int]:
+    """One micro-batch. Returns counts of its rows: processed, resumed (skipped by id), failed, kept, indexed.
+
+    A document whose enrichment fails is left out; copies of it in the same batch count as seen and come again with the
+    next one.
     """
-    spark = batch.sparkSession
-    cached = prepare(batch).persist()
-    prepared, kept = Observation(f"prepared-{batch_id}"), Observation(f"kept-{batch_id}")
-    ready = cached.observe(prepared, F.count(F.lit(1)).alias("prepared"), F.count("error").alias("failed"))
-    try:
-        errors = ready.where(F.col("error").isNotNull()).select(F.lit("preprocess").alias("stage"), "review_id", "error", F.lit(batch_id).alias("batch_id"))
-        errors.coalesce(8).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").json(failures)
-        good = ready.where(F.col("error").isNull()).drop("error")
-        if (known := stored(spark, folder, batch_id)) is not None:
-            good = docs_ops.without_known(good, known, "review_id", "content")
-        order = F.struct("review_id", "content")
-        fresh = docs_ops.dedupe_greedy(good.withColumns({"_print": text.fingerprint_any(F.col("content")), "_place": order}), "review_id", "_print", "_place").drop("_print", "_place")
-        fresh.observe(kept, F.count(F.lit(1)).alias("kept")).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(folder)
-        return prepared.get | kept.get
-    finally:
-        cached.unpersist()
-
-
-def ingest_stream(source: DataFrame, folder: str, failures: str, checkpoint: str, prepare=docs_ops.to_documents):
+    steps, spark = steps or Steps(), batch.sparkSession
+    known = stored(spark, folder, batch_id)
+    seen, fresh = Observation(f"seen-{batch_id}"), Observation(f"fresh-{batch_id}")
+    rows = batch.withColumns({"_place": F.monotonically_increasing_id(), "_raw_id": raw_id(batch)}).observe(seen, F.count(F.lit(1)).alias("n"))
+    if known is not None:
+        rows = rows.join(known.select(F.col("review_id").alias("_raw_id")).distinct(), "_raw_id", "left_anti")
+    rows = rows.observe(fresh, F.count(F.lit(1)).alias("n")).drop("_raw_id")
+    ready = written(steps.prepare(rows, F.col("_place")), "ingest-ready")
+    letter = lambda stage, failed: failed.select(F.lit(stage).alias("stage"), F.col("review_id").cast("string").alias("review_id"), "error", F.lit(batch_id).alias("batch_id"))
+    letters = letter("preprocess", ready.where("error IS NOT NULL"))
+    good = ready.where("error IS NULL").drop("error")
+    if known is not None:
+        good = docs_ops.without_known(good, known, "review_id", "content")
+    good = good.withColumn("_print", text.fingerprint_any(F.col("content")))
+    kept = docs_ops.dedupe_greedy(good, "review_id", "_print", "kept_column").drop("_print", "kept_column")
+    if steps.enrich is not None:
+        enriched = written(steps.enrich(kept), "ingest-enriched")
+        letters = letters.unionByName(letter("llm_enrich", enriched.where("error IS NOT NULL")))
+        kept = enriched.where("error IS NULL").drop("error")
+    overwrite = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
+    counted = Observation(f"kept-{batch_id}")
+    overwrite(kept.observe(counted, F.count(F.lit(1)).alias("n")).withColumn("batch_id", F.lit(batch_id))).parquet(folder)
+    n_kept, indexed = counted.get["n"], 0
+    if steps.index is not None:
+        failed = written(steps.index(spark.read.option("basePath", folder).schema(kept.schema).parquet(f"{folder}/batch_id={batch_id}"), batch_id) if n_kept else spark.createDataFrame([], "review_id string, error string"), "ingest-index")
+        letters = letters.unionByName(letter("index", failed))
+        indexed = n_kept - failed.count()
+    letters = written(letters, "ingest-letters")
+    overwrite(letters).json(failures)
+    n_failed = letters.where("stage <> 'index'").count()
+    forget(ready, letters)
+    return {"processed": seen.get["n"], "resumed": seen.get["n"] - fresh.get["n"], "failed": n_failed, "kept": n_kept, "indexed": indexed}
+
+
+def dead_letters(spark: SparkSession, failures: str) -> DataFrame:
+    """The failures of all batches; none where none was written yet."""
+    if not files.any_path(spark, f"{failures}/batch_id=*"):
+        return spark.createDataFrame([], DEAD_LETTERS)
+    return spark.read.schema(DEAD_LETTERS).option("basePath", failures).json(failures)
+
+
+def ingest_stream(source: DataFrame, folder: str, failures: str, checkpoint: str, steps: Steps | None = None):
     """A query that takes what is there and stops; started again with the same checkpoint it takes only what is new."""
-    writer = source.writeStream.foreachBatch(lambda batch, batch_id: ingest_batch(batch, batch_id, folder, failures, prepare))
+    writer = source.writeStream.foreachBatch(lambda batch, batch_id: ingest_batch(batch, batch_id, folder, failures, steps) and None)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def reindex(spark: SparkSession, folder: str, index_folder: str, fields: tuple[str, ...] = ("content", "title", "product_name", "item_name")) -> lexical.Index:
-    """Build and store the lexical index of all documents of the table, from what was written and not from the raw reviews."""
-    index = lexical.build_index(stored(spark, folder), "review_id", lexical.standard_fields(list(fields)))
-    lexical.store_index(index, index_folder)
+def in_batches(rows: DataFrame, size: int) -> list[DataFrame]:
+    """rows in batches of size, in the order of reading."""
+    placed = written(files.numbered(rows), "ingest-input")
+    return [placed.where(F.col("ordinal").between(low + 1, low + size)).orderBy("ordinal").drop("ordinal") for low in range(0, placed.count(), size)]
+
+
+def index_documents(documents: DataFrame, index_folder: str, fields: tuple[str, ...] = INDEXED) -> None:
+    """Build and store the lexical index of a table of documents."""
+    lexical.store_index(lexical.build_index(documents, "review_id", lexical.standard_fields(list(fields))), index_folder)
+
+
+def reindex(spark: SparkSession, folder: str, index_folder: str, fields: tuple[str, ...] = INDEXED) -> lexical.Index:
+    """The index of all documents of the table, from what was written and not from the raw reviews. What is written is visible to the next reader."""
+    index_documents(stored(spark, folder), index_folder, fields)
     return lexical.load_index(spark, index_folder)
+
+
+def index_count(spark: SparkSession, folder: str) -> int:
+    rows = stored(spark, folder)
+    return 0 if rows is None else rows.count()

@@ -1,6 +1,7 @@
 """Closed vocabularies and tunables of review search.
 
-Fixed values: the word lists below decide results, so they are stated in full and in the order that decides.
+Fixed values: the word lists below decide results, so they are stated in full and in the order that decides. There is a
+table for each kind of term, as each is looked up for an output column of its own.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ LEXICAL_TOP, DENSE_TOP, FUSION_K, FUSION_TOP, FINAL_TOP = 100, 100, 60, 50, 10
 BM25_K1, BM25_B = 1.2, 0.75
 LEAST_LENGTH, LEAST_MEANINGFUL, DEDUPE_PREFIX = 10, 10, 200
 VECTOR_SIZE = 768
+#: Query vectors that are broadcast at a time: 4,096 of 768 numbers are 25 MB.
+QUERY_BLOCK = 4096
 
 #: A term found in a query brings its variants.
 EXPANSIONS = {

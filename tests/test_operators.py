@@ -169,14 +169,78 @@ def test_json_sources(spark, tmp_path):
 
 def test_ingest_resumes_and_is_idempotent(spark, tmp_path):
     folder, failures = str(tmp_path / "docs"), str(tmp_path / "bad")
-    counts = [ingest.ingest_batch(raw(spark, rows), batch_id, folder, failures) for batch_id, rows in ((0, REVIEWS[:2]), (1, REVIEWS[2:]), (1, REVIEWS[2:]))]
-    assert counts[0] == {"prepared": 2, "failed": 0, "kept": 2} and counts[1] == counts[2] == {"prepared": 2, "failed": 1, "kept": 0}
+    counts = [ingest.ingest_batch(raw(spark, rows), batch_id, folder, failures) for batch_id, rows in ((0, REVIEWS[:2]), (1, REVIEWS[1:]), (1, REVIEWS[1:]))]
+    assert counts[0] == {"processed": 2, "resumed": 0, "failed": 0, "kept": 2, "indexed": 0}
+    assert counts[1] == counts[2] == {"processed": 4, "resumed": 1, "failed": 1, "kept": 0, "indexed": 0}
     stored = ingest.stored(spark, folder)
     assert sorted(r.review_id for r in stored.collect()) == ["1", "2"]
-    assert [r.review_id for r in spark.read.json(failures).collect()] == ["5"]
+    assert [(r.stage, r.review_id, r.batch_id) for r in ingest.dead_letters(spark, failures).collect()] == [("preprocess", "5", 1)]
     assert ingest.reindex(spark, folder, str(tmp_path / "index")).fields.where("field = 'content'").first().n == 2
 
 
+def test_ingest_logs_all_stages_and_keeps_the_first_to_arrive(spark, tmp_path):
+    folder, failures = str(tmp_path / "docs"), str(tmp_path / "bad")
+    again = [dict(REVIEWS[0], reviewId="9"), dict(REVIEWS[0], reviewId="0"), REVIEWS[1], REVIEWS[4]]
+    mark = lambda i, e: F.when(F.col("review_id") == i, F.lit(e))
+    steps = ingest.Steps(enrich=lambda docs: enrich.enrich(docs).withColumn("error", mark("2", "no answer")), index=lambda docs, batch: docs.where("review_id = '9'").select("review_id", F.lit("refused").alias("error")))
+    counts = ingest.ingest_batch(raw(spark, again).coalesce(1), 0, folder, failures, steps)
+    assert counts == {"processed": 4, "resumed": 0, "failed": 2, "kept": 1, "indexed": 0}
+    assert [r.review_id for r in ingest.stored(spark, folder).collect()] == ["9"]
+    assert sorted((r.stage, r.review_id) for r in ingest.dead_letters(spark, failures).collect()) == [("index", "9"), ("llm_enrich", "2"), ("preprocess", "5")]
+    assert ingest.index_count(spark, folder) == 1 and ingest.index_count(spark, str(tmp_path / "none")) == 0
+
+
+def test_documents_of_repeated_ids(spark):
+    rows = [dict(REVIEWS[0]), dict(REVIEWS[1], review_id="1"), dict(REVIEWS[1]), dict(REVIEWS[4], reviewId="7", rating="5")]
+    assert [r.review_id for r in documents.build_documents(raw(spark, rows).coalesce(1)).orderBy("review_id").collect()] == ["1", "2", "7"]
+
+
+def test_reranker_failure_keeps_the_fusion_order(spark):
+    rows = spark.createDataFrame([(0, "a", "q", "x", None, 0.5), (0, "b", "q", "yy", "yy", 0.4), (1, "c", "bad", "z", "z", 0.3)], "query_id int, doc_id string, query string, content string, dense_text string, rrf_score double")
+
+    def score(queries, texts):
+        if "bad" in set(queries):
+            raise RuntimeError("no model")
+        return texts.str.len()
+
+    got = {r.doc_id: (r.final_score, r.rerank_error) for r in search.rerank(rows.repartition(2, "query_id"), score).collect()}
+    whole = {r.doc_id: r.final_score for r in search.rerank(rows.where("query_id = 0"), score).collect()}
+    assert whole["b"] == 2.0 and whole["a"] > 2.0 and got["c"][0] == 0.3 and "no model" in got["c"][1]
+
+
+def test_dense_leg_falls_back_and_filters(spark):
+    vectors = spark.createDataFrame([(k, [float(k == j) + 0.1 * k for j in range(4)], k % 2) for k in range(8)], "doc_id int, vector array<double>, kind int")
+    queries = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0], 0), (1, [0.0] * 4, 1)], "query_id int, vector array<double>, kind int")
+
+    def broken(*_):
+        raise RuntimeError("no index")
+
+    scan = {(r.query_id, r.doc_id): r.score for r in search.dense_leg_or_scan(vectors, queries, 8, broken).collect()}
+    leg = {(r.query_id, r.doc_id): r.score for r in search.dense_leg_or_scan(vectors, queries, 8).collect()}
+    assert len(scan) == len(leg) == 16 and all(scan[k] == pytest.approx(2 * leg[k]) for k in leg) and scan[1, 3] == 1.0
+    assert {(r.query_id, r.doc_id % 2) for r in search.dense_leg(vectors, queries, 8, "kind").collect()} == {(0, 0), (1, 1)}
+    some = {(r.query_id, r.doc_id) for r in search.nearest(vectors, queries, 3, block=1).collect()}
+    assert some == {(r.query_id, r.doc_id) for r in search.nearest(vectors, queries, 3).collect()}
+
+
+def test_last_prediction_counts(spark):
+    said = spark.createDataFrame([("x", 1), ("y", 2), ("x", 3)], "review_id string, pred int").coalesce(1)
+    labels = spark.createDataFrame([("x", 3), ("y", 2)], "review_id string, label int")
+    assert {(r.review_id, r.label, r.pred) for r in classify.align(said, labels).collect()} == {("x", 3, 3), ("y", 2, 2)}
+
+
+def test_weights_must_be_positive(spark):
+    rows = spark.createDataFrame([(1, 0.0, [0.5, 0.5, 0.0, 0.0])], "review_id int, weight double, probabilities array<double>")
+    with pytest.raises(Exception, match="more than 0"):
+        classify.soft_vote(rows).collect()
+
+
+def test_numbers_in_order_of_reading(spark):
+    got = files.numbered(spark.range(0, 20, 1, 4)).collect()
+    assert all(r.ordinal == r.id + 1 for r in got)
+    assert [[r.id for r in b.collect()] for b in ingest.in_batches(spark.range(0, 5, 1, 2), 2)] == [[0, 1], [2, 3], [4]]
+
+
 def test_sentiment_analysis_runs_from_file_to_kappa(spark, tmp_path):
     from sorrel import api, config
 
