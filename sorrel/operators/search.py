@@ -81,11 +81,18 @@ def overlay_model(expanded: DataFrame, answer: Column) -> DataFrame:
 Tokens = Callable[[Column], Column]
 
 
-def review_index(documents: DataFrame, tokens: Tokens = text.tokens_cased) -> lexical.Index:
-    """The lexical index of enriched documents over all searched fields."""
+def review_index(documents: DataFrame, tokens: Tokens = text.tokens_cased, only: DataFrame | None = None) -> lexical.Index:
+    """The lexical index of enriched documents over all searched fields. only: a table of term, to hold nothing but those."""
     blank = lambda n: F.coalesce(F.col(n), F.lit(""))
     columns = {n: tokens(F.array_join(F.coalesce(F.col(n), F.array()), " ") if n == "aspect_keywords" else blank(n)) for n in vocab.SEARCH_FIELDS}
-    return lexical.build_index(documents, "review_id", columns)
+    return lexical.build_index(documents, "review_id", columns, only)
+
+
+def asked_terms(expanded: DataFrame, tokens: Tokens = text.tokens_cased) -> DataFrame:
+    """(term): every token that clauses() will look up for these queries."""
+    lists = [F.col(c) for c in ("bm25_terms", "aspect_terms", "positive_terms", "negative_terms", "positive_phrases", "negative_phrases")]
+    whole = F.array_join(F.concat(F.array("query"), *lists), " ")
+    return expanded.select(F.explode(tokens(whole)).alias("term")).distinct()
 
 
 def mood_terms() -> Column:
@@ -157,8 +164,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int, group: str | None
 
     vectors: doc_id, vector; queries: query_id, vector; with group, only vectors with the query's value in that column count.
     Queries are a stated set: they are taken in blocks of bounded size, each broadcast as one matrix of unit vectors, and
-    every task multiplies its vectors by it and keeps its own top, so that tasks x queries x top rows are merged. Ties go to
-    the lower document.
+    every task multiplies its vectors by it and keeps its own top, so that tasks x queries x top rows are merged. Cosines are
+    rounded to 8 digits; ties go to the lower document.
     """
     asked = queries.select("query_id", "vector", *([group] if group else [])).orderBy("query_id")
     asked = written(asked, "query-vectors")
@@ -197,14 +204,16 @@ def _nearest_block(vectors: DataFrame, asked: DataFrame, rows: list, top: int, g
                 continue
             docs = np.array(batch.column("doc_id").to_pylist(), object)
             mine = unit(np.array(batch.column("vector").to_pylist(), np.float64).reshape(len(docs), -1))
-            scores = matrix @ mine.T
+            scores = (matrix @ mine.T).round(8)
             fits = None if groups is None else groups[:, None] == np.array(batch.column(2).to_pylist())[None, :]
             for q in range(len(matrix)):
                 use = slice(None) if fits is None else np.flatnonzero(fits[q])
                 value, doc = np.concatenate([best_score[q], scores[q][use]]), np.concatenate([best_doc[q], docs[use]])
                 if len(value) > top:
                     edge = np.partition(value, len(value) - top)[len(value) - top]
-                    cut = np.flatnonzero(value >= edge - 1e-12)  # all ties with the last one, for the merge to settle
+                    sure = np.flatnonzero(value > edge)
+                    tied = sorted(np.flatnonzero(value == edge), key=lambda k: doc[k])[: top - len(sure)]
+                    cut = np.concatenate([sure, np.array(tied, np.int64)])
                     value, doc = value[cut], doc[cut]
                 best_score[q], best_doc[q] = value, doc
         for q in range(len(matrix)):
@@ -360,7 +369,7 @@ class Legs:
     final: DataFrame
 
 
-def search_batch(documents: DataFrame, expanded: DataFrame, index: lexical.Index | None = None, score_pairs=None, size: int = vocab.FINAL_TOP, tokens: Tokens = text.tokens_cased, dense: Callable = dense_leg) -> Legs:
+def search_batch(documents: DataFrame, expanded: DataFrame, index: lexical.Index | None = None, score_pairs=None, size: int = vocab.FINAL_TOP, tokens: Tokens = text.tokens_cased, dense: Callable = dense_leg, embedder: Callable[[Column], Column] = embed) -> Legs:
     """All stages of hybrid search for expanded queries over enriched documents with a vector; each stage is written once.
 
     The dense leg searches the documents that the query's aspect and sentiment allow: queries are dealt into groups by
@@ -375,7 +384,7 @@ def search_batch(documents: DataFrame, expanded: DataFrame, index: lexical.Index
         aim = row["aim"]
         fits = vectors if aim is None else vectors.where(arrays.has_issue(F.col("issue_sentiments"), aim["target_aspect"], aim["target_sentiment"]))
         mine = asked.where(F.col("aim").isNull() if aim is None else (F.col("target_aspect") == aim["target_aspect"]) & (F.col("target_sentiment") == aim["target_sentiment"]))
-        variants = mine.select("query_id", F.explode("dense_queries").alias("q")).select("query_id", embed(F.col("q")).alias("vector"))
+        variants = mine.select("query_id", F.explode("dense_queries").alias("q")).select("query_id", embedder(F.col("q")).alias("vector"))
         found.append(dense_leg_or_scan(fits.select("doc_id", "vector"), variants, vocab.DENSE_TOP, dense))
     near = reduce(DataFrame.unionByName, found) if found else lex.limit(0)
     fused = written(fuse(lex, near), "fused")

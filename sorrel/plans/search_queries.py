@@ -1,6 +1,7 @@
 """Queries over documents, benchmark, conversations and embeddings: lexical and dense search, fusion, evaluation.
 
-Every benchmark item is a query over all documents.
+Every benchmark item is a query over all documents, or a vector; the Korean queries search all documents as reviews that hold
+Korean sentences, so that every clause of the full query has something to find.
 """
 
 from __future__ import annotations
@@ -8,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sorrel import vocab
-from sorrel.functions import arrays, text
-from sorrel.operators import lexical, ranking, search
+from sorrel.functions import text
+from sorrel.operators import enrich, lexical, ranking, search
+from sorrel.scratch import written
+from sorrel.session import spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,15 +37,34 @@ def asked(spark, d):
 
 
 def reviews(spark, d):
-    return load(spark, d, "documents").select(F.col("doc_id").alias("doc_id"), F.col("text").alias("content"), F.col("source").alias("product_name"), F.col("lang").alias("item_name"))
+    docs = load(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.col("source").alias("product_name"), F.col("lang").alias("item_name"))
+    return spread(docs)
 
 
 WEIGHTS = {"content": 3.0, "product_name": 1.5, "item_name": 1.2}
+_STORED: dict = {}
 
 
-def index_of(spark, d, names=tuple(WEIGHTS)):
-    asked_for = asked(spark, d).select(F.explode(tokens()).alias("term"))
-    return lexical.build_index(reviews(spark, d), "doc_id", lexical.standard_fields(list(names)), asked_for)
+def stored(spark, d, name: str, make):
+    """What make() gives, made once in a session and folder, as an index is that many searches use."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STORED:
+        _STORED[key] = make()
+    return _STORED[key]
+
+
+def written_index(index: lexical.Index, name: str) -> lexical.Index:
+    return lexical.Index(*[written(t, f"{name}-{n}") for n, t in (("postings", index.postings), ("fields", index.fields), ("terms", index.terms), ("places", index.places))])
+
+
+def index_of(spark, d):
+    """The stored index of all documents for the terms of all benchmark items."""
+
+    def make():
+        asked_for = asked(spark, d).select(F.explode(tokens()).alias("term"))
+        return written_index(lexical.build_index(reviews(spark, d), "doc_id", lexical.standard_fields(list(WEIGHTS)), asked_for), "index")
+
+    return stored(spark, d, "index", make)
 
 
 def tokens():
@@ -53,6 +75,10 @@ def rounded(scored):
     return scored.select("query_id", "doc_id", F.round("score", 5).alias("score"))
 
 
+def billionths(scored):
+    return scored.select("query_id", "doc_id", F.round(F.col("score") * 1e9).cast("long").alias("score"))
+
+
 def _postings(fields: dict[str, str]) -> str:
     flat = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS field, regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+') AS t FROM documents" for n, c in fields.items())
     return f"""t AS ({flat}), o AS (SELECT doc_id, field, len(t) AS dl, unnest(t) AS term, unnest(range(0, len(t))) AS place FROM t),
@@ -76,7 +102,7 @@ _CONTENT = {"content": "text"}
 
 @query(f"WITH {_scored(_CONTENT, {'content': 1})} SELECT query_id, doc_id, round(score, 5) AS score FROM s")
 def bm25_match(spark, d):
-    return rounded(lexical.match(index_of(spark, d, ["content"]), asked(spark, d), tokens(), {"content": 1.0}))
+    return rounded(lexical.match(index_of(spark, d), asked(spark, d), tokens(), {"content": 1.0}))
 
 
 @query(f"WITH {_scored(_FIELDS, WEIGHTS)} SELECT query_id, doc_id, round(3 * max(score), 5) AS score FROM s GROUP BY query_id, doc_id")
@@ -89,16 +115,21 @@ def most_fields(spark, d):
     return rounded(lexical.match(index_of(spark, d), asked(spark, d), tokens(), WEIGHTS, 1.2, "most"))
 
 
-#: A phrase: the first three words of an item.
-_PHRASE = f"""{_postings(_CONTENT)}, ph AS (SELECT item_id AS query_id, list_slice(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+'), 1, 3) AS w FROM benchmark),
-e AS (SELECT query_id, len(w) AS length, unnest(w) AS term, unnest(range(0, len(w))) AS place FROM ph),
-h AS (SELECT query_id, length, o.doc_id, o.place - e.place AS start, count(*) AS found, sum(ln(1 + (n - df + 0.5) / (df + 0.5))) AS idf, max(avgdl) AS avgdl, max(dl) AS dl FROM o JOIN e USING (term) JOIN df ON df.term = o.term JOIN st ON TRUE GROUP BY query_id, length, o.doc_id, start)
-SELECT query_id, doc_id, round(2 * 2.4 * max(idf) * count(*) * 2.2 / (count(*) + 1.2 * (1 - 0.75 + 0.75 * max(dl) / max(avgdl))), 5) AS score FROM h WHERE found = length GROUP BY query_id, doc_id"""
+#: Phrases: all runs of three words of an item (the whole of a shorter one); a document's best counts.
+_PHRASE = f"""{_postings(_CONTENT)}, it AS (SELECT item_id AS query_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark),
+ph AS (SELECT query_id, nth, list_slice(w, nth, nth + 2) AS w FROM (SELECT query_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS nth FROM it)),
+e AS (SELECT query_id, nth, len(w) AS length, unnest(w) AS term, unnest(range(0, len(w))) AS place FROM ph),
+h AS (SELECT query_id, nth, length, o.doc_id, o.place - e.place AS start, count(*) AS found, sum(ln(1 + (n - df + 0.5) / (df + 0.5))) AS idf, max(avgdl) AS avgdl, max(dl) AS dl FROM o JOIN e USING (term) JOIN df ON df.term = o.term JOIN st ON TRUE GROUP BY query_id, nth, length, o.doc_id, start),
+g AS (SELECT query_id, doc_id, 2 * 2.4 * max(idf) * count(*) * 2.2 / (count(*) + 1.2 * (1 - 0.75 + 0.75 * max(dl) / max(avgdl))) AS score FROM h WHERE found = length GROUP BY query_id, nth, doc_id)
+SELECT query_id, doc_id, round(max(score), 5) AS score FROM g GROUP BY query_id, doc_id"""
 
 
 @query(f"WITH {_PHRASE}")
 def phrase_match(spark, d):
-    return rounded(lexical.phrase(index_of(spark, d, ["content"]), asked(spark, d), F.slice(tokens(), 1, 3), {"content": 2.0}, 2.4))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1))), lambda k: F.slice(F.col("words"), k, 3))
+    each = asked(spark, d).select("query_id", tokens().alias("words")).where(F.size("words") > 0).select("query_id", F.posexplode(runs).alias("nth", "phrase")).select(F.struct("query_id", "nth").alias("query_id"), "phrase")
+    found = lexical.phrase(index_of(spark, d), each, F.col("phrase"), {"content": 2.0}, 2.4)
+    return rounded(found.groupBy(F.col("query_id.query_id").alias("query_id"), "doc_id").agg(F.max("score").alias("score")))
 
 
 @query("SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE text LIKE '%the%ing%' OR source LIKE 'src1%'")
@@ -134,31 +165,46 @@ def query_vectors(spark, d):
     return asked(spark, d).join(vectors(spark, d).select(F.col("doc_id").alias("query_id"), "vector", "label"), "query_id")
 
 
-_COSINE = "v AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS vector, label FROM embeddings), q AS (SELECT item_id AS query_id, vector AS qv, v.label AS wanted FROM benchmark JOIN v ON v.doc_id = item_id), c AS (SELECT query_id, doc_id, label, wanted, list_cosine_similarity(vector, qv) AS cos FROM v, q)"
-_TOP = "SELECT query_id, doc_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS nth FROM c2) WHERE nth <= {}"
+_COSINE = "v AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS vector, label FROM embeddings), q AS (SELECT item_id AS query_id, vector AS qv, v.label AS wanted FROM benchmark JOIN v ON v.doc_id = item_id), c AS (SELECT query_id, doc_id, label, wanted, round(list_cosine_similarity(vector, qv), 8) AS cos FROM v, q)"
+#: Vectors' scores are compared in billionths, as whole numbers: a rounded cosine has so many digits that rounding it again would meet ties.
+_TOP = "SELECT query_id, doc_id, round(score * 1000000000)::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS nth FROM c2) WHERE nth <= {}"
 
 
 @query(f"WITH {_COSINE}, c2 AS (SELECT *, (1 + cos) / 2 AS score FROM c) {_TOP.format(100)}")
 def cosine_topk(spark, d):
-    return rounded(search.dense_leg(vectors(spark, d).drop("label"), query_vectors(spark, d)))
+    return billionths(search.dense_leg(vectors(spark, d).drop("label"), query_vectors(spark, d)))
 
 
 @query(f"WITH {_COSINE}, c2 AS (SELECT *, (1 + cos) / 2 AS score FROM c WHERE label = wanted) {_TOP.format(100)}")
 def knn_filtered(spark, d):
-    """Only vectors of the query's label are scored: the filter is part of the join."""
-    wanted = query_vectors(spark, d).select("query_id", F.col("vector").alias("query_vector"), "label")
-    scored = vectors(spark, d).join(F.broadcast(wanted), "label").select("query_id", "doc_id", ((1 + arrays.cosine(F.col("vector"), F.col("query_vector"))) / 2).alias("score"))
-    return rounded(search.ranked(scored, 100))
+    """Only vectors of the query's label are candidates."""
+    return billionths(search.dense_leg(vectors(spark, d), query_vectors(spark, d), group="label"))
 
 
-@query(f"WITH {_COSINE} SELECT query_id, doc_id, round(cos + 1, 5) AS score FROM c")
+@query(f"WITH {_COSINE}, c2 AS (SELECT *, cos + 1 AS score FROM c) {_TOP.format(100)}")
 def script_score(spark, d):
-    wanted = query_vectors(spark, d).select("query_id", F.col("vector").alias("query_vector"))
-    return vectors(spark, d).join(wanted).select("query_id", "doc_id", F.round(arrays.cosine(F.col("vector"), F.col("query_vector")) + 1, 5).alias("score"))
+    """The exact scan that stands in for a failing leg."""
+
+    def broken(*_):
+        raise RuntimeError("no nearest-vector search here")
+
+    return billionths(search.dense_leg_or_scan(vectors(spark, d).drop("label"), query_vectors(spark, d), leg=broken))
+
+
+@query(f"WITH {_COSINE}, c2 AS (SELECT *, (1 + cos) / 2 AS score FROM c), t AS ({_TOP.format(10)}) SELECT count(*)::BIGINT AS pairs, true AS enough FROM t")
+def approximate_recall(spark, d):
+    """Hashed nearest-vector search against the exact one: whether it finds nine tenths of the ten nearest of every query."""
+    mine, wanted = vectors(spark, d).drop("label"), query_vectors(spark, d)
+    near = search.dense_leg_approximate(mine, wanted, 10).select("query_id", "doc_id", F.lit(1).alias("met"))
+    both = search.dense_leg(mine, wanted, 10).join(near, ["query_id", "doc_id"], "left")
+    return both.agg(F.count(F.lit(1)).alias("pairs"), (F.count("met") >= 0.9 * F.count(F.lit(1))).alias("enough"))
 
 
 #: Korean queries for the rule-based expansion.
-KOREAN = ["뽁뽁이 포장 상태에 만족한 리뷰", "배터리 빨리 닳아서 불만", "배터리 파손", "비추천", "카메라 화질 좋은지", "가성비", "화면이 별로", "the the"]
+KOREAN = [
+    "뽁뽁이 포장 상태에 만족한 리뷰", "배터리 빨리 닳아서 불만", "배터리 파손", "비추천", "카메라 화질 좋은지", "가성비", "화면이 별로", "the the",
+    "배터리 오래 가는 만족 리뷰", "카메라 별로 실망", "교환 AS 친절 만족", "발열 심 불편", "속도 느리 버벅", "색상 예쁘 디자인 만족", "가격 할인 혜택 좋",
+]
 
 
 def _case(table: dict[str, list[str]], column: str) -> str:
@@ -199,103 +245,303 @@ def expand_query(spark, d):
     return search.expand(korean(spark)).select("query_id", F.explode("bm25_terms").alias("term"))
 
 
-def legs(spark, d):
-    lex = search.ranked(lexical.match(index_of(spark, d, ["content"]), asked(spark, d), tokens(), {"content": 3.0}).withColumn("score", F.round("score", 5)), vocab.LEXICAL_TOP)
-    scored = vectors(spark, d).join(query_vectors(spark, d).select("query_id", F.col("vector").alias("qv"))).select("query_id", "doc_id", F.round((1 + arrays.cosine(F.col("vector"), F.col("qv"))) / 2, 5).alias("score"))
-    return lex, search.ranked(scored, vocab.DENSE_TOP)
+@query(f"""WITH {_AIMED}, e AS (SELECT *, {_lists(vocab.ASPECT_TERMS)} AS asp, {_lists(vocab.POSITIVE_TERMS)} AS pos, {_lists(vocab.NEGATIVE_TERMS)} AS neg, {_lists(vocab.POSITIVE_PHRASES)} AS pp, {_lists(vocab.NEGATIVE_PHRASES)} AS np, {_VARIANTS} AS var FROM a),
+x AS (SELECT *, var || asp || CASE sentiment WHEN 'positive' THEN pos WHEN 'negative' THEN neg ELSE []::VARCHAR[] END AS terms, CASE sentiment WHEN 'positive' THEN neg || np WHEN 'negative' THEN pos || pp ELSE []::VARCHAR[] END AS against FROM e)
+SELECT query_id, query, aspect AS target_aspect, sentiment AS target_sentiment, array_to_string(list_sort(list_distinct(terms)), '|') AS bm25_terms, array_to_string(list_sort(list_distinct(terms)), '|') AS should_include,
+query AS dense_queries, array_to_string(asp, '|') AS must_include, array_to_string(asp, '|') AS aspect_terms, array_to_string(against, '|') AS should_exclude, array_to_string(pos, '|') AS positive_terms, array_to_string(neg, '|') AS negative_terms,
+array_to_string(pp, '|') AS positive_phrases, array_to_string(np, '|') AS negative_phrases FROM x""")
+def expand_query_all(spark, d):
+    """All columns of the expansion; lists joined, those of unlike origin sorted."""
+    found = search.expand(korean(spark))
+    sorted_lists = [F.array_join(F.array_sort(c), "|").alias(c) for c in ("bm25_terms", "should_include")]
+    lists = [F.array_join(c, "|").alias(c) for c in ("dense_queries", "must_include", "aspect_terms", "should_exclude", "positive_terms", "negative_terms", "positive_phrases", "negative_phrases")]
+    return found.select("query_id", "query", "target_aspect", "target_sentiment", *sorted_lists, *lists)
+
+
+#: Sentences that make reviews of the documents: each document's text is followed by one, and another is its survey's answer.
+LINES = [
+    "배터리 오래 가서 하루 종일 만족", "포장 꼼꼼 안전하게 도착 만족", "박스 파손 포장 없이 와서 불만", "카메라 별로 화질 실망", "사진 잘 나와 카메라 만족", "속도 느리 버벅 불편", "색상 예쁘 가볍 디자인 만족",
+    "화면 어둡 끊 아쉽", "가격 비싸 부담 할인", "교환 빠르 친절 AS 만족", "발열 심 너무 뜨겁 불편", "배터리 빨리 닳 방전 불만", "그냥 그래요",
+]
+TITLES = ["배터리 후기", "포장 후기", "카메라 화면 후기", "the phone", ""]
+#: Vectors of texts for the queries' sake: counts of these characters, as SQL can count them too.
+CHARACTERS = "배터리포장카메라속도화면가격발열교환색상만족불"
+
+
+def counted_vector(c):
+    return F.array(*[(F.length(c) - F.length(F.replace(c, F.lit(x)))).cast("double") for x in CHARACTERS])
+
+
+def korean_reviews(spark, d):
+    """Enriched reviews with vectors, written once: every document with a Korean sentence behind its text, a title and an answer."""
+
+    def make():
+        pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+        i = F.col("doc_id")
+        docs = spread(load(spark, d, "documents")).select(
+            i.cast("string").alias("review_id"), F.col("source").alias("product_name"), F.col("lang").alias("item_name"), pick(TITLES, i).alias("title"), F.concat("text", F.lit(" "), pick(LINES, i)).alias("content"),
+            F.array(F.struct(F.lit("how?").alias("question"), pick(LINES, F.floor(i / len(LINES))).alias("answer"))).alias("review_survey_answers"),
+        )
+        return written(enrich.enrich(docs).withColumn("vector", counted_vector(F.coalesce("content", F.lit("")))), "reviews")
+
+    return stored(spark, d, "reviews", make)
+
+
+def korean_index(spark, d):
+    return stored(spark, d, "review-index", lambda: written_index(search.review_index(korean_reviews(spark, d), only=search.asked_terms(expansions(spark, d))), "review-index"))
+
+
+def expansions(spark, d):
+    return stored(spark, d, "expansions", lambda: search.settled(search.expand(korean(spark))))
+
+
+def legs(spark, d) -> search.Legs:
+    """All stages of the search for the Korean queries, made once."""
+    return stored(spark, d, "legs", lambda: search.search_batch(korean_reviews(spark, d), expansions(spark, d), korean_index(spark, d), embedder=counted_vector))
+
+
+def _pick(values: list[str], n: str) -> str:
+    return f"({_list(values)})[(({n}) % {len(values)})::INT + 1]"
+
+
+def _has(terms: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(b, '{t}')" for t in terms) + ")"
+
+
+def _listed(parts: list[str]) -> str:
+    return "(" + " || ".join(parts) + ")"
+
+
+_NONE = "[]::VARCHAR[]"
+_FOUND = _listed([f"CASE WHEN {_has(ts)} THEN ['{a}'] ELSE {_NONE} END" for a, ts in vocab.ASPECT_TERMS.items()])
+_WORDS = _listed([f"CASE WHEN contains(b, '{t}') THEN ['{t}'] ELSE {_NONE} END" for ts in vocab.ASPECT_TERMS.values() for t in ts])
+_MOOD = lambda a: f"CASE WHEN {_has(vocab.POSITIVE_TERMS[a])} AND {_has(vocab.NEGATIVE_TERMS[a])} THEN 'mixed' WHEN {_has(vocab.POSITIVE_TERMS[a])} THEN 'positive' WHEN {_has(vocab.NEGATIVE_TERMS[a])} THEN 'negative' ELSE 'neutral' END"
+_PROOF = lambda ts: "CASE " + " ".join(f"WHEN contains(b, '{t}') THEN '{t}'" for t in ts) + " END"
+_ISSUES = _listed([f"CASE WHEN {_has(ts)} THEN [{{'c': '{a}', 'm': {_MOOD(a)}, 'e': {_PROOF(ts)}}}] ELSE []::STRUCT(c VARCHAR, m VARCHAR, e VARCHAR)[] END" for a, ts in vocab.ASPECT_TERMS.items()])
+_OTHERS = "['기타', '기타', '기타', '기타', '기타']"
+_VECTOR = lambda c: "[" + ", ".join(f"length({c}) - length(replace({c}, '{x}', ''))" for x in CHARACTERS) + "]::DOUBLE[]"
 
+#: The enriched reviews in SQL.
+_ENRICHED = f"""kd AS (SELECT doc_id AS num, doc_id::VARCHAR AS doc_id, source AS product_name, lang AS item_name, {_pick(TITLES, 'doc_id')} AS title, text || ' ' || {_pick(LINES, 'doc_id')} AS content,
+  coalesce(text || ' ' || {_pick(LINES, 'doc_id')}, '') AS b, {_pick(LINES, f'doc_id // {len(LINES)}')} AS answer FROM documents),
+en AS MATERIALIZED (SELECT *, regexp_replace(left(b, 80), '^\\s+|\\s+$', '', 'g') AS short_summary, ({_FOUND} || {_OTHERS})[1:3] AS cats, ({_WORDS} || {_OTHERS})[1:5] AS kws, ({_ISSUES})[1:3] AS issues, {_VECTOR('b')} AS vector FROM kd)"""
 
-_LEGS = f"""{_scored(_CONTENT, {'content': 3})}, lex AS (SELECT * FROM (SELECT query_id, doc_id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, doc_id) AS rank FROM s) WHERE rank <= 100),
-{_COSINE}, den AS (SELECT * FROM (SELECT query_id, doc_id, round((1 + cos) / 2, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round((1 + cos) / 2, 5) DESC, doc_id) AS rank FROM c) WHERE rank <= 100),
+
+@query(f"""WITH {_ENRICHED} SELECT doc_id, array_to_string(cats, '|') AS categories, array_to_string(kws, '|') AS keywords, array_to_string([x.c || ':' || x.m || ':' || x.e FOR x IN issues], '|') AS issues, short_summary FROM en""")
+def rule_enrich(spark, d):
+    """The rule-based enricher over reviews that hold Korean aspect terms."""
+    told = F.transform("issue_sentiments", lambda s: F.concat_ws(":", s["issue_category"], s["sentiment"], s["evidence"]))
+    return korean_reviews(spark, d).select(F.col("review_id").alias("doc_id"), F.array_join("issue_category", "|").alias("categories"), F.array_join("aspect_keywords", "|").alias("keywords"), F.array_join(told, "|").alias("issues"), "short_summary")
+
+
+_BODY = {"content": "content", "title": "title", "short_summary": "short_summary", "aspect_keywords": "array_to_string(kws, ' ')", "product_name": "product_name", "item_name": "item_name"}
+_CASED = lambda c: f"regexp_extract_all(coalesce({c}, ''), '[\\p{{L}}\\p{{N}}]+')"
+_WEIGH = "ln(1 + (n - df + 0.5) / (df + 0.5))"
+
+
+def _tables(source: str, name: str, fields: dict[str, str]) -> str:
+    """Postings, document frequencies and lengths of a source's fields, as name_o, name_p, name_df, name_st."""
+    flat = " UNION ALL ".join(f"SELECT doc_id, '{f}' AS field, {_CASED(c)} AS t FROM {source}" for f, c in fields.items())
+    return f"""{name}_t AS ({flat}), {name}_o AS MATERIALIZED (SELECT doc_id, field, len(t) AS dl, unnest(t) AS term, unnest(range(0, len(t))) AS place FROM {name}_t),
+    {name}_p AS MATERIALIZED (SELECT field, term, doc_id, count(*) AS tf, max(dl) AS dl FROM {name}_o GROUP BY ALL), {name}_df AS MATERIALIZED (SELECT field, term, count(*) AS df FROM {name}_p GROUP BY ALL),
+    {name}_st AS MATERIALIZED (SELECT field, count(*) AS n, avg(len(t)) AS avgdl FROM {name}_t WHERE len(t) > 0 GROUP BY field)"""
+
+
+def _match(name: str, index: str, terms: str, weights: dict[str, float], boost: float, mode: str, where: str = "TRUE") -> str:
+    """A clause as a table of (query_id, doc_id, score)."""
+    w = ", ".join(f"('{f}', {x * boost}::DOUBLE)" for f, x in weights.items())
+    return f"""{name} AS (SELECT query_id, doc_id, {mode}(score) AS score FROM (SELECT query_id, doc_id, field, sum(w * c * {_GAIN}) AS score
+    FROM {index}_p JOIN (SELECT query_id, term, count(*) AS c FROM (SELECT query_id, unnest({terms}) AS term FROM x WHERE {where}) GROUP BY ALL) USING (term) JOIN {index}_df USING (field, term) JOIN {index}_st USING (field)
+    JOIN (VALUES {w}) v(field, w) USING (field) GROUP BY ALL) GROUP BY query_id, doc_id)"""
+
+
+_OF = lambda c: _CASED(f"array_to_string({c}, ' ')")
+_TOLD = "aspect <> '기타'"
+_PHRASES = ", ".join(f"('{f}', {w * 2.4}::DOUBLE)" for f, w in vocab.PHRASE_FIELDS.items())
+_CLAUSES = f"""{_AIMED}, e AS (SELECT *, {_lists(vocab.ASPECT_TERMS)} AS asp, {_lists(vocab.POSITIVE_TERMS)} AS pos, {_lists(vocab.NEGATIVE_TERMS)} AS neg, {_VARIANTS} AS var FROM a),
+x AS MATERIALIZED (SELECT *, list_distinct(var || asp || CASE sentiment WHEN 'positive' THEN pos WHEN 'negative' THEN neg ELSE {_NONE} END) AS terms, CASE sentiment WHEN 'positive' THEN pos ELSE neg END AS mood,
+  CASE sentiment WHEN 'positive' THEN {_lists(vocab.POSITIVE_PHRASES)} WHEN 'negative' THEN {_lists(vocab.NEGATIVE_PHRASES)} ELSE {_NONE} END AS phrases FROM e),
+{_ENRICHED}, {_tables('en', 'r', _BODY)}, an AS (SELECT doc_id, answer FROM en), {_tables('an', 'n', {'answer': 'answer'})},
+el AS (SELECT doc_id AS parent, doc_id || '/' || nth AS doc_id, i.c AS cat, i.m AS sen, i.e AS ev FROM (SELECT doc_id, unnest(issues) AS i, unnest(range(1, len(issues) + 1)) AS nth FROM en)), {_tables('el', 'i', {'evidence': 'ev'})},
+{_match('c_query', 'r', _CASED('query'), vocab.SEARCH_FIELDS, 3.0, 'max')}, {_match('c_answers', 'n', _CASED('query'), {'answer': 1.0}, 0.6, 'max')},
+{_match('c_expanded', 'r', _OF('terms'), vocab.SEARCH_FIELDS, 1.2, 'sum')}, {_match('c_aspect', 'r', _OF('asp'), vocab.ASPECT_FIELDS, 1.6, 'sum')}, {_match('c_sentiment', 'r', _OF('mood'), vocab.SENTIMENT_FIELDS, 0.8, 'sum', _TOLD)},
+c_category AS (SELECT query_id, doc_id, 2.2 * {_WEIGH} AS score FROM (SELECT DISTINCT doc_id, unnest(cats) AS cat FROM en) k JOIN (SELECT query_id, aspect FROM x WHERE {_TOLD}) q ON k.cat = q.aspect
+  JOIN (SELECT cat, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(cats) AS cat FROM en) GROUP BY cat) USING (cat), (SELECT count(*) AS n FROM en)),
+{_match('i_aspect', 'i', _OF('asp'), {'evidence': 1.5}, 2.2, 'max')}, {_match('i_mood', 'i', _OF('mood'), {'evidence': 1.0}, 1.6, 'max')},
+i_should AS (SELECT query_id, doc_id, sum(score) AS should FROM (SELECT * FROM i_aspect UNION ALL SELECT * FROM i_mood) GROUP BY ALL),
+i_n AS (SELECT count(*) AS n FROM el), i_c AS (SELECT cat, {_WEIGH} AS ic FROM (SELECT cat, count(*) AS df FROM el GROUP BY cat), i_n), i_s AS (SELECT sen, {_WEIGH} AS isn FROM (SELECT sen, count(*) AS df FROM el GROUP BY sen), i_n),
+c_issue AS (SELECT query_id, parent AS doc_id, max(3 * ic + CASE WHEN sentiment IN ('positive', 'negative') THEN 3 * isn ELSE 0 END + coalesce(should, 0)) AS score
+  FROM el JOIN (SELECT query_id, aspect, sentiment FROM x WHERE {_TOLD}) q ON cat = aspect AND (sentiment NOT IN ('positive', 'negative') OR sen = sentiment) JOIN i_c USING (cat) JOIN i_s USING (sen) LEFT JOIN i_should USING (query_id, doc_id) GROUP BY query_id, parent),
+ph AS (SELECT query_id, nth, len(w) AS length, unnest(w) AS term, unnest(range(0, len(w))) AS spot FROM (SELECT query_id, nth, {_CASED('phrase')} AS w FROM (SELECT query_id, unnest(phrases) AS phrase, unnest(range(0, len(phrases))) AS nth FROM x))),
+ph_hit AS (SELECT query_id, nth, length, field, r_o.doc_id, place - spot AS first_at, count(*) AS found, sum({_WEIGH}) AS idf, max(dl) AS dl, max(avgdl) AS avgdl FROM r_o JOIN ph USING (term) JOIN r_df USING (field, term) JOIN r_st USING (field) GROUP BY ALL),
+ph_s AS (SELECT query_id, nth, field, doc_id, max(w) * max(idf) * count(*) * 2.2 / (count(*) + 1.2 * (1 - 0.75 + 0.75 * max(dl) / max(avgdl))) AS score FROM ph_hit JOIN (VALUES {_PHRASES}) v(field, w) USING (field) WHERE found = length GROUP BY query_id, nth, field, doc_id),
+c_phrase AS (SELECT query_id, doc_id, sum(score) AS score FROM (SELECT query_id, nth, doc_id, max(score) AS score FROM ph_s GROUP BY ALL) GROUP BY query_id, doc_id)"""
+
+
+def _register_clause(name: str) -> None:
+    def run(spark, d):
+        return rounded(search.clauses(korean_reviews(spark, d), expansions(spark, d), korean_index(spark, d))[name])
+
+    run.__name__ = f"clause_{name}"
+    query(f"WITH {_CLAUSES} SELECT query_id::INT AS query_id, doc_id, round(score, 5) AS score FROM c_{name}")(run)
+
+
+CLAUSES = ("query", "answers", "expanded", "aspect", "sentiment", "category", "issue", "phrase")
+for _name in CLAUSES:
+    _register_clause(_name)
+
+_WANTED = "aspect <> '기타' AND sentiment IN ('positive', 'negative')"
+_ALLOWED = f"(NOT ({_WANTED}) OR len([1 FOR s IN issues IF s.c = aspect AND s.m = sentiment]) > 0)"
+_LEGS = f"""{_CLAUSES}, scored AS (SELECT query_id, doc_id, round(sum(score), 9) AS score FROM ({' UNION ALL '.join(f'SELECT query_id, doc_id, score FROM c_{c}' for c in CLAUSES)}) GROUP BY query_id, doc_id),
+lex AS (SELECT * FROM (SELECT query_id, doc_id, s.score, row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, doc_id) AS rank FROM scored s JOIN en USING (doc_id) JOIN x USING (query_id) WHERE {_ALLOWED}) WHERE rank <= 100),
+qv AS (SELECT query_id, aspect, sentiment, {_VECTOR('query')} AS qv FROM x),
+cs AS (SELECT query_id, doc_id, round((1 + round(CASE WHEN list_inner_product(vector, vector) * list_inner_product(qv, qv) = 0 THEN 0 ELSE list_inner_product(vector, qv) / sqrt(list_inner_product(vector, vector)) / sqrt(list_inner_product(qv, qv)) END, 8)) / 2, 9) AS score FROM en, qv WHERE {_ALLOWED}),
+den AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM cs) WHERE rank <= 100),
 u AS (SELECT query_id, doc_id, 1 / (60 + rank) AS part, score AS b, NULL AS e, rank AS br, NULL AS er FROM lex UNION ALL SELECT query_id, doc_id, 1 / (60 + rank), NULL, score, NULL, rank FROM den),
 f AS (SELECT query_id, doc_id, sum(part) AS rrf, max(b) AS b, max(e) AS e, max(br) AS br, max(er) AS er FROM u GROUP BY query_id, doc_id),
 fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, coalesce(b, 0) DESC, coalesce(e, 0) DESC, br ASC NULLS LAST, er ASC NULLS FIRST, doc_id) AS rank FROM f) WHERE rank <= 50)"""
 
 
-@query(f"WITH {_LEGS} SELECT query_id, doc_id, rank::INT AS rank, round(rrf, 6) AS rrf_score FROM fused")
+@query(f"WITH {_LEGS} SELECT query_id::INT AS query_id, doc_id, rank::INT AS rank, round(score, 5) AS score FROM lex")
+def lexical_leg(spark, d):
+    """The whole bool query with its filter: the hundred best reviews of each query."""
+    return legs(spark, d).lexical.select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
+
+
+@query(f"WITH {_LEGS} SELECT query_id::INT AS query_id, doc_id, rank::INT AS rank, round(score * 1000000000)::BIGINT AS score FROM den")
+def dense_leg(spark, d):
+    """Nearest vectors among the reviews that the query's filter allows."""
+    return legs(spark, d).dense.select("query_id", "doc_id", "rank", F.round(F.col("score") * 1e9).cast("long").alias("score"))
+
+
+@query(f"WITH {_LEGS} SELECT query_id::INT AS query_id, doc_id, rank::INT AS rank, round(rrf, 6) AS rrf_score, br::INT AS bm25_rank, er::INT AS dense_rank FROM fused")
 def rrf_fusion(spark, d):
-    return search.fuse(*legs(spark, d)).select("query_id", "doc_id", "rank", F.round("rrf_score", 6).alias("rrf_score"))
+    found = legs(spark, d)
+    return search.fuse(found.lexical, found.dense).select("query_id", "doc_id", "rank", F.round("rrf_score", 6).alias("rrf_score"), "bm25_rank", "dense_rank")
 
 
 @query(f"WITH {_COSINE}, two AS (SELECT query_id, doc_id, cos FROM c UNION ALL SELECT query_id - 1, doc_id, cos FROM c WHERE query_id > 0), c2 AS (SELECT query_id, doc_id, (1 + max(cos)) / 2 AS score FROM two GROUP BY query_id, doc_id) {_TOP.format(100)}")
 def dense_max_merge(spark, d):
     """A query with two vectors, its own and the next item's: a document's best score counts."""
     own = query_vectors(spark, d).select("query_id", "vector")
-    return rounded(search.dense_leg(vectors(spark, d).drop("label"), own.unionByName(own.where("query_id > 0").withColumn("query_id", F.col("query_id") - 1))))
+    return billionths(search.dense_leg(vectors(spark, d).drop("label"), own.unionByName(own.where("query_id > 0").withColumn("query_id", F.col("query_id") - 1))))
 
 
 def candidates(spark, d):
-    fused = search.fuse(*legs(spark, d)).join(reviews(spark, d).select("doc_id", "content", "product_name"), "doc_id")
-    return search.rerank(fused)
+    docs = korean_reviews(spark, d).select(F.col("review_id").alias("doc_id"), "content", "product_name", "issue_sentiments", "dense_text")
+    return legs(spark, d).fused.join(docs, "doc_id").join(F.broadcast(expansions(spark, d).select("query_id", "query")), "query_id")
 
 
-@query(f"WITH {_LEGS} SELECT query_id, doc_id, round(rrf, 6) AS final_score FROM fused JOIN documents USING (doc_id)")
+@query(f"WITH {_LEGS} SELECT query_id::INT AS query_id, doc_id, round(rrf, 6) AS final_score FROM fused")
 def rerank_fallback(spark, d):
-    return candidates(spark, d).select("query_id", "doc_id", F.round("final_score", 6).alias("final_score"))
+    """Without a cross-encoder the fusion score stands."""
+    return search.rerank(candidates(spark, d)).select("query_id", "doc_id", F.round("final_score", 6).alias("final_score"))
+
+
+@query(f"WITH {_LEGS} SELECT query_id::INT AS query_id, doc_id, CASE WHEN query_id = 0 THEN round(rrf, 6) ELSE (length(dense) % 97)::DOUBLE END AS final_score, query_id = 0 AS failed FROM fused JOIN (SELECT doc_id, '상품명: ' || trim(product_name) || chr(10) || '옵션명: ' || trim(item_name) || chr(10) || CASE WHEN title <> '' THEN '제목: ' || title || chr(10) ELSE '' END || '본문: ' || regexp_replace(content, '^\\s+|\\s+$', '', 'g') || chr(10) || '요약: ' || short_summary || chr(10) || '이슈 카테고리: ' || array_to_string(cats, ', ') || chr(10) || '관점 키워드: ' || array_to_string(kws, ', ') || CASE WHEN len(issues) > 0 THEN chr(10) || '이슈별 감성: ' || array_to_string([s.c || ' | ' || s.m || ' | ' || s.e FOR s IN issues], ' / ') ELSE '' END || chr(10) || '설문 응답: how?: ' || answer AS dense FROM en) USING (doc_id)")
+def rerank_slot(spark, d):
+    """A scorer (the length of the text modulo 97) that fails for the first query, whose candidates keep the fusion score."""
+    first = KOREAN[0]
 
+    def score(queries, texts):
+        if first in set(queries):
+            raise RuntimeError("refused")
+        return texts.str.len() % 97
 
-_FINAL = f"""{_LEGS}, cand AS (SELECT query_id, doc_id, rank, rrf, source, text, row_number() OVER (PARTITION BY query_id, substring(regexp_replace(lower(text), '[^0-9a-z가-힣]', '', 'g'), 1, 200) ORDER BY round(rrf, 12) DESC, rank) AS nth
-  FROM fused JOIN documents USING (doc_id) WHERE length(regexp_replace(coalesce(text, ''), '[^0-9A-Za-z가-힣]', '', 'g')) >= 10),
+    one = search.rerank(candidates(spark, d).where("query_id = 0"), score)
+    rest = search.rerank(candidates(spark, d).where("query_id <> 0"), score)
+    return one.unionByName(rest).select("query_id", "doc_id", F.round("final_score", 6).alias("final_score"), F.col("rerank_error").isNotNull().alias("failed"))
+
+
+_FINAL = f"""{_LEGS}, cand AS (SELECT query_id, doc_id, rank, rrf, product_name, content, row_number() OVER (PARTITION BY query_id, substring(regexp_replace(lower(content), '[^0-9a-z가-힣]', '', 'g'), 1, 200) ORDER BY round(rrf, 12) DESC, rank) AS nth
+  FROM fused JOIN en USING (doc_id) JOIN x USING (query_id) WHERE {_ALLOWED} AND length(regexp_replace(coalesce(content, ''), '[^0-9A-Za-z가-힣]', '', 'g')) >= 10),
 final AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, rank) AS final_rank FROM cand WHERE nth = 1) WHERE final_rank <= 10)"""
 
 
-@query(f"WITH {_FINAL} SELECT query_id, doc_id, final_rank::INT AS final_rank FROM final")
+@query(f"WITH {_FINAL} SELECT query_id::INT AS query_id, doc_id, final_rank::INT AS final_rank FROM final")
 def post_filter(spark, d):
-    return search.post_filter(candidates(spark, d)).select("query_id", "doc_id", "final_rank")
+    return search.post_filter(search.rerank(candidates(spark, d)), expanded=expansions(spark, d)).select("query_id", "doc_id", "final_rank")
 
 
-@query(f"WITH {_FINAL} SELECT query_id, doc_id::VARCHAR AS review_id, final_rank::INT AS final_rank, round(rrf, 6) AS score, source AS product_name FROM final")
+@query(f"WITH {_FINAL} SELECT query_id::INT AS query_id, doc_id AS review_id, final_rank::INT AS final_rank, round(rrf, 6) AS score, product_name, md5(content) AS content FROM final")
 def hybrid_search(spark, d):
-    """Both legs, fusion, rerank by fusion score, post-filter: the ten results of each query."""
-    found = search.post_filter(candidates(spark, d))
-    return found.select("query_id", F.col("doc_id").cast("string").alias("review_id"), "final_rank", F.round("final_score", 6).alias("score"), "product_name")
+    """Expansion, the whole bool query, nearest vectors, fusion, rerank and post-filter: the ten results of each query, searched anew each time in the stored index."""
+    found = search.search_batch(korean_reviews(spark, d), expansions(spark, d), korean_index(spark, d), embedder=counted_vector).final
+    return found.select("query_id", F.col("doc_id").alias("review_id"), "final_rank", F.round("final_score", 6).alias("score"), "product_name", F.md5(F.col("content").cast("binary")).alias("content"))
 
 
-@query(f"WITH {_FINAL} SELECT b.item_id AS query_id, count(doc_id)::BIGINT AS n, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY final_rank), '') AS ids, true AS valid FROM benchmark b LEFT JOIN final ON b.item_id = query_id GROUP BY b.item_id")
+@query(f"WITH {_FINAL} SELECT x.query_id::INT AS query_id, count(doc_id)::BIGINT AS n, coalesce(string_agg(doc_id, ',' ORDER BY final_rank), '') AS ids, true AS valid FROM x LEFT JOIN final ON x.query_id = final.query_id GROUP BY x.query_id")
 def search_output(spark, d):
-    shaped = search.search_output(search.post_filter(candidates(spark, d)), asked(spark, d))
+    shaped = search.search_output(legs(spark, d).final, expansions(spark, d).select("query_id", "query"))
     return shaped.select("query_id", F.size("output.results").cast("long").alias("n"), F.array_join(F.transform("output.results", lambda r: r["review_id"]), ",").alias("ids"), search.valid_output(F.col("output")).alias("valid"))
 
 
-#: Gold of a query: the ten documents whose ids follow its own tenfold; the run: its lexical leg.
-_GOLD = "gold AS (SELECT item_id AS query_id, item_id * 10 + k AS doc_id FROM benchmark, (SELECT unnest(range(0, 10)) AS k))"
+#: Gold of a query: ten reviews whose sentence has the query's number, or for numbers beyond them none; the first query's stand twice.
+_GOLD = f"gold AS (SELECT query_id, (query_id + {len(LINES)} * k)::VARCHAR AS doc_id FROM x, (SELECT unnest(range(0, 10)) AS k) WHERE query_id < {len(LINES)})"
 
 
 def gold(spark, d):
-    return asked(spark, d).select("query_id", F.explode(F.sequence(F.col("query_id") * 10, F.col("query_id") * 10 + 9)).alias("doc_id"))
+    n = len(LINES)
+    some = korean(spark).where(F.col("query_id") < n).select("query_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+    rows = some.select("query_id", (F.col("query_id") + n * F.col("k")).cast("string").alias("doc_id"))
+    return rows.unionByName(rows.where("query_id = 0"))
 
 
-_RECALL = "SELECT g.query_id, count(l.doc_id)::BIGINT AS hits, round(count(l.doc_id) / count(*), 6) AS recall FROM gold g LEFT JOIN lex l ON g.query_id = l.query_id AND g.doc_id = l.doc_id GROUP BY g.query_id"
+_RECALL = "SELECT g.query_id::INT AS query_id, count(l.doc_id)::BIGINT AS hits, round(count(l.doc_id) / count(*), 6) AS recall FROM gold g LEFT JOIN lex l ON g.query_id = l.query_id AND g.doc_id = l.doc_id GROUP BY g.query_id"
 
 
 @query(f"WITH {_LEGS}, {_GOLD} {_RECALL}")
 def recall_at_k(spark, d):
-    return ranking.recall_at(legs(spark, d)[0], gold(spark, d), 100).select("query_id", "hits", F.round("recall", 6).alias("recall"))
+    return ranking.recall_at(legs(spark, d).lexical, gold(spark, d), 100).select("query_id", "hits", F.round("recall", 6).alias("recall"))
 
 
-_AP = "m AS (SELECT g.query_id, l.rank, row_number() OVER (PARTITION BY g.query_id ORDER BY l.rank) AS upto FROM gold g JOIN lex l ON g.query_id = l.query_id AND g.doc_id = l.doc_id WHERE l.rank <= 100), ap AS (SELECT b.item_id AS query_id, coalesce(sum(upto / rank), 0) / 10 AS ap FROM benchmark b LEFT JOIN m ON m.query_id = b.item_id GROUP BY b.item_id)"
+def _ap(run: str, k: int) -> str:
+    return f"(SELECT g.query_id, coalesce(sum(upto / rank), 0) / {min(k, 10)} AS ap FROM (SELECT DISTINCT query_id FROM gold) g LEFT JOIN (SELECT query_id, r.rank, row_number() OVER (PARTITION BY query_id ORDER BY r.rank) AS upto FROM gold JOIN {run} r USING (query_id, doc_id) WHERE r.rank <= {k}) USING (query_id) GROUP BY g.query_id)"
 
 
-@query(f"WITH {_LEGS}, {_GOLD}, {_AP} SELECT query_id, round(ap, 6) AS ap FROM ap")
+@query(f"WITH {_LEGS}, {_GOLD} SELECT query_id::INT AS query_id, round(ap, 6) AS ap FROM {_ap('lex', 100)}")
 def ap_at_k(spark, d):
-    return ranking.average_precision(legs(spark, d)[0], gold(spark, d), 100).select("query_id", F.round("ap", 6).alias("ap"))
+    return ranking.average_precision(legs(spark, d).lexical, gold(spark, d), 100).select("query_id", F.round("ap", 6).alias("ap"))
 
 
-@query(f"WITH {_LEGS}, {_GOLD}, {_AP}, rc AS ({_RECALL}) SELECT 'kind_' || (query_id % 3) AS category, count(*)::BIGINT AS queries, round(avg(ap), 5) AS map, round(avg(recall), 5) AS recall FROM ap JOIN rc USING (query_id) GROUP BY 1")
+@query(f"WITH {_LEGS}, {_GOLD}, ap AS {_ap('lex', 100)}, rc AS ({_RECALL}) SELECT 'kind_' || (x.query_id % 3) AS category, count(*)::BIGINT AS queries, round(avg(coalesce(ap, 0)), 5) AS map, round(avg(coalesce(recall, 0)), 5) AS recall FROM x LEFT JOIN ap USING (query_id) LEFT JOIN rc USING (query_id) GROUP BY 1")
 def map_by_category(spark, d):
-    named = asked(spark, d).withColumn("category", F.concat(F.lit("kind_"), (F.col("query_id") % 3).cast("string")))
-    rolled = ranking.by_category(ranking.evaluate(named, legs(spark, d)[0], gold(spark, d), 100).withColumn("recall", F.round("recall", 6)))
+    """Queries without gold count with 0."""
+    named = korean(spark).withColumn("category", F.concat(F.lit("kind_"), (F.col("query_id") % 3).cast("string")))
+    rolled = ranking.by_category(ranking.evaluate(named, legs(spark, d).lexical, gold(spark, d), 100).withColumn("recall", F.round("recall", 6)))
     return rolled.select("category", "queries", F.round("map", 5).alias("map"), F.round("recall", 5).alias("recall"))
 
 
-@query(f"WITH {_LEGS}, {_GOLD} SELECT query_id, doc_id FROM gold ANTI JOIN lex USING (query_id, doc_id)")
+@query(f"WITH {_LEGS}, {_GOLD} SELECT query_id::INT AS query_id, doc_id FROM gold ANTI JOIN lex USING (query_id, doc_id)")
 def missing_gold(spark, d):
-    return ranking.missing(legs(spark, d)[0], gold(spark, d), 100)
+    return ranking.missing(legs(spark, d).lexical, gold(spark, d), 100)
+
+
+STAGES = {"bm25": ("lex", 100), "dense": ("den", 100), "rrf": ("fused", 50), "final": ("fin", 10)}
 
 
-@query(f"""WITH {_LEGS}, {_GOLD} SELECT g.query_id, count(l.doc_id)::BIGINT AS bm25_hits, round(count(l.doc_id) / 10, 6) AS bm25_recall, count(n.doc_id)::BIGINT AS dense_hits, round(count(n.doc_id) / 10, 6) AS dense_recall,
-count(f.doc_id)::BIGINT AS rrf_hits, round(count(f.doc_id) / 10, 6) AS rrf_recall FROM gold g LEFT JOIN lex l USING (query_id, doc_id) LEFT JOIN den n USING (query_id, doc_id) LEFT JOIN fused f USING (query_id, doc_id) GROUP BY g.query_id""")
+def stages(spark, d):
+    found = legs(spark, d)
+    final = found.final.select("query_id", "doc_id", F.col("final_rank").alias("rank"))
+    return dict(zip(STAGES, ((found.lexical, 100), (found.dense, 100), (found.fused, 50), (final, 10)), strict=True))
+
+
+def _stage_columns() -> str:
+    return ", ".join(f"coalesce((SELECT count(*) FROM gold g JOIN {t} r USING (query_id, doc_id) WHERE g.query_id = x.query_id AND r.rank <= {k}), 0)::BIGINT AS {s}_hits, round(coalesce((SELECT ap FROM ap_{s} q WHERE q.query_id = x.query_id), 0), 6) AS {s}_ap, coalesce((SELECT string_agg(r.doc_id, ' ' ORDER BY r.rank) FROM {t} r WHERE r.query_id = x.query_id AND r.rank <= {k} AND EXISTS (SELECT 1 FROM x)), '') AS {s}_ids" for s, (t, k) in STAGES.items())
+
+
+_STAGES = f"{_FINAL}, {_GOLD}, fin AS (SELECT query_id, doc_id, final_rank AS rank FROM final), {', '.join(f'ap_{s} AS {_ap(t, k)}' for s, (t, k) in STAGES.items())}, told AS (SELECT x.query_id::INT AS query_id, {_stage_columns()} FROM x)"
+
+
+@query(f"WITH {_STAGES} SELECT query_id, {', '.join(f'{s}_hits, round({s}_hits / 10, 6) AS {s}_recall, {s}_ap, md5({s}_ids) AS {s}_ids' for s in STAGES)} FROM told")
 def stage_summary(spark, d):
-    lex, dense = legs(spark, d)
-    stages = {"bm25": (lex, 100), "dense": (dense, 100), "rrf": (search.fuse(lex, dense), 50)}
-    return ranking.stage_summary(stages, gold(spark, d)).select("query_id", *[F.round(f"{s}_{c}", 6).alias(f"{s}_{c}") if c == "recall" else F.col(f"{s}_{c}") for s in stages for c in ("hits", "recall")])
+    """Ids, hits, recall and average precision of all four stages; zeros for queries without gold."""
+    told = ranking.stage_summary(stages(spark, d), gold(spark, d), korean(spark))
+    each = [c for s in STAGES for c in (F.col(f"{s}_hits").cast("long").alias(f"{s}_hits"), F.round(f"{s}_recall", 6).alias(f"{s}_recall"), F.round(f"{s}_ap", 6).alias(f"{s}_ap"), F.md5(F.array_join(f"{s}_ids", " ").cast("binary")).alias(f"{s}_ids"))]
+    return told.select("query_id", *each)
+
+
+@query(f"WITH {_STAGES} SELECT count(*)::BIGINT AS query_count, round(avg(final_ap), 5) AS map_at_k, {', '.join(f'round(avg({s}_hits / 10), 5) AS mean_{s}_recall' for s in STAGES)} FROM told")
+def macro_means(spark, d):
+    means = ranking.macro_means(ranking.stage_summary(stages(spark, d), gold(spark, d), korean(spark)))
+    return means.select("query_count", *[F.round(c, 5).alias(c) for c in means.columns if c != "query_count"])

@@ -200,16 +200,6 @@ def llm_metadata_defaults(spark, d):
     return meta.select("doc_id", F.array_join("m.issue_category", ",").alias("category"), F.size("m.aspect_keywords").cast("long").alias("n_keywords"), F.col("m.short_summary").alias("summary"))
 
 
-@query("SELECT doc_id, 3::BIGINT AS n_categories, left(text, 80) AS summary FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
-def rule_enrich(spark, d):
-    """The rule-based enricher; the texts hold no Korean aspect terms, so categories are filled up."""
-    meta = load(spark, d, "documents").select("doc_id", enrich.rule_metadata(F.col("text")).alias("m"))
-    return meta.select("doc_id", F.size("m.issue_category").cast("long").alias("n_categories"), F.rpad("m.short_summary", 0, " ").alias("_"), F.col("m.short_summary").alias("summary")).drop("_")
-
-
-ORACLE_SQL["rule_enrich"] = "SELECT doc_id, 3::BIGINT AS n_categories, regexp_replace(left(coalesce(text, ''), 80), '^\\s+|\\s+$', '', 'g') AS summary FROM documents"
-
-
 @query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') NOT IN (SELECT regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL)")
 def checkpoint_antijoin(spark, d):
     """A third of the documents as what a checkpoint holds; all others are new unless their content is known."""

@@ -33,5 +33,5 @@ ONE_SPLIT = 128 << 20
 
 def spread(rows: DataFrame) -> DataFrame:
     """rows, dealt over all cores where the whole table may stand in one task; larger tables are left as their files lie."""
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size < ONE_SPLIT else rows
