@@ -11,8 +11,7 @@ from sorrel.functions.text import clean_sentiment as preprocess_content
 from sorrel.operators import classify, learning
 from sorrel.operators.documents import build_documents
 from sorrel.operators.documents import to_documents as preprocess_record
-from sorrel.operators.search import expand as build_search_body
-from sorrel.operators.search import search
+from sorrel.operators.search import clauses, expand, search
 from sorrel.operators.search import search_output as postprocess_results
 from sorrel.operators.search import valid_output as validate_search_output
 from sorrel.sources import files
@@ -20,6 +19,11 @@ from sorrel.sources import files
 __all__ = ["build_documents", "build_search_body", "postprocess_results", "predict_sentiment", "preprocess_content", "preprocess_record", "run_sentiment_analysis", "search", "validate_search_output"]
 
 
+def build_search_body(documents: DataFrame, queries: DataFrame) -> dict[str, DataFrame]:
+    """The clauses of the full query for each of queries (query_id, query), by name, each as scored documents."""
+    return clauses(documents, expand(queries))
+
+
 def predict_sentiment(rows: DataFrame, predict: Callable[[str], int]) -> DataFrame:
     """(review_id, pred) of rows with review_id and content, by a classifier of single cleaned texts."""
     return learning.predict_with(rows, predict)

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sorrel.operators import classify, learning
+from sorrel.operators import classify, experiments, learning
+from sorrel.scratch import scratch_path
+from sorrel.sources import files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,8 +75,10 @@ def label_distribution(spark, d):
 
 @query(f"WITH {_ROWS} SELECT count(*)::BIGINT AS n, round({_KAPPA}, 6) AS qwk FROM r")
 def eval_alignment(spark, d):
+    """Every prediction stands twice, first as another class: the last counts."""
     r = scored(spark, d)
-    both = classify.align(r.select("review_id", "pred"), r.select("review_id", "label"))
+    twice = r.select("review_id", ((F.col("pred") + 1) % 4).alias("pred"), F.lit(1).alias("at")).unionByName(r.select("review_id", "pred", F.lit(2).alias("at")))
+    both = classify.align(twice, r.select("review_id", "label", F.lit(1).alias("at")), order="at")
     return both.agg(F.count(F.lit(1)).alias("n"), F.round(classify.kappa(), 6).alias("qwk"))
 
 
@@ -86,7 +90,7 @@ def stratified_kfold(spark, d):
     return classify.stratified_folds(scored(spark, d), FOLDS, SEED).select("review_id", "fold")
 
 
-@query(f"WITH {_FOLDED} SELECT fold, count(*)::BIGINT AS n_validation, {', '.join(f'count(*) FILTER (label = {k})::BIGINT AS label_{k}' for k in range(4))}, ((SELECT count(*) FROM f) - count(*))::BIGINT AS n_train FROM f GROUP BY fold")
+@query(f"WITH {_FOLDED} SELECT fold, count(*)::BIGINT AS n_validation, {', '.join(f'count(*) FILTER (label = {k})::BIGINT AS label_{k}, ((SELECT count(*) FROM f WHERE label = {k}) - count(*) FILTER (label = {k}))::BIGINT AS train_label_{k}' for k in range(4))}, ((SELECT count(*) FROM f) - count(*))::BIGINT AS n_train FROM f GROUP BY fold")
 def fold_metadata(spark, d):
     return classify.fold_metadata(classify.stratified_folds(scored(spark, d), FOLDS, SEED))
 
@@ -112,15 +116,44 @@ _weights("effective_number", "(1 - 0.999) / (1 - pow(0.999, n))", beta=0.999)
 _weights("custom", "(label + 1)::DOUBLE", custom=[1, 2, 3, 4])
 _weights("none", "1.0")
 
-_FOLD_KAPPA = f"s AS (SELECT fold, {_KAPPA} AS qwk, avg((label = pred)::INT) AS accuracy FROM f GROUP BY fold)"
+@query(f"WITH {_FOLDED} SELECT g.fold, CASE WHEN f.fold = g.fold THEN 'validation' ELSE 'train' END AS part, review_id FROM f, (SELECT DISTINCT fold FROM f) g")
+def fold_members(spark, d):
+    return classify.fold_members(classify.stratified_folds(scored(spark, d), FOLDS, SEED))
 
 
-@query(f"WITH {_FOLDED}, {_FOLD_KAPPA} SELECT round(avg(qwk), 6) AS qwk_mean, round(stddev_pop(qwk), 6) AS qwk_std, round(avg(accuracy), 6) AS accuracy_mean, round(stddev_pop(accuracy), 6) AS accuracy_std FROM s")
+_FOLD_SCORES = f"""k AS (SELECT g.fold, v.label, (SELECT count(*) FROM f WHERE f.fold = g.fold AND f.label = v.label) AS had, (SELECT count(*) FROM f WHERE f.fold = g.fold AND f.pred = v.label) AS said,
+(SELECT count(*) FROM f WHERE f.fold = g.fold AND f.label = v.label AND f.pred = v.label) AS hit FROM (SELECT DISTINCT fold FROM f) g, (VALUES (0), (1), (2), (3)) v(label)),
+m AS (SELECT fold, avg(2 * hit / (had + said)) AS macro_f1 FROM k WHERE had + said > 0 GROUP BY fold), s AS (SELECT fold, {_KAPPA} AS qwk, avg((label = pred)::INT) AS accuracy, max(macro_f1) AS macro_f1 FROM f JOIN m USING (fold) GROUP BY fold)"""
+_METRICS = ("qwk", "accuracy", "macro_f1")
+
+
+@query(f"WITH {_FOLDED}, {_FOLD_SCORES} SELECT fold, {', '.join(f'round({c}, 6) AS {c}' for c in _METRICS)} FROM s")
+def fold_scores(spark, d):
+    scores = experiments.fold_scores(classify.stratified_folds(scored(spark, d), FOLDS, SEED))
+    return scores.select("fold", *[F.round(c, 6).alias(c) for c in _METRICS])
+
+
+@query(f"WITH {_FOLDED}, {_FOLD_SCORES} SELECT {', '.join(f'round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_std' for c in _METRICS)} FROM s")
 def fold_summary(spark, d):
-    folded = classify.stratified_folds(scored(spark, d), FOLDS, SEED)
-    by_fold = folded.groupBy("fold").agg(classify.kappa().alias("qwk"), classify.accuracy().alias("accuracy")).withColumn("macro_f1", F.lit(0.0))
-    summary = classify.fold_summary(by_fold)
-    return summary.select(*[F.round(c, 6).alias(c) for c in ("qwk_mean", "qwk_std", "accuracy_mean", "accuracy_std")])
+    summary = classify.fold_summary(experiments.fold_scores(classify.stratified_folds(scored(spark, d), FOLDS, SEED)))
+    return summary.select(*[F.round(c, 6).alias(c) for c in summary.columns])
+
+
+@query(f"WITH {_CLASS} SELECT round((SELECT {_KAPPA} FROM r), 6) AS qwk, round((SELECT avg((label = pred)::INT) FROM r), 6) AS accuracy, round((SELECT avg(f1) FROM f WHERE support + predicted > 0), 6) AS macro_f1")
+def out_of_fold(spark, d):
+    """All folds' predictions taken together, after a round through the saved predictions of a run."""
+    folder = scratch_path(spark, "predictions")
+    files.save_predictions(classify.stratified_folds(scored(spark, d), FOLDS, SEED), folder, "m", SEED, FOLDS)
+    said = files.load_predictions(spark, folder, ["m"], SEED, FOLDS)
+    return experiments.out_of_fold(said).select(*[F.round(c, 6).alias(c) for c in _METRICS])
+
+
+_RANDOM = f"('0x' || substring(md5(concat_ws(':', review_id::VARCHAR, '{SEED}')), 1, 8))::BIGINT % 4"
+
+
+@query(f"WITH {_ROWS} SELECT review_id, ({_RANDOM})::INT AS pred FROM r")
+def random_baseline(spark, d):
+    return learning.random_baseline(scored(spark, d), SEED)
 
 
 #: Three made-up members: probabilities from the text's length, and the class of the highest, first on ties.
@@ -139,24 +172,29 @@ def members(spark, d, weighted=True):
 
 
 def _rounded(voted):
-    return voted.select("review_id", *[F.round(F.element_at("scores", k + 1), 6).alias(f"score_{k}") for k in range(4)])
+    return voted.select("review_id", "pred", *[F.round(F.element_at("scores", k + 1), 6).alias(f"score_{k}") for k in range(4)])
 
 
 _HARD = ", ".join(f"round(sum(CASE WHEN pred = {k} THEN weight ELSE 0 END), 6) AS score_{k}" for k in range(4))
 _SOFT = ", ".join(f"round(sum({{w}} * prob[{k + 1}]) / sum({{w}}), 6) AS score_{k}" for k in range(4))
 
 
-@query(f"WITH {_MEMBERS} SELECT review_id, {_HARD} FROM q GROUP BY review_id")
+def _voted(scores: str) -> str:
+    """Votes with the class of the highest, first on ties."""
+    return f"WITH {_MEMBERS}, v AS (SELECT review_id, {scores} FROM q GROUP BY review_id) SELECT *, (list_position([score_0, score_1, score_2, score_3], greatest(score_0, score_1, score_2, score_3)) - 1)::INT AS pred FROM v"
+
+
+@query(_voted(_HARD))
 def ensemble_hard(spark, d):
     return _rounded(classify.hard_vote(members(spark, d)))
 
 
-@query(f"WITH {_MEMBERS} SELECT review_id, {_SOFT.format(w='1')} FROM q GROUP BY review_id")
+@query(_voted(_SOFT.format(w="1")))
 def ensemble_soft(spark, d):
     return _rounded(classify.soft_vote(members(spark, d, weighted=False)))
 
 
-@query(f"WITH {_MEMBERS} SELECT review_id, {_SOFT.format(w='weight')} FROM q GROUP BY review_id")
+@query(_voted(_SOFT.format(w="weight")))
 def ensemble_weighted(spark, d):
     return _rounded(classify.soft_vote(members(spark, d)))
 

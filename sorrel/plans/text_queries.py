@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from sorrel.functions import arrays, text
 from sorrel.operators import documents as docs_ops
 from sorrel.operators import enrich, learning, lexical
+from sorrel.scratch import scratch_path, written
+from sorrel.session import spread
 from sorrel.sources import files
-from sorrel.vocab import ASPECT_TERMS, ISSUE_CATEGORIES
+from sorrel.streaming import ingest
+from sorrel.vocab import ISSUE_CATEGORIES
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -20,6 +21,11 @@ def load(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def texts(spark, d):
+    """documents, dealt over all cores where they are few."""
+    return spread(load(spark, d, "documents"))
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
@@ -44,12 +50,27 @@ _SIGNAL = "length(c) >= 10 AND length(regexp_replace(c, '[^0-9A-Za-z가-힣]', '
 @query(f"SELECT doc_id, md5({_CLEAN}) AS cleaned, length({_CLEAN})::BIGINT AS n FROM documents")
 def clean_text_doc(spark, d):
     c = text.clean_document(F.col("text"))
-    return load(spark, d, "documents").select("doc_id", c.alias("c")).select("doc_id", F.md5(F.col("c").cast("binary")).alias("cleaned"), F.length("c").cast("long").alias("n"))
+    return texts(spark, d).select("doc_id", c.alias("c")).select("doc_id", F.md5(F.col("c").cast("binary")).alias("cleaned"), F.length("c").cast("long").alias("n"))
 
 
 @query(f"SELECT doc_id, md5({_CLEAN_SENTIMENT}) AS cleaned FROM documents")
 def clean_text_sentiment(spark, d):
-    return load(spark, d, "documents").select("doc_id", F.md5(text.clean_sentiment(F.col("text")).cast("binary")).alias("cleaned"))
+    return texts(spark, d).select("doc_id", F.md5(text.clean_sentiment(F.col("text")).cast("binary")).alias("cleaned"))
+
+
+#: What is hung on every document, and what by hand each cleaner must make of it: entities, wide letters, a zero-width character,
+#: a tag, an address, a URL, a number, control characters, and runs of letters and marks. NFKC turns a lone ㅋ or ㅎ into another character.
+HUNG = " &lt;b&gt;굿&lt;/b&gt; ＡＢ１ ze\u200bro ㅋㅋㅋㅋㅋㅋㅋ ㅎㅎㅎㅎㅎ ㅠㅠㅠㅠㅠㅠ 좋아아아아아 !!!!! ???? wow..... a.b@c.co http://x.y/z?q 010-1234-5678 &amp; end"
+HUNG_DOCUMENT = " 굿 AB1 zero " + "\u110f" * 7 + " " + "\u1112" * 5 + " " + "\u1172" * 6 + " 좋아아아아아 !!! ??? wow... & end"
+HUNG_SENTIMENT = " 굿 ＡＢ１ zero ㅋㅋㅋㅋ ㅎㅎㅎㅎ ㅠㅠㅠㅠ 좋아아 !!! ??? wow... & end"
+
+
+@query(f"SELECT doc_id, md5(trim({_CLEAN} || '{HUNG_DOCUMENT}')) AS document, md5(trim({_CLEAN_SENTIMENT} || '{HUNG_SENTIMENT}')) AS sentiment FROM documents")
+def clean_hung(spark, d):
+    """Both cleaners on texts that hold something for every step."""
+    hung = texts(spark, d).select("doc_id", F.concat("text", F.lit(HUNG)).alias("t"))
+    cleaned = hung.select("doc_id", text.clean_document(F.col("t")).alias("a"), text.clean_sentiment(F.col("t")).alias("b"))
+    return cleaned.select("doc_id", F.md5(F.col("a").cast("binary")).alias("document"), F.md5(F.col("b").cast("binary")).alias("sentiment"))
 
 
 @query(r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS stripped FROM pages")
@@ -75,39 +96,53 @@ def dedupe_first(spark, d):
 
 
 def review_rows(spark, d):
-    """documents in the shape of raw reviews."""
-    rows = load(spark, d, "documents").select(F.col("doc_id").cast("string").alias("reviewId"), F.col("source").alias("product_name"), F.col("lang").alias("itemName"), F.col("text").alias("content"), F.lit("5").alias("rating"))
-    have = set(rows.columns)
-    rest = [f for f in spark.createDataFrame([], files.REVIEW_SCHEMA).schema.fields if f.name not in have]
-    return rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in rest])
-
-
-@query(f"""WITH c AS (SELECT doc_id::VARCHAR AS review_id, source AS product_name, lang AS item_name, {_CLEAN} AS c FROM documents),
-k AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(lower(c), '[^0-9a-z가-힣]', '', 'g') ORDER BY review_id) AS nth FROM c WHERE {_SIGNAL} AND coalesce(product_name, '') <> '')
-SELECT review_id, product_name, item_name, md5(c) AS content, 5 AS rating, false AS has_image,
-       md5('상품명: ' || product_name || chr(10) || '옵션명: ' || item_name || chr(10) || '본문: ' || c) AS dense FROM k WHERE nth = 1""")
+    """documents in the shape of raw reviews, every field filled; three in a row share an id."""
+    i = F.col("doc_id")
+    answer = lambda q, t: F.struct(F.lit(q).alias("question"), t.alias("answer"))
+    return texts(spark, d).select(
+        (i - i % 3).cast("string").alias("reviewId"), F.lit(None).cast("string").alias("review_id"), F.when(i % 2 == 0, F.lit("2024-01-02T03:04:05")).otherwise(F.concat((i * 1000).cast("string"))).alias("reviewAt"),
+        F.col("source").alias("product_name"), F.lit("").alias("itemName"), F.col("lang").alias("item_name"), F.concat(F.lit("&lt;i&gt;T&lt;/i&gt; "), F.col("lang")).alias("title"), F.col("text").alias("content"),
+        F.when(i % 4 == 0, F.lit("nan")).otherwise(F.col("source")).alias("summary"), F.lit(None).cast("string").alias("short_summary"), F.lit(None).cast("string").alias("aspect"), F.array("lang", "source").alias("aspect_keywords"),
+        F.when(i % 5 == 0, F.lit("NaN")).otherwise((i % 5).cast("string")).alias("rating"), F.array(answer("ok?", F.col("source")), answer("", F.lit("x")), answer("why", F.concat(F.lit("&amp; "), F.col("lang")))).alias("reviewSurveyAnswers"),
+        F.lit("3").alias("helpfulCount"), F.lit("2").alias("helpfulTrueCount"), F.lit("1").alias("helpfulFalseCount"), F.when(i % 2 == 0, F.array(F.lit("a"))).alias("attachments"), F.array().cast("array<string>").alias("videoAttachments"), "doc_id",
+    )
+
+
+def _greedy(rows: str) -> str:
+    """The rows that a pass in order keeps, by recursion: rows is a table of (k, id, print), numbered from 1."""
+    known = "list_contains(ids, r.id) OR list_contains(prints, r.print)"
+    step = lambda a, b: f"CASE WHEN {known} THEN {a} ELSE list_append({a}, r.{b}) END"
+    return f"""walked AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS ids, []::VARCHAR[] AS prints, []::BIGINT[] AS kept
+  UNION ALL SELECT r.k, {step('ids', 'id')}, {step('prints', 'print')}, {step('kept', 'k')} FROM walked JOIN {rows} r ON r.k = walked.k + 1),
+stays AS (SELECT unnest(kept) AS k FROM (SELECT kept FROM walked ORDER BY k DESC LIMIT 1))"""
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT doc_id, (doc_id - doc_id % 3)::VARCHAR AS id, source, lang, {_CLEAN} AS c FROM documents),
+u AS (SELECT *, md5({_PRINT.replace('text', 'c')}) AS print, row_number() OVER (ORDER BY doc_id) AS k FROM c WHERE {_SIGNAL} AND coalesce(source, '') <> ''), {_greedy('u')}
+SELECT id AS review_id, (CASE WHEN doc_id % 2 = 0 THEN 1704164645 ELSE doc_id END)::BIGINT AS review_at, source AS product_name, lang AS item_name, 'T ' || lang AS title, md5(c) AS content, (doc_id % 5)::INT AS rating, 3 AS helpful_count, 2 AS helpful_true_count,
+       1 AS helpful_false_count, doc_id % 2 = 0 AS has_image, false AS has_video, CASE WHEN doc_id % 4 > 0 THEN source END AS short_summary, lang || ' ' || source AS aspect, 'ok?=' || source || ';why=& ' || lang AS answers,
+       md5('상품명: ' || source || chr(10) || '옵션명: ' || lang || chr(10) || '제목: T ' || lang || chr(10) || '본문: ' || c || chr(10) || CASE WHEN doc_id % 4 > 0 THEN '요약: ' || source || chr(10) ELSE '' END || '관점 키워드: ' || lang || ' ' || source || chr(10) || '설문 응답: ok?: ' || source || ' / why: & ' || lang) AS dense
+FROM u JOIN stays USING (k)""")
 def build_documents(spark, d):
-    built = docs_ops.build_documents(review_rows(spark, d))
-    return built.select("review_id", "product_name", "item_name", F.md5(F.col("content").cast("binary")).alias("content"), "rating", "has_image", F.md5(F.col("dense_text").cast("binary")).alias("dense"))
+    """Reviews in order of doc_id, of which those that share an id or a content with one kept before are dropped."""
+    built = docs_ops.build_documents(review_rows(spark, d), "doc_id")
+    told = F.array_join(F.transform("review_survey_answers", lambda s: F.concat(s["question"], F.lit("="), s["answer"])), ";")
+    return built.select(
+        "review_id", F.unix_timestamp("review_at").alias("review_at"), "product_name", "item_name", "title", F.md5(F.col("content").cast("binary")).alias("content"), "rating", "helpful_count", "helpful_true_count", "helpful_false_count",
+        "has_image", "has_video", "short_summary", F.array_join("aspect_keywords", "|").alias("aspect"), told.alias("answers"), F.md5(F.col("dense_text").cast("binary")).alias("dense"),
+    )
 
 
-@query(f"""SELECT count(*)::BIGINT AS kept FROM (SELECT 1 FROM (SELECT {_CLEAN} AS c, row_number() OVER (PARTITION BY regexp_replace(lower({_CLEAN}), '[^0-9a-z가-힣]', '', 'g') ORDER BY doc_id) AS nth FROM documents) WHERE nth = 1)""")
+@query(f"""WITH RECURSIVE u AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, (doc_id // 2)::VARCHAR AS id, md5({_PRINT}) AS print FROM documents), {_greedy('u')} SELECT doc_id FROM u JOIN stays USING (k)""")
 def dedupe_greedy(spark, d):
-    rows = load(spark, d, "documents").select("doc_id", text.fingerprint(text.clean_document(F.col("text"))).alias("print"))
-    return docs_ops.dedupe_greedy(rows, "doc_id", "print", "doc_id").agg(F.count(F.lit(1)).alias("kept"))
-
-
-@query("""SELECT conv_id, count(*)::BIGINT AS answers, string_agg(role || ': ' || left(trim(text), 40), ' / ' ORDER BY turn, text) AS survey FROM conversations WHERE coalesce(role, '') <> '' AND coalesce(text, '') <> '' GROUP BY conv_id""")
-def survey_nested(spark, d):
-    rows = load(spark, d, "conversations").where((F.coalesce("role", F.lit("")) != "") & (F.coalesce("text", F.lit("")) != ""))
-    nested = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))).alias("turns"))
-    lines = F.transform("turns", lambda s: F.concat(s["role"], F.lit(": "), F.substring(F.trim(s["text"]), 1, 40)))
-    return nested.select("conv_id", F.size("turns").cast("long").alias("answers"), F.array_join(lines, " / ").alias("survey"))
+    """The rows that a pass in order of doc_id keeps, where two in a row share an id."""
+    rows = texts(spark, d).select("doc_id", F.floor(F.col("doc_id") / 2).alias("id"), text.fingerprint(F.col("text")).alias("print"))
+    return docs_ops.dedupe_greedy(rows, "id", "print", "doc_id").select("doc_id")
 
 
 @query("""SELECT conv_id, count(*)::BIGINT AS answers, md5(string_agg(role || ': ' || trim(text), ' / ' ORDER BY turn, text, role)) AS survey FROM conversations WHERE coalesce(role, '') <> '' AND coalesce(text, '') <> '' GROUP BY conv_id""")
 def survey_nested_whole(spark, d):
-    """survey_nested with whole answers, as a digest of the joined text."""
+    """Whole answers, as a digest of the joined text."""
     rows = load(spark, d, "conversations").where((F.coalesce("role", F.lit("")) != "") & (F.coalesce("text", F.lit("")) != ""))
     nested = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))).alias("turns"))
     lines = F.transform("turns", lambda s: F.concat(s["role"], F.lit(": "), F.trim(s["text"])))
@@ -121,7 +156,7 @@ def alias_coalesce(spark, d):
 
 @query(r"SELECT doc_id, len(t)::BIGINT AS n, len(list_distinct(t))::BIGINT AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents)")
 def tokenize_standard(spark, d):
-    rows = load(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    rows = texts(spark, d).select("doc_id", text.tokens(F.col("text")).alias("t"))
     return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
@@ -147,7 +182,7 @@ def tfidf_weights(spark, d):
 
 def document_grams(spark, d):
     """(doc_id, term, n) of all documents."""
-    counted = load(spark, d, "documents").select("doc_id", text.char_wb_counts(F.col("text")).alias("g")).select("doc_id", F.explode(F.arrays_zip("g.terms", "g.tfs")).alias("g"))
+    counted = texts(spark, d).select("doc_id", text.char_wb_counts(F.col("text")).alias("g")).select("doc_id", F.explode(F.arrays_zip("g.terms", "g.tfs")).alias("g"))
     return counted.select("doc_id", F.col("g.terms").alias("term"), F.col("g.tfs").cast("long").alias("n"))
 
 
@@ -167,7 +202,7 @@ def tfidf_weights_documents(spark, d):
 
 @query(r"SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY doc_id, term) GROUP BY term")
 def postings(spark, d):
-    index = lexical.build_index(load(spark, d, "documents"), "doc_id", {"text": text.tokens(F.col("text"))})
+    index = lexical.build_index(texts(spark, d), "doc_id", {"text": text.tokens(F.col("text"))})
     return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
@@ -216,41 +251,50 @@ def upsert_last_wins(spark, d):
     return files.upsert(early, late, "user_id", "event_id").select("user_id", "event_type", "event_id")
 
 
-def _stream_input(docs):
-    named = docs.select(F.col("doc_id").cast("string").alias("review_id"), F.col("source").alias("product_name"), text.clean_document(F.col("text")).alias("content"))
+def _stream_input(docs, keep):
+    """documents as reviews in a stream; every fourth shares the id of the one before it."""
+    i = F.col("doc_id")
+    named = docs.select((i - (i % 4 == 1).cast("int")).cast("string").alias("review_id"), F.col("source").alias("product_name"), text.clean_document(F.col("text")).alias("content"), i.alias("kept_column"))
     return named.withColumn("error", F.when(F.col("content").isNull() | ~text.has_signal(F.col("content")), "too little signal"))
 
 
-_STREAM = f"WITH c AS (SELECT doc_id::VARCHAR AS review_id, {_CLEAN} AS c FROM documents)"
+STEPS = ingest.Steps(
+    prepare=_stream_input,
+    enrich=lambda docs: docs.withColumn("error", F.when(F.length("content") % 50 == 7, "no answer")),
+    index=lambda docs, batch: docs.where(F.length("content") % 50 == 8).select("review_id", F.lit("refused").alias("error")),
+)
 
+_PRINT_ANY = r"regexp_replace(lower(c), '[^\p{L}\p{N}]', '', 'g')"
+_STREAM = f"""WITH RECURSIVE c AS (SELECT doc_id, (doc_id - (doc_id % 4 = 1)::INT)::VARCHAR AS review_id, {_CLEAN} AS c FROM documents),
+u AS (SELECT *, review_id AS id, md5({_PRINT_ANY}) AS print, row_number() OVER (ORDER BY doc_id) AS k FROM c WHERE {_SIGNAL}), {_greedy('u')}, fresh AS (SELECT * FROM u JOIN stays USING (k)), kept AS (SELECT * FROM fresh WHERE length(c) % 50 <> 7)"""
 
-@query(rf"""{_STREAM} SELECT regexp_replace(lower(c), '[^\p{{L}}\p{{N}}]', '', 'g') AS print, count(*)::BIGINT AS n FROM
-(SELECT c, row_number() OVER (PARTITION BY regexp_replace(lower(c), '[^\p{{L}}\p{{N}}]', '', 'g') ORDER BY review_id) AS nth FROM c WHERE {_SIGNAL}) WHERE nth = 1 GROUP BY 1""")
-def ingest_stream(spark, d):
-    """documents as a stream into the document table: each content stands once."""
-    from sorrel.streaming import ingest
 
-    folder = _shared_folder(spark)
-    schema = load(spark, d, "documents").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_stream_folder(spark, d))
-    ingest.ingest_stream(source, f"{folder}/docs", f"{folder}/failures", f"{folder}/state", _stream_input).awaitTermination()
-    return ingest.stored(spark, f"{folder}/docs").groupBy(text.fingerprint_any(F.col("content")).alias("print")).agg(F.count(F.lit(1)).alias("n"))
+def ingested(spark, d):
+    """(table, failures, counts) of all documents, ingested as one batch."""
+    folder = scratch_path(spark, "ingest")
+    counts = ingest.ingest_batch(load(spark, d, "documents"), 0, f"{folder}/docs", f"{folder}/failures", STEPS)
+    return ingest.stored(spark, f"{folder}/docs"), ingest.dead_letters(spark, f"{folder}/failures"), counts
 
 
-@query(f"{_STREAM} SELECT review_id, 'too little signal' AS error FROM c WHERE c IS NULL OR NOT ({_SIGNAL})")
-def dead_letters(spark, d):
-    return _stream_input(load(spark, d, "documents")).where(F.col("error").isNotNull()).select("review_id", "error")
+@query(f"{_STREAM} SELECT review_id, md5(c) AS content FROM kept")
+def ingest_stream(spark, d):
+    """documents as a stream into the document table: of an id or a content the first stands, without those whose enrichment fails."""
+    folder = scratch_path(spark, "ingest")
+    source = spark.readStream.schema(load(spark, d, "documents").schema).option("pathGlobFilter", "*.parquet").parquet(_stream_folder(spark, d))
+    ingest.ingest_stream(source, f"{folder}/docs", f"{folder}/failures", f"{folder}/state", STEPS).awaitTermination()
+    return ingest.stored(spark, f"{folder}/docs").select("review_id", F.md5(F.col("content").cast("binary")).alias("content"))
+
 
+@query(f"{_STREAM} SELECT 'preprocess' AS stage, review_id, 'too little signal' AS error FROM c WHERE c IS NULL OR NOT ({_SIGNAL}) UNION ALL SELECT 'llm_enrich', review_id, 'no answer' FROM fresh WHERE length(c) % 50 = 7 UNION ALL SELECT 'index', review_id, 'refused' FROM kept WHERE length(c) % 50 = 8")
+def dead_letters(spark, d):
+    """What the ingestion logged, by stage."""
+    return ingested(spark, d)[1].select("stage", "review_id", "error")
 
-def _shared_folder(spark) -> str:
-    import uuid
 
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not root:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="sorrel-"))
-        root = context.getCheckpointDir()
-    return f"{root}/ingest-{uuid.uuid4().hex}"
+@query(f"{_STREAM} SELECT (SELECT count(*) FROM c)::BIGINT AS processed, 0::BIGINT AS resumed, ((SELECT count(*) FROM c WHERE c IS NULL OR NOT ({_SIGNAL})) + (SELECT count(*) FROM fresh WHERE length(c) % 50 = 7))::BIGINT AS failed, (SELECT count(*) FROM kept)::BIGINT AS kept, (SELECT count(*) FROM kept WHERE length(c) % 50 <> 8)::BIGINT AS indexed")
+def ingest_counts(spark, d):
+    counts = ingested(spark, d)[2]
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{n} long" for n in counts))
 
 
 def _stream_folder(spark, d) -> str:
@@ -258,4 +302,115 @@ def _stream_folder(spark, d) -> str:
     return f"{d}/documents.parquet*" if not d.endswith("/") else f"{d}documents.parquet*"
 
 
-assert len(ASPECT_TERMS) == len(ISSUE_CATEGORIES) - 1
+@query("SELECT doc_id, lang, source, n_chars, md5(text) AS digest FROM documents")
+def json_lines(spark, d):
+    """documents appended to JSON lines in two steps and read back strictly."""
+    folder = scratch_path(spark, "lines")
+    rows = load(spark, d, "documents")
+    files.append_lines(rows.where("doc_id % 2 = 0"), folder)
+    files.append_lines(rows.where("doc_id % 2 = 1"), folder)
+    back = files.read_lines_strict(spark, folder, "doc_id long, lang string, source string, n_chars long, text string")
+    return back.select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id % 3 = 0")
+def json_lines_tolerant(spark, d):
+    """JSON lines of which every third is blank and every third cut short: the others are read."""
+    folder = scratch_path(spark, "damaged")
+    whole = F.to_json(F.struct("doc_id", "lang"))
+    line = F.when(F.col("doc_id") % 3 == 1, F.lit("")).when(F.col("doc_id") % 3 == 2, F.substring(whole, 1, 9)).otherwise(whole)
+    load(spark, d, "documents").select(line.alias("value")).write.text(folder)
+    return files.read_lines(spark, folder, "doc_id long, lang string").select("doc_id", "lang")
+
+
+@query("SELECT n_nationkey, n_name, '한글' AS letters FROM nation")
+def json_document(spark, d):
+    """A table as one JSON array under a name with its time, written and read back."""
+    rows = [r.asDict() | {"letters": "한글"} for r in load(spark, d, "nation").select("n_nationkey", "n_name").collect()]
+    path = files.timestamped(scratch_path(spark, "document"), "nations")
+    files.write_document(spark, rows, path)
+    kind = load(spark, d, "nation").schema["n_nationkey"].dataType.simpleString()
+    return files.read_json(spark, path, f"n_nationkey {kind}, n_name string, letters string")
+
+
+@query("SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
+def csv_sink(spark, d):
+    """conversations as CSV with a header, and back: columns by their order, quotes and line ends kept."""
+    folder = scratch_path(spark, "csv")
+    files.write_csv(load(spark, d, "conversations"), folder)
+    back = files.read_csv(spark, folder, "conv_id long, turn long, role string, text string")
+    return back.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id::VARCHAR AS review_id, quality::INT AS label FROM labels")
+def labelled_reviews(spark, d):
+    """labels as labelled reviews in JSON, read with the demand that each has its id."""
+    folder = scratch_path(spark, "labelled")
+    load(spark, d, "labels").select(F.col("doc_id").cast("string").alias("review_id"), F.col("quality").cast("int").alias("label")).write.json(folder)
+    return files.required(files.read_lines_strict(spark, folder, "review_id string, label int"), "review_id", "label")
+
+
+@query("SELECT item_id::VARCHAR AS query_id, md5(text) AS query, 'c' || (item_id % 3) AS category, item_id || ',' || (item_id + 1) AS gold FROM benchmark")
+def evaluation_set(spark, d):
+    """benchmark as an evaluation set: one JSON object by query, with ids under both names and a blank one."""
+    entries = {}
+    for r in load(spark, d, "benchmark").collect():
+        entries[str(r["item_id"])] = {"query": r["text"], "category": f"c{r['item_id'] % 3}", "reviews_to_evaluate": [{"reviewId": str(r["item_id"])}, {"review_id": str(r["item_id"] + 1)}, {"reviewId": "", "review_id": ""}]}
+    path = f"{scratch_path(spark, 'evaluation')}/set.json"
+    files.write_document(spark, entries, path)
+    read = files.load_evaluation(spark, path)
+    return read.select("query_id", F.md5(F.col("query").cast("binary")).alias("query"), "category", F.array_join("gold", ",").alias("gold"))
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) AS ordinal, doc_id FROM documents")
+def record_ordinals(spark, d):
+    """Numbers of rows in order: sorted, written and numbered by their files."""
+    return files.numbered(written(load(spark, d, "documents").select("doc_id").orderBy("doc_id").coalesce(1), "sorted")).select("ordinal", "doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 80 THEN regexp_replace(left(text, 80), '\\s+$', '') ELSE text END AS short, CASE WHEN length(text) > 120 THEN md5(regexp_replace(left(text, 120), '\\s+$', '')) ELSE md5(text) END AS evidence FROM documents")
+def truncated_texts(spark, d):
+    t = F.col("text")
+    return load(spark, d, "documents").select("doc_id", text.truncated(t, 80).alias("short"), F.md5(text.truncated(t, 120).cast("binary")).alias("evidence"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE epoch(date_trunc('second', ts))::BIGINT END AS seconds FROM events")
+def review_times(spark, d):
+    """Times as ISO text, as epoch milliseconds, and as something else."""
+    whole = F.date_trunc("second", "ts")
+    written_as = F.when(F.col("event_id") % 3 == 0, F.date_format(whole, "yyyy-MM-dd'T'HH:mm:ss")).when(F.col("event_id") % 3 == 1, F.unix_millis(whole.cast("timestamp")).cast("string")).otherwise("soon")
+    return load(spark, d, "events").select("event_id", F.unix_timestamp(arrays.review_time(written_as)).alias("seconds"))
+
+
+@query("SELECT vec_id, round(exp(v[1]) / s, 6) AS first, (list_position(v, list_max(v)) - 1)::INT AS best, len([x FOR x IN v IF x = list_max(v)])::BIGINT AS ties FROM (SELECT vec_id, [round(x, 1) FOR x IN embedding[1:4]::DOUBLE[]] AS v, list_sum([exp(round(x, 1)) FOR x IN embedding[1:4]::DOUBLE[]]) AS s FROM embeddings)")
+def softmax_argmax(spark, d):
+    """Softmax and first argmax of four rounded numbers, which often tie."""
+    v = F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x.cast("double"), 1))
+    rows = load(spark, d, "embeddings").select("vec_id", v.alias("v"))
+    ties = F.size(F.filter("v", lambda x: x == F.array_max("v"))).cast("long")
+    return rows.select("vec_id", F.round(F.element_at(arrays.softmax(F.col("v")), 1), 6).alias("first"), arrays.first_argmax(F.col("v")).alias("best"), ties.alias("ties"))
+
+
+@query("SELECT conv_id, bool_or(role = 'user' AND turn = 1) AS asked, bool_or(role = 'user') AND bool_or(turn = 1) AS apart FROM conversations GROUP BY conv_id")
+def nested_conjunction(spark, d):
+    """Whether one element has both values, and whether the list has each."""
+    item = F.struct(F.col("role").alias("issue_category"), F.col("turn").cast("string").alias("sentiment"))
+    nested = load(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(item).alias("items"))
+    apart = F.exists("items", lambda s: s["issue_category"] == "user") & F.exists("items", lambda s: s["sentiment"] == "1")
+    return nested.select("conv_id", arrays.has_issue(F.col("items"), "user", "1").alias("asked"), apart.alias("apart"))
+
+
+@query(f"SELECT doc_id, md5('product_name: ' || source || chr(10) || 'rating: 5' || chr(10) || 'title: ' || chr(10) || 'content: ' || text) AS fields, {len(ISSUE_CATEGORIES)}::BIGINT AS named FROM documents")
+def prompts(spark, d):
+    """What a model is asked: the rules, which name every category, and then the fields."""
+    asked = load(spark, d, "documents").select("doc_id", enrich.prompt({"product_name": F.col("source"), "rating": F.lit(5), "title": F.lit(None), "content": F.col("text")}).alias("p"))
+    after = F.expr("substring(p, locate('product_name: ', p))")
+    named = sum((F.contains("p", F.lit(c)).cast("long") for c in ISSUE_CATEGORIES), F.lit(0).cast("long"))
+    return asked.select("doc_id", F.md5(after.cast("binary")).alias("fields"), named.alias("named"))
+
+
+@query("SELECT review_id, error, answer FROM (SELECT doc_id::VARCHAR AS review_id, NULL::VARCHAR AS error, length(text)::VARCHAR AS answer FROM documents)")
+def model_answers(spark, d):
+    """The slot for a language model, filled with one that tells a text's length."""
+    docs = load(spark, d, "documents").select(F.col("doc_id").cast("string").alias("review_id"), F.col("text").alias("content"))
+    return enrich.model_answers(docs, lambda batch: [str(len(t)) for t in batch["content"]]).select("review_id", "error", "answer")

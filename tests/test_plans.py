@@ -14,7 +14,7 @@ def plan(df):
 
 
 def test_native_queries_have_no_python(spark):
-    for name in ("bm25_match", "qwk", "stratified_kfold", "rrf_fusion", "dedupe_first"):
+    for name in ("bm25_match", "qwk", "stratified_kfold", "rrf_fusion", "dedupe_first", "clause_phrase", "fold_scores"):
         assert "Python" not in plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001")), name
 
 
