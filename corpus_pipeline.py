@@ -3,6 +3,10 @@
 Quality rules drop documents judged bad; the n-gram Jaccard join keeps one document of each near-duplicate class;
 decontamination drops documents that hold a benchmark window; mixing repeats or leaves out documents to meet the sources'
 weights; sharding gives every copy its shard.
+
+No stage reads a column but doc_id, source and text, and whatever columns documents have pass through unchanged. Null texts
+count as empty and go in the first stage, rows that repeat count each until the second, null ids and sources are kept, ties
+are settled by ids and hashes, and an empty table gives no rows; the operators' docstrings tell each case.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sorrel.llm import decontamination, mixing, near_duplicates, quality_rules, sharding
-from sorrel.llm.common import table, written
+from sorrel.llm.common import forget, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -57,5 +61,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage-{k}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{k}")
+        forget(before)
     return docs

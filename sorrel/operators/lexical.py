@@ -93,14 +93,24 @@ def match(index: Index, queries: DataFrame, tokens: Column, fields: dict[str, fl
 
 
 def phrase(index: Index, queries: DataFrame, tokens: Column, fields: dict[str, float], boost: float = 1.0) -> DataFrame:
-    """Documents where all of a query's tokens stand in a row. Scored as one term whose idf is the sum of its words' idfs."""
+    """Documents where all of a query's tokens stand in a row. Scored as one term whose idf is the sum of its words' idfs.
+
+    A phrase is looked up by its rarest word; only where that stands are the other words' places looked up.
+    """
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(w * boost)).alias("weight")) for f, w in fields.items()])).alias("f")
     words = queries.select("query_id", F.posexplode(tokens).alias("offset", "term"), F.size(tokens).alias("length"))
     words = words.select("query_id", "offset", "term", "length", each).select("query_id", "offset", "term", "length", "f.field", "f.weight")
     known = words.join(index.terms, ["field", "term"]).join(F.broadcast(index.fields), "field")
-    starts = index.places.join(known, ["field", "term"]).withColumn("start", F.col("place") - F.col("offset"))
-    hits = starts.groupBy("query_id", "field", "weight", "length", "doc_id", "start").agg(F.count(F.lit(1)).alias("found"), F.sum(idf(F.col("n"), F.col("df"))).alias("idf"), F.first("avgdl").alias("avgdl"), F.first("dl").alias("dl"))
-    scored = hits.where("found = length").groupBy("query_id", "field", "weight", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"), F.first("avgdl").alias("avgdl"), F.first("dl").alias("dl"))
+    word = F.struct("df", "offset", "term")
+    whole = known.groupBy("query_id", "field", "weight", "length").agg(F.collect_list(word).alias("words"), F.min(word).alias("rarest"), F.sum(idf(F.col("n"), F.col("df"))).alias("idf"), F.first("avgdl").alias("avgdl"))
+    whole = whole.where(F.size("words") == F.col("length")).select("query_id", "field", "weight", "length", "words", "idf", "avgdl", "rarest.offset", "rarest.term")
+    starts = index.places.join(whole, ["field", "term"]).withColumn("start", F.col("place") - F.col("offset")).drop("place", "term")
+    others = F.explode_outer(F.filter("words", lambda w: w["offset"] != F.col("offset"))).alias("other")
+    wanted = starts.select("query_id", "field", "weight", "length", "idf", "avgdl", "doc_id", "dl", "start", others)
+    wanted = wanted.select("*", F.col("other.term").alias("term"), (F.col("start") + F.col("other.offset")).alias("place")).drop("other")
+    met = wanted.join(index.places.select("field", "term", "doc_id", "place", F.lit(1).alias("there")), ["field", "term", "doc_id", "place"], "left")
+    hits = met.groupBy("query_id", "field", "weight", "length", "idf", "avgdl", "doc_id", "dl", "start").agg(F.count("there").alias("found")).where(F.col("found") == F.col("length") - 1)
+    scored = hits.groupBy("query_id", "field", "weight", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"), F.first("avgdl").alias("avgdl"), F.first("dl").alias("dl"))
     gain = F.col("weight") * F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
     return best_fields(scored.select("query_id", "doc_id", "field", gain.alias("score")))
 

@@ -115,21 +115,16 @@ def most_fields(spark, d):
     return rounded(lexical.match(index_of(spark, d), asked(spark, d), tokens(), WEIGHTS, 1.2, "most"))
 
 
-#: Phrases: all runs of three words of an item (the whole of a shorter one); a document's best counts.
-_PHRASE = f"""{_postings(_CONTENT)}, it AS (SELECT item_id AS query_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark),
-ph AS (SELECT query_id, nth, list_slice(w, nth, nth + 2) AS w FROM (SELECT query_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS nth FROM it)),
-e AS (SELECT query_id, nth, len(w) AS length, unnest(w) AS term, unnest(range(0, len(w))) AS place FROM ph),
-h AS (SELECT query_id, nth, length, o.doc_id, o.place - e.place AS start, count(*) AS found, sum(ln(1 + (n - df + 0.5) / (df + 0.5))) AS idf, max(avgdl) AS avgdl, max(dl) AS dl FROM o JOIN e USING (term) JOIN df ON df.term = o.term JOIN st ON TRUE GROUP BY query_id, nth, length, o.doc_id, start),
-g AS (SELECT query_id, doc_id, 2 * 2.4 * max(idf) * count(*) * 2.2 / (count(*) + 1.2 * (1 - 0.75 + 0.75 * max(dl) / max(avgdl))) AS score FROM h WHERE found = length GROUP BY query_id, nth, doc_id)
-SELECT query_id, doc_id, round(max(score), 5) AS score FROM g GROUP BY query_id, doc_id"""
+#: Phrases: whole items.
+_PHRASE = f"""{_postings(_CONTENT)}, ph AS (SELECT item_id AS query_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark),
+e AS (SELECT query_id, len(w) AS length, unnest(w) AS term, unnest(range(0, len(w))) AS spot FROM ph),
+h AS (SELECT query_id, length, o.doc_id, o.place - e.spot AS first_at, count(*) AS found, sum(ln(1 + (n - df + 0.5) / (df + 0.5))) AS idf, max(avgdl) AS avgdl, max(dl) AS dl FROM o JOIN e USING (term) JOIN df ON df.term = o.term JOIN st ON TRUE GROUP BY query_id, length, o.doc_id, first_at)
+SELECT query_id, doc_id, round(2 * 2.4 * max(idf) * count(*) * 2.2 / (count(*) + 1.2 * (1 - 0.75 + 0.75 * max(dl) / max(avgdl))), 5) AS score FROM h WHERE found = length GROUP BY query_id, doc_id"""
 
 
 @query(f"WITH {_PHRASE}")
 def phrase_match(spark, d):
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1))), lambda k: F.slice(F.col("words"), k, 3))
-    each = asked(spark, d).select("query_id", tokens().alias("words")).where(F.size("words") > 0).select("query_id", F.posexplode(runs).alias("nth", "phrase")).select(F.struct("query_id", "nth").alias("query_id"), "phrase")
-    found = lexical.phrase(index_of(spark, d), each, F.col("phrase"), {"content": 2.0}, 2.4)
-    return rounded(found.groupBy(F.col("query_id.query_id").alias("query_id"), "doc_id").agg(F.max("score").alias("score")))
+    return rounded(lexical.phrase(index_of(spark, d), asked(spark, d), tokens(), {"content": 2.0}, 2.4))
 
 
 @query("SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE text LIKE '%the%ing%' OR source LIKE 'src1%'")
