@@ -32,6 +32,25 @@ def test_languages(spark):
     assert language_id.language_table(table(spark, odd).limit(0)).collect() == []
 
 
+def clashing(spark, rows, names):
+    """rows of (doc_id, text) as documents that also have columns of the given names, filled with the row's number."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", {n} long" for n in names)
+    return spark.createDataFrame([(i, t, "x", "s", 1, *[k] * len(names)) for k, (i, t) in enumerate(rows)], schema).repartition(2)
+
+
+def test_languages_settle_ties_and_read_whole_texts(spark):
+    same = b"one and the same dictionary of some letters"
+    assert language_id.Compressors({"b": same, "a": same}).classify("some letters")[0] == "a"
+    body = "a" * 5000 + "b" * 5000
+    got = language_id.spread(body)
+    assert got.startswith("a") and got.endswith("b") and len(got) <= language_id.SAMPLE_LETTERS + 3 and language_id.spread("short") == "short"
+    rows = [("aaa bbb ccc ddd", "x")] * 500 + [("eee fff ggg", "x"), ("zzz yyy", "y"), (None, "y"), ("www", None)]
+    found = language_id.train_dictionaries(spark.createDataFrame(rows, "text string, lang string"))
+    assert sorted(found["x"].decode().split()) == ["aaa", "bbb", "ccc", "ddd", "eee", "fff", "ggg"] and found["y"] == b"zzz yyy"
+    odd = clashing(spark, [(1, "aaa bbb"), (1, "aaa bbb"), (2, None)], ["lang_text", "lang_pred", "held_out", "place", "nth"])
+    assert Counter((r.doc_id, r.lang_pred) for r in language_id.language_table(odd).collect()) in (Counter({(1, "x"): 2, (2, "und"): 1}), Counter({(1, "und"): 2, (2, "und"): 1}))
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     import public_tokenizers
@@ -84,6 +103,47 @@ def test_quality_classifier(spark):
     assert len(scored) == 4 and all(r.score == 0.5 and r.predicted == 0 for r in scored)
 
 
+def test_quality_of_odd_tables(spark):
+    texts = ["good words in a long and even line of text", "# # # | | $ $", "other fine words here", "% % % &"]
+    rows = [(k, texts[k % 4]) for k in range(200)] + [(5, "again one of id five"), (5, "and another"), (None, None), (None, "x y")]
+    docs = clashing(spark, rows, ["quality_label", "score", "quality_text", "quality"])
+    labels = spark.createDataFrame([(k, 1 - k % 2, 9) for k in range(200)] + [(5, 0, 9), (None, 1, 9), (7, 5, 9), (999, 1, 9)], "doc_id long, quality int, quality_label int")
+    first, again = (sorted(quality_classifier.score_table(d, labels).collect(), key=str) for d in (docs, docs.repartition(5)))
+    assert first == again and len(first) == len(rows)
+    by_id = {r.doc_id: r.score for r in first if r.doc_id is not None and r.doc_id != 5}
+    assert min(by_id[k] for k in by_id if k % 2 == 0) > 0.8 > 0.2 > max(by_id[k] for k in by_id if k % 2)
+    assert quality_classifier.score_table(docs.limit(0), labels).collect() == []
+
+
+def test_statistics_against_plain_counts():
+    text = "One two two. Three!\n\nthree # | é\nOne two two. Three!"
+    got = dict(zip(quality_classifier.FEATURES, quality_classifier.statistics(text), strict=True))
+    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+    assert got["chars"] == pytest.approx(np.log1p(len(text))) and got["words"] == pytest.approx(np.log1p(len(words)))
+    assert got["word_mean"] == pytest.approx(np.mean([len(w) for w in words])) and got["distinct_words"] == pytest.approx(len(set(words)) / len(words))
+    assert got["repeated_lines"] == pytest.approx(1 - len(set(lines)) / len(lines)) and got["ended_lines"] == pytest.approx(2 / 3)
+    assert got["symbols"] == pytest.approx(1 / len(words)) and got["bars"] == pytest.approx(1 / len(words)) and got["shouts"] == pytest.approx(2 / len(words))
+    assert got["upper"] == pytest.approx(4 / len(text)) and got["non_ascii"] == pytest.approx(2 / len(text.encode())) and got["same_as_before"] == pytest.approx(0)
+    assert quality_classifier.statistics(None) == quality_classifier.statistics("") == [0.0] * len(quality_classifier.FEATURES)
+
+
+def test_first_split_is_the_best_one():
+    draw = np.random.default_rng(3)
+    x = draw.integers(0, 12, (300, 3)).astype(np.float32)
+    y = (x[:, 1] + draw.normal(0, 2, 300) > 6).astype(float)
+    model = quality_classifier.grow(x, y, trees=1, depth=1)
+    p = (y.sum() + 0.5) / (len(y) + 1)
+    g, h = p - y, np.full(len(y), p * (1 - p))
+
+    def gain(f, t):
+        low = x[:, f] <= t
+        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + quality_classifier.RIDGE)
+        return part(low) + part(~low) - part(np.ones(len(y), bool))
+
+    best = max(gain(f, t) for f in range(3) for t in range(11))
+    assert gain(int(model.feature[0, 0]), model.threshold[0, 0]) == pytest.approx(best)
+
+
 def test_trees_learn_and_flatten():
     draw = np.random.default_rng(1)
     x = draw.random((600, 4)).astype(np.float32)
@@ -134,15 +194,49 @@ def test_decontamination(spark, most_bytes):
     assert kept.columns == table(spark, rows).columns and kept.count() == sum(not plain_contamination(t, items)[4] for _, t, _ in rows)
 
 
+def test_contamination_of_odd_tables(spark):
+    items = spark.createDataFrame([(1, "needle in the hay", 3)], "item_id long, text string, item long")
+    docs = clashing(spark, [(1, "x " * 200_000 + "Needle in the hay"), (2, None), (2, "needle"), (2, "needle")], ["bench_text", "bench_hit", "bench_row", "item_id", "n_hit"])
+    got = Counter((r.doc_id, r.n_words, r.n_hit) for r in decontamination.contamination_table(docs, items).collect())
+    assert got == Counter({(1, 200_004, 4): 1, (2, 0, 0): 1, (2, 1, 0): 2})
+    kept = decontamination.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and Counter(map(tuple, kept.collect())) == Counter(map(tuple, docs.where("doc_id = 2").collect()))
+    assert decontamination.contamination_table(docs.limit(0), items).collect() == []
+    assert len(decontamination.benchmark_blocks(items, 5)) == 4
+
+
+ADDRESS = st.text(st.sampled_from("ab1-./?\u212a\u017fKSé"), max_size=14)
+WORDS = st.lists(st.sampled_from(["a", "b", "ab", "k", "s", "1"]), min_size=1, max_size=3).map("-".join)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(WORDS.map(lambda w: url_filter.word_rule("block", w)), st.tuples(st.sampled_from(["allow", "block"]), WORDS, st.sampled_from(["", "/", "/a", "/K-b/", "/s"])).map(lambda r: url_filter.host_rule(*r))), max_size=12), ADDRESS, ADDRESS, st.dictionaries(st.sampled_from(["a", "b", "ab", "k", "s", "1"]), st.integers(0, 9)))
+def test_url_index_finds_what_all_rules_find(rules, host, path, frequencies):
+    host, path = host.replace("/", "").replace("?", "").translate(url_filter._LOWER), "/" + path.replace("?", "")
+    index = url_filter.RuleIndex(tuple(rules), frequencies)
+    fitting = [k for k, r in enumerate(rules) if re.search(r.pattern, host + path)]
+    assert set(fitting) <= set(index.candidates(host + path))
+
+
+def test_urls_of_odd_tables(spark):
+    table = spark.createDataFrame([("block", "k.org", "/", None), ("allow", "k.org", "/ok/", None), ("block", None, None, "cheap-pills"), ("allow", "", None, ""), ("other", "x", "/", None)], "action string, host string, path string, words string")
+    rules = url_filter.read_rules(table)
+    assert len(rules) == 3
+    pages = spark.createDataFrame([(1, "http://K.org/ok/x", 1, 2), (1, "http://K.org/ok/x", 1, 2), (2, "http://a.k.org/OK/", 1, 2), (3, "http://x.y/\u212acheap-pills", 1, 2), (None, "http://x.y/CHEAP-pills?" + "z" * 50_000, 1, 2)], "page_id long, url string, host long, filter_url long")
+    got = Counter((r.page_id, r.host, r.rule, r.verdict) for r in url_filter.url_table(pages, rules).collect())
+    assert got == Counter({(1, "k.org", "k.org/ok/", "allow"): 2, (2, "a.k.org", "k.org/", "block"): 1, (3, "x.y", None, "block"): 1, (None, "x.y", None, "block"): 1})
+    assert url_filter.url_table(pages.limit(0)).collect() == []
+
+
 def test_url_index_equals_all_rules():
     rules = url_filter.DEFAULT_RULES
     index = url_filter.RuleIndex(rules, {"net": 50, "example": 90, "en": 3})
-    hosts = ["net", "a.net", "example.net", "x.example.net", "notexample.net", "example.com", "org", "b.org", "borg", "www.cheap-pills.example.org", "a.b", ""]
+    hosts = ["net", "a.net", "example.net", "x.example.net", "notexample.net", "example.com", "org", "b.org", "borg", "www.cheap-pills.example.org", "free-bets.x", "a.b", ""]
     for host in hosts:
         for path in ["", "/", "/en/x", "/en", "/EN/x", "/de/", "/fr/1", "/spam-farm/x", "/spam-farms"]:
             fitting = [r for r in rules if re.search(r.pattern, host + path)] if host else []
             deciding = sorted((r for r in fitting if r.weight), key=lambda r: -r.weight)
-            plain = (deciding[0].name, deciding[0].action) if deciding else (None, fitting[0].action if fitting else "allow")
+            plain = (deciding[0].name, deciding[0].action) if deciding else (None, "block" if fitting else "allow")
             assert index.judge(host, path) == plain, (host, path)
     assert index.judge("a.example.net", "/en/1") == ("example.net/en/", "allow") and index.judge("a.example.net", "/x") == ("net/", "block")
 
@@ -203,6 +297,32 @@ def test_near_duplicates(spark):
     assert near_duplicates.near_duplicate_table(table(spark, rows).limit(0)).collect() == []
 
 
+def test_near_duplicates_of_odd_tables(spark):
+    names = ["near_id", "near_node", "near_row", "near_n", "near_salt", "node", "root", "class_id"]
+    long = " ".join(f"w{k}" for k in range(30_000))
+    docs = spark.createDataFrame([("null", "lone words of one text here", 1), (None, "lone words of one text here", 2), ("a", long, 3), ("b", long + " end", 4), ("c", None, 5), ("c", None, 5)], "doc_id string, text string, near_id long")
+    got = {(r.doc_id, r.class_id, r.n_links) for r in near_duplicates.near_duplicate_table(docs).collect()}
+    assert got == {("null", "null", 1), (None, "null", 1), ("a", "a", 1), ("b", "a", 1), ("c", "c", 1)}
+    assert {tuple(r) for r in near_duplicates.keep_one(docs).collect()} == {("null", "lone words of one text here", 1), ("a", long, 3), ("c", None, 5)}
+    wide = clashing(spark, [(1, "a b c"), (2, "A b c!"), (3, "d")], names)
+    assert {tuple(r) for r in near_duplicates.keep_one(wide).collect()} == {tuple(r) for r in wide.where("doc_id <> 2").collect()}
+
+
+def test_heavy_keys_join_like_others(spark):
+    left = spark.createDataFrame([(k % 3 if k < 90 else k, k) for k in range(100)], "key int, v int")
+    right = left.groupBy("key").count().withColumnRenamed("count", "near_n").withColumn("w", left.key * 2)
+    for most in (0, 5, 1000):
+        got = near_duplicates.skew_join(left, right, "key", "v", most)
+        assert {(r.key, r.v, r.w) for r in got.collect()} == {(k % 3 if k < 90 else k, k, 2 * (k % 3 if k < 90 else k)) for k in range(100)} and got.count() == 100
+
+
+def test_components_of_a_star_with_heavy_hub(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "LEAST_HEAVY", 2)
+    edges = spark.createDataFrame([(k, 1) for k in range(2, 300)] + [(300 + k, 301 + k) for k in range(50)], "a long, b long")
+    got = {r.node: r.root for r in near_duplicates.components(edges, "star").collect()}
+    assert got == {k: 1 for k in range(1, 300)} | {300 + k: 300 for k in range(51)}
+
+
 def test_shingles_and_bands():
     bands, rows = near_duplicates.choose_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= near_duplicates.MOST_HASHES
@@ -241,3 +361,36 @@ def test_warc_table(spark):
     sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
     wanted = Counter((i, len((t or "").encode()), sha(t), "revisit" if t == big and i != 1 else "response", 1 if t == big and i != 1 else None) for i, _, t in pages)
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == wanted
+
+
+def test_warc_of_odd_tables(spark, tmp_path):
+    pages = spark.createDataFrame([("a/b <1>", "u", "text", 1, 2), ("null", "u", "z" * 120, 1, 2), (None, "u", "z" * 120, 1, 2), ("z", "u", "z" * 120, 1, 2)], "page_id string, url string, html string, digest long, hot_id long")
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.warc_table(pages).collect()}
+    assert got == {("a/b <1>", "response", None), ("null", "response", None), (None, "revisit", "null"), ("z", "revisit", "null")}
+    assert warc.warc_table(pages.limit(0)).collect() == []
+
+
+def test_heavy_digests_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LEAST_HEAVY", 1)
+    pages = spark.createDataFrame([(k, "u", "z" * 120 if k % 2 else "y" * 150 if k < 5 else f"{k} " * 60) for k in range(40)], "page_id long, url string, html string")
+    got = {r.page_key: r.refers_to_key for r in warc.with_revisits(pages).collect()}
+    assert {k for k, v in got.items() if v == "=1"} == {f"={k}" for k in range(3, 40, 2)} and {k for k, v in got.items() if v == "=0"} == {"=2", "=4"}
+
+
+def test_damage_is_told_and_quarantined(spark, tmp_path):
+    import os
+
+    pages = spark.createDataFrame([(k, f"http://h/{k}", f"<p>{k}</p>" * 50) for k in range(30)], "page_id long, url string, html string").coalesce(1)
+    folder = str(tmp_path / "warc")
+    archives = warc.write_archives(warc.with_revisits(pages).coalesce(1), warc.store_uri(folder))
+    name = archives.first()["archive"]
+    with open(os.path.join(folder, name), "r+b") as f:
+        whole = f.read()
+        spot = whole.index(warc.MAGIC, len(whole) // 2) + 60  # inside a member's packed bytes
+        f.seek(spot)
+        f.write(bytes([whole[spot] ^ 0xFF]))
+    with pytest.raises(warc.Damaged, match="29 of 30 records; gaps"):
+        warc.read_back(archives, warc.store_uri(folder))
+    assert warc.read_back(archives, warc.store_uri(folder), strict=False).count() == 29
+    records, gaps = warc.salvage(archives, warc.store_uri(folder))
+    assert records.count() == 29 and gaps.count() == 1 and gaps.first()["gap_reason"]

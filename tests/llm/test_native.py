@@ -1,9 +1,11 @@
 """Sharding, quality rules and mixing against plain versions."""
 
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +125,93 @@ def test_good_documents_stay(spark):
     assert kept.columns == docs.columns and 0.7 * docs.count() < kept.count() < docs.count()
 
 
+def plain_verdicts(texts):
+    """Which of the texts the rules keep, from plain statistics and the label model over plain votes."""
+    G, B, A = quality_rules.GOOD, quality_rules.BAD, quality_rules.ABSTAIN
+
+    def ballot(text):
+        text = text or ""
+        n_words, chars, symbols, dup, repeat = plain_stats(text)
+        lines = len([x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+        import regex
+
+        marks = regex.sub(r"[\p{Ll}\p{Lo}\p{Nd}\x20\x09-\x0D,]+", "", text)
+        upper, stops, shouts = len(regex.findall(r"\p{Lu}", marks)), len(re.findall("[.?]", marks)), marks.count("!")
+        distinct = len(set(re.findall(r"[^\x20\x09-\x0D]+", text)))
+        w, ln, c = max(n_words, 1), max(lines, 1), max(chars, 1)
+        rules = [
+            (symbols > 0.1 * w, symbols < 0.02 * w), (len(marks) - upper > 0.1 * c, len(marks) - upper < 0.05 * c), (symbols > 0.08 * c, symbols < 0.01 * c), (repeat > 0.1 * w, repeat < 0.03 * w),
+            (dup > 0.3 * ln, dup == 0 and ln > 1), (c < 2.5 * w or c > 15 * w, 3 * w < c < 10 * w), (w < 20, w > 50), (upper > 0.4 * c, upper < 0.15 * c),
+            (shouts > 0.2 * w, shouts < 0.05 * w), (stops == 0 and w > 50, 0.02 * w < stops < 0.4 * w), (distinct < 0.1 * w and w > 50, distinct > 0.3 * w),
+        ]
+        return tuple(B if bad else G if good else A for bad, good in rules), n_words < 10 or 100 * repeat > 20 * n_words
+
+    ballots = [ballot(t) for t in texts]
+    model = quality_rules.fit_label_model(sorted(Counter(b for b, _ in ballots).items()), 11)
+    odds = [model.prior + sum(model.good[k] if v == G else model.bad[k] if v == B else 0 for k, v in enumerate(b)) for b, _ in ballots]
+    return [not failed and 1 / (1 + math.exp(-o)) >= quality_rules.KEEP_AT for (_, failed), o in zip(ballots, odds, strict=True)]
+
+
+def test_verdicts_against_plain_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    got = {r.doc_id: r.kept for r in quality_rules.quality_table(docs).collect()}
+    assert got == dict(zip([r.doc_id for r in rows], plain_verdicts([r.text for r in rows]), strict=True))
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["q_words", "q_lines", "q_marks", "q_hashes", "q_two", "q_four", "q_grams", "q_pairs", "quality_stats", "quality_votes", "quality_kept", "quality_posterior", "quality_row"]
+    names += ["size", "shard", "gkey", "part", "known", "key", "tie", "mix_row", "k", "time", "weight", "target", "before", "shard_row", "range"]
+    schema = "doc_id long, text string, source string" + "".join(f", {n} string" for n in names)
+    body = "A fine line of words that says something new in every part of it, and ends well.\nAnother one follows it here."
+    rows = [(i, f"{body} Number {i}.", "s", *[f"{n}{i}" for n in names]) for i in range(30)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    assert {tuple(r) for r in quality_rules.keep_good(docs).collect()} == set(rows)
+    assert {tuple(r) for r in mixing.mix(docs).collect()} == set(rows)
+    placed = sharding.assign_shards(docs, 4)
+    assert placed.columns == [*docs.columns, "shard_size", "shard_number"] and {tuple(r)[:-2] for r in placed.collect()} == set(rows)
+    assert len(sharding.shard_table(docs, 4).collect()) == len(mixing.mix_table(docs).collect()) == len(quality_rules.quality_table(docs).collect()) == 30
+
+
+def plain_mix(rows):
+    """taken words of each of the (id, text, source) rows: copies in order of finish time, up to the budget."""
+    import hashlib
+
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    copies = []
+    for nth, name in enumerate(names):
+        weight = (5, 2, 1)[nth % 3]
+        mine = sorted((md5(":".join([*([str(i)] if i is not None else []), md5(t or "")])), words(t), k) for k, (i, t, s) in enumerate(rows) if s == name)
+        done = 0
+        for p in range(3):
+            for _, size, k in mine:
+                done += size
+                copies.append((Fraction(done, weight), nth, size, k))
+    budget, sent, taken = sum(words(t) for _, t, _ in rows), 0, Counter()
+    for _, _, size, k in sorted(c for c in copies if c[2]):
+        if sent + Fraction(size, 2) > budget:
+            break
+        sent += size
+        taken[k] += size
+    return [taken[k] for k in range(len(rows))]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_mix_is_the_sorted_order_cut_at_the_budget(spark, seed):
+    rows = corpus(150, seed) + [(4000 + k, "w " * (900 if k == 0 else 3), f"t{k % 4}") for k in range(9)]
+    got = Counter((r.doc_id, r.size, r.taken) for r in mixing.mix_table(table(spark, rows)).collect())
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert got == Counter((i, words(t), n) for (i, t, _), n in zip(rows, plain_mix(rows), strict=True))
+
+
+def test_many_sources_are_numbered_in_order(spark):
+    sizes = spark.createDataFrame([(f"={k:04d}", 7) for k in range(500)] + [(">", 3)], "known string, source_size long")
+    got = {r.known: r["rank"] for r in mixing.numbered_sources(sizes.repartition(7)).collect()}
+    assert got == {f"={k:04d}": k for k in range(500)} | {">": 500}
+
+
 def plain_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
