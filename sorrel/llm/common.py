@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sorrel.scratch import forget, scratch_path, ship, written
 
-__all__ = ["SPACES", "SPACE_RUN", "fold_held_out", "forget", "packed", "scratch_path", "ship", "table", "word_array", "word_count", "written"]
+__all__ = ["SPACES", "SPACE_RUN", "fold_held_out", "forget", "free_names", "packed", "scratch_path", "ship", "table", "word_array", "word_count", "written"]
 
 #: The six ASCII white-space characters U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -19,6 +19,16 @@ def packed(docs: DataFrame, name: str) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name)
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to differ from every column of docs."""
+    taken, found = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,8 +24,8 @@ from .common import fold_held_out, ship
 
 #: The sample that dictionaries are made of: different texts of each language, letters of each text, and of each stretch of it.
 SAMPLE_ROWS, SAMPLE_LETTERS, STRETCH = 128, 512, 128
-#: Rows of a batch that are read at a time.
-SLICE = 256
+#: Rows of a batch that are read at a time; parts of a language that are ranked by themselves.
+SLICE, PARTS = 256, 64
 PIECE, LEVEL = 1500, 12
 #: A decision is rejected if the second language needs less than this share more bytes; bytes per unit of log odds.
 NARROW, SCALE = 0.005, 4.0
@@ -54,8 +54,9 @@ def train_dictionaries(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> d
     with the number of languages, of which every worker must hold a dictionary anyway.
     """
     labelled = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", F.xxhash64("text").alias("place"), "text")
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
-    chosen = labelled.select("lang", "place").distinct().withColumn("nth", order).where(F.col("nth") <= sample_rows)
+    least = lambda rows, *by: rows.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("place"))).where(F.col("nth") <= sample_rows)
+    places = labelled.select("lang", "place").distinct().withColumn("part", F.pmod("place", F.lit(PARTS)))
+    chosen = least(least(places, "lang", "part").select("lang", "place"), "lang")  # first in parts, as a language may have most rows
     texts = labelled.join(F.broadcast(chosen), ["lang", "place"]).groupBy("lang", "nth").agg(F.min("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, packed, ship, written
+from .common import forget, free_names, ship, written
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 448
 #: Texts in a block of a component; columns of a block's shingle matrix at a time; texts that a task remembers.
@@ -293,9 +293,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     _, nodes = join_near(docs)
     first = F.min(F.struct(F.col("low").isNull().alias("none"), F.col("low"), F.col("node")))
-    kept = nodes.groupBy("root").agg(first.alias("first")).select(id_key(F.col("first.low")).alias("near_id"), F.col("first.node").alias("near_node"))
-    keyed = docs.select(packed(docs, "near_row"), id_key(F.col("doc_id")).alias("near_id"), text_node(F.col("text")).alias("near_node"))
-    return keyed.join(written(kept, "kept").hint("merge"), ["near_id", "near_node"], "left_semi").dropDuplicates(["near_id", "near_node"]).select("near_row.*")
+    own = free_names(docs, "near_id", "near_node")
+    kept = nodes.groupBy("root").agg(first.alias("first")).select(id_key(F.col("first.low")).alias(own[0]), F.col("first.node").alias(own[1]))
+    keyed = docs.withColumns(dict(zip(own, (id_key(F.col("doc_id")), text_node(F.col("text"))), strict=True)))
+    return keyed.join(written(kept, "kept").hint("merge"), own, "left_semi").dropDuplicates(own).select(*docs.columns)
 
 
 ship(__name__)
