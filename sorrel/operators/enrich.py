@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sorrel import vocab
 from sorrel.functions import arrays, text
+from sorrel.scratch import ship
 
 
 def rule_metadata(content: Column) -> Column:
@@ -62,3 +63,6 @@ def prompt(d: dict[str, Column]) -> Column:
     )
     fields = [F.concat(F.lit(f"{n}: "), F.coalesce(d[n].cast("string"), F.lit(""))) for n in ("product_name", "rating", "title", "content")]
     return F.concat_ws("\n", F.lit(rules), *fields)
+
+
+ship(__name__)

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import importlib.util
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sorrel.operators import classify, learning
+from sorrel.scratch import ship
 from sorrel.sources import files
 
 #: Names of the choices.
@@ -56,6 +59,42 @@ def distributed_trainer(settings: Training, train: Callable[[dict], None], proce
     TorchDistributor(num_processes=processes, local_mode=False, use_gpu=True).run(train, settings.record())
 
 
+def encoded(rows: DataFrame, definition: str, max_length: int = 256, key: str = "review_id", pad: int = 0) -> DataFrame:
+    """(key, label, input_ids, attention_mask) of rows (key, label, content): ids of a tokenizers .json at the given path, cut and padded to max_length."""
+    from pathlib import Path
+
+    shared = rows.sparkSession.sparkContext.broadcast(Path(definition).read_text())
+    kept = rows.select(key, "label", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are taken by other tasks
+        from tokenizers import Tokenizer
+
+        coder = Tokenizer.from_str(shared.value)
+        coder.enable_truncation(max_length)
+        coder.enable_padding(length=max_length, pad_id=pad)
+        for batch in batches:
+            coded = coder.encode_batch([t.as_py() or "" for t in batch.column("content")])
+            ids, masks = ([getattr(e, n) for e in coded] for n in ("ids", "attention_mask"))
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("label"), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int32()))], [key, "label", "input_ids", "attention_mask"])
+
+    whole = T.ArrayType(T.IntegerType())
+    return kept.mapInArrow(run, kept.drop("content").schema.add("input_ids", whole).add("attention_mask", whole))
+
+
+def warmed_rate(step: Column, total: Column, peak: float, warmup_share: float = 0.1) -> Column:
+    """The learning rate of a step, from 0: a linear rise over the first share of all steps, then a linear fall to 0."""
+    warm = F.floor(total * F.lit(warmup_share))
+    return F.lit(peak) * F.when(step < warm, step / F.greatest(warm, F.lit(1))).otherwise(F.greatest((total - step) / F.greatest(total - warm, F.lit(1)), F.lit(0.0)))
+
+
+def epoch_losses(steps: DataFrame) -> DataFrame:
+    """epoch, train_loss: the mean loss of an epoch's steps, from a training log of (epoch, loss)."""
+    return steps.groupBy("epoch").agg(F.avg("loss").alias("train_loss"))
+
+
 def fold_scores(said: DataFrame) -> DataFrame:
     """fold, qwk, accuracy, macro_f1 of (fold, label, pred) rows, all folds in one aggregate."""
     return classify.metrics(said, ("fold",))
@@ -112,3 +151,6 @@ def ensemble_saved(spark: SparkSession, folder: str, models: list[str], method:
     checked = whole.select(key, F.when(F.col("_n") != len(models), F.raise_error(F.lit("the members' ids differ")).cast("int")).otherwise(F.col("label")).alias("label"))
     voted = classify.hard_vote(said, key) if method == "hard" else classify.soft_vote(said, key)
     return checked.join(voted, key)
+
+
+ship(__name__)

@@ -220,3 +220,18 @@ def tfidf_logreg_cv(spark, d):
     """Cross-validated metrics by fold; the optimiser is iterative, so there is no SQL."""
     said = learning.cross_validate(rows(spark, d).drop("pred"))
     return said.groupBy("fold").agg(classify.kappa().alias("qwk"), classify.accuracy().alias("accuracy"))
+
+
+@query("SELECT event_id, round(0.00002 * CASE WHEN event_id < w THEN event_id / greatest(w, 1) ELSE greatest((n - event_id) / greatest(n - w, 1), 0) END * 1e9, 6) AS rate FROM events, (SELECT count(*) AS n, floor(count(*) * 0.1)::BIGINT AS w FROM events)")
+def warmup_schedule(spark, d):
+    """The learning rate, in billionths, of as many steps as there are events."""
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id")
+    total = events.agg(F.count(F.lit(1)).alias("n"))
+    rate = experiments.warmed_rate(F.col("event_id"), F.col("n"), 2e-5)
+    return events.join(F.broadcast(total)).select("event_id", F.round(rate * 1e9, 6).alias("rate"))
+
+
+@query("SELECT (event_id % 3)::INT AS epoch, round(avg(value), 6) AS train_loss FROM events GROUP BY 1")
+def epoch_losses(spark, d):
+    steps = spark.read.parquet(f"{d}/events.parquet").select((F.col("event_id") % 3).cast("int").alias("epoch"), F.col("value").alias("loss"))
+    return experiments.epoch_losses(steps).select("epoch", F.round("train_loss", 6).alias("train_loss"))

@@ -41,3 +41,15 @@ def test_approximate_search_finds_most(spark):
     queries = table.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "vector")
     exact, near = ({(r.query_id, r.doc_id) for r in f(table, queries, 10).collect()} for f in (search.dense_leg, search.dense_leg_approximate))
     assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_encoded_rows_equal_the_library(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = spark.createDataFrame([(1, 0, "one two three four five six seven"), (2, 1, None), (3, 2, "short")], "review_id int, label int, content string")
+    coder = Tokenizer.from_file(path)
+    for r in experiments.encoded(rows, path, 5).collect():
+        wanted = coder.encode({1: "one two three four five six seven", 2: "", 3: "short"}[r.review_id]).ids[:5]
+        assert r.input_ids == wanted + [0] * (5 - len(wanted)) and r.attention_mask == [1] * len(wanted) + [0] * (5 - len(wanted))
