@@ -2,9 +2,10 @@
 
 Every text is a set of hashed WORDS-word shingles. Bands and rows of the MinHash signature are chosen for a target recall
 at the threshold. Texts that share a band become candidates: each is tied to the least text of the band (a star, never all
-pairs), stars are merged into candidate components, and all pairs within a component are verified on full shingle sets, in
-blocks of BLOCK texts, so that no task holds a component and none emits its pairs: a task returns counts of links and a
-spanning forest. Verified links make the classes.
+pairs), and stars are merged into candidate components. Pairs are verified on full shingle sets, in blocks of BLOCK texts,
+so that no task holds a component and none emits its pairs: a task returns counts of links and a spanning forest. All pairs
+of a component are compared, or, where a component of many blocks is a chain of texts that share few bands, the pairs that
+share a band, each in the first band that it shares; whichever sends fewer texts. Verified links make the classes.
 """
 
 from __future__ import annotations
@@ -213,15 +214,62 @@ def forest(links: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     return peer
 
 
-def verify(docs: DataFrame, members: DataFrame, threshold: float, words: int) -> DataFrame:
-    """(node, texts, docs, peer) for blocks of candidates: how many other texts, and rows of docs with them, link to node.
+def block_of(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")
 
-    members: (node, root, copies, low). A component of more than BLOCK texts is dealt into blocks by a hash; each pair of
-    blocks is a group, so a text goes to as many groups as its component has blocks. Of equal texts the row with the least
-    id is fetched, so that copies of one text spread over tasks; the join is by merging at any size.
+
+def blocks_for(texts: Column) -> Column:
+    return F.ceil(texts / BLOCK).cast("int")
+
+
+def place(band: Column, key: Column, blocks: Column) -> Column:
+    """Where a text is compared: in its block of the component or band bucket of this key. band is -1 for components."""
+    return F.struct(band.alias("band"), key.alias("key"), blocks.alias("blocks"), block_of(blocks).alias("block"))
+
+
+def placements(signed: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, copies, low, places, bands) of (node, root, copies, low): a text's component, or each band it shares there.
+
+    A text goes to as many groups as a place has blocks, so a component of n texts costs n times its blocks, and its bands the
+    sum over shared bands. Components of one block stay whole; of larger ones the cheaper way is taken. bands is null
+    unless a text is placed by bands, of which it has a bounded number.
+    """
+    most = heavy_from(members.count())
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("near_n")).withColumn("size", F.col("near_n"))
+    sized = skew_join(members, sizes, "root", "node", most)
+    whole = F.array(place(F.lit(-1), F.col("root"), blocks_for(F.col("size"))))
+    wide = written(sized.where(F.col("size") > BLOCK).select("node", "root", "size"), "wide")
+    if wide.isEmpty():
+        forget(wide)
+        return sized.select("node", "copies", "low", whole.alias("places"), F.lit(None).cast("array<long>").alias("bands"))
+    banded = written(signed.where(F.col("bands").isNotNull()).select("node", "bands").join(wide, "node").dropDuplicates(["node"]), "wide-bands")
+    each = banded.select("node", "root", "size", F.posexplode("bands").alias("band", "key"))
+    mates = each.groupBy("key").agg(F.count(F.lit(1)).alias("near_n")).where("near_n > 1").withColumn("blocks", blocks_for(F.col("near_n")))
+    shared = written(skew_join(each, mates, "key", "node", most), "wide-shared")
+    cheaper = shared.groupBy("root", "size").agg(F.sum("blocks").alias("sent")).where(F.col("sent") < F.col("size") * blocks_for(F.col("size")))
+    split = skew_join(shared, cheaper.select("root", F.col("size").alias("near_n")), "root", "node", most)
+    by_band = split.groupBy("node").agg(F.collect_list(place(F.col("band"), F.col("key"), F.col("blocks"))).alias("places"))
+    placed = sized.withColumn("whole", whole).join(by_band.join(banded.select("node", "bands"), "node"), "node", "left")
+    placed = written(placed.select("node", "copies", "low", F.coalesce("places", "whole").alias("places"), "bands"), "places")
+    forget(wide, banded, shared)
+    return placed
+
+
+def agree_before(bands: np.ndarray, band: int) -> np.ndarray:
+    """The matrix of pairs that share one of the first bands, so many."""
+    same = np.zeros((len(bands), len(bands)), bool)
+    for column in bands.T[:band]:
+        same |= column[:, None] == column[None, :]
+    return same
+
+
+def verify(docs: DataFrame, placed: DataFrame, threshold: float, words: int) -> DataFrame:
+    """(node, texts, docs, peer) for groups of candidates: how many other texts, and rows of docs with them, link to node.
+
+    placed: see placements(). Each pair of blocks of a place is a group. A pair is counted once: in its component, or in the
+    first band that it shares. Of equal texts the row with the least id is fetched, so that copies of one text spread over
+    tasks; the join is by merging at any size.
     """
-    blocks = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("near_n"))
-    placed = skew_join(members, blocks, "root", "node", heavy_from(members.count())).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     placed = placed.withColumn("near_id", id_key(F.col("low"))).hint("merge")
     bodies = docs.select(id_key(F.col("doc_id")).alias("near_id"), text_node(F.col("text")).alias("node"), F.col("text").alias("body"))
     texts = bodies.join(placed, ["near_id", "node"]).dropDuplicates(["near_id", "node"])
@@ -229,14 +277,23 @@ def verify(docs: DataFrame, members: DataFrame, threshold: float, words: int) ->
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = pa.array([shingles(b.as_py(), words).tobytes() for b in batch.column("body")], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "root", "copies", "blocks", "block")], sets], ["node", "root", "copies", "blocks", "block", "grams"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "copies", "places", "bands")], sets], ["node", "copies", "places", "bands", "grams"])
 
-    texts = texts.select("node", "root", "copies", "blocks", "block", "body")
+    texts = texts.select("node", "copies", "places", "bands", "body")
     encoded = texts.mapInArrow(encode, texts.drop("body").schema.add("grams", "binary"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = encoded.withColumn("other", other).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "copies", "block", "grams")
+    sent = encoded.select("node", "copies", "bands", "grams", F.inline("places")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = sent.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "copies", "block", "bands", "grams")
 
     def compare(group: pa.Table) -> pa.Table:
+        band = group.column("band")[0].as_py()
+        owned = None
+        if band >= 0:
+            owned = ~agree_before(np.array(group.column("bands").to_pylist(), np.int64), band)
+            np.fill_diagonal(owned, False)
+            kept = owned.any(axis=1)
+            group, owned = group.filter(pa.array(kept)), owned[np.ix_(kept, kept)]
+            if not group.num_rows:
+                return pa.table({n: pa.array([], pa.int64()) for n in ("node", "texts", "docs", "peer")})
         sets = [np.frombuffer(g, np.uint64) for g in group.column("grams").to_pylist()]
         nodes, copies, block = (group.column(c).to_numpy() for c in ("node", "copies", "block"))
         mixed_blocks = group.column("i")[0].as_py() != group.column("j")[0].as_py()
@@ -244,11 +301,13 @@ def verify(docs: DataFrame, members: DataFrame, threshold: float, words: int) ->
             links = np.zeros((len(nodes), len(nodes)), bool)
         else:
             links = linked(sets, block, threshold)
+        if owned is not None:
+            links &= owned
         some = links.any(axis=1)
         columns = (nodes[some], links.sum(axis=1)[some], (links @ copies)[some], forest(links, nodes)[some])
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("node", "texts", "docs", "peer"), columns, strict=True)})
 
-    return dealt.groupBy("root", "i", "j").applyInArrow(compare, "node long, texts long, docs long, peer long")
+    return dealt.groupBy("band", "key", "i", "j").applyInArrow(compare, "node long, texts long, docs long, peer long")
 
 
 def join_near(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
@@ -258,8 +317,9 @@ def join_near(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
     counted = signed.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"))
     tied = written(components(candidate_edges(signed, signed.count()), "candidates"), "candidate-roots")
     members = written(tied.join(counted, "node"), "candidates")
-    links = written(verify(docs, members, threshold, words), "links")
-    forget(tied, members)
+    placed = placements(signed, members)
+    links = written(verify(docs, placed, threshold, words), "links")
+    forget(tied, members, placed)
     sums = links.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     roots = components(links.select(F.col("node").alias("a"), F.col("peer").alias("b")), "classes")
     nodes = counted.join(sums, "node", "left").join(roots, "node", "left")

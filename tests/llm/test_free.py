@@ -308,6 +308,32 @@ def test_near_duplicates_of_odd_tables(spark):
     assert {tuple(r) for r in near_duplicates.keep_one(wide).collect()} == {tuple(r) for r in wide.where("doc_id <> 2").collect()}
 
 
+def test_a_chain_of_texts_is_compared_by_bands(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 2)
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
+    long = [word() for _ in range(1120)]
+    rows = [(k, " ".join(long[5 * k : 5 * k + 120]), "x") for k in range(200)] + [(500 + k, " ".join(long[:120]), "x") for k in range(3)]
+    rows += [(600 + k, " ".join([*long[-60:], word(), *long[-60:-1]]), "x") for k in range(40)]
+    seen = []
+    plain = near_duplicates.placements
+    monkeypatch.setattr(near_duplicates, "placements", lambda *a: seen.append(plain(*a)) or seen[-1])
+    monkeypatch.setattr(near_duplicates, "forget", lambda *a: None)
+    got = near_duplicates.near_duplicate_table(table(spark, rows)).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == Counter(plain_links(rows))
+    ways = Counter(r.bands is None for r in seen[0].collect())
+    assert ways[False] == 200 and ways[True] == 40
+    texts = {r.doc_id: r.n_text_links for r in got}
+    assert texts[0] == 2 and texts[100] == 4 and texts[600] == 39
+
+
+def test_pairs_of_earlier_bands():
+    bands = np.array([[1, 2, 3], [1, 5, 3], [4, 2, 3]])
+    assert not near_duplicates.agree_before(bands, 0).any()
+    assert near_duplicates.agree_before(bands, 1)[0, 1] and not near_duplicates.agree_before(bands, 1)[0, 2] and near_duplicates.agree_before(bands, 2)[0, 2]
+    assert not near_duplicates.agree_before(bands, 2)[1, 2] and near_duplicates.agree_before(bands, 3)[1, 2]
+
+
 def test_heavy_keys_join_like_others(spark):
     left = spark.createDataFrame([(k % 3 if k < 90 else k, k) for k in range(100)], "key int, v int")
     right = left.groupBy("key").count().withColumnRenamed("count", "near_n").withColumn("w", left.key * 2)
