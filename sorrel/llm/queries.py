@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, mixing, near_duplicates, quality_classifier, quality_rules, sharding, token_counts, url_filter, warc
+from . import bpe, collocations, decontamination, language_id, mixing, near_duplicates, quality_classifier, quality_rules, sharding, spelling, token_counts, url_filter, warc
 from .common import table
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_near_duplicates": lambda spark, d: near_duplicates.near_duplicate_table(table(spark, d, "documents")),
     "op9_mixing": lambda spark, d: mixing.mix_table(table(spark, d, "documents")),
     "op10_warc": lambda spark, d: warc.warc_table(table(spark, d, "pages")),
+    "op11_collocations": lambda spark, d: collocations.collocation_table(table(spark, d, "documents")),
+    "op12_bpe": lambda spark, d: bpe.encoded_table(table(spark, d, "documents")),
+    "op13_spelling_variants": lambda spark, d: spelling.variant_table(table(spark, d, "documents")),
 }
 
 #: Windows of ten words (or the whole of a shorter item) met as joined strings; words covered by a met window are counted.
@@ -81,4 +84,27 @@ x AS (SELECT r, sum(size) AS taken FROM q WHERE middle <= (SELECT sum(size) FROM
 SELECT doc_id, size, source_size, round(target, 6) AS target, coalesce(taken, 0)::BIGINT AS taken FROM b LEFT JOIN x USING (r)
 """
 
-ORACLE_SQL = {"op5_decontamination": DECONTAMINATION_SQL, "op7_url_filter": URL_SQL, "op9_mixing": MIXING_SQL, "op10_warc": WARC_SQL}
+#: Phrases as joined strings: counted, cut at every place, and compared with all longer ones that hold them.
+COLLOCATIONS_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(list_slice(ws, k, k + m - 1), ' ') AS phrase
+      FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS k FROM w, (VALUES (1), (2), (3), (4)) v(m) WHERE len(ws) >= m)),
+f AS (SELECT lang, m, phrase, count(*)::BIGINT AS a FROM g GROUP BY lang, m, phrase HAVING count(*) >= 30),
+c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+cuts AS (SELECT c.lang, c.m, c.phrase, c.a, x.k, h.a AS l, t.a AS r, ((2000000::HUGEINT * c.a) // (h.a + t.a))::BIGINT AS score
+         FROM c JOIN (VALUES (1), (2), (3)) x(k) ON x.k < c.m
+         JOIN f h ON h.lang = c.lang AND h.m = x.k AND h.phrase = array_to_string(list_slice(c.ws, 1, x.k), ' ')
+         JOIN f t ON t.lang = c.lang AND t.m = c.m - x.k AND t.phrase = array_to_string(list_slice(c.ws, x.k + 1, c.m), ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, m, phrase ORDER BY score, k) = 1),
+inner_phrases AS (SELECT lang, a, m, array_to_string(list_slice(ws, k, k + m - 1), ' ') AS phrase
+                  FROM (SELECT c.lang, c.a, c.ws, v.m, unnest(range(1, c.m - v.m + 2)) AS k FROM c JOIN (VALUES (2), (3)) v(m) ON v.m < c.m)),
+longer AS (SELECT lang, m, phrase, max(a) AS most FROM inner_phrases GROUP BY lang, m, phrase),
+kept AS (SELECT b.* FROM best b LEFT JOIN longer USING (lang, m, phrase) WHERE most IS NULL OR 100 * most::HUGEINT < 80 * a::HUGEINT),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op5_decontamination": DECONTAMINATION_SQL, "op7_url_filter": URL_SQL, "op9_mixing": MIXING_SQL, "op10_warc": WARC_SQL, "op11_collocations": COLLOCATIONS_SQL}
