@@ -26,8 +26,8 @@ from .common import free_names, ship
 
 #: Pre-tokens and fragments that a worker remembers, the most characters of such, and rows of a batch that are worked on at a time.
 MEMO, MEMO_CHARS, SLICE = 400_000, 64, 128
-#: Symbols of a fragment from which merges are drawn from a heap.
-HEAP_FROM = 24
+#: Symbols of a fragment from which merges are drawn from a heap; a number beyond all ids; what stands for no merge.
+HEAP_FROM, WIDE, NONE = 24, 1 << 20, 1 << 60
 
 
 def byte_letters() -> list[str]:
@@ -46,80 +46,85 @@ class Encoder:
         parts = json.loads(definition)
         model = parts["model"]
         self.library = Tokenizer.from_str(definition)
-        self.suffix = model["end_of_word_suffix"]
-        self.vocabulary: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): k for k, m in enumerate(model["merges"])}
+        self.suffix, vocabulary = model["end_of_word_suffix"], model["vocab"]
         self.special = {t["content"]: t["id"] for t in parts["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
         self.words = regex.compile(parts["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.letters = dict(enumerate(byte_letters()))
-        self.inside, self.ending = self.pairs()
+        letters = byte_letters()
+        self.letters, self.bytes_of = dict(enumerate(letters)), {c: b for b, c in enumerate(letters)}
+        self.starts, self.ends = [vocabulary[c] for c in letters], [vocabulary[c + self.suffix] for c in letters]
+        #: What a pair of ids (the left one times WIDE, plus the right one) becomes: its rank times WIDE, plus the new id.
+        self.merges: dict[int, int] = {}
+        for rank, merge in enumerate(model["merges"]):
+            left, right = merge.split(" ") if isinstance(merge, str) else merge
+            self.merges[vocabulary[left] * WIDE + vocabulary[right]] = rank * WIDE + vocabulary[left + right]
+        self.inside, self.ending = self.pairs(vocabulary)
         self.agreed: dict[str, bool] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
-        self.fragments_seen: dict[tuple[str, bool], tuple[int, ...]] = {}
+        self.fragments_seen: dict[tuple[bytes, bool], tuple[int, ...]] = {}
 
-    def pairs(self) -> tuple[set[str], set[str]]:
-        """Neighbouring letters inside some token, and those that end some token that ends a word."""
-        inside, ending = set(), set()
-        for token in self.vocabulary:
+    def pairs(self, vocabulary: dict[str, int]) -> tuple[bytearray, bytearray]:
+        """By pair of bytes, whether some token holds it inside, and whether some token that ends a word ends with it."""
+        inside, ending = bytearray(1 << 16), bytearray(1 << 16)
+        for token in vocabulary:
             if token in self.special:
                 continue
             ends = token.endswith(self.suffix) and len(token) > len(self.suffix)
-            body = token[: -len(self.suffix)] if ends else token
-            found = [body[k : k + 2] for k in range(len(body) - 1)]
+            raw = [self.bytes_of[c] for c in (token[: -len(self.suffix)] if ends else token)]
+            found = [a << 8 | b for a, b in zip(raw, raw[1:], strict=False)]
             if ends and found:
-                ending.add(found.pop())
-            inside.update(found)
+                ending[found.pop()] = 1
+            for pair in found:
+                inside[pair] = 1
         return inside, ending
 
-    def fragments(self, word: str) -> list[str]:
-        """A pre-token's letters, cut wherever no token spans; the last fragment is the one that ends the word."""
-        inside, last, out, low = self.inside, len(word) - 1, [], 0
-        for k in range(1, last):
-            if word[k - 1 : k + 1] not in inside:
-                out.append(word[low:k])
-                low = k
-        if last > 0 and word[last - 1 :] not in self.ending:
-            out.append(word[low:last])
-            low = last
-        out.append(word[low:])
-        return out
+    def fragments(self, raw: bytes) -> list[bytes]:
+        """A pre-token's bytes, cut wherever no token spans; the last fragment is the one that ends the word."""
+        inside, last = self.inside, len(raw) - 1
+        cuts = [k for k in range(1, last) if not inside[raw[k - 1] << 8 | raw[k]]]
+        if last > 0 and not self.ending[raw[last - 1] << 8 | raw[last]]:
+            cuts.append(last)
+        return [raw[a:b] for a, b in zip([0, *cuts], [*cuts, len(raw)], strict=True)] if cuts else [raw]
 
-    def merged(self, fragment: str, ends: bool) -> tuple[int, ...]:
+    def merged(self, fragment: bytes, ends: bool) -> tuple[int, ...]:
         """The ids of a fragment: the pair of the best rank, leftmost of equals, is merged until none is left."""
-        symbols = list(fragment)
+        starts = self.starts
+        ids = [starts[b] for b in fragment]
         if ends:
-            symbols[-1] += self.suffix
-        if len(symbols) >= HEAP_FROM:
-            symbols = self.merged_by_heap(symbols)
-        else:
-            ranks = self.ranks
-            while len(symbols) > 1:
-                rank, at = min((ranks.get((a, b), len(ranks)), k) for k, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)))
-                if rank == len(ranks):
-                    break
-                symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        return tuple(map(self.vocabulary.__getitem__, symbols))
-
-    def merged_by_heap(self, symbols: list[str]) -> list[str]:
-        ranks, n = self.ranks, len(symbols)
+            ids[-1] = self.ends[fragment[-1]]
+        if len(ids) >= HEAP_FROM:
+            return tuple(self.merged_by_heap(ids))
+        get = self.merges.get
+        found = [get(a * WIDE + b, NONE) for a, b in zip(ids, ids[1:], strict=False)]
+        while found and (best := min(found)) < NONE:
+            k = found.index(best)
+            ids[k] = best % WIDE
+            del ids[k + 1], found[k]
+            if k:
+                found[k - 1] = get(ids[k - 1] * WIDE + ids[k], NONE)
+            if k < len(found):
+                found[k] = get(ids[k] * WIDE + ids[k + 1], NONE)
+        return tuple(ids)
+
+    def merged_by_heap(self, ids: list[int]) -> list[int]:
+        get, n = self.merges.get, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waiting = [(ranks[pair], k, *pair) for k, pair in enumerate(zip(symbols, symbols[1:], strict=False)) if pair in ranks]
+        waiting = [(best // WIDE, k, best) for k, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (best := get(a * WIDE + b)) is not None]
         heapq.heapify(waiting)
         while waiting:
-            _, k, a, b = heapq.heappop(waiting)
+            _, k, best = heapq.heappop(waiting)
             right = after[k]
-            if symbols[k] != a or right >= n or symbols[right] != b:
+            if ids[k] < 0 or right >= n or get(ids[k] * WIDE + ids[right]) != best:
                 continue
-            symbols[k], symbols[right], after[k] = a + b, "", after[right]
+            ids[k], ids[right], after[k] = best % WIDE, -1, after[right]
             if after[k] < n:
                 before[after[k]] = k
             for left in (before[k], k):
-                if left >= 0 and after[left] < n and (pair := (symbols[left], symbols[after[left]])) in ranks:
-                    heapq.heappush(waiting, (ranks[pair], left, *pair))
-        return [s for s in symbols if s]
+                if left >= 0 and after[left] < n and (more := get(ids[left] * WIDE + ids[after[left]])) is not None:
+                    heapq.heappush(waiting, (more // WIDE, left, more))
+        return [i for i in ids if i >= 0]
 
-    def fragment_ids(self, fragment: str, ends: bool) -> tuple[int, ...]:
+    def fragment_ids(self, fragment: bytes, ends: bool) -> tuple[int, ...]:
         key = (fragment, ends)
         if (known := self.fragments_seen.get(key)) is None:
             known = self.merged(fragment, ends)
@@ -129,19 +134,20 @@ class Encoder:
                 self.fragments_seen[key] = known
         return known
 
+    def raw_ids(self, raw: bytes) -> tuple[int, ...]:
+        """The ids of a pre-token's bytes, as they stand in the normalised text."""
+        *starts, last = self.fragments(raw)
+        if not starts:
+            return self.merged(last, True)
+        return (*[i for fragment in starts for i in self.fragment_ids(fragment, False)], *self.fragment_ids(last, True))
+
     def word_ids(self, word: str) -> tuple[int, ...]:
-        """The ids of a pre-token as it stands in the normalised text."""
-        letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        *starts, last = self.fragments(letters)
-        out: list[int] = []
-        for fragment in starts:
-            out.extend(self.fragment_ids(fragment, False))
-        out.extend(self.fragment_ids(last, True))
+        found = self.raw_ids(word.encode("utf-8", "surrogatepass"))
         if len(word) <= MEMO_CHARS:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            self.memo[word] = tuple(out)
-        return tuple(out)
+            self.memo[word] = found
+        return found
 
     def agrees(self, c: str) -> bool:
         """Whether this process' character tables treat c as the library's do: its class, its small letter, how it composes and orders."""
@@ -151,10 +157,13 @@ class Encoder:
         for probe in (c, "́" + c, c + "̧", "a" + c + c + "1"):
             own = small(probe)
             theirs = lib.normalizer.normalize_str(probe)
-            if regex.sub(r"\s+", " ", own) != theirs or [w.encode().decode("latin-1").translate(self.letters) for w in self.words(own)] != [w for w, _ in lib.pre_tokenizer.pre_tokenize_str(theirs)]:
+            if regex.sub(r"\s+", " ", own) != theirs or [w.encode() for w in self.words(own)] != self.library_words(theirs):
                 return False
         return True
 
+    def library_words(self, normal: str) -> list[bytes]:
+        return [bytes(map(self.bytes_of.__getitem__, w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+
     def pre_tokens(self, text: str) -> list[str] | None:
         """The pre-tokens of a text without special strings; None if it holds a character on which tables differ."""
         if text.isascii():
@@ -175,12 +184,8 @@ class Encoder:
                 out.append(self.special[part])
                 continue
             if (words := self.pre_tokens(part)) is None:
-                letters = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
-                for word in letters:
-                    *starts, last = self.fragments(word)
-                    for fragment in starts:
-                        add(self.fragment_ids(fragment, False))
-                    add(self.fragment_ids(last, True))
+                for raw in self.library_words(self.library.normalizer.normalize_str(part)):
+                    add(self.raw_ids(raw))
                 continue
             for word in words:
                 add(known(word) or self.word_ids(word))

@@ -7,13 +7,16 @@ does. The two ids of a pair are the phrase's parents: the counts of its first an
 them, and a phrase passes its own count up to its parents, which tells whether it subsumes them.
 
 Sequences are kept in chunks of whole texts. The names that take more than a COMMON-th of a level's occurrences, fewer than
-COMMON by definition, are broadcast; a chunk asks for each of the others once, by a shuffled join on the pair.
+COMMON by definition, are broadcast; a chunk asks for each of the others once, by a shuffled join on the pair. A filter of
+bounded size, with a few bits for each of the other names, keeps chunks from asking for most of what has no name; the more
+names there are, the more questions it lets through.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,8 @@ LEAST, LONGEST, SUBSUMED, TOP = 30, 4, 80, 2000
 SCALE = 2_000_000
 #: Names that are broadcast; positions of a chunk (a longer text makes a longer chunk); different words and positions that a task counts at a time.
 COMMON, CHUNK, MEMO, COUNTED = 1_000_000, 1 << 17, 500_000, 1 << 21
+#: 64-bit words of the filter at most, and names to a word up to then.
+FILTER_WORDS, NAMES_A_WORD = 1 << 22, 2
 #: Parts of a language that are ranked by themselves before the language is.
 SALTS = 64
 
@@ -78,15 +83,59 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return plain(docs).mapInArrow(count, "lang string, word string, times long").groupBy("lang", "word").agg(F.sum("times").alias("f"))
 
 
+def word_hash(lang: str, word: bytes) -> int:
+    """64 bits of a word and its language."""
+    ahead = crc32(lang.encode() + b"\0")
+    return crc32(word, ahead) | crc32(word[::-1], ahead) << 32
+
+
+def filter_bits(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each 64-bit hash the place of its word in a filter of so many words (a power of two), and its four bits there."""
+    h = hashes.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(29)
+    bits = np.zeros(len(h), np.uint64)
+    for k in range(4):
+        bits |= np.uint64(1) << ((h >> np.uint64(6 * k)) & np.uint64(63))
+    return ((h >> np.uint64(40)) & np.uint64(words - 1)).astype(np.int64), bits
+
+
+def may_hold(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """False only for hashes that no name of the filter has."""
+    place, bits = filter_bits(hashes, len(table))
+    return (table[place] & bits) == bits
+
+
+def name_filter(names: DataFrame, columns: list[str], hashed) -> np.ndarray:
+    """The filter of names' keys. hashed turns a batch of the columns into 64-bit hashes. At most FILTER_WORDS words come to the driver."""
+    count = names.count()
+    words = 1 << min(max(-(-count // NAMES_A_WORD) - 1, 63).bit_length(), FILTER_WORDS.bit_length() - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, bits = filter_bits(hashed(batch), words)
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(bits.view(np.int64))], ["place", "bits"])
+
+    merged = names.select(*columns).mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(words, np.uint64)
+    table[merged.column("place").to_numpy()] = merged.column("bits").to_numpy().view(np.uint64)
+    return table
+
+
 class Names(dict):
-    """Ids of a language's common words. A word that isn't there gets a place among those that the chunk asks for, or none if all are there."""
+    """Ids of a language's common words. A word that isn't there gets 0, or a place among those that the chunk asks for if the filter (None where all names are common) lets it through."""
 
-    def __init__(self, known: dict[bytes, int], lang: str, complete: bool):
+    def __init__(self, known: dict[bytes, int], lang: str, table: np.ndarray | None):
         super().__init__(known)
-        self.lang, self.complete, self.asked = lang, complete, None
+        self.lang, self.table, self.asked, self.nothing = lang, table, None, {}
 
     def __missing__(self, word: bytes) -> int:
-        if self.complete:
+        if self.table is None or word in self.nothing:
+            return 0
+        if not may_hold(self.table, np.array([word_hash(self.lang, word)], np.uint64))[0]:
+            if len(self.nothing) >= MEMO:
+                self.nothing.clear()
+            self.nothing[word] = 0
             return 0
         return -self.asked.setdefault((self.lang, word), len(self.asked) + 1)
 
@@ -101,10 +150,11 @@ def word_sequences(docs: DataFrame, words: DataFrame, common: int) -> DataFrame:
     known: dict[str, dict[bytes, int]] = {}
     for i, lang, word in zip(*[chosen.column(c).to_pylist() for c in ("id", "lang", "word")], strict=True):
         known.setdefault(lang, {})[word] = i
-    shared = context.broadcast((known, complete))
+    hashed = lambda b: np.array([word_hash(lang, w.as_py()) for lang, w in zip(b.column("lang").to_pylist(), b.column("phrase").cast(pa.binary()), strict=True)], np.uint64)
+    shared = context.broadcast((known, None if complete else name_filter(words, ["lang", "phrase"], hashed)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, complete = shared.value
+        known, table = shared.value
         names: dict[str, Names] = {}
         ids: list[int] = []
         asked: dict = {}
@@ -116,7 +166,7 @@ def word_sequences(docs: DataFrame, words: DataFrame, common: int) -> DataFrame:
         for batch in batches:
             for lang, raw in texts_of(batch):
                 if lang not in names:
-                    names[lang] = Names(known.get(lang, {}), lang, complete)
+                    names[lang] = Names(known.get(lang, {}), lang, table)
                 of = names[lang]
                 of.asked = asked
                 for words in pieces(raw):
@@ -211,28 +261,33 @@ def pair_sequences(sequences: DataFrame, names: DataFrame, common: int, level: i
     chosen, complete = common_rows(names, common, "id", "left", "right")
     ids, left, right = (chosen.column(c).to_numpy() for c in ("id", "left", "right"))
     order = np.argsort(pair_hash(left, right), kind="stable")
-    shared = sequences.sparkSession.sparkContext.broadcast((pair_hash(left, right)[order], ids[order], left[order], right[order], complete))
+    hashed = lambda b: pair_hash(b.column("left").to_numpy(), b.column("right").to_numpy())
+    table = None if complete else name_filter(names, ["left", "right"], hashed)
+    shared = sequences.sparkSession.sparkContext.broadcast((pair_hash(left, right)[order], ids[order], left[order], right[order], table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known, lefts, rights, complete = shared.value
+        hashes, known, lefts, rights, table = shared.value
         for batch in batches:
             for left, right in adjacent(batch):
                 out = np.zeros(len(left), np.int64)
                 at = np.flatnonzero((left > 0) & (right > 0))
                 a, b = left[at], right[at]
+                h = pair_hash(a, b)
                 met = np.zeros(len(at), bool)
                 if len(hashes) and len(at):
-                    near = np.minimum(np.searchsorted(hashes, pair_hash(a, b)), len(hashes) - 1)
+                    near = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
                     met = (lefts[near] == a) & (rights[near] == b)
                     out[at[met]] = known[near[met]]
                 rows: list[dict] = []
-                if not complete and not met.all():
+                if table is None:
+                    out[at[~met]] = _among_equals(hashes, known, lefts, rights, a[~met], b[~met])
+                else:
                     # What isn't met here is asked for, also where another pair has its hash: the join compares the ids.
-                    both, code = np.unique(np.stack((a[~met], b[~met])), axis=1, return_inverse=True)
-                    out[at[~met]] = -1 - code.ravel()
+                    open_ = np.flatnonzero(~met)
+                    open_ = open_[may_hold(table, h[open_])]
+                    both, code = np.unique(np.stack((a[open_], b[open_])), axis=1, return_inverse=True)
+                    out[at[open_]] = -1 - code.ravel()
                     rows = [{"left": x, "right": y} for x, y in both.T.tolist()]
-                elif complete and not met.all() and len(hashes) > 1:
-                    out[at[~met]] = _among_equals(hashes, known, lefts, rights, a[~met], b[~met])
                 yield pa.RecordBatch.from_arrays([pa.array([squeezed(out)], pa.list_(pa.int64())), pa.array([rows], ASKED_PAIRS)], ["ids", "asked"])
 
     asked_type = T.ArrayType(T.StructType([T.StructField("left", T.LongType()), T.StructField("right", T.LongType())]))

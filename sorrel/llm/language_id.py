@@ -4,8 +4,7 @@ A text is encoded with each language's raw-content zstandard dictionary; the lan
 narrow margin is rejected. Encoding is by pieces of PIECE characters of the whole text, so that the dictionary matters
 all the way through a long text and not only at its start.
 
-A dictionary is learned from a bounded sample: SAMPLE_ROWS different texts of its language, and SAMPLE_LETTERS letters of
-each, in stretches spread evenly over the whole text. All that is sampled goes into the dictionary.
+A dictionary is learned from a bounded sample: SAMPLE_ROWS different texts of its language, each whole.
 """
 
 from __future__ import annotations
@@ -22,8 +21,8 @@ from pyspark.sql.window import Window
 
 from .common import fold_held_out, ship
 
-#: The sample that dictionaries are made of: different texts of each language, letters of each text, and of each stretch of it.
-SAMPLE_ROWS, SAMPLE_LETTERS, STRETCH = 128, 512, 128
+#: The sample that dictionaries are made of: different texts of each language.
+SAMPLE_ROWS = 32
 #: Rows of a batch that are read at a time; parts of a language that are ranked by themselves.
 SLICE, PARTS = 256, 64
 PIECE, LEVEL = 1500, 12
@@ -37,21 +36,12 @@ def letters(text: str | None) -> str:
     return regex.sub(r"[^\p{L}]+", " ", text or "").strip().lower()
 
 
-def spread(body: str, most: int = SAMPLE_LETTERS, stretch: int = STRETCH) -> str:
-    """The whole of a short body; of a longer one stretches at even distances, from its start to its end, most letters in all."""
-    if len(body) <= most:
-        return body
-    parts = max(most // stretch, 1)
-    starts = [k * (len(body) - stretch) // max(parts - 1, 1) for k in range(parts)]
-    return " ".join(body[k : k + stretch] for k in starts)
-
-
 def train_dictionaries(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
     """A dictionary for each language, from up to sample_rows different texts of (text, lang), those of the least hashes.
 
     Rows without text or language are left out, copies of a text count once. Hashes are made distinct and ranked without
-    the texts, of which only the chosen ones are then read; the driver gets the dictionaries' stretches. What it holds grows
-    with the number of languages, of which every worker must hold a dictionary anyway.
+    the texts, of which only the chosen ones are then read; the driver gets their letters. What it holds grows with the number
+    of languages, of which every worker must hold a dictionary anyway.
     """
     labelled = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", F.xxhash64("text").alias("place"), "text")
     least = lambda rows, *by: rows.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("place"))).where(F.col("nth") <= sample_rows)
@@ -61,7 +51,7 @@ def train_dictionaries(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> d
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("nth"), pa.array([spread(letters(t.as_py())) for t in batch.column("text")], pa.string())], ["lang", "nth", "body"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("nth"), pa.array([letters(t.as_py()) for t in batch.column("text")], pa.string())], ["lang", "nth", "body"])
 
     bodies: dict[str, list[str]] = {}
     for r in sorted(texts.mapInArrow(cut, "lang string, nth int, body string").collect()):

@@ -2,10 +2,11 @@
 
 Every text is a set of hashed WORDS-word shingles. Bands and rows of the MinHash signature are chosen for a target recall
 at the threshold. Texts that share a band become candidates: each is tied to the least text of the band (a star, never all
-pairs), and stars are merged into candidate components. Pairs are verified on full shingle sets, in blocks of BLOCK texts,
-so that no task holds a component and none emits its pairs: a task returns counts of links and a spanning forest. All pairs
-of a component are compared, or, where a component of many blocks is a chain of texts that share few bands, the pairs that
-share a band, each in the first band that it shares; whichever sends fewer texts. Verified links make the classes.
+pairs), and stars are merged into candidate components. Pairs are verified on full shingle sets, in blocks of texts of a
+bounded number and size, so that no task holds a component and none emits its pairs: a task returns counts of links and a
+spanning forest. A link is a pair that shares a band and reaches the threshold, in components of any size. A component's
+blocks are compared with one another, or, where it is a chain of texts that share few bands, the texts of each band, a pair
+in the first band that it shares; whichever sends fewer texts. Verified links make the classes.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from pyspark.sql import types as T
 
 from .common import forget, free_names, ship, written
 
-WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 448
-#: Texts in a block of a component; columns of a block's shingle matrix at a time; texts that a task remembers.
-BLOCK, COLUMNS, SEEN = 256, 4096, 1_000_000
+WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 448
+#: Texts in a block of a component and bytes of their text, on average; columns of a block's shingle matrix at a time; texts that a task remembers; rows and links that are read at a time.
+BLOCK, BLOCK_BYTES, COLUMNS, SEEN, SLICE, LINKS = 256, 4 << 20, 4096, 1_000_000, 64, 1 << 16
 #: A key is heavy if it has more than a HEAVY-th of all rows (and more than LEAST_HEAVY); its rows are dealt over SALTS tasks.
 HEAVY, LEAST_HEAVY, SALTS = 1000, 64, 64
 
@@ -120,8 +121,8 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, spread: str, most: in
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
-    """(doc_id, node, bands) for each row of docs; bands is null where this task has given that node's bands before."""
-    kept = docs.select("doc_id", text_node(F.col("text")).alias("node"), F.col("text").alias("body"))
+    """(doc_id, node, bytes, bands) for each row of docs; bands is null where this task has given that node's bands before."""
+    kept = docs.select("doc_id", text_node(F.col("text")).alias("node"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), F.col("text").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -135,7 +136,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
                     seen.clear()
                 seen.add(node)
                 out.append(band_hashes(shingles(body.as_py(), words), bands, rows))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "node", "bytes")], pa.array(out, pa.list_(pa.int64()))], ["doc_id", "node", "bytes", "bands"])
 
     return kept.mapInArrow(run, kept.drop("body").schema.add("bands", T.ArrayType(T.LongType())))
 
@@ -218,8 +219,9 @@ def block_of(blocks: Column) -> Column:
     return F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")
 
 
-def blocks_for(texts: Column) -> Column:
-    return F.ceil(texts / BLOCK).cast("int")
+def blocks_for(texts: Column, size: Column) -> Column:
+    """How many blocks so many texts of so many bytes make."""
+    return F.greatest(F.ceil(texts / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
 
 
 def place(band: Column, key: Column, blocks: Column) -> Column:
@@ -228,30 +230,29 @@ def place(band: Column, key: Column, blocks: Column) -> Column:
 
 
 def placements(signed: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, copies, low, places, bands) of (node, root, copies, low): a text's component, or each band it shares there.
+    """(node, copies, low, places) of (node, root, copies, low, bytes): a text's component, or each band it shares there.
 
     A text goes to as many groups as a place has blocks, so a component of n texts costs n times its blocks, and its bands the
-    sum over shared bands. Components of one block stay whole; of larger ones the cheaper way is taken. bands is null
-    unless a text is placed by bands, of which it has a bounded number.
+    sum over shared bands. Components of one block stay whole; of larger ones the cheaper way is taken. Both find the same links.
     """
     most = heavy_from(members.count())
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("near_n")).withColumn("size", F.col("near_n"))
-    sized = skew_join(members, sizes, "root", "node", most)
-    whole = F.array(place(F.lit(-1), F.col("root"), blocks_for(F.col("size"))))
-    wide = written(sized.where(F.col("size") > BLOCK).select("node", "root", "size"), "wide")
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("near_n"), F.sum("bytes").alias("total")).withColumn("size", F.col("near_n"))
+    sized = skew_join(members, sizes.withColumn("blocks", blocks_for(F.col("size"), F.col("total"))).drop("total"), "root", "node", most)
+    whole = F.array(place(F.lit(-1), F.col("root"), F.col("blocks")))
+    wide = written(sized.where(F.col("blocks") > 1).select("node", "root", "size", "bytes", F.col("blocks").alias("of")), "wide")
     if wide.isEmpty():
         forget(wide)
-        return sized.select("node", "copies", "low", whole.alias("places"), F.lit(None).cast("array<long>").alias("bands"))
-    banded = written(signed.where(F.col("bands").isNotNull()).select("node", "bands").join(wide, "node").dropDuplicates(["node"]), "wide-bands")
-    each = banded.select("node", "root", "size", F.posexplode("bands").alias("band", "key"))
-    mates = each.groupBy("key").agg(F.count(F.lit(1)).alias("near_n")).where("near_n > 1").withColumn("blocks", blocks_for(F.col("near_n")))
-    shared = written(skew_join(each, mates, "key", "node", most), "wide-shared")
-    cheaper = shared.groupBy("root", "size").agg(F.sum("blocks").alias("sent")).where(F.col("sent") < F.col("size") * blocks_for(F.col("size")))
+        return sized.select("node", "copies", "low", whole.alias("places"))
+    banded = signed.where(F.col("bands").isNotNull()).select("node", "bands").join(wide, "node").dropDuplicates(["node"])
+    each = written(banded.select("node", "root", "size", "of", "bytes", F.posexplode("bands").alias("band", "key")), "wide-bands")
+    mates = each.groupBy("key").agg(F.count(F.lit(1)).alias("near_n"), F.sum("bytes").alias("total")).where("near_n > 1")
+    shared = written(skew_join(each, mates.withColumn("blocks", blocks_for(F.col("near_n"), F.col("total"))).drop("total"), "key", "node", most), "wide-shared")
+    cheaper = shared.groupBy("root", "size", "of").agg(F.sum("blocks").alias("sent")).where(F.col("sent") < F.col("size") * F.col("of"))
     split = skew_join(shared, cheaper.select("root", F.col("size").alias("near_n")), "root", "node", most)
     by_band = split.groupBy("node").agg(F.collect_list(place(F.col("band"), F.col("key"), F.col("blocks"))).alias("places"))
-    placed = sized.withColumn("whole", whole).join(by_band.join(banded.select("node", "bands"), "node"), "node", "left")
-    placed = written(placed.select("node", "copies", "low", F.coalesce("places", "whole").alias("places"), "bands"), "places")
-    forget(wide, banded, shared)
+    placed = sized.withColumn("whole", whole).join(by_band, "node", "left")
+    placed = written(placed.select("node", "copies", "low", F.coalesce("places", "whole").alias("places")), "places")
+    forget(wide, each, shared)
     return placed
 
 
@@ -263,11 +264,21 @@ def agree_before(bands: np.ndarray, band: int) -> np.ndarray:
     return same
 
 
-def verify(docs: DataFrame, placed: DataFrame, threshold: float, words: int) -> DataFrame:
+def sharing(links: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """The links of pairs that share a band."""
+    out = np.zeros_like(links)
+    a, b = np.nonzero(np.triu(links))
+    for k in range(0, len(a), LINKS):
+        i, j = a[k : k + LINKS], b[k : k + LINKS]
+        out[i, j] = out[j, i] = (bands[i] == bands[j]).any(axis=1)
+    return out
+
+
+def verify(docs: DataFrame, placed: DataFrame, threshold: float, words: int, bands: int, rows: int) -> DataFrame:
     """(node, texts, docs, peer) for groups of candidates: how many other texts, and rows of docs with them, link to node.
 
-    placed: see placements(). Each pair of blocks of a place is a group. A pair is counted once: in its component, or in the
-    first band that it shares. Of equal texts the row with the least id is fetched, so that copies of one text spread over
+    placed: see placements(). Each pair of blocks of a place is a group. A pair that shares a band is counted once: in its
+    component, or in the first band that it shares. Of equal texts the row with the least id is fetched, so that copies of one text spread over
     tasks; the join is by merging at any size.
     """
     placed = placed.withColumn("near_id", id_key(F.col("low"))).hint("merge")
@@ -275,20 +286,24 @@ def verify(docs: DataFrame, placed: DataFrame, threshold: float, words: int) ->
     texts = bodies.join(placed, ["near_id", "node"]).dropDuplicates(["near_id", "node"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = pa.array([shingles(b.as_py(), words).tobytes() for b in batch.column("body")], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "copies", "places", "bands")], sets], ["node", "copies", "places", "bands", "grams"])
-
-    texts = texts.select("node", "copies", "places", "bands", "body")
-    encoded = texts.mapInArrow(encode, texts.drop("body").schema.add("grams", "binary"))
+        for whole in batches:
+            for low in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(low, SLICE)
+                sets = [shingles(b.as_py(), words) for b in batch.column("body")]
+                hashes = pa.array([band_hashes(s, bands, rows).tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "copies", "places")], hashes, pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "copies", "places", "bands", "grams"])
+
+    texts = texts.select("node", "copies", "places", "body")
+    encoded = texts.mapInArrow(encode, texts.drop("body").schema.add("bands", "binary").add("grams", "binary"))
     sent = encoded.select("node", "copies", "bands", "grams", F.inline("places")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = sent.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "copies", "block", "bands", "grams")
 
     def compare(group: pa.Table) -> pa.Table:
         band = group.column("band")[0].as_py()
+        hashes = np.frombuffer(b"".join(group.column("bands").to_pylist()), np.int64).reshape(group.num_rows, -1)
         owned = None
         if band >= 0:
-            owned = ~agree_before(np.array(group.column("bands").to_pylist(), np.int64), band)
+            owned = ~agree_before(hashes, band)
             np.fill_diagonal(owned, False)
             kept = owned.any(axis=1)
             group, owned = group.filter(pa.array(kept)), owned[np.ix_(kept, kept)]
@@ -301,8 +316,7 @@ def verify(docs: DataFrame, placed: DataFrame, threshold: float, words: int) ->
             links = np.zeros((len(nodes), len(nodes)), bool)
         else:
             links = linked(sets, block, threshold)
-        if owned is not None:
-            links &= owned
+        links = sharing(links, hashes) if owned is None else links & owned
         some = links.any(axis=1)
         columns = (nodes[some], links.sum(axis=1)[some], (links @ copies)[some], forest(links, nodes)[some])
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("node", "texts", "docs", "peer"), columns, strict=True)})
@@ -314,11 +328,11 @@ def join_near(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
     """(rows, nodes): rows of (doc_id, node), one for each of docs; nodes, written, of (node, root, copies, low, texts, docs)."""
     bands, per_band = choose_bands(threshold, recall)
     signed = written(signatures(docs, bands, per_band, words), "signatures")
-    counted = signed.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"))
+    counted = signed.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"), F.max("bytes").alias("bytes"))
     tied = written(components(candidate_edges(signed, signed.count()), "candidates"), "candidate-roots")
     members = written(tied.join(counted, "node"), "candidates")
     placed = placements(signed, members)
-    links = written(verify(docs, placed, threshold, words), "links")
+    links = written(verify(docs, placed, threshold, words, bands, per_band), "links")
     forget(tied, members, placed)
     sums = links.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     roots = components(links.select(F.col("node").alias("a"), F.col("peer").alias("b")), "classes")

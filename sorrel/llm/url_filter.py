@@ -12,11 +12,11 @@ from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import forget, ship, written
 
 TOKEN = r"[a-z0-9]+"
 
@@ -70,21 +70,27 @@ def spam_words() -> list[str]:
     return sorted({w for what, how in SPAM.values() for a in what for b in how for w in (f"{a}-{b}", f"{b}-{a}")})
 
 
-DEFAULT_RULES = tuple(host_rule(*r) for r in HOST_RULES) + tuple(word_rule("block", w) for w in spam_words())
-#: Most rules of a list: all are with the driver and every worker.
-MOST_RULES = 1_000_000
+#: Rules that are with the driver and every worker at a time; a longer list is tried in blocks, one after another.
+BLOCK_RULES = 1_000_000
+RULE_SCHEMA = "action string, host string, path string, words string"
 
 
-def read_rules(rules: DataFrame) -> tuple[UrlRule, ...]:
-    """Rules of a table (action, host, path, words): a host rule where host is filled, else a word rule. Rows with neither count for nothing.
+def default_rules(spark: SparkSession) -> DataFrame:
+    """The contract's host rules and the method's own word rules, as a table (action, host, path, words)."""
+    return spark.createDataFrame([(a, h, p, None) for a, h, p in HOST_RULES] + [("block", None, None, w) for w in spam_words()], RULE_SCHEMA)
 
-    More than MOST_RULES raise, as a rule list must fit into a worker; none is dropped.
-    """
+
+def rule_blocks(rules: DataFrame, most: int = BLOCK_RULES) -> list[DataFrame]:
+    """The different rules of a table (action, host, path, words) in blocks of about most rows. Rows with neither host nor words, or another action, count for nothing."""
     filled = (F.coalesce("host", F.lit("")) != "") | (F.coalesce("words", F.lit("")) != "")
-    rows = rules.where(filled & F.col("action").isin("allow", "block")).select("action", "host", "path", "words").distinct().limit(MOST_RULES + 1).collect()
-    if len(rows) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    made = [host_rule(r["action"], r["host"], r["path"] or "") if r["host"] else word_rule(r["action"], r["words"]) for r in rows]
+    rows = rules.where(filled & F.col("action").isin("allow", "block")).select("action", "host", "path", "words").distinct()
+    blocks = max(-(-rows.count() // most), 1)
+    return [rows.where(F.pmod(F.xxhash64("action", "host", "path", "words"), F.lit(blocks)) == k) for k in range(blocks)] if blocks > 1 else [rows]
+
+
+def read_rules(rules: DataFrame) -> tuple[UrlRule, ...]:
+    """Rules of a block: a host rule where host is filled, else a word rule."""
+    made = [host_rule(r["action"], r["host"], r["path"] or "") if r["host"] else word_rule(r["action"], r["words"]) for r in rules.collect()]
     return tuple(sorted(made, key=lambda r: (r.name, r.action)))
 
 
@@ -97,10 +103,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def token_frequencies(addresses: DataFrame, rules: tuple[UrlRule, ...]) -> dict[str, int]:
-    """In how many of all URLs each literal token of the rules stands. One row for each such token reaches the driver."""
+    """In how many of all URLs each literal token of a block of rules stands. One row for each such token reaches the driver."""
     wanted = sorted({t for r in rules for t in r.literals})
+    if not wanted:
+        return {}
+    literals = addresses.sparkSession.createDataFrame([(t,) for t in wanted], "token string")
     tokens = F.explode(F.array_distinct(F.regexp_extract_all(F.translate(F.concat("host", "path"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(TOKEN), F.lit(0)))).alias("token")
-    counted = addresses.select(tokens).where(F.col("token").isin(wanted)).groupBy("token").count()
+    counted = addresses.select(tokens).join(literals, "token").groupBy("token").count()
     return {t: 0 for t in wanted} | {r[0]: r[1] for r in counted.collect()}
 
 
@@ -128,35 +137,55 @@ class RuleIndex:
             self.compiled[k] = re.compile(self.rules[k].pattern)
         return self.compiled[k]
 
-    def judge(self, host: str, path: str) -> tuple[str | None, str]:
-        """(name of the deciding rule, verdict). Rules without weight give a verdict but no name; else the verdict is allow."""
+    def judge(self, host: str, path: str) -> tuple[tuple[int, str, str] | None, bool]:
+        """((weight, name, action) of the deciding rule, whether a rule without weight blocks)."""
         address = host + path
         fitting = [self.rules[k] for k in self.candidates(address) if self.pattern(k).search(address)] if host else []
-        if deciding := [r for r in fitting if r.weight]:
-            best = max(deciding, key=lambda r: (r.weight, r.name, r.action))
-            return best.name, best.action
-        return None, "block" if any(r.action == "block" for r in fitting) else "allow"
+        return max(((r.weight, r.name, r.action) for r in fitting if r.weight), default=None), any(r.action == "block" for r in fitting if not r.weight)
 
 
-def judge_urls(pages: DataFrame, keep: list[Column], rules: tuple[UrlRule, ...] = DEFAULT_RULES) -> DataFrame:
-    """keep's columns and host, path, rule, verdict for each row of pages. Reads only url; moves only token counts."""
-    kept = pages.select(*keep, F.col("url").alias("filter_url"))
-    host, path = host_and_path(F.col("filter_url"))
-    addresses = kept.select("*", host.alias("host"), path.alias("path")).drop("filter_url")
-    shared = pages.sparkSession.sparkContext.broadcast(([astuple(r) for r in rules], token_frequencies(addresses, rules)))
-    names = addresses.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields, frequencies = shared.value
-        index = RuleIndex(tuple(UrlRule(*f) for f in fields), frequencies)
-        for batch in batches:
-            found = [index.judge(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *[pa.array([f[k] for f in found], pa.string()) for k in (0, 1)]], [*names, "rule", "verdict"])
-
-    return addresses.mapInArrow(run, T.StructType([*addresses.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())]))
+def judge_urls(pages: DataFrame, keep: list[Column], rules: DataFrame | None = None, most: int = BLOCK_RULES) -> DataFrame:
+    """keep's columns and host, path, rule, verdict for each row of pages. Reads only url; moves only token counts.
 
-
-def url_table(pages: DataFrame, rules: tuple[UrlRule, ...] = DEFAULT_RULES) -> DataFrame:
+    rules: a table, see rule_blocks. Each block is a step over the pages that keeps the best rule so far; what a step but the
+    last returns is written, so a plan never holds two blocks.
+    """
+    kept = pages.select(F.struct(*keep).alias("url_row"), F.col("url").alias("filter_url"))
+    host, path = host_and_path(F.col("filter_url"))
+    state = T.StructType([T.StructField("best", BEST), T.StructField("blocked", T.BooleanType())])
+    judged = kept.select("url_row", host.alias("host"), path.alias("path"), F.lit(None).cast(BEST).alias("best"), F.lit(False).alias("blocked"))
+    schema = T.StructType([*judged.schema.fields[:3], *state.fields])
+    context, blocks = pages.sparkSession.sparkContext, rule_blocks(default_rules(pages.sparkSession) if rules is None else rules, most)
+    for n, block in enumerate(blocks):
+        made = read_rules(block)
+        shared = context.broadcast(([astuple(r) for r in made], token_frequencies(judged, made)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            fields, frequencies = shared.value
+            index = RuleIndex(tuple(UrlRule(*f) for f in fields), frequencies)
+            for batch in batches:
+                bests, blocked = [], []
+                for h, p, before, stopped in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "best", "blocked")), strict=True):
+                    best, stops = index.judge(h, p)
+                    known = None if before is None else (before["weight"], before["name"], before["action"])
+                    best = max((x for x in (best, known) if x is not None), default=None)
+                    bests.append(None if best is None else dict(zip(("weight", "name", "action"), best, strict=True)))
+                    blocked.append(stopped or stops)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("url_row", "host", "path")], pa.array(bests, BEST_ARROW), pa.array(blocked, pa.bool_())], schema.names)
+
+        before, judged = judged, judged.mapInArrow(run, schema)
+        if n + 1 < len(blocks):
+            judged = written(judged, "url-step")
+            forget(before)
+    verdict = F.coalesce("best.action", F.when(F.col("blocked"), "block").otherwise("allow"))
+    return judged.select("url_row.*", "host", "path", F.col("best.name").alias("rule"), verdict.alias("verdict"))
+
+
+BEST = T.StructType([T.StructField("weight", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("action", T.StringType())])
+BEST_ARROW = pa.struct([("weight", pa.int32()), ("name", pa.string()), ("action", pa.string())])
+
+
+def url_table(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict.
 
     A URL that is null, empty or has no :// has an empty host, fits no rule and is allowed. Repeated rows and null ids are

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sorrel.llm import decontamination, language_id, near_duplicates, quality_classifier, token_counts, url_filter, warc
 
@@ -41,9 +42,9 @@ def clashing(spark, rows, names):
 def test_languages_settle_ties_and_read_whole_texts(spark):
     same = b"one and the same dictionary of some letters"
     assert language_id.Compressors({"b": same, "a": same}).classify("some letters")[0] == "a"
-    body = "a" * 5000 + "b" * 5000
-    got = language_id.spread(body)
-    assert got.startswith("a") and got.endswith("b") and len(got) <= language_id.SAMPLE_LETTERS + 3 and language_id.spread("short") == "short"
+    body = "a" * 50_000 + " " + "b" * 50_000
+    whole = language_id.train_dictionaries(spark.createDataFrame([(body, "x"), ("ccc", "x")], "text string, lang string"))
+    assert sorted(whole["x"].decode().split(), key=len) == ["ccc", "a" * 50_000, "b" * 50_000]
     rows = [("aaa bbb ccc ddd", "x")] * 500 + [("eee fff ggg", "x"), ("zzz yyy", "y"), (None, "y"), ("www", None)]
     found = language_id.train_dictionaries(spark.createDataFrame(rows, "text string, lang string"))
     assert sorted(found["x"].decode().split()) == ["aaa", "bbb", "ccc", "ddd", "eee", "fff", "ggg"] and found["y"] == b"zzz yyy"
@@ -220,25 +221,35 @@ def test_url_index_finds_what_all_rules_find(rules, host, path, frequencies):
 
 def test_urls_of_odd_tables(spark):
     table = spark.createDataFrame([("block", "k.org", "/", None), ("allow", "k.org", "/ok/", None), ("block", None, None, "cheap-pills"), ("allow", "", None, ""), ("other", "x", "/", None)], "action string, host string, path string, words string")
-    rules = url_filter.read_rules(table)
-    assert len(rules) == 3
+    assert sum(len(url_filter.read_rules(b)) for b in url_filter.rule_blocks(table)) == 3
     pages = spark.createDataFrame([(1, "http://K.org/ok/x", 1, 2), (1, "http://K.org/ok/x", 1, 2), (2, "http://a.k.org/OK/", 1, 2), (3, "http://x.y/\u212acheap-pills", 1, 2), (None, "http://x.y/CHEAP-pills?" + "z" * 50_000, 1, 2)], "page_id long, url string, host long, filter_url long")
-    got = Counter((r.page_id, r.host, r.rule, r.verdict) for r in url_filter.url_table(pages, rules).collect())
-    assert got == Counter({(1, "k.org", "k.org/ok/", "allow"): 2, (2, "a.k.org", "k.org/", "block"): 1, (3, "x.y", None, "block"): 1, (None, "x.y", None, "block"): 1})
+    wanted = Counter({(1, "k.org", "k.org/ok/", "allow"): 2, (2, "a.k.org", "k.org/", "block"): 1, (3, "x.y", None, "block"): 1, (None, "x.y", None, "block"): 1})
+    for most in (1_000_000, 2, 1):
+        got = url_filter.judge_urls(pages, [F.col("page_id")], table, most)
+        assert Counter((r.page_id, r.host, r.rule, r.verdict) for r in got.collect()) == wanted and got.columns == ["page_id", "host", "path", "rule", "verdict"]
     assert url_filter.url_table(pages.limit(0)).collect() == []
+    none = url_filter.url_table(pages, table.limit(0)).collect()
+    assert len(none) == 5 and all(r.rule is None and r.verdict == "allow" for r in none)
 
 
-def test_url_index_equals_all_rules():
-    rules = url_filter.DEFAULT_RULES
+def test_blocks_of_rules_judge_as_all_rules_do(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    whole, parts = ({(r.page_id, r.rule, r.verdict) for r in url_filter.judge_urls(pages, [F.col("page_id")], None, most).collect()} for most in (1_000_000, 100))
+    assert whole == parts
+
+
+def test_url_index_equals_all_rules(spark):
+    rules = url_filter.read_rules(url_filter.default_rules(spark))
+    assert len(rules) == len(url_filter.HOST_RULES) + len(url_filter.spam_words())
     index = url_filter.RuleIndex(rules, {"net": 50, "example": 90, "en": 3})
     hosts = ["net", "a.net", "example.net", "x.example.net", "notexample.net", "example.com", "org", "b.org", "borg", "www.cheap-pills.example.org", "free-bets.x", "a.b", ""]
     for host in hosts:
         for path in ["", "/", "/en/x", "/en", "/EN/x", "/de/", "/fr/1", "/spam-farm/x", "/spam-farms"]:
             fitting = [r for r in rules if re.search(r.pattern, host + path)] if host else []
             deciding = sorted((r for r in fitting if r.weight), key=lambda r: -r.weight)
-            plain = (deciding[0].name, deciding[0].action) if deciding else (None, "block" if fitting else "allow")
-            assert index.judge(host, path) == plain, (host, path)
-    assert index.judge("a.example.net", "/en/1") == ("example.net/en/", "allow") and index.judge("a.example.net", "/x") == ("net/", "block")
+            plain = (deciding[0].weight, deciding[0].name, deciding[0].action) if deciding else None
+            assert index.judge(host, path) == (plain, any(not r.weight for r in fitting)), (host, path)
+    assert index.judge("a.example.net", "/en/1")[0][1:] == ("example.net/en/", "allow") and index.judge("a.example.net", "/x")[0][1:] == ("net/", "block")
 
 
 def test_url_table(spark):
@@ -321,12 +332,32 @@ def test_a_chain_of_texts_is_compared_by_bands(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "forget", lambda *a: None)
     got = near_duplicates.near_duplicate_table(table(spark, rows)).collect()
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == Counter(plain_links(rows))
-    ways = Counter(r.bands is None for r in seen[0].collect())
+    ways = Counter(r.places[0].band < 0 for r in seen[0].collect())
     assert ways[False] == 200 and ways[True] == 40
     texts = {r.doc_id: r.n_text_links for r in got}
     assert texts[0] == 2 and texts[100] == 4 and texts[600] == 39
 
 
+def test_links_do_not_depend_on_the_size_of_blocks(spark, monkeypatch):
+    draw = random.Random(19)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
+    long, dense = [word() for _ in range(700)], [word() for _ in range(80)]
+    rows = [(k, " ".join(long[5 * k : 5 * k + 120]), "x") for k in range(110)]
+    rows += [(200 + k, " ".join([word() if draw.random() < 0.02 else w for w in dense]), "x") for k in range(60)]
+    docs, found = table(spark, rows), []
+    for block, size in ((2, 1 << 30), (256, 1 << 30), (256, 3000), (7, 1 << 30)):
+        monkeypatch.setattr(near_duplicates, "BLOCK", block)
+        monkeypatch.setattr(near_duplicates, "BLOCK_BYTES", size)
+        _, nodes = near_duplicates.join_near(docs, recall=0.5)
+        found.append(sorted((r.node, r.root, r.texts, r.docs) for r in nodes.collect()))
+    assert found[0] == found[1] == found[2] == found[3]
+    bands, per_band = near_duplicates.choose_bands(recall=0.5)
+    sets = [near_duplicates.shingles(t) for _, t, _ in rows]
+    hashes = [near_duplicates.band_hashes(s, bands, per_band) for s in sets]
+    links = sum(len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-6 and bool((hashes[i] == hashes[j]).any()) for i in range(len(sets)) for j in range(i))
+    assert sum(x[2] for x in found[0]) == 2 * links > 200
+
+
 def test_pairs_of_earlier_bands():
     bands = np.array([[1, 2, 3], [1, 5, 3], [4, 2, 3]])
     assert not near_duplicates.agree_before(bands, 0).any()

@@ -1,12 +1,14 @@
 """Phrases, BPE and spelling variants against plain versions and the tokenizers library."""
 
 import hashlib
+import json
 import random
 import re
 import string
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -76,6 +78,23 @@ def test_phrase_chunks_and_blocks_change_nothing(spark, monkeypatch):
     assert got == plain_phrases(rows, 4, 80)[0]
 
 
+def test_phrases_by_filters_of_any_size(spark, monkeypatch):
+    rows = phrase_rows(6)
+    for words in (1 << 10, 64):
+        monkeypatch.setattr(collocations, "FILTER_WORDS", words)
+        monkeypatch.setattr(collocations, "NAMES_A_WORD", 1 if words > 64 else 1000)
+        got = {tuple(r[c] for c in ("lang", "phrase", "a", "l", "r", "score")) for r in collocations.mine(clashing(spark, rows, []), least=4, common=0)[0].collect()}
+        assert got == plain_phrases(rows, 4, 80)[0]
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64)
+    place, bits = collocations.filter_bits(hashes[:1000], 512)
+    table = np.zeros(512, np.uint64)
+    np.bitwise_or.at(table, place, bits)
+    assert collocations.may_hold(table, hashes[:1000]).all() and collocations.may_hold(table, hashes[1000:]).mean() < 0.05
+    names = collocations.Names({b"a": 7}, "x", table)
+    names.asked = {}
+    assert names[b"a"] == 7 and all(names[f"w{k}".encode()] <= 0 for k in range(100)) and len(names.nothing) > 80 and collocations.Names({}, "x", None)[b"b"] == 0
+
+
 def test_phrase_table_ranks_ties_and_empties(spark):
     rows = [(k, "b a. a b. c a. a c. B a", lang) for lang in ("x", None) for k in range(15)] + [(1, None, "y")]
     got = collocations.collocation_table(clashing(spark, rows, ["rank", "phrase", "part"])).collect()
@@ -132,24 +151,27 @@ def test_ids_equal_the_library(word_bpe, texts):
 
 
 def test_forced_boundaries(word_bpe):
-    _, encoder, _ = word_bpe
-    assert encoder.fragments("a") == ["a"] and "".join(encoder.fragments("qjxzvkq")) == "qjxzvkq" and len(encoder.fragments("qjxzvkq")) > 1
-    tokens = [t.removesuffix("</w>") for t in encoder.vocabulary if t not in encoder.special]
-    for word in ("qjxzvkq", "hello", "straßenbahn".encode().decode("latin-1").translate(encoder.letters)):
+    _, encoder, path = word_bpe
+    model = json.load(open(path))["model"]
+    assert encoder.fragments(b"a") == [b"a"] and b"".join(encoder.fragments(b"qjxzvkq")) == b"qjxzvkq" and len(encoder.fragments(b"qjxzvkq")) > 1
+    tokens = [t.removesuffix("</w>") for t in model["vocab"] if t not in encoder.special]
+    for raw in (b"qjxzvkq", b"hello", "straßenbahn".encode()):
+        word = "".join(encoder.letters[x] for x in raw)
         cuts, at = set(), 0
-        for f in encoder.fragments(word)[:-1]:
+        for f in encoder.fragments(raw)[:-1]:
             cuts.add(at := at + len(f))
         inside = {k for k in range(1, len(word)) if any(word[k - 1 : k + 1] in t for t in tokens if len(t) > 1)}
         assert set(range(1, len(word))) - inside <= cuts
-    draw = random.Random(2)
+    draw, ranks = random.Random(2), {tuple(m): k for k, m in enumerate(model["merges"])}
     for _ in range(300):
         word = "".join(draw.choices("aehinrst", k=draw.randrange(2, 60)))
-        symbols = [*word[:-1], word[-1] + "</w>"]
-        plain = list(symbols)
-        while pairs := [(encoder.ranks[p], k) for k, p in enumerate(zip(plain, plain[1:], strict=False)) if p in encoder.ranks]:
+        plain = [*word[:-1], word[-1] + "</w>"]
+        while pairs := [(ranks[p], k) for k, p in enumerate(zip(plain, plain[1:], strict=False)) if p in ranks]:
             _, k = min(pairs)
             plain[k : k + 2] = [plain[k] + plain[k + 1]]
-        assert encoder.merged_by_heap(list(symbols)) == plain and encoder.merged(word, True) == tuple(encoder.vocabulary[s] for s in plain)
+        ids = [model["vocab"][s] for s in plain]
+        letters = [*[encoder.starts[x] for x in word[:-1].encode()], encoder.ends[ord(word[-1])]]
+        assert encoder.merged_by_heap(letters) == ids and list(encoder.merged(word.encode(), True)) == ids == list(encoder.raw_ids(word.encode()))
 
 
 def test_a_worker_forgets_and_goes_on(word_bpe, monkeypatch):
