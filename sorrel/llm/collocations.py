@@ -7,7 +7,7 @@ does. The two ids of a pair are the phrase's parents: the counts of its first an
 them, and a phrase passes its own count up to its parents, which tells whether it subsumes them.
 
 Sequences are kept in chunks of whole texts. The names that take more than a COMMON-th of a level's occurrences, fewer than
-COMMON by definition, are broadcast; a chunk asks for each of the others once, by a shuffled join on the pair. A filter of
+COMMON by definition (COMMON_WORDS for words), are broadcast; a chunk asks for each of the others once, by a shuffled join on the pair. A filter of
 bounded size, with a few bits for each of the other names, keeps chunks from asking for most of what has no name; the more
 names there are, the more questions it lets through.
 """
@@ -30,8 +30,8 @@ from .common import forget, ship, written
 #: Occurrences of a candidate, words of the longest, per cent of a phrase's count that subsumes it, rows of a language.
 LEAST, LONGEST, SUBSUMED, TOP = 30, 4, 80, 2000
 SCALE = 2_000_000
-#: Names that are broadcast; positions of a chunk (a longer text makes a longer chunk); different words and positions that a task counts at a time.
-COMMON, CHUNK, MEMO, COUNTED = 1_000_000, 1 << 17, 500_000, 1 << 21
+#: Words that are broadcast, some 180 bytes each in a worker, and pairs, 32 bytes each; positions of a chunk (a longer text makes a longer chunk); different words and positions that a task counts at a time.
+COMMON_WORDS, COMMON, CHUNK, MEMO, COUNTED = 1_000_000, 4_000_000, 1 << 19, 500_000, 1 << 21
 #: 64-bit words of the filter at most, and names to a word up to then.
 FILTER_WORDS, NAMES_A_WORD = 1 << 22, 2
 #: Parts of a language that are ranked by themselves before the language is.
@@ -106,6 +106,14 @@ def may_hold(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[place] & bits) == bits
 
 
+def word_may_be_there(table: np.ndarray, h: int) -> bool:
+    """may_hold() of one hash, in whole numbers."""
+    h = (h ^ (h >> 33)) * 0xFF51AFD7ED558CCD & 0xFFFFFFFFFFFFFFFF
+    h ^= h >> 29
+    bits = 1 << (h & 63) | 1 << (h >> 6 & 63) | 1 << (h >> 12 & 63) | 1 << (h >> 18 & 63)
+    return int(table[h >> 40 & len(table) - 1]) & bits == bits
+
+
 def name_filter(names: DataFrame, columns: list[str], hashed) -> np.ndarray:
     """The filter of names' keys. hashed turns a batch of the columns into 64-bit hashes. At most FILTER_WORDS words come to the driver."""
     count = names.count()
@@ -132,7 +140,7 @@ class Names(dict):
     def __missing__(self, word: bytes) -> int:
         if self.table is None or word in self.nothing:
             return 0
-        if not may_hold(self.table, np.array([word_hash(self.lang, word)], np.uint64))[0]:
+        if not word_may_be_there(self.table, word_hash(self.lang, word)):
             if len(self.nothing) >= MEMO:
                 self.nothing.clear()
             self.nothing[word] = 0
@@ -349,15 +357,16 @@ def not_subsumed(phrases: DataFrame, longer: DataFrame | None, share: int) -> Da
     return kept.drop("most")
 
 
-def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, share: int = SUBSUMED, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
+def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, share: int = SUBSUMED, common: int = COMMON, common_words: int = COMMON_WORDS) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals): (lang, phrase, a, l, r, score) of every candidate that isn't subsumed, and (lang, n).
 
-    common: names with more than a common-th of a level's occurrences are broadcast; the result is the same for any number.
+    common: pairs with more than a common-th of a level's occurrences are broadcast, words with more than a common_words-th; the
+    result is the same for any numbers.
     """
     counted = written(word_counts(docs).where(F.col("word").isNull() | (F.col("f") >= least)).withColumn("id", F.monotonically_increasing_id() + 1), "words")
     totals = counted.where("word IS NULL").select("lang", F.col("f").alias("n"))
     level = counted.where("word IS NOT NULL").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
-    sequences, levels = word_sequences(docs, level, common), []
+    sequences, levels = word_sequences(docs, level, common_words), []
     for k in range(2, longest + 1):
         level = named_pairs(pair_counts(sequences), level, least, k)
         levels.append(level)

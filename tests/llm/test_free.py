@@ -341,21 +341,21 @@ def test_a_chain_of_texts_is_compared_by_bands(spark, monkeypatch):
 def test_links_do_not_depend_on_the_size_of_blocks(spark, monkeypatch):
     draw = random.Random(19)
     word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
-    long, dense = [word() for _ in range(700)], [word() for _ in range(80)]
-    rows = [(k, " ".join(long[5 * k : 5 * k + 120]), "x") for k in range(110)]
-    rows += [(200 + k, " ".join([word() if draw.random() < 0.02 else w for w in dense]), "x") for k in range(60)]
+    long, dense = [word() for _ in range(340)], [word() for _ in range(80)]
+    rows = [(k, " ".join(long[5 * k : 5 * k + 120]), "x") for k in range(40)]
+    rows += [(200 + k, " ".join([word(), *[word() if draw.random() < 0.02 else w for w in dense]]), "x") for k in range(24)]
     docs, found = table(spark, rows), []
-    for block, size in ((2, 1 << 30), (256, 1 << 30), (256, 3000), (7, 1 << 30)):
+    for block, size in ((3, 1 << 30), (256, 1 << 30), (256, 3000)):
         monkeypatch.setattr(near_duplicates, "BLOCK", block)
         monkeypatch.setattr(near_duplicates, "BLOCK_BYTES", size)
         _, nodes = near_duplicates.join_near(docs, recall=0.5)
         found.append(sorted((r.node, r.root, r.texts, r.docs) for r in nodes.collect()))
-    assert found[0] == found[1] == found[2] == found[3]
+    assert found[0] == found[1] == found[2]
     bands, per_band = near_duplicates.choose_bands(recall=0.5)
     sets = [near_duplicates.shingles(t) for _, t, _ in rows]
     hashes = [near_duplicates.band_hashes(s, bands, per_band) for s in sets]
     links = sum(len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-6 and bool((hashes[i] == hashes[j]).any()) for i in range(len(sets)) for j in range(i))
-    assert sum(x[2] for x in found[0]) == 2 * links > 200
+    assert sum(x[2] for x in found[0]) == 2 * links > 100
 
 
 def test_pairs_of_earlier_bands():

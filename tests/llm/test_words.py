@@ -63,7 +63,7 @@ def phrase_rows(seed=3):
 @pytest.mark.parametrize("common", [1_000_000, 20, 0])
 def test_phrases_equal_plain_counts(spark, common):
     rows = phrase_rows()
-    phrases, totals = collocations.mine(clashing(spark, rows, ["word", "id", "n", "score"]), least=4, common=common)
+    phrases, totals = collocations.mine(clashing(spark, rows, ["word", "id", "n", "score"]), least=4, common=common, common_words=common)
     wanted, n = plain_phrases(rows, 4, 80)
     got = phrases.collect()
     assert {tuple(r[c] for c in ("lang", "phrase", "a", "l", "r", "score")) for r in got} == wanted and len(got) == len(wanted) > 50
@@ -74,7 +74,7 @@ def test_phrase_chunks_and_blocks_change_nothing(spark, monkeypatch):
     rows = phrase_rows(8)
     for name, small in (("CHUNK", 50), ("MEMO", 5), ("COUNTED", 20)):
         monkeypatch.setattr(collocations, name, small)
-    got = {tuple(r[c] for c in ("lang", "phrase", "a", "l", "r", "score")) for r in collocations.mine(clashing(spark, rows, []), least=4, common=30)[0].collect()}
+    got = {tuple(r[c] for c in ("lang", "phrase", "a", "l", "r", "score")) for r in collocations.mine(clashing(spark, rows, []), least=4, common=30, common_words=40)[0].collect()}
     assert got == plain_phrases(rows, 4, 80)[0]
 
 
@@ -83,12 +83,13 @@ def test_phrases_by_filters_of_any_size(spark, monkeypatch):
     for words in (1 << 10, 64):
         monkeypatch.setattr(collocations, "FILTER_WORDS", words)
         monkeypatch.setattr(collocations, "NAMES_A_WORD", 1 if words > 64 else 1000)
-        got = {tuple(r[c] for c in ("lang", "phrase", "a", "l", "r", "score")) for r in collocations.mine(clashing(spark, rows, []), least=4, common=0)[0].collect()}
+        got = {tuple(r[c] for c in ("lang", "phrase", "a", "l", "r", "score")) for r in collocations.mine(clashing(spark, rows, []), least=4, common=0, common_words=0)[0].collect()}
         assert got == plain_phrases(rows, 4, 80)[0]
     hashes = np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64)
     place, bits = collocations.filter_bits(hashes[:1000], 512)
     table = np.zeros(512, np.uint64)
     np.bitwise_or.at(table, place, bits)
+    assert [collocations.word_may_be_there(table, int(h)) for h in hashes] == collocations.may_hold(table, hashes).tolist()
     assert collocations.may_hold(table, hashes[:1000]).all() and collocations.may_hold(table, hashes[1000:]).mean() < 0.05
     names = collocations.Names({b"a": 7}, "x", table)
     names.asked = {}
@@ -120,7 +121,7 @@ def test_pairs_whose_hashes_are_equal_keep_their_names(spark, monkeypatch):
     monkeypatch.setattr(collocations, "pair_hash", lambda left, right: (left % 3).astype("uint64"))
     rows = phrase_rows(5)
     for common in (1_000_000, 25):
-        got = {tuple(r[c] for c in ("lang", "phrase", "a", "l", "r", "score")) for r in collocations.mine(clashing(spark, rows, []), least=4, common=common)[0].collect()}
+        got = {tuple(r[c] for c in ("lang", "phrase", "a", "l", "r", "score")) for r in collocations.mine(clashing(spark, rows, []), least=4, common=common, common_words=common)[0].collect()}
         assert got == plain_phrases(rows, 4, 80)[0]
 
 
