@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sorrel.functions.text import clean_sentiment as preprocess_content
-from sorrel.operators import classify, learning
+from sorrel.operators import classify, learning, review_index
 from sorrel.operators.documents import build_documents
 from sorrel.operators.documents import to_documents as preprocess_record
-from sorrel.operators.search import clauses, expand, search
+from sorrel.operators.search import expand, search, settled
 from sorrel.operators.search import search_output as postprocess_results
 from sorrel.operators.search import valid_output as validate_search_output
 from sorrel.sources import files
@@ -21,7 +21,7 @@ __all__ = ["build_documents", "build_search_body", "postprocess_results", "predi
 
 def build_search_body(documents: DataFrame, queries: DataFrame) -> dict[str, DataFrame]:
     """The clauses of the full query for each of queries (query_id, query), by name, each as scored documents."""
-    return clauses(documents, expand(queries))
+    return review_index.clauses(review_index.build(documents), settled(expand(queries)))
 
 
 def predict_sentiment(rows: DataFrame, predict: Callable[[str], int]) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sorrel import vocab
 from sorrel.config import load_config
 from sorrel.functions import text
-from sorrel.operators import classify, documents, enrich, experiments, learning, lexical, ranking, search
+from sorrel.operators import classify, documents, enrich, experiments, learning, lexical, ranking, review_index, search, trainer
 from sorrel.scratch import remove, written
 from sorrel.session import build_session
 from sorrel.sources import files
@@ -58,13 +58,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--cv-folds", "--n-splits", type=int, default=5)
     p.add_argument("--seed", type=int, default=42)
     p.add_argument("--save-preprocessed", action="store_true")
-    p.add_argument("--models", nargs="+", default=["tfidf_logreg"], choices=["tfidf_logreg", "random"])
+    p.add_argument("--models", nargs="+", default=["tfidf_logreg"], choices=["tfidf_logreg", "random", "network"])
     p.add_argument("--prepare-only", action="store_true", help="only save folds and their metadata")
     p.add_argument("--max-features", type=int, default=learning.CONFIG["max_features"])
     p.add_argument("--max-iter", type=int, default=learning.CONFIG["max_iter"])
     fine = experiments.Training(model="")
     for name, kind in (("epochs", int), ("batch_size", int), ("learning_rate", float), ("max_length", int)):
-        p.add_argument(f"--transformer-{name.replace('_', '-')}", type=kind, default=getattr(fine, name))
+        p.add_argument(f"--transformer-{name.replace('_', '-')}", type=kind, default=trainer.Network.learning_rate if name == "learning_rate" else getattr(fine, name), help="of the network that is trained")
     p.add_argument("--transformer-warmup-ratio", type=float, default=fine.warmup_share)
     p.add_argument("--transformer-weight-decay", type=float, default=fine.weight_decay)
     p.add_argument("--class-weight-mode", choices=experiments.WEIGHT_MODES, default="inverse")
@@ -131,8 +131,10 @@ def evaluate_command(spark, a) -> dict:
     cases = written(files.first_rows(files.load_evaluation(spark, a.eval_path), a.limit), "cases")
     gold = cases.select("query_id", F.explode("gold").alias("doc_id"))
     expanded = search.settled(search.expand(cases.select("query_id", "query")))
-    index = lexical.load_index(spark, a.index_name) if a.index_name else None
-    legs = search.search_batch(docs, expanded, index, size=a.k)
+    there = a.index_name and files.path_exists(spark, f"{a.index_name}/blocks")
+    index = review_index.load(spark, a.index_name) if there else review_index.build(docs, folder=a.index_name or None)
+    graph = search.vector_graph_of(docs) if search.stores_graph(docs) else None
+    legs = search.search_batch(docs, expanded, index, size=a.k, graph=graph)
     final = legs.final.select("query_id", "doc_id", F.col("final_rank").alias("rank"))
     stages = {"bm25": (legs.lexical, vocab.LEXICAL_TOP), "dense": (legs.dense, vocab.DENSE_TOP), "rrf": (legs.fused, vocab.FUSION_TOP), "final": (final, a.k)}
     told = ranking.stage_summary(stages, gold, cases)
@@ -184,7 +186,13 @@ def classify_command(spark, a) -> dict:
         files.write_json(said, f"{a.output_dir}/holdout_seed{a.seed}")
         print(scores)
         return scores
-    known = {"tfidf_logreg": experiments.tfidf_candidate(a.max_features, a.max_iter), "random": experiments.random_candidate()}
+    logs = {}
+
+    def network(rows, folds, seed):
+        said, logs["network"] = trainer.cross_validate(rows, settings, folds, seed, custom=a.custom_class_weights)
+        return said
+
+    known = {"tfidf_logreg": experiments.tfidf_candidate(a.max_features, a.max_iter), "random": experiments.random_candidate(), "network": network}
     board = experiments.sweep(content, {m: known[m] for m in a.models}, saved, a.cv_folds, a.seed)
     ranked = [r.asDict() for r in board.collect()]
     details = {}
@@ -192,6 +200,8 @@ def classify_command(spark, a) -> dict:
         said = files.load_predictions(spark, saved, [model], a.seed, a.cv_folds)
         folds = [r.asDict() for r in experiments.fold_scores(said).orderBy("fold").collect()]
         details[model] = {"folds": folds, "out_of_fold": experiments.out_of_fold(said).first().asDict()}
+        if model in logs:
+            details[model]["losses"] = [r.asDict() for r in experiments.epoch_losses(logs[model], "fold").orderBy("fold", "epoch").collect()]
     files.write_document(spark, {"leaderboard": ranked, "models": details, "settings": settings.record(), "tfidf": learning.CONFIG}, f"{a.output_dir}/model_comparison{f'_{tag}' if tag else ''}_seed{a.seed}_k{a.cv_folds}.json")
     print(ranked)
     return {"leaderboard": ranked, "models": details}

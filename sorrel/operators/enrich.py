@@ -3,37 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sorrel import vocab
-from sorrel.functions import arrays, text
+from sorrel.functions import arrays, terms, text
 from sorrel.scratch import ship
 
 
-def rule_metadata(content: Column) -> Column:
-    """Metadata from the aspect vocabularies: an aspect is there if one of its terms is, and its sentiment is that of its own terms."""
-    blank = F.coalesce(content, F.lit(""))
-    found = [F.when(text.contains_any(blank, terms), F.lit(aspect)) for aspect, terms in vocab.ASPECT_TERMS.items()]
+def told_metadata(value: str | None, found: set[str]) -> dict:
+    """Raw metadata of a text that holds the found terms: its aspects, their terms, and issues with the sentiment of the aspect's own terms and the first term as evidence."""
     issues = []
     for aspect, terms in vocab.ASPECT_TERMS.items():
-        good, bad = text.contains_any(blank, vocab.POSITIVE_TERMS[aspect]), text.contains_any(blank, vocab.NEGATIVE_TERMS[aspect])
-        mood = F.when(good & bad, "mixed").when(good, "positive").when(bad, "negative").otherwise("neutral")
-        evidence = reduce(lambda a, b: F.coalesce(a, b), [F.when(F.contains(blank, F.lit(t)), F.lit(t)) for t in terms])
-        issues.append(F.when(text.contains_any(blank, terms), F.struct(F.lit(aspect).alias("issue_category"), mood.alias("sentiment"), evidence.alias("evidence"))))
-    keep = lambda items: F.filter(F.array(*items), lambda x: x.isNotNull())
-    terms = F.array(*[F.when(F.contains(blank, F.lit(t)), F.lit(t)) for ts in vocab.ASPECT_TERMS.values() for t in ts])
-    raw = F.struct(keep(found).alias("issue_category"), F.filter(terms, lambda x: x.isNotNull()).alias("aspect_keywords"), keep(issues).alias("issue_sentiments"), F.substring(blank, 1, 80).alias("short_summary"))
-    return arrays.normalized_metadata(raw)
+        if evidence := next((t for t in terms if t in found), None):
+            good, bad = (any(t in found for t in table[aspect]) for table in (vocab.POSITIVE_TERMS, vocab.NEGATIVE_TERMS))
+            issues.append({"issue_category": aspect, "sentiment": "mixed" if good and bad else "positive" if good else "negative" if bad else "neutral", "evidence": evidence})
+    return {"issue_category": [i["issue_category"] for i in issues], "aspect_keywords": [t for ts in vocab.ASPECT_TERMS.values() for t in ts if t in found], "issue_sentiments": issues, "short_summary": (value or "")[:80]}
+
+
+def rule_metadata(content: Column) -> Column:
+    """Raw metadata from the aspect vocabularies, see told_metadata(); all terms are looked for in one pass over the text."""
+    tables = (vocab.ASPECT_TERMS, vocab.POSITIVE_TERMS, vocab.NEGATIVE_TERMS)
+    return terms.by_terms([t for table in tables for ts in table.values() for t in ts], told_metadata, arrays.METADATA_SCHEMA)(content)
 
 
 def enrich(documents: DataFrame, answers: Column | None = None) -> DataFrame:
     """documents with metadata (from a model's JSON answers, or by rule) and dense_text anew."""
-    meta = rule_metadata(F.col("content")) if answers is None else arrays.parsed_metadata(answers)
-    with_meta = documents.withColumn("_meta", meta)
+    if answers is None:
+        with_meta = documents.withColumn("_raw", rule_metadata(F.col("content"))).withColumn("_meta", arrays.normalized_metadata(F.col("_raw"))).drop("_raw")
+    else:
+        with_meta = documents.withColumn("_meta", arrays.parsed_metadata(answers))
     for name in ("issue_category", "aspect_keywords", "issue_sentiments", "short_summary"):
         with_meta = with_meta.withColumn(name, F.col(f"_meta.{name}"))
     named = {n: F.col(n) for n in with_meta.columns}

@@ -90,9 +90,9 @@ def warmed_rate(step: Column, total: Column, peak: float, warmup_share: float =
     return F.lit(peak) * F.when(step < warm, step / F.greatest(warm, F.lit(1))).otherwise(F.greatest((total - step) / F.greatest(total - warm, F.lit(1)), F.lit(0.0)))
 
 
-def epoch_losses(steps: DataFrame) -> DataFrame:
-    """epoch, train_loss: the mean loss of an epoch's steps, from a training log of (epoch, loss)."""
-    return steps.groupBy("epoch").agg(F.avg("loss").alias("train_loss"))
+def epoch_losses(steps: DataFrame, *by: str) -> DataFrame:
+    """epoch, train_loss: the mean loss of an epoch's steps, from a training log of (epoch, loss). by: further columns to tell apart."""
+    return steps.groupBy(*by, "epoch").agg(F.avg("loss").alias("train_loss"))
 
 
 def fold_scores(said: DataFrame) -> DataFrame:

@@ -45,10 +45,16 @@ def build_index(docs: DataFrame, id_column: str, fields: dict[str, Column], only
     return Index(postings, stats, postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")), places.select("field", "term", "doc_id", "place", "dl"))
 
 
-def store_index(index: Index, folder: str, files: int = 64) -> None:
-    """Write the index as tables ordered by term, so that a query's terms prune row groups on reading."""
+def store_index(index: Index, folder: str, files: int | None = None) -> None:
+    """Write the index as tables ordered by term and document, so that a query's terms prune row groups on reading and a frequent term has many files.
+
+    files: how many; by default as many as the bytes take.
+    """
     for name in ("postings", "terms", "places"):
-        getattr(index, name).repartitionByRange(files, "term").sortWithinPartitions("term", "field").write.mode("overwrite").parquet(f"{folder}/{name}")
+        rows = getattr(index, name)
+        order = [c for c in ("term", "field", "doc_id") if c in rows.columns]
+        dealt = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
+        dealt.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{folder}/{name}")
     index.fields.coalesce(1).write.mode("overwrite").parquet(f"{folder}/fields")
 
 
@@ -125,12 +131,13 @@ def keyword_term(docs: DataFrame, id_column: str, values: Column, queries: DataF
     return each.join(wanted, "key").select("query_id", "doc_id", score.alias("score"))
 
 
-def nested_match(elements: DataFrame, parent: str, queries: DataFrame, element_tokens: Column, tokens: Column, boost: float = 1.0) -> DataFrame:
-    """BM25 of each element by itself, and for each parent the best element."""
+def nested_match(elements: DataFrame, parent: str, queries: DataFrame, element_tokens: Column, tokens: Column, boost: float = 1.0, score_mode: str = "max") -> DataFrame:
+    """BM25 of each element by itself; a parent has the score of its best element (max), its elements' sum or mean (sum, avg), or 0 (none)."""
     numbered = elements.withColumn("_element", F.struct(parent, F.monotonically_increasing_id())) if "_element" not in elements.columns else elements
     index = build_index(numbered, "_element", {"element": element_tokens})
     scored = match(index, queries, tokens, {"element": 1.0}, boost)
-    return scored.groupBy("query_id", F.col("doc_id").getField(parent).alias("doc_id")).agg(F.max("score").alias("score"))
+    modes = {"max": F.max("score"), "sum": F.sum("score"), "avg": F.avg("score"), "none": F.max(F.lit(0.0))}
+    return scored.groupBy("query_id", F.col("doc_id").getField(parent).alias("doc_id")).agg(modes[score_mode].alias("score"))
 
 
 def wildcard(docs: DataFrame, id_column: str, value: Column, pattern: str, boost: float = 1.0) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,50 +13,55 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sorrel import vocab
-from sorrel.functions import arrays, text
-from sorrel.operators import lexical
+from sorrel.functions import arrays, terms, text
+from sorrel.operators import review_index, vector_graph
+from sorrel.operators.review_index import ranked
 from sorrel.scratch import ship, written
 
 OUTPUT = "struct<query:string,results:array<struct<review_id:string,score:double,product_name:string,content:string>>>"
 
 
-def query_aspect(query: Column) -> Column:
-    """The first aspect, in the vocabulary's order, one of whose terms the query holds."""
-    chain = F
-    for aspect, terms in vocab.QUERY_ASPECTS.items():
-        chain = chain.when(text.contains_any(query, terms), aspect)
-    return chain.otherwise(vocab.OTHER)
+LISTS = {"aspect_terms": vocab.ASPECT_TERMS, "positive_terms": vocab.POSITIVE_TERMS, "negative_terms": vocab.NEGATIVE_TERMS, "positive_phrases": vocab.POSITIVE_PHRASES, "negative_phrases": vocab.NEGATIVE_PHRASES}
+EXPANDED = ("bm25_terms", "dense_queries", "must_include", "should_include", "should_exclude", *LISTS)
 
 
-def query_sentiment(query: Column) -> Column:
-    """positive or negative if only such terms are there. Terms that hold others (as one for "not recommended") make it unknown."""
-    good, bad = text.contains_any(query, vocab.QUERY_POSITIVE), text.contains_any(query, vocab.QUERY_NEGATIVE)
-    return F.when(good & ~bad, "positive").when(bad & ~good, "negative").otherwise("unknown")
+def told_expansion(query: str | None, found: set[str]) -> dict:
+    """The expansion of a query that holds the found terms, by rule.
+
+    Its aspect is the first, in the vocabulary's order, of which it holds a term; its sentiment is positive or negative if
+    only such terms are there. Terms that hold others (as one for "not recommended") make it unknown.
+    """
+    aspect = next((a for a, ts in vocab.QUERY_ASPECTS.items() if any(t in found for t in ts)), vocab.OTHER)
+    good, bad = (any(t in found for t in ts) for ts in (vocab.QUERY_POSITIVE, vocab.QUERY_NEGATIVE))
+    mood = "positive" if good and not bad else "negative" if bad and not good else "unknown"
+    lists = {name: table.get(aspect, []) for name, table in LISTS.items()}
+    variants = [v for t, vs in vocab.EXPANSIONS.items() if t in found for v in vs if v not in found]
+    own = lists.get(f"{mood}_terms", [])
+    against = {"positive": "negative", "negative": "positive"}.get(mood)
+    terms_ = list(dict.fromkeys([*variants, *lists["aspect_terms"], *own]))
+    return {"target_aspect": aspect, "target_sentiment": mood, **lists, "bm25_terms": terms_, "should_include": terms_, "dense_queries": [query], "must_include": lists["aspect_terms"],
+            "should_exclude": [*lists[f"{against}_terms"], *lists[f"{against}_phrases"]] if against else []}
+
 
+def expansion(query: Column) -> Column:
+    """told_expansion() of a column, as one struct: all vocabularies are looked for in one pass over the query."""
+    vocabulary = [*vocab.QUERY_POSITIVE, *vocab.QUERY_NEGATIVE, *[t for ts in vocab.QUERY_ASPECTS.values() for t in ts], *vocab.EXPANSIONS, *[v for vs in vocab.EXPANSIONS.values() for v in vs]]
+    kind = ", ".join(["target_aspect string", "target_sentiment string", *[f"{n} array<string>" for n in EXPANDED]])
+    return terms.by_terms(vocabulary, told_expansion, kind)(query)
 
-def _terms(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+def query_aspect(query: Column) -> Column:
+    return expansion(query)["target_aspect"]
 
 
-def _by_aspect(table: dict[str, list[str]]) -> Column:
-    chain = F
-    for aspect, values in table.items():
-        chain = chain.when(F.col("target_aspect") == aspect, _terms(values))
-    return chain.otherwise(_terms([]))
+def query_sentiment(query: Column) -> Column:
+    return expansion(query)["target_sentiment"]
 
 
 def expand(queries: DataFrame) -> DataFrame:
     """queries (query_id, query) with the expansion's columns, by rule."""
-    aimed = queries.withColumns({"target_aspect": query_aspect(F.col("query")), "target_sentiment": query_sentiment(F.col("query"))})
-    tables = {"aspect_terms": vocab.ASPECT_TERMS, "positive_terms": vocab.POSITIVE_TERMS, "negative_terms": vocab.NEGATIVE_TERMS, "positive_phrases": vocab.POSITIVE_PHRASES, "negative_phrases": vocab.NEGATIVE_PHRASES}
-    aimed = aimed.withColumns({n: _by_aspect(t) for n, t in tables.items()})
-    query, mood = F.col("query"), F.col("target_sentiment")
-    variants = [F.when(F.contains(query, F.lit(t)), F.filter(_terms(v), lambda x: ~F.contains(query, x))).otherwise(_terms([])) for t, v in vocab.EXPANSIONS.items()]
-    own = F.when(mood == "positive", F.col("positive_terms")).when(mood == "negative", F.col("negative_terms")).otherwise(_terms([]))
-    against = F.when(mood == "positive", F.concat("negative_terms", "negative_phrases")).when(mood == "negative", F.concat("positive_terms", "positive_phrases")).otherwise(_terms([]))
-    return aimed.withColumns({
-        "bm25_terms": F.array_distinct(F.concat(*variants, F.col("aspect_terms"), own)), "dense_queries": F.array(query), "must_include": F.col("aspect_terms"), "should_exclude": against,
-    }).withColumn("should_include", F.col("bm25_terms"))
+    told = queries.withColumn("_told", expansion(F.col("query")))
+    return told.select(*queries.columns, "_told.*")
 
 
 def settled(expanded: DataFrame) -> DataFrame:
@@ -81,69 +85,9 @@ def overlay_model(expanded: DataFrame, answer: Column) -> DataFrame:
 Tokens = Callable[[Column], Column]
 
 
-def review_index(documents: DataFrame, tokens: Tokens = text.tokens_cased, only: DataFrame | None = None) -> lexical.Index:
-    """The lexical index of enriched documents over all searched fields. only: a table of term, to hold nothing but those."""
-    blank = lambda n: F.coalesce(F.col(n), F.lit(""))
-    columns = {n: tokens(F.array_join(F.coalesce(F.col(n), F.array()), " ") if n == "aspect_keywords" else blank(n)) for n in vocab.SEARCH_FIELDS}
-    return lexical.build_index(documents, "review_id", columns, only)
-
-
-def asked_terms(expanded: DataFrame, tokens: Tokens = text.tokens_cased) -> DataFrame:
-    """(term): every token that clauses() will look up for these queries."""
-    lists = [F.col(c) for c in ("bm25_terms", "aspect_terms", "positive_terms", "negative_terms", "positive_phrases", "negative_phrases")]
-    whole = F.array_join(F.concat(F.array("query"), *lists), " ")
-    return expanded.select(F.explode(tokens(whole)).alias("term")).distinct()
-
-
-def mood_terms() -> Column:
-    """The target aspect's terms of the target sentiment; the negative ones unless it is positive."""
-    return F.when(F.col("target_sentiment") == "positive", F.col("positive_terms")).otherwise(F.col("negative_terms"))
-
-
-def clauses(documents: DataFrame, expanded: DataFrame, index: lexical.Index | None = None, tokens: Tokens = text.tokens_cased) -> dict[str, DataFrame]:
-    """The should clauses of the full query by name, each as (query_id, doc_id, score). index: a stored review_index()."""
-    index = index or review_index(documents, tokens)
-    told = expanded.where(F.col("target_aspect") != vocab.OTHER)
-    of = lambda c: tokens(F.array_join(c, " "))
-    answers = documents.select("review_id", F.posexplode("review_survey_answers").alias("nth", "a")).select("review_id", F.struct("review_id", "nth").alias("_element"), "a.answer")
-    mood = F.col("target_sentiment")
-    phrases = F.when(mood == "positive", F.col("positive_phrases")).when(mood == "negative", F.col("negative_phrases")).otherwise(_terms([]))
-    each = expanded.select("query_id", F.posexplode(phrases).alias("nth", "phrase")).select(F.struct("query_id", "nth").alias("query_id"), "phrase")
-    spoken = lexical.phrase(index, each, tokens(F.col("phrase")), vocab.PHRASE_FIELDS, 2.4)
-    return {
-        "query": lexical.match(index, expanded, tokens(F.col("query")), vocab.SEARCH_FIELDS, 3.0),
-        "answers": lexical.nested_match(answers, "review_id", expanded, tokens(F.coalesce("answer", F.lit(""))), tokens(F.col("query")), 0.6),
-        "expanded": lexical.match(index, expanded, of(F.col("bm25_terms")), vocab.SEARCH_FIELDS, 1.2, "most"),
-        "aspect": lexical.match(index, expanded, of(F.col("aspect_terms")), vocab.ASPECT_FIELDS, 1.6, "most"),
-        "sentiment": lexical.match(index, told, of(mood_terms()), vocab.SENTIMENT_FIELDS, 0.8, "most"),
-        "category": lexical.keyword_term(documents, "review_id", F.coalesce("issue_category", F.array()), told, "target_aspect", 2.2),
-        "issue": issue_clause(documents, expanded, tokens, mood_terms()),
-        "phrase": spoken.groupBy(F.col("query_id.query_id").alias("query_id"), "doc_id").agg(F.sum("score").alias("score")),
-    }
-
-
-def lexical_leg(documents: DataFrame, expanded: DataFrame, tokens: Tokens = text.tokens_cased, top: int = vocab.LEXICAL_TOP, index: lexical.Index | None = None) -> DataFrame:
-    """(query_id, doc_id, score, rank): the full clause list over enriched documents, without those that the filter excludes."""
-    scored = lexical.any_of(list(clauses(documents, expanded, index, tokens).values())).withColumn("score", F.round("score", 9))
-    issues = documents.select(F.col("review_id").alias("doc_id"), "issue_sentiments")
-    fitting = issue_filter(scored.join(issues, "doc_id").join(F.broadcast(expanded.select("query_id", "target_aspect", "target_sentiment")), "query_id"))
-    return ranked(fitting.select("query_id", "doc_id", "score"), top)
-
-
-def issue_clause(documents: DataFrame, expanded: DataFrame, tokens, mood_terms: Column) -> DataFrame:
-    """Issue sentiments of the query's aspect (and sentiment, if it has one), with their evidence; the best element counts."""
-    elements = documents.select("review_id", F.posexplode("issue_sentiments").alias("nth", "s")).select(F.struct("review_id", "nth").alias("_element"), "s.*")
-    total = elements.agg(F.count(F.lit(1)).alias("n"))
-    counts = lambda c: elements.groupBy(c).agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).select(F.col(c), lexical.idf(F.col("n"), F.col("df")).alias(f"idf_{c}"))
-    aimed = expanded.where(F.col("target_aspect") != vocab.OTHER).select("query_id", F.col("target_aspect").alias("issue_category"), "target_sentiment")
-    met = elements.join(aimed, "issue_category").join(counts("issue_category"), "issue_category").join(counts("sentiment"), "sentiment")
-    told = F.col("target_sentiment").isin("positive", "negative")
-    must = met.where(~told | (F.col("sentiment") == F.col("target_sentiment"))).select("query_id", "_element", (3.0 * F.col("idf_issue_category") + F.when(told, 3.0 * F.col("idf_sentiment")).otherwise(0.0)).alias("must"))
-    index = lexical.build_index(elements, "_element", {"evidence": tokens(F.coalesce("evidence", F.lit("")))})
-    evidence = [lexical.match(index, expanded, tokens(F.array_join(c, " ")), {"evidence": w}, b) for c, w, b in ((F.col("aspect_terms"), 1.5, 2.2), (mood_terms, 1.0, 1.6))]
-    optional = lexical.any_of(evidence).select("query_id", F.col("doc_id").alias("_element"), F.col("score").alias("should"))
-    both = must.join(optional, ["query_id", "_element"], "left")
-    return both.groupBy("query_id", F.col("_element.review_id").alias("doc_id")).agg(F.max(F.col("must") + F.coalesce("should", F.lit(0.0))).alias("score"))
+def lexical_leg(documents: DataFrame, expanded: DataFrame, tokens: Tokens = text.tokens_cased, top: int = vocab.LEXICAL_TOP, index: review_index.ReviewIndex | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): the full clause list over enriched documents, without those that the filter excludes. See review_index.best()."""
+    return review_index.best(index or review_index.build(documents, tokens), expanded, tokens, top).ranked
 
 
 def issue_filter(candidates: DataFrame) -> DataFrame:
@@ -153,27 +97,23 @@ def issue_filter(candidates: DataFrame) -> DataFrame:
     return candidates.where(~wanted | there)
 
 
-def ranked(scored: DataFrame, top: int) -> DataFrame:
-    """(query_id, doc_id, score, rank): the best of each query, ties by document."""
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return scored.select("query_id", "doc_id", "score", order.alias("rank")).where(F.col("rank") <= top)
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, top: int, group: str | None = None, block: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, top: int, group: str | None = None, block: int | None = None, mask: str | None = None) -> DataFrame:
     """(query_id, doc_id, cosine): the top vectors of each query, exactly; 0 for a zero vector.
 
-    vectors: doc_id, vector; queries: query_id, vector; with group, only vectors with the query's value in that column count.
+    vectors: doc_id, vector; queries: query_id, vector; with group, only vectors with the query's value in that column count;
+    with mask, only vectors that share a bit of that column with the query, or all where the query's mask is 0.
     Queries are a stated set: they are taken in blocks of bounded size, each broadcast as one matrix of unit vectors, and
     every task multiplies its vectors by it and keeps its own top, so that tasks x queries x top rows are merged. Cosines are
     rounded to 8 digits; ties go to the lower document.
     """
-    asked = queries.select("query_id", "vector", *([group] if group else [])).orderBy("query_id")
+    extra = [c for c in (group, mask) if c]
+    asked = queries.select("query_id", "vector", *extra).orderBy("query_id")
     asked = written(asked, "query-vectors")
     found = None
     for part in query_blocks(asked, block or vocab.QUERY_BLOCK):
         if not (rows := part.collect()):
             continue
-        each = _nearest_block(vectors, asked, rows, top, group)
+        each = _nearest_block(vectors, asked, rows, top, group, mask)
         found = each if found is None else found.unionByName(each)
     if found is None:
         return vectors.join(asked.select("query_id"), F.lit(False)).select("query_id", "doc_id", F.lit(0.0).alias("cosine"))
@@ -188,14 +128,14 @@ def query_blocks(asked: DataFrame, most: int) -> Iterator[DataFrame]:
         yield asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
 
 
-def _nearest_block(vectors: DataFrame, asked: DataFrame, rows: list, top: int, group: str | None) -> DataFrame:
+def _nearest_block(vectors: DataFrame, asked: DataFrame, rows: list, top: int, group: str | None, mask: str | None) -> DataFrame:
     unit = lambda m: m / np.where((size := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, size)
     matrix = unit(np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1))
-    shared = vectors.sparkSession.sparkContext.broadcast((matrix, [r[group] for r in rows] if group else None))
-    kept = vectors.select("doc_id", "vector", *([group] if group else []))
+    shared = vectors.sparkSession.sparkContext.broadcast((matrix, [r[group] for r in rows] if group else None, np.array([r[mask] for r in rows], np.int64) if mask else None))
+    kept = vectors.select("doc_id", "vector", *[c for c in (group, mask) if c])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix, groups = shared.value
+        matrix, groups, masks = shared.value
         groups = None if groups is None else np.array(groups)
         best_score = [np.zeros(0)] * len(matrix)
         best_doc = [np.zeros(0, object)] * len(matrix)
@@ -205,7 +145,10 @@ def _nearest_block(vectors: DataFrame, asked: DataFrame, rows: list, top: int, g
             docs = np.array(batch.column("doc_id").to_pylist(), object)
             mine = unit(np.array(batch.column("vector").to_pylist(), np.float64).reshape(len(docs), -1))
             scores = (matrix @ mine.T).round(8)
-            fits = None if groups is None else groups[:, None] == np.array(batch.column(2).to_pylist())[None, :]
+            fits = None if groups is None else groups[:, None] == np.array(batch.column(group).to_pylist())[None, :]
+            if masks is not None:
+                let = (masks[:, None] == 0) | ((masks[:, None] & batch.column(mask).to_numpy(zero_copy_only=False)[None, :]) != 0)
+                fits = let if fits is None else fits & let
             for q in range(len(matrix)):
                 use = slice(None) if fits is None else np.flatnonzero(fits[q])
                 value, doc = np.concatenate([best_score[q], scores[q][use]]), np.concatenate([best_doc[q], docs[use]])
@@ -230,13 +173,19 @@ def _nearest_block(vectors: DataFrame, asked: DataFrame, rows: list, top: int, g
 
 
 def dense_leg(vectors: DataFrame, queries: DataFrame, top: int = vocab.DENSE_TOP, group: str | None = None) -> DataFrame:
-    """Exact nearest vectors: vectors (doc_id, vector), queries (query_id, vector); score (1 + cosine) / 2. See nearest()."""
-    return ranked(nearest(vectors, queries, top, group).select("query_id", "doc_id", F.round((1 + F.col("cosine")) / 2, 9).alias("score")), top)
+    """Exact nearest vectors: vectors (doc_id, vector), queries (query_id, vector); score (1 + cosine) / 2. A mask column in both filters. See nearest()."""
+    found = nearest(vectors, queries, top, group, mask=_mask_column(vectors, queries))
+    return ranked(found.select("query_id", "doc_id", F.round((1 + F.col("cosine")) / 2, 9).alias("score")), top)
 
 
 def dense_scan(vectors: DataFrame, queries: DataFrame, top: int = vocab.DENSE_TOP) -> DataFrame:
     """What stands in where nearest-vector search fails: an exact scan, with score cosine + 1."""
-    return ranked(nearest(vectors, queries, top).select("query_id", "doc_id", F.round(F.col("cosine") + 1, 9).alias("score")), top)
+    found = nearest(vectors, queries, top, mask=_mask_column(vectors, queries))
+    return ranked(found.select("query_id", "doc_id", F.round(F.col("cosine") + 1, 9).alias("score")), top)
+
+
+def _mask_column(vectors: DataFrame, queries: DataFrame) -> str | None:
+    return "mask" if "mask" in vectors.columns and "mask" in queries.columns else None
 
 
 def dense_leg_or_scan(vectors: DataFrame, queries: DataFrame, top: int = vocab.DENSE_TOP, leg: Callable[[DataFrame, DataFrame, int], DataFrame] = dense_leg) -> DataFrame:
@@ -306,7 +255,7 @@ def post_filter(candidates: DataFrame, size: int = vocab.FINAL_TOP, expanded: Da
     """
     usable = candidates.where((F.coalesce(F.col("doc_id").cast("string"), F.lit("")) != "") & (text.strip(F.coalesce("content", F.lit(""))) != "") & (text.meaningful_chars(F.col("content")) >= vocab.LEAST_MEANINGFUL))
     if expanded is not None:
-        aimed = usable.join(F.broadcast(expanded.select("query_id", "target_aspect", "target_sentiment")), "query_id")
+        aimed = usable.join(expanded.select("query_id", "target_aspect", "target_sentiment"), "query_id")
         usable = issue_filter(aimed).select(*candidates.columns)
     prefix = text.fingerprint_prefix(F.col("content"), vocab.DEDUPE_PREFIX)
     in_order = [F.desc(F.round("final_score", 12)), F.col("rank")]
@@ -369,32 +318,41 @@ class Legs:
     final: DataFrame
 
 
-def search_batch(documents: DataFrame, expanded: DataFrame, index: lexical.Index | None = None, score_pairs=None, size: int = vocab.FINAL_TOP, tokens: Tokens = text.tokens_cased, dense: Callable = dense_leg, embedder: Callable[[Column], Column] = embed) -> Legs:
+def search_batch(documents: DataFrame, expanded: DataFrame, index: review_index.ReviewIndex | None = None, score_pairs=None, size: int = vocab.FINAL_TOP, tokens: Tokens = text.tokens_cased, dense: Callable = dense_leg, embedder: Callable[[Column], Column] = embed, graph: vector_graph.VectorGraph | None = None) -> Legs:
     """All stages of hybrid search for expanded queries over enriched documents with a vector; each stage is written once.
 
-    The dense leg searches the documents that the query's aspect and sentiment allow: queries are dealt into groups by
-    them, of which there are at most aspects x 2 + 1, and each group is searched over its own documents.
+    The dense leg sees only documents that the query's aspect and sentiment allow, by the same masks as the lexical one.
+    With a stored graph of the vectors it walks that; without one it scores all vectors (see stores_graph).
     """
-    lex = written(lexical_leg(documents, expanded, tokens, index=index), "lexical-leg")
-    vectors = documents.select(F.col("review_id").alias("doc_id"), "vector", "issue_sentiments")
-    wanted = (F.col("target_aspect") != vocab.OTHER) & F.col("target_sentiment").isin("positive", "negative")
-    asked = expanded.withColumn("aim", F.when(wanted, F.struct("target_aspect", "target_sentiment")))
-    found = []
-    for row in asked.select("aim").distinct().collect():
-        aim = row["aim"]
-        fits = vectors if aim is None else vectors.where(arrays.has_issue(F.col("issue_sentiments"), aim["target_aspect"], aim["target_sentiment"]))
-        mine = asked.where(F.col("aim").isNull() if aim is None else (F.col("target_aspect") == aim["target_aspect"]) & (F.col("target_sentiment") == aim["target_sentiment"]))
-        variants = mine.select("query_id", F.explode("dense_queries").alias("q")).select("query_id", embedder(F.col("q")).alias("vector"))
-        found.append(dense_leg_or_scan(fits.select("doc_id", "vector"), variants, vocab.DENSE_TOP, dense))
-    near = reduce(DataFrame.unionByName, found) if found else lex.limit(0)
+    if graph is not None:
+        dense = lambda _, asked, top: vector_graph.graph_leg(graph, asked, top)
+    lex = lexical_leg(documents, expanded, tokens, index=index)
+    vectors = masked_vectors(documents)
+    variants = review_index.query_mask(expanded).select("query_id", "mask", F.explode("dense_queries").alias("q")).select("query_id", "mask", embedder(F.col("q")).alias("vector"))
+    near = dense_leg_or_scan(vectors, variants, vocab.DENSE_TOP, dense)
     fused = written(fuse(lex, near), "fused")
     columns = [c for c in ("product_name", "content", "dense_text", "issue_sentiments") if c in documents.columns]
-    candidates = documents.select(F.col("review_id").alias("doc_id"), *columns).join(F.broadcast(fused), "doc_id").join(F.broadcast(expanded.select("query_id", "query")), "query_id")
+    candidates = fused.join(documents.select(F.col("review_id").alias("doc_id"), *columns), "doc_id").join(expanded.select("query_id", "query"), "query_id")
     final = written(post_filter(rerank(candidates, score_pairs), size, expanded), "final")
     return Legs(lex, near, fused, final)
 
 
-def search(spark: SparkSession, documents: DataFrame, query: str, size: int = vocab.FINAL_TOP, score_pairs=None, index: lexical.Index | None = None) -> DataFrame:
+def masked_vectors(documents: DataFrame) -> DataFrame:
+    """(doc_id, vector, mask) of enriched documents."""
+    return documents.select(F.col("review_id").alias("doc_id"), "vector", review_index.mask_of(F.col("issue_sentiments")).alias("mask"))
+
+
+def vector_graph_of(documents: DataFrame, folder: str | None = None) -> vector_graph.VectorGraph:
+    """The graph of enriched documents' vectors, stored in folder."""
+    return vector_graph.build(masked_vectors(documents), folder)
+
+
+def stores_graph(documents: DataFrame, least: int = vector_graph.GRAPH_FROM) -> bool:
+    """Whether documents are so many that a graph of their vectors pays."""
+    return documents.count() >= least
+
+
+def search(spark: SparkSession, documents: DataFrame, query: str, size: int = vocab.FINAL_TOP, score_pairs=None, index: review_index.ReviewIndex | None = None) -> DataFrame:
     """One query over a stored table of enriched documents with dense vectors (columns of operators.documents, and vector): its SearchOutput."""
     expanded = settled(expand(spark.createDataFrame([(0, query)], "query_id int, query string")))
     return search_output(search_batch(documents, expanded, index, score_pairs, size).final, expanded.select("query_id", "query"))

@@ -6,11 +6,15 @@ Korean sentences, so that every clause of the full query has something to find.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sorrel import vocab
 from sorrel.functions import text
-from sorrel.operators import enrich, lexical, ranking, search
+from sorrel.operators import embedding, enrich, lexical, ranking, review_index, search, substring, vector_graph
 from sorrel.scratch import written
 from sorrel.session import spread
 
@@ -42,15 +46,6 @@ def reviews(spark, d):
 
 
 WEIGHTS = {"content": 3.0, "product_name": 1.5, "item_name": 1.2}
-_STORED: dict = {}
-
-
-def stored(spark, d, name: str, make):
-    """What make() gives, made once in a session and folder, as an index is that many searches use."""
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _STORED:
-        _STORED[key] = make()
-    return _STORED[key]
 
 
 def written_index(index: lexical.Index, name: str) -> lexical.Index:
@@ -58,13 +53,9 @@ def written_index(index: lexical.Index, name: str) -> lexical.Index:
 
 
 def index_of(spark, d):
-    """The stored index of all documents for the terms of all benchmark items."""
-
-    def make():
-        asked_for = asked(spark, d).select(F.explode(tokens()).alias("term"))
-        return written_index(lexical.build_index(reviews(spark, d), "doc_id", lexical.standard_fields(list(WEIGHTS)), asked_for), "index")
-
-    return stored(spark, d, "index", make)
+    """The index of all documents for the terms of all benchmark items."""
+    asked_for = asked(spark, d).select(F.explode(tokens()).alias("term"))
+    return written_index(lexical.build_index(reviews(spark, d), "doc_id", lexical.standard_fields(list(WEIGHTS)), asked_for), "index")
 
 
 def tokens():
@@ -134,6 +125,30 @@ def wildcard_match(spark, d):
     return both.distinct()
 
 
+#: Patterns by field, as the index of trigrams answers them.
+PATTERNS = {"content": "*the*ing*", "product_name": "src1*"}
+
+
+def substrings(spark, d):
+    return substring.build(reviews(spark, d), "doc_id", {f: F.col(f) for f in PATTERNS})
+
+
+@query("SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE text LIKE '%the%ing%' OR source LIKE 'src1%'")
+def wildcard_indexed(spark, d):
+    """wildcard_match by an index of trigrams."""
+    index = substrings(spark, d)
+    first, second = (substring.wildcard(index, f, p) for f, p in PATTERNS.items())
+    return first.union(second).distinct()
+
+
+@query("SELECT 'content' AS field, (SELECT count(*) FROM documents WHERE contains(text, 'the') AND contains(text, 'ing'))::BIGINT AS examined, (SELECT count(*) FROM documents WHERE text LIKE '%the%ing%')::BIGINT AS fitting UNION ALL SELECT 'product_name', (SELECT count(*) FROM documents WHERE contains(source, 'src') AND contains(source, 'rc1')), (SELECT count(*) FROM documents WHERE source LIKE 'src1%')")
+def wildcard_examined(spark, d):
+    """How many values each pattern runs on, and how many fit."""
+    index = substrings(spark, d)
+    count = lambda f, p: substring.candidates(index, f, p).agg(F.lit(f).alias("field"), F.count(F.lit(1)).alias("examined"), F.count_if(F.col("value").rlike(substring.expression(p))).alias("fitting"))
+    return reduce(DataFrame.unionByName, [count(f, p) for f, p in PATTERNS.items()])
+
+
 @query("""WITH n AS (SELECT count(*) AS n FROM documents WHERE lang IS NOT NULL), df AS (SELECT lang, count(*) AS df FROM documents WHERE lang IS NOT NULL GROUP BY lang)
 SELECT lang AS query_id, doc_id, round(2.2 * ln(1 + (n - df + 0.5) / (df + 0.5)), 5) AS score FROM documents JOIN df USING (lang), n""")
 def term_match(spark, d):
@@ -151,6 +166,14 @@ def nested_match(spark, d):
     return rounded(lexical.nested_match(turns, "conv_id", asked(spark, d), text.tokens(F.coalesce("text", F.lit(""))), tokens(), 0.6))
 
 
+@query(f"""WITH t AS (SELECT conv_id, row_number() OVER () AS el, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS t FROM conversations), {_ASKED}
+SELECT DISTINCT query_id, conv_id AS doc_id, 0.0::DOUBLE AS score FROM (SELECT conv_id, unnest(t) AS term FROM t) JOIN qt USING (term)""")
+def nested_match_unscored(spark, d):
+    """Conversations with a turn that matches, without a score: the clause only filters."""
+    turns = load(spark, d, "conversations").withColumn("_element", F.struct("conv_id", "turn", F.xxhash64("role", "text").alias("h")))
+    return lexical.nested_match(turns, "conv_id", asked(spark, d), text.tokens(F.coalesce("text", F.lit(""))), tokens(), 0.6, "none")
+
+
 def vectors(spark, d):
     return load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
 
@@ -195,6 +218,42 @@ def approximate_recall(spark, d):
     return both.agg(F.count(F.lit(1)).alias("pairs"), (F.count("met") >= 0.9 * F.count(F.lit(1))).alias("enough"))
 
 
+def graph_of(spark, d, mask=None):
+    """A graph of all vectors; mask: a filter mask of each."""
+    return vector_graph.build(vectors(spark, d).withColumn("mask", mask) if mask is not None else vectors(spark, d))
+
+
+def label_mask():
+    return F.pow(F.lit(2.0), F.col("label")).cast("long")
+
+
+@query(f"WITH {_COSINE}, c2 AS (SELECT *, (1 + cos) / 2 AS score FROM c) {_TOP.format(10)}")
+def graph_nearest(spark, d):
+    """The ten nearest vectors by the graph index: at this size, the same as the exact ones."""
+    return billionths(vector_graph.graph_leg(graph_of(spark, d), query_vectors(spark, d), 10))
+
+
+@query(f"WITH {_COSINE}, c2 AS (SELECT *, (1 + cos) / 2 AS score FROM c WHERE label = wanted) {_TOP.format(10)}")
+def graph_filtered(spark, d):
+    """The ten nearest vectors of the query's label, by a mask that the walk applies."""
+    return billionths(vector_graph.graph_leg(graph_of(spark, d, label_mask()), query_vectors(spark, d).withColumn("mask", label_mask()), 10))
+
+
+@query()
+def graph_recall(spark, d):
+    """By length of the walk's list: of the ten nearest vectors of all queries how many the graph finds, and the share of vectors scored."""
+    graph, asked_vectors = graph_of(spark, d), query_vectors(spark, d)
+    exact = written(search.dense_leg(vectors(spark, d).drop("label"), asked_vectors, 10), "exact")
+    total, rows = vectors(spark, d).count(), []
+    for candidates in (10, 20, 50, 100):
+        walked = vector_graph.walk(graph, asked_vectors, 10, candidates)
+        near = search.ranked(walked.select("query_id", "doc_id", F.round((1 + F.col("cosine")) / 2, 9).alias("score")), 10).select("query_id", "doc_id", F.lit(1).alias("met"))
+        found = exact.join(near, ["query_id", "doc_id"], "left").agg(F.count(F.lit(1)).alias("pairs"), F.count("met").alias("found"))
+        share = vector_graph.work(walked).agg(F.avg(F.col("scored") / total).alias("scored_share"))
+        rows.append(found.join(F.broadcast(share)).select(F.lit(candidates).alias("candidates"), "pairs", "found", F.round(F.col("found") / F.col("pairs"), 4).alias("recall"), F.round("scored_share", 4).alias("scored_share")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 #: Korean queries for the rule-based expansion.
 KOREAN = [
     "뽁뽁이 포장 상태에 만족한 리뷰", "배터리 빨리 닳아서 불만", "배터리 파손", "비추천", "카메라 화질 좋은지", "가성비", "화면이 별로", "the the",
@@ -211,16 +270,31 @@ def _any(terms: list[str]) -> str:
 
 
 _KOREAN = ", ".join(f"({i}, '{q}')" for i, q in enumerate(KOREAN))
-_AIMED = f"k AS (SELECT * FROM (VALUES {_KOREAN}) v(query_id, query)), a AS (SELECT *, {_case(vocab.QUERY_ASPECTS, 'query')} AS aspect, CASE WHEN {_any(vocab.QUERY_POSITIVE)} AND NOT {_any(vocab.QUERY_NEGATIVE)} THEN 'positive' WHEN {_any(vocab.QUERY_NEGATIVE)} AND NOT {_any(vocab.QUERY_POSITIVE)} THEN 'negative' ELSE 'unknown' END AS sentiment FROM k)"
+
+
+def _aimed(queries: str) -> str:
+    """The aspect and sentiment of queries (a query of query_id, query) in SQL, as a."""
+    return f"k AS ({queries}), a AS (SELECT *, {_case(vocab.QUERY_ASPECTS, 'query')} AS aspect, CASE WHEN {_any(vocab.QUERY_POSITIVE)} AND NOT {_any(vocab.QUERY_NEGATIVE)} THEN 'positive' WHEN {_any(vocab.QUERY_NEGATIVE)} AND NOT {_any(vocab.QUERY_POSITIVE)} THEN 'negative' ELSE 'unknown' END AS sentiment FROM k)"
+
+
+_AIMED = _aimed(f"SELECT * FROM (VALUES {_KOREAN}) v(query_id, query)")
+#: A query for every document: two Korean ones around its source and language.
+_ASKED_BY_DOCUMENT = _aimed(f"SELECT doc_id AS query_id, ([{', '.join(repr(q) for q in KOREAN)}])[(doc_id % {len(KOREAN)})::INT + 1] || ' ' || source || ' ' || lang || ' ' || ([{', '.join(repr(q) for q in KOREAN)}])[((doc_id // 7) % {len(KOREAN)})::INT + 1] AS query FROM documents")
 
 
 def korean(spark):
     return spark.createDataFrame(list(enumerate(KOREAN)), "query_id int, query string")
 
 
-@query(f"WITH {_AIMED} SELECT query_id, aspect, sentiment FROM a")
+def document_queries(spark, d):
+    i = F.col("doc_id")
+    pick = lambda n: F.element_at(F.array(*[F.lit(q) for q in KOREAN]), (n % len(KOREAN) + 1).cast("int"))
+    return load(spark, d, "documents").select(i.alias("query_id"), F.concat_ws(" ", pick(i), "source", "lang", pick(F.floor(i / 7))).alias("query"))
+
+
+@query(f"WITH {_ASKED_BY_DOCUMENT} SELECT query_id, aspect, sentiment FROM a")
 def detect_aspect_sentiment(spark, d):
-    return korean(spark).select("query_id", search.query_aspect(F.col("query")).alias("aspect"), search.query_sentiment(F.col("query")).alias("sentiment"))
+    return document_queries(spark, d).select("query_id", search.query_aspect(F.col("query")).alias("aspect"), search.query_sentiment(F.col("query")).alias("sentiment"))
 
 
 def _list(values: list[str]) -> str:
@@ -234,20 +308,20 @@ def _lists(table: dict[str, list[str]]) -> str:
 _VARIANTS = " || ".join(f"CASE WHEN contains(query, '{t}') THEN [x FOR x IN {_list(v)} IF NOT contains(query, x)] ELSE []::VARCHAR[] END" for t, v in vocab.EXPANSIONS.items())
 
 
-@query(f"""WITH {_AIMED}, e AS (SELECT *, {_VARIANTS} || {_lists(vocab.ASPECT_TERMS)} || CASE sentiment WHEN 'positive' THEN {_lists(vocab.POSITIVE_TERMS)} WHEN 'negative' THEN {_lists(vocab.NEGATIVE_TERMS)} ELSE []::VARCHAR[] END AS terms FROM a)
+@query(f"""WITH {_ASKED_BY_DOCUMENT}, e AS (SELECT *, {_VARIANTS} || {_lists(vocab.ASPECT_TERMS)} || CASE sentiment WHEN 'positive' THEN {_lists(vocab.POSITIVE_TERMS)} WHEN 'negative' THEN {_lists(vocab.NEGATIVE_TERMS)} ELSE []::VARCHAR[] END AS terms FROM a)
 SELECT query_id, term FROM (SELECT DISTINCT query_id, unnest(terms) AS term FROM e)""")
 def expand_query(spark, d):
-    return search.expand(korean(spark)).select("query_id", F.explode("bm25_terms").alias("term"))
+    return search.expand(document_queries(spark, d)).select("query_id", F.explode("bm25_terms").alias("term"))
 
 
-@query(f"""WITH {_AIMED}, e AS (SELECT *, {_lists(vocab.ASPECT_TERMS)} AS asp, {_lists(vocab.POSITIVE_TERMS)} AS pos, {_lists(vocab.NEGATIVE_TERMS)} AS neg, {_lists(vocab.POSITIVE_PHRASES)} AS pp, {_lists(vocab.NEGATIVE_PHRASES)} AS np, {_VARIANTS} AS var FROM a),
+@query(f"""WITH {_ASKED_BY_DOCUMENT}, e AS (SELECT *, {_lists(vocab.ASPECT_TERMS)} AS asp, {_lists(vocab.POSITIVE_TERMS)} AS pos, {_lists(vocab.NEGATIVE_TERMS)} AS neg, {_lists(vocab.POSITIVE_PHRASES)} AS pp, {_lists(vocab.NEGATIVE_PHRASES)} AS np, {_VARIANTS} AS var FROM a),
 x AS (SELECT *, var || asp || CASE sentiment WHEN 'positive' THEN pos WHEN 'negative' THEN neg ELSE []::VARCHAR[] END AS terms, CASE sentiment WHEN 'positive' THEN neg || np WHEN 'negative' THEN pos || pp ELSE []::VARCHAR[] END AS against FROM e)
 SELECT query_id, query, aspect AS target_aspect, sentiment AS target_sentiment, array_to_string(list_sort(list_distinct(terms)), '|') AS bm25_terms, array_to_string(list_sort(list_distinct(terms)), '|') AS should_include,
 query AS dense_queries, array_to_string(asp, '|') AS must_include, array_to_string(asp, '|') AS aspect_terms, array_to_string(against, '|') AS should_exclude, array_to_string(pos, '|') AS positive_terms, array_to_string(neg, '|') AS negative_terms,
 array_to_string(pp, '|') AS positive_phrases, array_to_string(np, '|') AS negative_phrases FROM x""")
 def expand_query_all(spark, d):
     """All columns of the expansion; lists joined, those of unlike origin sorted."""
-    found = search.expand(korean(spark))
+    found = search.expand(document_queries(spark, d))
     sorted_lists = [F.array_join(F.array_sort(c), "|").alias(c) for c in ("bm25_terms", "should_include")]
     lists = [F.array_join(c, "|").alias(c) for c in ("dense_queries", "must_include", "aspect_terms", "should_exclude", "positive_terms", "negative_terms", "positive_phrases", "negative_phrases")]
     return found.select("query_id", "query", "target_aspect", "target_sentiment", *sorted_lists, *lists)
@@ -267,32 +341,42 @@ def counted_vector(c):
     return F.array(*[(F.length(c) - F.length(F.replace(c, F.lit(x)))).cast("double") for x in CHARACTERS])
 
 
+def review_sources(spark, d):
+    """Reviews: every document with a Korean sentence behind its text, a title and an answer."""
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+    i = F.col("doc_id")
+    return spread(load(spark, d, "documents")).select(
+        i.cast("string").alias("review_id"), F.col("source").alias("product_name"), F.col("lang").alias("item_name"), pick(TITLES, i).alias("title"), F.concat("text", F.lit(" "), pick(LINES, i)).alias("content"),
+        F.array(F.struct(F.lit("how?").alias("question"), pick(LINES, F.floor(i / len(LINES))).alias("answer"))).alias("review_survey_answers"),
+    )
+
+
 def korean_reviews(spark, d):
-    """Enriched reviews with vectors, written once: every document with a Korean sentence behind its text, a title and an answer."""
+    """Enriched reviews with vectors, written."""
+    return written(enrich.enrich(review_sources(spark, d)).withColumn("vector", counted_vector(F.coalesce("content", F.lit("")))), "reviews")
 
-    def make():
-        pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
-        i = F.col("doc_id")
-        docs = spread(load(spark, d, "documents")).select(
-            i.cast("string").alias("review_id"), F.col("source").alias("product_name"), F.col("lang").alias("item_name"), pick(TITLES, i).alias("title"), F.concat("text", F.lit(" "), pick(LINES, i)).alias("content"),
-            F.array(F.struct(F.lit("how?").alias("question"), pick(LINES, F.floor(i / len(LINES))).alias("answer"))).alias("review_survey_answers"),
-        )
-        return written(enrich.enrich(docs).withColumn("vector", counted_vector(F.coalesce("content", F.lit("")))), "reviews")
 
-    return stored(spark, d, "reviews", make)
+def expansions(spark, d):
+    return search.settled(search.expand(korean(spark)))
 
 
-def korean_index(spark, d):
-    return stored(spark, d, "review-index", lambda: written_index(search.review_index(korean_reviews(spark, d), only=search.asked_terms(expansions(spark, d))), "review-index"))
+@dataclass(frozen=True)
+class Searched:
+    """Everything that a search of the Korean queries reads and makes."""
 
+    reviews: DataFrame
+    expanded: DataFrame
+    legs: search.Legs
 
-def expansions(spark, d):
-    return stored(spark, d, "expansions", lambda: search.settled(search.expand(korean(spark))))
+
+def searched(spark, d) -> Searched:
+    """Reviews, their stored index and all stages of the search, made anew by each query that calls this."""
+    rows, expanded = korean_reviews(spark, d), expansions(spark, d)
+    return Searched(rows, expanded, search.search_batch(rows, expanded, review_index.build(rows), embedder=counted_vector))
 
 
 def legs(spark, d) -> search.Legs:
-    """All stages of the search for the Korean queries, made once."""
-    return stored(spark, d, "legs", lambda: search.search_batch(korean_reviews(spark, d), expansions(spark, d), korean_index(spark, d), embedder=counted_vector))
+    return searched(spark, d).legs
 
 
 def _pick(values: list[str], n: str) -> str:
@@ -375,7 +459,7 @@ c_phrase AS (SELECT query_id, doc_id, sum(score) AS score FROM (SELECT query_id,
 
 def _register_clause(name: str) -> None:
     def run(spark, d):
-        return rounded(search.clauses(korean_reviews(spark, d), expansions(spark, d), korean_index(spark, d))[name])
+        return rounded(review_index.clauses(review_index.build(korean_reviews(spark, d)), expansions(spark, d))[name])
 
     run.__name__ = f"clause_{name}"
     query(f"WITH {_CLAUSES} SELECT query_id::INT AS query_id, doc_id, round(score, 5) AS score FROM c_{name}")(run)
@@ -403,6 +487,13 @@ def lexical_leg(spark, d):
     return legs(spark, d).lexical.select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
 
 
+@query()
+def lexical_work(spark, d):
+    """What the best hundred of each query took: postings and ranges that its terms meet, and how many of them were scored."""
+    rows, expanded = korean_reviews(spark, d), expansions(spark, d)
+    return review_index.best(review_index.build(rows), expanded).work.withColumn("share", F.round(F.col("scored") / F.col("postings"), 4))
+
+
 @query(f"WITH {_LEGS} SELECT query_id::INT AS query_id, doc_id, rank::INT AS rank, round(score * 1000000000)::BIGINT AS score FROM den")
 def dense_leg(spark, d):
     """Nearest vectors among the reviews that the query's filter allows."""
@@ -422,15 +513,15 @@ def dense_max_merge(spark, d):
     return billionths(search.dense_leg(vectors(spark, d).drop("label"), own.unionByName(own.where("query_id > 0").withColumn("query_id", F.col("query_id") - 1))))
 
 
-def candidates(spark, d):
-    docs = korean_reviews(spark, d).select(F.col("review_id").alias("doc_id"), "content", "product_name", "issue_sentiments", "dense_text")
-    return legs(spark, d).fused.join(docs, "doc_id").join(F.broadcast(expansions(spark, d).select("query_id", "query")), "query_id")
+def candidates(found: Searched):
+    docs = found.reviews.select(F.col("review_id").alias("doc_id"), "content", "product_name", "issue_sentiments", "dense_text")
+    return found.legs.fused.join(docs, "doc_id").join(found.expanded.select("query_id", "query"), "query_id")
 
 
 @query(f"WITH {_LEGS} SELECT query_id::INT AS query_id, doc_id, round(rrf, 6) AS final_score FROM fused")
 def rerank_fallback(spark, d):
     """Without a cross-encoder the fusion score stands."""
-    return search.rerank(candidates(spark, d)).select("query_id", "doc_id", F.round("final_score", 6).alias("final_score"))
+    return search.rerank(candidates(searched(spark, d))).select("query_id", "doc_id", F.round("final_score", 6).alias("final_score"))
 
 
 @query(f"WITH {_LEGS} SELECT query_id::INT AS query_id, doc_id, CASE WHEN query_id = 0 THEN round(rrf, 6) ELSE (length(dense) % 97)::DOUBLE END AS final_score, query_id = 0 AS failed FROM fused JOIN (SELECT doc_id, '상품명: ' || trim(product_name) || chr(10) || '옵션명: ' || trim(item_name) || chr(10) || CASE WHEN title <> '' THEN '제목: ' || title || chr(10) ELSE '' END || '본문: ' || regexp_replace(content, '^\\s+|\\s+$', '', 'g') || chr(10) || '요약: ' || short_summary || chr(10) || '이슈 카테고리: ' || array_to_string(cats, ', ') || chr(10) || '관점 키워드: ' || array_to_string(kws, ', ') || CASE WHEN len(issues) > 0 THEN chr(10) || '이슈별 감성: ' || array_to_string([s.c || ' | ' || s.m || ' | ' || s.e FOR s IN issues], ' / ') ELSE '' END || chr(10) || '설문 응답: how?: ' || answer AS dense FROM en) USING (doc_id)")
@@ -443,8 +534,9 @@ def rerank_slot(spark, d):
             raise RuntimeError("refused")
         return texts.str.len() % 97
 
-    one = search.rerank(candidates(spark, d).where("query_id = 0"), score)
-    rest = search.rerank(candidates(spark, d).where("query_id <> 0"), score)
+    pairs = candidates(searched(spark, d))
+    one = search.rerank(pairs.where("query_id = 0"), score)
+    rest = search.rerank(pairs.where("query_id <> 0"), score)
     return one.unionByName(rest).select("query_id", "doc_id", F.round("final_score", 6).alias("final_score"), F.col("rerank_error").isNotNull().alias("failed"))
 
 
@@ -455,19 +547,29 @@ final AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 
 @query(f"WITH {_FINAL} SELECT query_id::INT AS query_id, doc_id, final_rank::INT AS final_rank FROM final")
 def post_filter(spark, d):
-    return search.post_filter(search.rerank(candidates(spark, d)), expanded=expansions(spark, d)).select("query_id", "doc_id", "final_rank")
+    found = searched(spark, d)
+    return search.post_filter(search.rerank(candidates(found)), expanded=found.expanded).select("query_id", "doc_id", "final_rank")
 
 
 @query(f"WITH {_FINAL} SELECT query_id::INT AS query_id, doc_id AS review_id, final_rank::INT AS final_rank, round(rrf, 6) AS score, product_name, md5(content) AS content FROM final")
 def hybrid_search(spark, d):
     """Expansion, the whole bool query, nearest vectors, fusion, rerank and post-filter: the ten results of each query, searched anew each time in the stored index."""
-    found = search.search_batch(korean_reviews(spark, d), expansions(spark, d), korean_index(spark, d), embedder=counted_vector).final
-    return found.select("query_id", F.col("doc_id").alias("review_id"), "final_rank", F.round("final_score", 6).alias("score"), "product_name", F.md5(F.col("content").cast("binary")).alias("content"))
+    return legs(spark, d).final.select("query_id", F.col("doc_id").alias("review_id"), "final_rank", F.round("final_score", 6).alias("score"), "product_name", F.md5(F.col("content").cast("binary")).alias("content"))
+
+
+@query()
+def hybrid_search_learned(spark, d):
+    """hybrid_search with vectors of an embedding that is learned from the reviews; tests hold the embedding against numpy."""
+    rows, expanded = korean_reviews(spark, d).drop("vector"), expansions(spark, d)
+    embed = embedding.embedder(spark, embedding.learn(rows, "content"))
+    found = search.search_batch(rows.withColumn("vector", embed(F.col("content"))), expanded, review_index.build(rows), embedder=embed).final
+    return found.select("query_id", F.col("doc_id").alias("review_id"), "final_rank", F.round("final_score", 6).alias("score"), "product_name")
 
 
 @query(f"WITH {_FINAL} SELECT x.query_id::INT AS query_id, count(doc_id)::BIGINT AS n, coalesce(string_agg(doc_id, ',' ORDER BY final_rank), '') AS ids, true AS valid FROM x LEFT JOIN final ON x.query_id = final.query_id GROUP BY x.query_id")
 def search_output(spark, d):
-    shaped = search.search_output(legs(spark, d).final, expansions(spark, d).select("query_id", "query"))
+    found = searched(spark, d)
+    shaped = search.search_output(found.legs.final, found.expanded.select("query_id", "query"))
     return shaped.select("query_id", F.size("output.results").cast("long").alias("n"), F.array_join(F.transform("output.results", lambda r: r["review_id"]), ",").alias("ids"), search.valid_output(F.col("output")).alias("valid"))
 
 

@@ -297,6 +297,24 @@ def ingest_counts(spark, d):
     return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{n} long" for n in counts))
 
 
+PLAIN_STEPS = ingest.Steps(prepare=lambda docs, keep: docs.select(F.col("doc_id").cast("string").alias("review_id"), text.clean_document(F.col("text")).alias("content"), keep.alias("kept_column")).withColumn("error", F.when(~text.has_signal(F.col("content")), "too little signal")))
+
+_BATCHES = f"""WITH c AS (SELECT doc_id, doc_id % 3 AS batch, {_CLEAN} AS c FROM documents), u AS (SELECT *, row_number() OVER (PARTITION BY md5({_PRINT_ANY}) ORDER BY batch, doc_id) AS nth FROM c WHERE {_SIGNAL}),
+n AS (SELECT batch, count(*) AS processed, count(*) FILTER (NOT coalesce({_SIGNAL}, FALSE)) AS failed FROM c GROUP BY batch), kept AS (SELECT batch, count(*) AS kept FROM u WHERE nth = 1 GROUP BY batch),
+b AS (SELECT batch, processed, failed, coalesce(kept, 0) AS kept FROM n LEFT JOIN kept USING (batch)), z AS (SELECT * FROM b WHERE batch = 0)"""
+
+
+@query(f"{_BATCHES} SELECT b.batch::INT AS batch, (b.processed + CASE WHEN b.batch = 2 THEN z.processed ELSE 0 END)::BIGINT AS processed, (CASE WHEN b.batch = 2 THEN z.kept ELSE 0 END)::BIGINT AS resumed, (b.failed + CASE WHEN b.batch = 2 THEN z.failed ELSE 0 END)::BIGINT AS failed, b.kept::BIGINT AS kept FROM b, z")
+def ingest_resumed(spark, d):
+    """All documents in three batches, with a restart that runs the second again; the third brings the first's rows once more, which are skipped by their ids or contents."""
+    folder, docs = scratch_path(spark, "resumed"), load(spark, d, "documents")
+    counts = []
+    for number, remainders in ((0, (0,)), (1, (1,)), (1, (1,)), (2, (0, 2))):
+        found = ingest.ingest_batch(docs.where((F.col("doc_id") % 3).isin(*remainders)), number, f"{folder}/docs", f"{folder}/failures", PLAIN_STEPS)
+        counts.append((number, *[found[c] for c in ("processed", "resumed", "failed", "kept")]))
+    return spark.createDataFrame([counts[0], *counts[2:]], "batch int, processed long, resumed long, failed long, kept long")
+
+
 def _stream_folder(spark, d) -> str:
     """A stream reads a folder: the table itself where it is one, else the single file by a glob of its folder."""
     return f"{d}/documents.parquet*" if not d.endswith("/") else f"{d}documents.parquet*"
@@ -325,10 +343,10 @@ def json_lines_tolerant(spark, d):
 
 @query("SELECT n_nationkey, n_name, '한글' AS letters FROM nation")
 def json_document(spark, d):
-    """A table as one JSON array under a name with its time, written and read back."""
-    rows = [r.asDict() | {"letters": "한글"} for r in load(spark, d, "nation").select("n_nationkey", "n_name").collect()]
+    """A table as a JSON array under a name with its time, each task's part in a file, and read back."""
+    rows = load(spark, d, "nation").select("n_nationkey", "n_name", F.lit("한글").alias("letters"))
     path = files.timestamped(scratch_path(spark, "document"), "nations")
-    files.write_document(spark, rows, path)
+    files.write_array(rows, path)
     kind = load(spark, d, "nation").schema["n_nationkey"].dataType.simpleString()
     return files.read_json(spark, path, f"n_nationkey {kind}, n_name string, letters string")
 
@@ -352,20 +370,21 @@ def labelled_reviews(spark, d):
 
 @query("SELECT item_id::VARCHAR AS query_id, md5(text) AS query, 'c' || (item_id % 3) AS category, item_id || ',' || (item_id + 1) AS gold FROM benchmark")
 def evaluation_set(spark, d):
-    """benchmark as an evaluation set: one JSON object by query, with ids under both names and a blank one."""
-    entries = {}
-    for r in load(spark, d, "benchmark").collect():
-        entries[str(r["item_id"])] = {"query": r["text"], "category": f"c{r['item_id'] % 3}", "reviews_to_evaluate": [{"reviewId": str(r["item_id"])}, {"review_id": str(r["item_id"] + 1)}, {"reviewId": "", "review_id": ""}]}
-    path = f"{scratch_path(spark, 'evaluation')}/set.json"
-    files.write_document(spark, entries, path)
+    """benchmark as an evaluation set: JSON objects by query, as files of tasks, with ids under both names and a blank one."""
+    i = F.col("item_id").cast("string")
+    gold = F.array(F.struct(i.alias("reviewId"), F.lit(None).cast("string").alias("review_id")), F.struct(F.lit(None).cast("string").alias("reviewId"), (F.col("item_id") + 1).cast("string").alias("review_id")), F.struct(F.lit("").alias("reviewId"), F.lit("").alias("review_id")))
+    entry = F.struct(F.col("text").alias("query"), F.concat(F.lit("c"), (F.col("item_id") % 3).cast("string")).alias("category"), gold.alias("reviews_to_evaluate"))
+    path = f"{scratch_path(spark, 'evaluation')}/sets"
+    files.write_object(load(spark, d, "benchmark").select(i.alias("query_id"), entry.alias("entry")), "query_id", "entry", path)
     read = files.load_evaluation(spark, path)
     return read.select("query_id", F.md5(F.col("query").cast("binary")).alias("query"), "category", F.array_join("gold", ",").alias("gold"))
 
 
 @query("SELECT row_number() OVER (ORDER BY doc_id) AS ordinal, doc_id FROM documents")
 def record_ordinals(spark, d):
-    """Numbers of rows in order: sorted, written and numbered by their files."""
-    return files.numbered(written(load(spark, d, "documents").select("doc_id").orderBy("doc_id").coalesce(1), "sorted")).select("ordinal", "doc_id")
+    """Numbers of rows in order: sorted in ranges, written and numbered by their parts."""
+    docs = load(spark, d, "documents").select("doc_id")
+    return files.numbered(docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")).select("ordinal", "doc_id")
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 80 THEN regexp_replace(left(text, 80), '\\s+$', '') ELSE text END AS short, CASE WHEN length(text) > 120 THEN md5(regexp_replace(left(text, 120), '\\s+$', '')) ELSE md5(text) END AS evidence FROM documents")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sorrel.scratch import written
+from sorrel.scratch import ship, written
 
 #: Three made-up reviews for trying things out.
 DUMMY_ROWS = [("demo-1", "sorrel_one", 2, "충전 단자가 헐거워서 케이블이 자꾸 빠져요", 1), ("demo-2", "sorrel_two", 5, "사진이 밝게 나오고 가벼워서 매일 들고 다녀요", 3), ("demo-3", "sorrel_two", 3, "포장은 무난했지만 배송이 이틀 늦었습니다", 2)]
@@ -33,6 +34,34 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def _enclosed(lines: DataFrame, first: str, last: str, path: str) -> None:
+    """The one text column of lines as a folder of files, a document from each task: first, the lines with commas between, last."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ahead = first
+        for batch in batches:
+            out = []
+            for line in batch.column(0).to_pylist():
+                out.append(ahead + line)
+                ahead = ","
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([last if ahead == "," else first + last], pa.string())], ["value"])
+
+    lines.mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
+def write_array(df: DataFrame, path: str) -> None:
+    """Rows as JSON arrays with a line for each row: a folder with an array from each task, which read_json reads as one table. Null fields are kept."""
+    _enclosed(df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})), "[", "]", path)
+
+
+def write_object(df: DataFrame, key: str, value: str, path: str) -> None:
+    """Rows as JSON objects from the text column key to the column value: a folder with an object from each task."""
+    name = F.to_json(F.array(F.col(key)))
+    _enclosed(df.select(F.concat(F.substring(name, F.lit(2), F.length(name) - 2), F.lit(": "), F.to_json(value))), "{", "}", path)
+
+
 def write_document(spark: SparkSession, value, path: str) -> None:
     """One JSON document, indented, letters of any script as they are; missing folders are made. For summaries and settings."""
     put_text(spark, json.dumps(value, ensure_ascii=False, indent=2), path)
@@ -173,3 +202,6 @@ def load_predictions(spark: SparkSession, folder: str, models: list[str], seed:
             raise FileNotFoundError(f"no saved predictions of {model} with seed {seed} and {folds} folds")
     saved = spark.read.option("basePath", folder).parquet(folder)
     return saved.where(F.col("model").isin(models) & (F.col("seed") == seed) & (F.col("k") == folds))
+
+
+ship(__name__)

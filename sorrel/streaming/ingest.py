@@ -2,7 +2,8 @@
 
 Each batch is written under its own batch_id partition, so a batch that runs again overwrites itself. Reviews whose id is in
 the table are skipped before any cleaning; then rows with errors are set aside, those with a known content dropped, and within
-the batch the greedy dedupe holds in order of arrival. Enrichment and indexing are optional slots. Documents and dead letters
+the batch the greedy dedupe holds in order of arrival. What is known is asked of the stored keys (see keys), never of the
+stored documents. Enrichment and indexing are optional slots. Documents and dead letters
 (stages preprocess, llm_enrich, index) are separate outputs of one idempotent step.
 """
 
@@ -19,6 +20,7 @@ from sorrel.operators import documents as docs_ops
 from sorrel.operators import lexical
 from sorrel.scratch import forget, written
 from sorrel.sources import files
+from sorrel.streaming import keys
 
 #: Fields of the plain index.
 INDEXED = ("content", "title", "product_name", "item_name")
@@ -56,20 +58,19 @@ def ingest_batch(batch: DataFrame, batch_id: int, folder: str, failures: str, st
     next one.
     """
     steps, spark = steps or Steps(), batch.sparkSession
-    known = stored(spark, folder, batch_id)
     seen, fresh = Observation(f"seen-{batch_id}"), Observation(f"fresh-{batch_id}")
-    rows = batch.withColumns({"_place": F.monotonically_increasing_id(), "_raw_id": raw_id(batch)}).observe(seen, F.count(F.lit(1)).alias("n"))
-    if known is not None:
-        rows = rows.join(known.select(F.col("review_id").alias("_raw_id")).distinct(), "_raw_id", "left_anti")
-    rows = rows.observe(fresh, F.count(F.lit(1)).alias("n")).drop("_raw_id")
+    placed = batch.withColumns({"_place": F.monotonically_increasing_id(), "_id_key": keys.id_key(raw_id(batch))})
+    known = keys.known(spark, folder, placed.select(F.col("_id_key").alias("key")), batch_id)
+    rows = keys.without(placed.observe(seen, F.count(F.lit(1)).alias("n")), "_id_key", known)
+    rows = rows.observe(fresh, F.count(F.lit(1)).alias("n")).drop("_id_key")
     ready = written(steps.prepare(rows, F.col("_place")), "ingest-ready")
     letter = lambda stage, failed: failed.select(F.lit(stage).alias("stage"), F.col("review_id").cast("string").alias("review_id"), "error", F.lit(batch_id).alias("batch_id"))
     letters = letter("preprocess", ready.where("error IS NOT NULL"))
-    good = ready.where("error IS NULL").drop("error")
-    if known is not None:
-        good = docs_ops.without_known(good, known, "review_id", "content")
-    good = good.withColumn("_print", text.fingerprint_any(F.col("content")))
-    kept = docs_ops.dedupe_greedy(good, "review_id", "_print", "kept_column").drop("_print", "kept_column")
+    good = written(ready.where("error IS NULL").drop("error").withColumn("_print", text.fingerprint_any(F.col("content"))), "ingest-good")
+    checked = good.withColumns({"_id_key": keys.id_key(F.col("review_id")), "_print_key": keys.print_key(F.col("_print"))})
+    known = keys.known(spark, folder, checked.select(F.explode(F.array("_id_key", "_print_key")).alias("key")), batch_id)
+    new = keys.without(keys.without(checked, "_id_key", known), "_print_key", known).drop("_id_key", "_print_key")
+    kept = docs_ops.dedupe_greedy(new, "review_id", "_print", "kept_column").drop("_print", "kept_column")
     if steps.enrich is not None:
         enriched = written(steps.enrich(kept), "ingest-enriched")
         letters = letters.unionByName(letter("llm_enrich", enriched.where("error IS NOT NULL")))
@@ -78,17 +79,26 @@ def ingest_batch(batch: DataFrame, batch_id: int, folder: str, failures: str, st
     counted = Observation(f"kept-{batch_id}")
     overwrite(kept.observe(counted, F.count(F.lit(1)).alias("n")).withColumn("batch_id", F.lit(batch_id))).parquet(folder)
     n_kept, indexed = counted.get["n"], 0
+    table = spark.read.option("basePath", folder).schema(kept.schema).parquet(f"{folder}/batch_id={batch_id}") if n_kept else kept.limit(0)
+    keys.store(table, folder, batch_id, text.fingerprint_any(F.col("content")))
     if steps.index is not None:
-        failed = written(steps.index(spark.read.option("basePath", folder).schema(kept.schema).parquet(f"{folder}/batch_id={batch_id}"), batch_id) if n_kept else spark.createDataFrame([], "review_id string, error string"), "ingest-index")
+        failed = written(steps.index(table, batch_id) if n_kept else spark.createDataFrame([], "review_id string, error string"), "ingest-index")
         letters = letters.unionByName(letter("index", failed))
         indexed = n_kept - failed.count()
     letters = written(letters, "ingest-letters")
     overwrite(letters).json(failures)
     n_failed = letters.where("stage <> 'index'").count()
-    forget(ready, letters)
+    forget(ready, good, letters)
     return {"processed": seen.get["n"], "resumed": seen.get["n"] - fresh.get["n"], "failed": n_failed, "kept": n_kept, "indexed": indexed}
 
 
+def index_keys(spark: SparkSession, folder: str) -> None:
+    """Write the keys of a document table that has none, batch by batch: for tables that another program wrote."""
+    rows = stored(spark, folder)
+    for r in rows.select("batch_id").distinct().collect() if rows is not None else []:
+        keys.store(rows.where(F.col("batch_id") == r["batch_id"]), folder, r["batch_id"], text.fingerprint_any(F.col("content")))
+
+
 def dead_letters(spark: SparkSession, failures: str) -> DataFrame:
     """The failures of all batches; none where none was written yet."""
     if not files.any_path(spark, f"{failures}/batch_id=*"):
