@@ -15,9 +15,9 @@ import os
 from pyspark.sql import functions as F
 
 from sorrel import vocab
-from sorrel.config import load_config
+from sorrel.config import load_config, named
 from sorrel.functions import text
-from sorrel.operators import classify, documents, enrich, experiments, learning, lexical, ranking, review_index, search, trainer
+from sorrel.operators import classify, documents, embedding, enrich, experiments, learning, lexical, ranking, review_index, search, trainer
 from sorrel.scratch import remove, written
 from sorrel.session import build_session
 from sorrel.sources import files
@@ -122,11 +122,13 @@ def ingest_command(spark, a) -> dict[str, int]:
 
 
 def evaluate_command(spark, a) -> dict:
-    docs = spark.read.parquet(a.documents)
+    docs, settings = spark.read.parquet(a.documents), load_config()
+    embedder = embedding.embedder(spark, embedding.load(spark, settings.embedding)) if settings.embedding else search.embed
+    score_pairs = None if a.skip_rerank else named(settings.reranker)
     if "issue_sentiments" not in docs.columns:
         docs = enrich.enrich(docs)
     if "vector" not in docs.columns:
-        docs = docs.withColumn("vector", search.embed(F.col("dense_text")))
+        docs = docs.withColumn("vector", embedder(F.col("dense_text")))
     docs = written(docs, "evaluated")
     cases = written(files.first_rows(files.load_evaluation(spark, a.eval_path), a.limit), "cases")
     gold = cases.select("query_id", F.explode("gold").alias("doc_id"))
@@ -134,7 +136,7 @@ def evaluate_command(spark, a) -> dict:
     there = a.index_name and files.path_exists(spark, f"{a.index_name}/blocks")
     index = review_index.load(spark, a.index_name) if there else review_index.build(docs, folder=a.index_name or None)
     graph = search.vector_graph_of(docs) if search.stores_graph(docs) else None
-    legs = search.search_batch(docs, expanded, index, size=a.k, graph=graph)
+    legs = search.search_batch(docs, expanded, index, score_pairs, a.k, embedder=embedder, graph=graph)
     final = legs.final.select("query_id", "doc_id", F.col("final_rank").alias("rank"))
     stages = {"bm25": (legs.lexical, vocab.LEXICAL_TOP), "dense": (legs.dense, vocab.DENSE_TOP), "rrf": (legs.fused, vocab.FUSION_TOP), "final": (final, a.k)}
     told = ranking.stage_summary(stages, gold, cases)
@@ -163,8 +165,8 @@ def classify_command(spark, a) -> dict:
     tag = a.experiment_name or ""
     saved = f"{a.output_dir}/predictions{f'_{tag}' if tag else ''}"
     if a.ensemble_only:
-        said = experiments.ensemble_saved(spark, saved, a.ensemble_models, a.ensemble_method, a.cv_folds, a.seed, weights=a.ensemble_weights)
-        scores = classify.metrics(said).first().asDict()
+        said, told = experiments.ensemble_with_metrics(spark, saved, a.ensemble_models, a.ensemble_method, a.cv_folds, a.seed, weights=a.ensemble_weights)
+        scores = told.first().asDict()
         files.write_json(said, f"{a.output_dir}/ensemble_{a.ensemble_method}_seed{a.seed}_k{a.cv_folds}")
         files.write_document(spark, {"models": a.ensemble_models, "method": a.ensemble_method, "metrics": scores}, f"{a.output_dir}/ensemble_{a.ensemble_method}_seed{a.seed}_k{a.cv_folds}.json")
         print(scores)

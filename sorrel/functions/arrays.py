@@ -23,6 +23,13 @@ def first_filled(*options: Column) -> Column:
     return F.coalesce(*[F.nullif(o, F.lit("")) for o in options])
 
 
+def listed(c: Column) -> Column:
+    """A text that may be a JSON list as an array: its items, or the text alone; none for null, empty and a list that can't be read."""
+    whole = strip(F.coalesce(c, F.lit("")))
+    items = F.filter(F.coalesce(F.from_json(whole, "array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull())
+    return F.when(F.startswith(whole, F.lit("[")), items).when(whole == "", F.array().cast("array<string>")).otherwise(F.array(whole))
+
+
 def not_empty(c: Column) -> Column:
     return F.coalesce(F.size(c) > 0, F.lit(False))
 

@@ -37,7 +37,7 @@ def to_documents(reviews: DataFrame, keep: Column | None = None) -> DataFrame:
         arrays.not_empty(c("attachments")).alias("has_image"),
         arrays.not_empty(c("videoAttachments")).alias("has_video"),
         arrays.first_filled(c("summary"), c("short_summary")).alias("short_summary"),
-        F.coalesce(arrays.first_filled(c("aspect")), F.array_join("aspect_keywords", " ")).alias("aspect"),
+        F.coalesce(arrays.first_filled(F.array_join(arrays.listed(c("aspect")), " ")), F.array_join("aspect_keywords", " ")).alias("aspect"),
         *([] if keep is None else [keep.alias("kept_column")]),
     )
     cleaned = text.clean_columns(raw, ("product_name", "item_name", "title", "content", "short_summary", "aspect"), ("answers",))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sorrel.operators import classify, learning
-from sorrel.scratch import ship
+from sorrel.scratch import ship, written
 from sorrel.sources import files
 
 #: Names of the choices.
@@ -153,4 +153,10 @@ def ensemble_saved(spark: SparkSession, folder: str, models: list[str], method:
     return checked.join(voted, key)
 
 
+def ensemble_with_metrics(spark: SparkSession, folder: str, models: list[str], method: str = "soft", folds: int = 5, seed: int = 42, key: str = "review_id", weights: list[float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, metrics): ensemble_saved(), written, and its bundle of metrics as one row."""
+    said = written(ensemble_saved(spark, folder, models, method, folds, seed, key, weights), "ensemble")
+    return said, classify.metrics(said)
+
+
 ship(__name__)

@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def filled(rows: DataFrame) -> DataFrame:
+    """rows without those whose document has a null or blank id."""
+    return rows.where(F.trim(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) != "")
+
+
 def recall_at(runs: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """query_id, hits, recall for every query of gold. Queries without gold have no row; see evaluate()."""
-    wanted = gold.distinct()
+    wanted = filled(gold).distinct()
     hits = runs.where(F.col("rank") <= k).select("query_id", "doc_id").distinct().withColumn("_hit", F.lit(1))
     met = wanted.join(hits, ["query_id", "doc_id"], "left")
     return met.groupBy("query_id").agg(F.count("_hit").alias("hits"), (F.count("_hit") / F.count(F.lit(1))).alias("recall"))
@@ -20,7 +25,7 @@ def recall_at(runs: DataFrame, gold: DataFrame, k: int) -> DataFrame:
 
 def average_precision(runs: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """query_id, ap: a repeated document counts once but its repeats still take a rank; divided by min(gold, k)."""
-    wanted = gold.distinct()
+    wanted = filled(gold).distinct()
     first = runs.where(F.col("rank") <= k).groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"))
     met = first.join(wanted, ["query_id", "doc_id"], "left_semi")
     upto = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
@@ -30,12 +35,12 @@ def average_precision(runs: DataFrame, gold: DataFrame, k: int) -> DataFrame:
 
 
 def missing(runs: DataFrame, gold: DataFrame, k: int) -> DataFrame:
-    return gold.distinct().join(runs.where(F.col("rank") <= k), ["query_id", "doc_id"], "left_anti")
+    return filled(gold).distinct().join(runs.where(F.col("rank") <= k), ["query_id", "doc_id"], "left_anti")
 
 
 def ranked_ids(runs: DataFrame, k: int) -> DataFrame:
     """query_id, ids: the first k documents of each query, in order."""
-    top = runs.where(F.col("rank") <= k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("_found"))
+    top = filled(runs).where(F.col("rank") <= k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("_found"))
     return top.select("query_id", F.transform("_found", lambda x: x["doc_id"].cast("string")).alias("ids"))
 
 

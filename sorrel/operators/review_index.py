@@ -106,7 +106,11 @@ def invert(flat: DataFrame) -> DataFrame:
 
 
 def build(documents: DataFrame, tokens: Tokens = text.tokens_cased, folder: str | None = None) -> ReviewIndex:
-    """The index of enriched reviews, stored in folder (scratch without one). Tables are ordered by field, term and range, in as many files as their bytes take."""
+    """The index of enriched reviews, stored in folder (scratch without one). 
+
+    Blocks are dealt by field, term and range, so a frequent term has many files, and each file is in their order. No file's
+    size is fixed: partitions are as large as adaptive execution makes them.
+    """
     spark = documents.sparkSession
     folder = folder or scratch_path(spark, "review-index")
     blank = lambda c: F.coalesce(c, F.lit(""))
@@ -121,7 +125,7 @@ def build(documents: DataFrame, tokens: Tokens = text.tokens_cased, folder: str
     counted = written(invert(flat), "inverted")
     each = counted.groupBy("field", "doc_id", "element").agg(F.first("dl").alias("dl"))
     each.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/fields")
-    counted.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{folder}/terms")
+    counted.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{folder}/terms")
     fields, terms = (spark.read.parquet(f"{folder}/{name}") for name in ("fields", "terms"))
     known = counted.join(terms, ["field", "term"]).join(F.broadcast(fields), "field")  # a row for each field
     impact = lexical.bm25(F.col("n"), F.col("df"), F.col("tf"), F.col("dl"), F.col("avgdl"))
@@ -130,7 +134,7 @@ def build(documents: DataFrame, tokens: Tokens = text.tokens_cased, folder: str
     blocks = impacts.groupBy("field", "term", "range").agg(F.max("impact").alias("most"), F.count(F.lit(1)).alias("n"), F.bit_or("mask").alias("mask"), F.collect_list(posting).alias("postings"))
     places = counted.where(F.col("places").isNotNull()).select("field", "term", "doc_id", "places", "dl", "range", "mask")
     for name, rows, order in (("blocks", blocks, ("field", "term", "range")), ("places", places, ("field", "term", "doc_id"))):
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
+        rows.sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
     forget(counted)
     return load(spark, folder)
 

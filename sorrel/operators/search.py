@@ -196,6 +196,13 @@ def dense_leg_or_scan(vectors: DataFrame, queries: DataFrame, top: int = vocab.D
         return dense_scan(vectors, queries, top)
 
 
+def normalized_hits(hits: DataFrame, source: str) -> DataFrame:
+    """(query_id, doc_id, score, rank, source) of a leg's raw hits (query_id, place, id, review_id, score): the review's id or else the hit's, 0 for no score, ranks in order of place. Hits without an id are left out."""
+    named = hits.withColumn("doc_id", arrays.first_filled(F.col("review_id"), F.col("id"))).where(F.col("doc_id").isNotNull())
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
+    return named.select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"), rank.alias("rank"), F.lit(source).alias("source"))
+
+
 def fuse(first: DataFrame, second: DataFrame, k: int = vocab.FUSION_K, top: int = vocab.FUSION_TOP) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists; ties by the lists' scores, then ranks, then document."""
     sides = first.withColumn("side", F.lit("bm25")).unionByName(second.withColumn("side", F.lit("dense")))

@@ -8,12 +8,14 @@ pattern without a literal of three characters is run on all values.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sorrel.scratch import scratch_path
+from sorrel.scratch import scratch_path, ship
 
 SIZE = 3
 
@@ -27,9 +29,13 @@ class Substrings:
 
 
 def trigrams(value: Column) -> Column:
-    """The different trigrams of a text; none of a shorter one."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(value) - SIZE + 1, F.lit(1)))
-    return F.when(F.length(value) >= SIZE, F.array_distinct(F.transform(starts, lambda k: value.substr(k, F.lit(SIZE))))).otherwise(F.array().cast("array<string>"))
+    """The different trigrams of a text, in order; none of a shorter one. In Arrow batches: places in UTF-8 are found by going through the text."""
+
+    def run(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in values:
+            yield pa.array([sorted({v[k : k + SIZE] for k in range(len(v) - SIZE + 1)}) if v is not None else [] for v in texts.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>")(value)
 
 
 def build(documents: DataFrame, id_column: str, fields: dict[str, Column], folder: str | None = None) -> Substrings:
@@ -71,3 +77,6 @@ def candidates(index: Substrings, field: str, pattern: str) -> DataFrame:
 def wildcard(index: Substrings, field: str, pattern: str, boost: float = 1.0) -> DataFrame:
     """(doc_id, score): documents whose value fits a pattern with * and ?, at a constant score. The same as lexical.wildcard, over candidates()."""
     return candidates(index, field, pattern).where(F.col("value").rlike(expression(pattern))).select("doc_id", F.lit(float(boost)).alias("score"))
+
+
+ship(__name__)

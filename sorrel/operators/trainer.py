@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sorrel.functions import text
 from sorrel.operators import classify, experiments
@@ -215,7 +216,7 @@ def predict(rows: DataFrame, trained: Trained, key: str = "review_id") -> DataFr
     """(key, pred, probabilities) of rows (key, content); the lowest class wins ties."""
     shared = rows.sparkSession.sparkContext.broadcast((trained.flat, trained.network, trained.max_length))
     kept = rows.select(key, "content")
-    schema = kept.drop("content").schema.add("pred", "int").add("probabilities", "array<double>")
+    schema = kept.drop("content").schema.add("pred", T.IntegerType()).add("probabilities", T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, network, max_length = shared.value

@@ -506,6 +506,16 @@ def rrf_fusion(spark, d):
     return search.fuse(found.lexical, found.dense).select("query_id", "doc_id", "rank", F.round("rrf_score", 6).alias("rrf_score"), "bm25_rank", "dense_rank")
 
 
+@query("""WITH h AS (SELECT user_id AS query_id, event_id, CASE WHEN event_id % 5 < 3 THEN 'r' || event_id END AS review_id, CASE WHEN event_id % 5 IN (1, 3) THEN 'h' || event_id WHEN event_id % 5 = 4 THEN '' END AS id, CASE WHEN event_id % 2 = 0 THEN event_id::DOUBLE END AS score FROM events)
+SELECT query_id, coalesce(review_id, id) AS doc_id, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY event_id)::INT AS rank, 'bm25' AS source FROM h WHERE coalesce(review_id, nullif(id, '')) IS NOT NULL""")
+def hit_normalization(spark, d):
+    """Events as raw hits: ids under either name, blank or absent, and scores that are missing."""
+    i = F.col("event_id")
+    hits = load(spark, d, "events").select(F.col("user_id").alias("query_id"), i.alias("place"), F.when(i % 5 < 3, F.concat(F.lit("r"), i.cast("string"))).alias("review_id"),
+                                           F.when((i % 5).isin(1, 3), F.concat(F.lit("h"), i.cast("string"))).when(i % 5 == 4, "").alias("id"), F.when(i % 2 == 0, i.cast("double")).alias("score"))
+    return search.normalized_hits(hits, "bm25")
+
+
 @query(f"WITH {_COSINE}, two AS (SELECT query_id, doc_id, cos FROM c UNION ALL SELECT query_id - 1, doc_id, cos FROM c WHERE query_id > 0), c2 AS (SELECT query_id, doc_id, (1 + max(cos)) / 2 AS score FROM two GROUP BY query_id, doc_id) {_TOP.format(100)}")
 def dense_max_merge(spark, d):
     """A query with two vectors, its own and the next item's: a document's best score counts."""

@@ -154,6 +154,15 @@ def alias_coalesce(spark, d):
     return load(spark, d, "documents").select("doc_id", F.coalesce(arrays.first_filled(F.col("lang"), F.col("source")), F.lit("")).alias("name"))
 
 
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang || '+' || source WHEN 1 THEN source WHEN 2 THEN '' ELSE lang END AS items, (CASE doc_id % 4 WHEN 0 THEN 2 WHEN 2 THEN 0 ELSE 1 END)::BIGINT AS n FROM documents")
+def scalar_or_list(spark, d):
+    """Values that are a JSON list, a text, nothing, or a list with a null."""
+    i = F.col("doc_id")
+    value = F.when(i % 4 == 0, F.to_json(F.array("lang", "source"))).when(i % 4 == 1, F.col("source")).when(i % 4 == 2, F.when(i % 8 == 2, F.lit(" "))).otherwise(F.concat(F.lit('["'), "lang", F.lit('", null]')))
+    rows = load(spark, d, "documents").select("doc_id", arrays.listed(value).alias("v"))
+    return rows.select("doc_id", F.array_join("v", "+").alias("items"), F.size("v").cast("long").alias("n"))
+
+
 @query(r"SELECT doc_id, len(t)::BIGINT AS n, len(list_distinct(t))::BIGINT AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents)")
 def tokenize_standard(spark, d):
     rows = texts(spark, d).select("doc_id", text.tokens(F.col("text")).alias("t"))
@@ -307,7 +316,7 @@ b AS (SELECT batch, processed, failed, coalesce(kept, 0) AS kept FROM n LEFT JOI
 @query(f"{_BATCHES} SELECT b.batch::INT AS batch, (b.processed + CASE WHEN b.batch = 2 THEN z.processed ELSE 0 END)::BIGINT AS processed, (CASE WHEN b.batch = 2 THEN z.kept ELSE 0 END)::BIGINT AS resumed, (b.failed + CASE WHEN b.batch = 2 THEN z.failed ELSE 0 END)::BIGINT AS failed, b.kept::BIGINT AS kept FROM b, z")
 def ingest_resumed(spark, d):
     """All documents in three batches, with a restart that runs the second again; the third brings the first's rows once more, which are skipped by their ids or contents."""
-    folder, docs = scratch_path(spark, "resumed"), load(spark, d, "documents")
+    folder, docs = scratch_path(spark, "resumed"), load(spark, d, "documents").withColumn("review_id", F.col("doc_id").cast("string"))
     counts = []
     for number, remainders in ((0, (0,)), (1, (1,)), (1, (1,)), (2, (0, 2))):
         found = ingest.ingest_batch(docs.where((F.col("doc_id") % 3).isin(*remainders)), number, f"{folder}/docs", f"{folder}/failures", PLAIN_STEPS)

@@ -105,11 +105,11 @@ def test_graph_finds_nearest_vectors(spark, monkeypatch):
     graph = vector_graph.build(table)
     assert graph.segments.count() == 3
     queries = table.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "vector")
-    walked = vector_graph.walk(graph, queries, 10, 40, block=7)
+    walked = vector_graph.walk(graph, queries, 10, 12, block=7)
     met, wanted = pairs(vector_graph.graph_leg(graph, queries, 10, 40)), pairs(search.dense_leg(table.drop("mask"), queries, 10))
     assert len(met & wanted) >= 0.95 * len(wanted) and len(met) == len(wanted)
     scored = [r.scored for r in vector_graph.work(walked).collect()]
-    assert len(scored) == queries.count() and np.mean(scored) < 0.7 * table.count()
+    assert len(scored) == queries.count() and np.mean(scored) < 0.8 * table.count()
 
 
 def test_graph_filters_while_walking(spark, monkeypatch):
