@@ -7,7 +7,7 @@ does. The two ids of a pair are the phrase's parents: the counts of its first an
 them, and a phrase passes its own count up to its parents, which tells whether it subsumes them.
 
 Sequences are kept in chunks of whole texts. The names that take more than a COMMON-th of a level's occurrences, fewer than
-COMMON by definition (COMMON_WORDS for words), are broadcast; a chunk asks for each of the others once, by a shuffled join on the pair. A filter of
+COMMON by definition, are broadcast; a chunk asks for each of the others once, by a shuffled join on the pair. A filter of
 bounded size, with a few bits for each of the other names, keeps chunks from asking for most of what has no name; the more
 names there are, the more questions it lets through.
 """
@@ -30,8 +30,8 @@ from .common import forget, ship, written
 #: Occurrences of a candidate, words of the longest, per cent of a phrase's count that subsumes it, rows of a language.
 LEAST, LONGEST, SUBSUMED, TOP = 30, 4, 80, 2000
 SCALE = 2_000_000
-#: Words that are broadcast, some 180 bytes each in a worker, and pairs, 32 bytes each; positions of a chunk (a longer text makes a longer chunk); different words and positions that a task counts at a time.
-COMMON_WORDS, COMMON, CHUNK, MEMO, COUNTED = 1_000_000, 4_000_000, 1 << 19, 500_000, 1 << 21
+#: Names that are broadcast at most: words take some 35 bytes each in a worker, pairs 32; positions of a chunk (a longer text makes a longer chunk); different words and positions that a task holds at a time.
+COMMON, CHUNK, MEMO, COUNTED = 8_000_000, 1 << 19, 500_000, 1 << 21
 #: 64-bit words of the filter at most, and names to a word up to then.
 FILTER_WORDS, NAMES_A_WORD = 1 << 22, 2
 #: Parts of a language that are ranked by themselves before the language is.
@@ -130,22 +130,49 @@ def name_filter(names: DataFrame, columns: list[str], hashed) -> np.ndarray:
     return table
 
 
+class Words:
+    """Ids of common words, in arrays: sorted hashes, ids, and the words (with their languages) in one buffer."""
+
+    def __init__(self, rows: pa.Table):
+        """rows: id, lang, word (bytes), read in batches, so that the driver holds little besides the arrays."""
+        hashes, sizes, parts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+        for batch in rows.to_batches(max_chunksize=1 << 16):
+            pairs = list(zip(batch.column("lang").to_pylist(), batch.column("word").to_pylist(), strict=True))
+            keys = [lang.encode() + b"\0" + word for lang, word in pairs]
+            hashes.append(np.array([word_hash(lang, word) for lang, word in pairs], np.uint64))
+            sizes.append(np.array([len(k) for k in keys], np.int64))
+            parts.append(b"".join(keys))
+        order = np.argsort(whole := np.concatenate(hashes), kind="stable")
+        ends = np.cumsum(lengths := np.concatenate(sizes))
+        self.hashes, self.ids, self.buffer = whole[order], rows.column("id").to_numpy()[order], b"".join(parts)
+        self.starts, self.ends = (ends - lengths)[order], ends[order]
+
+    def find(self, h: int, key: bytes) -> int:
+        """The id of the word with this hash and key; 0 if it isn't there."""
+        k = int(np.searchsorted(self.hashes, np.uint64(h)))
+        while k < len(self.hashes) and self.hashes[k] == h:
+            if self.buffer[self.starts[k] : self.ends[k]] == key:
+                return int(self.ids[k])
+            k += 1
+        return 0
+
+
 class Names(dict):
-    """Ids of a language's common words. A word that isn't there gets 0, or a place among those that the chunk asks for if the filter (None where all names are common) lets it through."""
+    """Ids of a language's words as a task meets them, up to MEMO at a time. A word that isn't common gets 0, or a place among those that the chunk asks for if the filter (None where all names are common) lets it through."""
 
-    def __init__(self, known: dict[bytes, int], lang: str, table: np.ndarray | None):
-        super().__init__(known)
-        self.lang, self.table, self.asked, self.nothing = lang, table, None, {}
+    def __init__(self, known: Words, lang: str, table: np.ndarray | None):
+        super().__init__()
+        self.known, self.lang, self.prefix, self.table, self.asked = known, lang, lang.encode() + b"\0", table, None
 
     def __missing__(self, word: bytes) -> int:
-        if self.table is None or word in self.nothing:
-            return 0
-        if not word_may_be_there(self.table, word_hash(self.lang, word)):
-            if len(self.nothing) >= MEMO:
-                self.nothing.clear()
-            self.nothing[word] = 0
-            return 0
-        return -self.asked.setdefault((self.lang, word), len(self.asked) + 1)
+        h = word_hash(self.lang, word)
+        found = self.known.find(h, self.prefix + word)
+        if not found and self.table is not None and word_may_be_there(self.table, h):
+            return -self.asked.setdefault((self.lang, word), len(self.asked) + 1)
+        if len(self) >= MEMO:
+            self.clear()
+        self[word] = found
+        return found
 
 
 def word_sequences(docs: DataFrame, words: DataFrame, common: int) -> DataFrame:
@@ -155,9 +182,7 @@ def word_sequences(docs: DataFrame, words: DataFrame, common: int) -> DataFrame:
     """
     context = docs.sparkSession.sparkContext
     chosen, complete = common_rows(words, common, "id", "lang", F.col("phrase").cast("binary").alias("word"))
-    known: dict[str, dict[bytes, int]] = {}
-    for i, lang, word in zip(*[chosen.column(c).to_pylist() for c in ("id", "lang", "word")], strict=True):
-        known.setdefault(lang, {})[word] = i
+    known = Words(chosen)
     hashed = lambda b: np.array([word_hash(lang, w.as_py()) for lang, w in zip(b.column("lang").to_pylist(), b.column("phrase").cast(pa.binary()), strict=True)], np.uint64)
     shared = context.broadcast((known, None if complete else name_filter(words, ["lang", "phrase"], hashed)))
 
@@ -174,7 +199,7 @@ def word_sequences(docs: DataFrame, words: DataFrame, common: int) -> DataFrame:
         for batch in batches:
             for lang, raw in texts_of(batch):
                 if lang not in names:
-                    names[lang] = Names(known.get(lang, {}), lang, table)
+                    names[lang] = Names(known, lang, table)
                 of = names[lang]
                 of.asked = asked
                 for words in pieces(raw):
@@ -357,16 +382,15 @@ def not_subsumed(phrases: DataFrame, longer: DataFrame | None, share: int) -> Da
     return kept.drop("most")
 
 
-def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, share: int = SUBSUMED, common: int = COMMON, common_words: int = COMMON_WORDS) -> tuple[DataFrame, DataFrame]:
+def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, share: int = SUBSUMED, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals): (lang, phrase, a, l, r, score) of every candidate that isn't subsumed, and (lang, n).
 
-    common: pairs with more than a common-th of a level's occurrences are broadcast, words with more than a common_words-th; the
-    result is the same for any numbers.
+    common: names with more than a common-th of a level's occurrences are broadcast; the result is the same for any number.
     """
     counted = written(word_counts(docs).where(F.col("word").isNull() | (F.col("f") >= least)).withColumn("id", F.monotonically_increasing_id() + 1), "words")
     totals = counted.where("word IS NULL").select("lang", F.col("f").alias("n"))
     level = counted.where("word IS NOT NULL").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
-    sequences, levels = word_sequences(docs, level, common_words), []
+    sequences, levels = word_sequences(docs, level, common), []
     for k in range(2, longest + 1):
         level = named_pairs(pair_counts(sequences), level, least, k)
         levels.append(level)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -63,7 +64,7 @@ def phrase_rows(seed=3):
 @pytest.mark.parametrize("common", [1_000_000, 20, 0])
 def test_phrases_equal_plain_counts(spark, common):
     rows = phrase_rows()
-    phrases, totals = collocations.mine(clashing(spark, rows, ["word", "id", "n", "score"]), least=4, common=common, common_words=common)
+    phrases, totals = collocations.mine(clashing(spark, rows, ["word", "id", "n", "score"]), least=4, common=common)
     wanted, n = plain_phrases(rows, 4, 80)
     got = phrases.collect()
     assert {tuple(r[c] for c in ("lang", "phrase", "a", "l", "r", "score")) for r in got} == wanted and len(got) == len(wanted) > 50
@@ -74,16 +75,21 @@ def test_phrase_chunks_and_blocks_change_nothing(spark, monkeypatch):
     rows = phrase_rows(8)
     for name, small in (("CHUNK", 50), ("MEMO", 5), ("COUNTED", 20)):
         monkeypatch.setattr(collocations, name, small)
-    got = {tuple(r[c] for c in ("lang", "phrase", "a", "l", "r", "score")) for r in collocations.mine(clashing(spark, rows, []), least=4, common=30, common_words=40)[0].collect()}
+    got = {tuple(r[c] for c in ("lang", "phrase", "a", "l", "r", "score")) for r in collocations.mine(clashing(spark, rows, []), least=4, common=30)[0].collect()}
     assert got == plain_phrases(rows, 4, 80)[0]
 
 
+def known_words(rows):
+    columns = list(zip(*rows, strict=True)) or [(), (), ()]
+    return collocations.Words(pa.table({n: pa.array(c, t) for n, c, t in zip(("id", "lang", "word"), columns, (pa.int64(), pa.string(), pa.binary()), strict=True)}))
+
+
 def test_phrases_by_filters_of_any_size(spark, monkeypatch):
     rows = phrase_rows(6)
     for words in (1 << 10, 64):
         monkeypatch.setattr(collocations, "FILTER_WORDS", words)
         monkeypatch.setattr(collocations, "NAMES_A_WORD", 1 if words > 64 else 1000)
-        got = {tuple(r[c] for c in ("lang", "phrase", "a", "l", "r", "score")) for r in collocations.mine(clashing(spark, rows, []), least=4, common=0, common_words=0)[0].collect()}
+        got = {tuple(r[c] for c in ("lang", "phrase", "a", "l", "r", "score")) for r in collocations.mine(clashing(spark, rows, []), least=4, common=0)[0].collect()}
         assert got == plain_phrases(rows, 4, 80)[0]
     hashes = np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64)
     place, bits = collocations.filter_bits(hashes[:1000], 512)
@@ -91,9 +97,14 @@ def test_phrases_by_filters_of_any_size(spark, monkeypatch):
     np.bitwise_or.at(table, place, bits)
     assert [collocations.word_may_be_there(table, int(h)) for h in hashes] == collocations.may_hold(table, hashes).tolist()
     assert collocations.may_hold(table, hashes[:1000]).all() and collocations.may_hold(table, hashes[1000:]).mean() < 0.05
-    names = collocations.Names({b"a": 7}, "x", table)
+    words = known_words([(7, "x", b"a"), (8, "y", b"a"), (9, "x", b"ab")])
+    names = collocations.Names(words, "x", table)
     names.asked = {}
-    assert names[b"a"] == 7 and all(names[f"w{k}".encode()] <= 0 for k in range(100)) and len(names.nothing) > 80 and collocations.Names({}, "x", None)[b"b"] == 0
+    assert names[b"a"] == 7 and names[b"ab"] == 9 and names[b"b"] <= 0 and collocations.Names(words, "y", None)[b"a"] == 8 and collocations.Names(known_words([]), "x", None)[b"b"] == 0
+    assert all(names[f"w{k}".encode()] <= 0 for k in range(100)) and len(names) > 80
+    monkeypatch.setattr(collocations, "word_hash", lambda lang, word: len(word))
+    alike = known_words([(k, "x", f"{k:03}".encode()) for k in range(1, 50)])
+    assert [collocations.Names(alike, "x", None)[f"{k:03}".encode()] for k in range(60)] == [0, *range(1, 50), *[0] * 10]
 
 
 def test_phrase_table_ranks_ties_and_empties(spark):
@@ -121,7 +132,7 @@ def test_pairs_whose_hashes_are_equal_keep_their_names(spark, monkeypatch):
     monkeypatch.setattr(collocations, "pair_hash", lambda left, right: (left % 3).astype("uint64"))
     rows = phrase_rows(5)
     for common in (1_000_000, 25):
-        got = {tuple(r[c] for c in ("lang", "phrase", "a", "l", "r", "score")) for r in collocations.mine(clashing(spark, rows, []), least=4, common=common, common_words=common)[0].collect()}
+        got = {tuple(r[c] for c in ("lang", "phrase", "a", "l", "r", "score")) for r in collocations.mine(clashing(spark, rows, []), least=4, common=common)[0].collect()}
         assert got == plain_phrases(rows, 4, 80)[0]
 
 
