@@ -12,10 +12,10 @@ broadcast, whose size is bounded by the share that a unit must have.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,10 +127,10 @@ def dictionary(units: DataFrame) -> dict[str, int]:
 def analyzer(units: DataFrame, pattern: str = HANGUL, others: bool = True) -> Callable[[Column], Column]:
     """A tokenizer: the units of every word that fits the pattern and, with others, the other runs of letters and digits as they are."""
     shared = units.sparkSession.sparkContext.broadcast(dictionary(units))
-    whole = rf"{pattern}|[\p{{L}}\p{{N}}--{pattern.rstrip('+')}]+" if others else pattern
+    whole = rf"{pattern}|(?:(?!{pattern.rstrip('+')})[^\W_])+" if others else pattern
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        lattice, runs, is_word = Lattice(shared.value), regex.compile(whole, regex.V1).findall, regex.compile(pattern, regex.V1).match
+        lattice, runs, is_word = Lattice(shared.value), re.compile(whole).findall, re.compile(pattern).match
         for texts in batches:
             out = []
             for value in texts:
