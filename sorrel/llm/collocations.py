@@ -31,7 +31,7 @@ from .common import forget, ship, written
 LEAST, LONGEST, SUBSUMED, TOP = 30, 4, 80, 2000
 SCALE = 2_000_000
 #: Names that are broadcast at most: words take some 35 bytes each in a worker, pairs 32; positions of a chunk (a longer text makes a longer chunk); different words and positions that a task holds at a time.
-COMMON, CHUNK, MEMO, COUNTED = 8_000_000, 1 << 19, 500_000, 1 << 21
+COMMON, CHUNK, MEMO, COUNTED = 8_000_000, 1 << 18, 500_000, 1 << 20
 #: 64-bit words of the filter at most, and names to a word up to then.
 FILTER_WORDS, NAMES_A_WORD = 1 << 22, 2
 #: Parts of a language that are ranked by themselves before the language is.
@@ -169,7 +169,7 @@ class Names(dict):
         found = self.known.find(h, self.prefix + word)
         if not found and self.table is not None and word_may_be_there(self.table, h):
             return -self.asked.setdefault((self.lang, word), len(self.asked) + 1)
-        if len(self) >= MEMO:
+        if len(self) >= MEMO // 2:
             self.clear()
         self[word] = found
         return found
