@@ -3,7 +3,8 @@
 Vectors are dealt into segments of bounded size by hash, and a task builds a segment's graph: every vector is linked with near
 vectors in different directions, with those that chose it, and with a few by chance. A segment is one row of the stored table,
 so a search moves nothing: each task walks the segments that it reads, for a broadcast block of queries, and passes on its
-best; these are merged. A walk keeps a list of num_candidates results and ends when no open vector is nearer than the last of
+best; these are merged. A walk may miss some of the nearest; an exact check can follow, which only needs to pass on what is
+no farther than the last of those found. A walk keeps a list of num_candidates results and ends when no open vector is nearer than the last of
 them. Filters are masks: the walk goes through all vectors, but only those that share a bit with the query become results;
 where a filter leaves few of a segment, these are scored directly.
 """
@@ -11,7 +12,7 @@ where a filter leaves few of a segment, these are scored directly.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -164,6 +165,17 @@ class Segment:
                 scored += take(near)
         return self.first(kept, top), scored
 
+    def no_farther(self, query: np.ndarray, mask: int, top: int, least: float | None) -> tuple[list[tuple[float, int]], int]:
+        """As search(), of all vectors: the best whose rounded score is least or more, ties by document; least is None where fewer than top are known."""
+        scores = self.vectors @ query
+        near = np.ones(len(scores), bool) if mask == 0 else (self.masks & mask) != 0
+        # Rounding moves a score by half a unit of the eighth digit at most.
+        bound = -2.0 if least is None else least - 1e-8
+        if (near & (scores >= bound)).sum() > top:
+            bound = max(bound, np.partition(scores[near], -top)[-top] - 1e-8)
+        places = np.flatnonzero(near & (scores >= bound))
+        return self.first(zip(scores[places].tolist(), places.tolist(), strict=True), top), len(scores)
+
     def first(self, found, top: int) -> list[tuple[float, int]]:
         """The best by rounded score, ties by document."""
         return sorted(((round(s, 8) + 0.0, p) for s, p in found), key=lambda x: (-x[0], self.doc_ids[x[1]]))[:top]
@@ -174,8 +186,21 @@ def walk(graph: VectorGraph, queries: DataFrame, top: int, candidates: int = NUM
 
     Queries are a stated set and are taken in blocks of bounded size, as the exact leg takes them.
     """
+    return _each_segment(graph, queries, block, "graph-walks", lambda segment, query, mask, _: segment.search(query, mask, top, max(candidates, top)))
+
+
+def check(graph: VectorGraph, queries: DataFrame, walked: DataFrame, top: int, block: int | None = None) -> DataFrame:
+    """As walk(): of each segment the best vectors that are no farther from a query than the last of the first top documents that walk() found for it, so that these and the walk's are sure to hold the nearest."""
+    best = walked.groupBy("query_id", "doc_id").agg(F.max("cosine").alias("cosine"))
+    last = ranked(best.withColumnRenamed("cosine", "score"), top).where(F.col("rank") == top).select("query_id", F.col("score").alias("least"))
+    return _each_segment(graph, queries.join(last, "query_id", "left"), block, "graph-check", lambda segment, query, mask, least: segment.no_farther(query, mask, top, least))
+
+
+def _each_segment(graph: VectorGraph, queries: DataFrame, block: int | None, name: str, look: Callable) -> DataFrame:
+    """(query_id, doc_id, cosine, segment, scored), written: what look(segment, vector, mask, least) tells of every segment and query."""
     spark = queries.sparkSession
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.col("mask").cast("long").alias("mask") if "mask" in queries.columns else F.lit(0).cast("long").alias("mask"))
+    given = lambda c, kind, default: F.col(c).cast(kind) if c in queries.columns else F.lit(default).cast(kind)
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), given("mask", "long", 0).alias("mask"), given("least", "double", None).alias("least"))
     asked = written(asked, "graph-queries")
     kind, id_type = graph.segments.schema["doc_ids"].dataType.elementType, asked.schema["query_id"].dataType
     schema = T.StructType([T.StructField("query_id", id_type), T.StructField("doc_id", kind), T.StructField("cosine", T.DoubleType()), T.StructField("segment", T.LongType()), T.StructField("scored", T.LongType())])
@@ -185,28 +210,31 @@ def walk(graph: VectorGraph, queries: DataFrame, top: int, candidates: int = NUM
     for b in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
         matrix = unit(np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1)) if rows else np.zeros((0, 1))
-        shared = spark.sparkContext.broadcast((matrix, [r["query_id"] for r in rows], [r["mask"] for r in rows]))
+        shared = spark.sparkContext.broadcast((matrix, [(r["query_id"], r["mask"], r["least"]) for r in rows]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matrix, names, masks = shared.value
+            matrix, told = shared.value
             for batch in batches:
                 for k in range(batch.num_rows):
                     row = batch.slice(k, 1).to_pylist()[0]
                     segment, out = Segment(row), []
-                    for query, name, mask in zip(matrix, names, masks, strict=True):
-                        results, scored = segment.search(query, mask, top, max(candidates, top))
+                    for query, (name, mask, least) in zip(matrix, told, strict=True):
+                        results, scored = look(segment, query, mask, least)
                         out.extend((name, segment.doc_ids[p], s, row["segment"], scored) for s, p in results)
                     columns = list(zip(*out, strict=True)) or [()] * len(arrow)
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, arrow, strict=True)], schema.names)
 
         each = graph.segments.mapInArrow(run, schema)
         found = each if found is None else found.unionByName(each)
-    return written(found, "graph-walks")
+    return written(found, name)
 
 
-def graph_leg(graph: VectorGraph, queries: DataFrame, top: int = vocab.DENSE_TOP, candidates: int = NUM_CANDIDATES) -> DataFrame:
-    """(query_id, doc_id, score, rank) as search.dense_leg() gives it, by the graph. A query with several vectors takes a document's best."""
-    best = walk(graph, queries, top, candidates).groupBy("query_id", "doc_id").agg(F.max("cosine").alias("cosine"))
+def graph_leg(graph: VectorGraph, queries: DataFrame, top: int = vocab.DENSE_TOP, candidates: int = NUM_CANDIDATES, exact: bool = False) -> DataFrame:
+    """(query_id, doc_id, score, rank) as search.dense_leg() gives it, by the graph. A query with several vectors takes a document's best. exact: what the walk misses is added by check()."""
+    met = walk(graph, queries, top, candidates)
+    if exact:
+        met = met.unionByName(check(graph, queries, met, top))
+    best = met.groupBy("query_id", "doc_id").agg(F.max("cosine").alias("cosine"))
     return ranked(best.select("query_id", "doc_id", F.round((1 + F.col("cosine")) / 2, 9).alias("score")), top)
 
 

@@ -112,6 +112,18 @@ def test_graph_finds_nearest_vectors(spark, monkeypatch):
     assert len(scored) == queries.count() and np.mean(scored) < 0.8 * table.count()
 
 
+def test_graph_with_the_exact_check_misses_nothing(spark):
+    """Vectors at random and many copies of one, through which a short walk doesn't get."""
+    draw = np.random.default_rng(5)
+    rows = [(k, draw.standard_normal(48).tolist(), 1 << (k % 3)) for k in range(1500)] + [(k, [1.0] * 48, 1 << (k % 3)) for k in range(2000, 2300)]
+    table = spark.createDataFrame(rows, "doc_id long, vector array<double>, mask long").repartition(3)
+    graph, queries = vector_graph.build(table), table.where("doc_id % 60 = 0").select(F.col("doc_id").alias("query_id"), "vector", "mask")
+    for asked, vectors in ((queries.drop("mask"), table.drop("mask")), (queries, table)):
+        wanted = rows_of(search.dense_leg(vectors, asked, 10))
+        assert rows_of(vector_graph.graph_leg(graph, asked, 10, 10)) != wanted
+        assert rows_of(vector_graph.graph_leg(graph, asked, 10, 10, exact=True)) == wanted
+
+
 def test_graph_filters_while_walking(spark, monkeypatch):
     monkeypatch.setattr(vector_graph, "SEGMENT", 700)
     table = vector_table(spark)
