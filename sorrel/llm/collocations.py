@@ -6,7 +6,8 @@ level replaces a sequence by the names of its adjacent pairs; what isn't frequen
 does. The two ids of a pair are the phrase's parents: the counts of its first and last words for every cut come down from
 them, and a phrase passes its own count up to its parents, which tells whether it subsumes them.
 
-Sequences are kept in chunks of whole texts. The names that take more than a COMMON-th of a level's occurrences, fewer than
+Sequences are kept in chunks of whole texts, packed, as a task's batches of plain numbers would take several times their size
+in an executor's memory. The names that take more than a COMMON-th of a level's occurrences, fewer than
 COMMON by definition, are broadcast; a chunk asks for each of the others once, by a shuffled join on the pair. A filter of
 bounded size, with a few bits for each of the other names, keeps chunks from asking for most of what has no name; the more
 names there are, the more questions it lets through.
@@ -31,7 +32,9 @@ from .common import forget, ship, written
 LEAST, LONGEST, SUBSUMED, TOP = 30, 4, 80, 2000
 SCALE = 2_000_000
 #: Names that are broadcast at most: words take some 35 bytes each in a worker, pairs 32; positions of a chunk (a longer text makes a longer chunk); different words and positions that a task holds at a time.
-COMMON, CHUNK, MEMO, COUNTED = 8_000_000, 1 << 18, 500_000, 1 << 20
+COMMON, CHUNK, MEMO, COUNTED = 8_000_000, 1 << 18, 500_000, 1 << 19
+#: Rows of counts that a worker sends at a time.
+SENT = 1 << 16
 #: 64-bit words of the filter at most, and names to a word up to then.
 FILTER_WORDS, NAMES_A_WORD = 1 << 22, 2
 #: Parts of a language that are ranked by themselves before the language is.
@@ -57,6 +60,15 @@ def plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """A chunk as it is stored: its length and its compressed ids."""
+    return len(ids).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(ids, np.int64).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(chunk: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(chunk[8:], 8 * int.from_bytes(chunk[:8], "little"), codec="zstd", asbytes=True), np.int64)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, f) of every word, and one row of each language with a null word and the count of all its words."""
 
@@ -147,6 +159,16 @@ class Words:
         self.hashes, self.ids, self.buffer = whole[order], rows.column("id").to_numpy()[order], b"".join(parts)
         self.starts, self.ends = (ends - lengths)[order], ends[order]
 
+    def parts(self) -> tuple:
+        """Its plain arrays: an object of this class could only be read where the package is."""
+        return self.hashes, self.ids, self.buffer, self.starts, self.ends
+
+    @classmethod
+    def of(cls, parts: tuple) -> Words:
+        made = cls.__new__(cls)
+        made.hashes, made.ids, made.buffer, made.starts, made.ends = parts
+        return made
+
     def find(self, h: int, key: bytes) -> int:
         """The id of the word with this hash and key; 0 if it isn't there."""
         k = int(np.searchsorted(self.hashes, np.uint64(h)))
@@ -176,25 +198,26 @@ class Names(dict):
 
 
 def word_sequences(docs: DataFrame, words: DataFrame, common: int) -> DataFrame:
-    """The level of single words: (ids, asked), chunks of word ids with 0 between pieces. words: (id, lang, phrase, f).
+    """The level of single words: (ids), packed chunks of word ids with 0 between pieces. words: (id, lang, phrase, f).
 
-    An id of -k stands for the k-th of asked, the words that may be frequent but aren't common.
+    Before it is settled, an id of -k stands for the k-th of asked, the words that may be frequent but aren't common.
     """
     context = docs.sparkSession.sparkContext
     chosen, complete = common_rows(words, common, "id", "lang", F.col("phrase").cast("binary").alias("word"))
-    known = Words(chosen)
+    known = Words(chosen).parts()
     hashed = lambda b: np.array([word_hash(lang, w.as_py()) for lang, w in zip(b.column("lang").to_pylist(), b.column("phrase").cast(pa.binary()), strict=True)], np.uint64)
     shared = context.broadcast((known, None if complete else name_filter(words, ["lang", "phrase"], hashed)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table = shared.value
+        parts, table = shared.value
+        known = Words.of(parts)
         names: dict[str, Names] = {}
         ids: list[int] = []
         asked: dict = {}
 
         def chunk() -> pa.RecordBatch:
             rows = [{"lang": lang, "word": word.decode()} for lang, word in asked]
-            return pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.int64)], pa.list_(pa.int64())), pa.array([rows], ASKED_WORDS)], ["ids", "asked"])
+            return pa.RecordBatch.from_arrays([pa.array([packed(np.array(ids, np.int64))], pa.binary()), pa.array([rows], ASKED_WORDS)], ["ids", "asked"])
 
         for batch in batches:
             for lang, raw in texts_of(batch):
@@ -212,7 +235,7 @@ def word_sequences(docs: DataFrame, words: DataFrame, common: int) -> DataFrame:
             yield chunk()
 
     asked_type = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.StringType())]))
-    chunks = plain(docs).mapInArrow(run, T.StructType([T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("asked", asked_type)]))
+    chunks = plain(docs).mapInArrow(run, T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("asked", asked_type)]))
     return settled(chunks, words.withColumnRenamed("phrase", "word"), ["lang", "word"], complete, 1)
 
 
@@ -241,11 +264,11 @@ def settled(chunks: DataFrame, names: DataFrame, key: list[str], complete: bool,
                 lookup = np.zeros(count + 1, np.int64)
                 for x in found or ():
                     lookup[x["nth"] + 1] = x["id"]
-                own = ids.values.to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array([np.where(own < 0, lookup[np.where(own < 0, -own, 0)], own)], pa.list_(pa.int64()))], ["ids"])
+                own = unpacked(ids.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([packed(np.where(own < 0, lookup[np.where(own < 0, -own, 0)], own))], pa.binary())], ["ids"])
 
     joined = chunks.select("chunk", "ids", F.size("asked").alias("n_asked")).join(found, "chunk", "left")
-    filled = written(joined.select("ids", "n_asked", "found").mapInArrow(fill, "ids array<long>"), f"level-{level}")
+    filled = written(joined.select("ids", "n_asked", "found").mapInArrow(fill, "ids binary"), f"level-{level}")
     forget(chunks)
     return filled
 
@@ -253,18 +276,20 @@ def settled(chunks: DataFrame, names: DataFrame, key: list[str], complete: bool,
 def adjacent(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of each chunk the ids of all places but the last, and of their right neighbours."""
     for ids in batch.column("ids"):
-        own = ids.values.to_numpy(zero_copy_only=False)
+        own = unpacked(ids.as_py())
         yield own[:-1], own[1:]
 
 
 def pair_counts(sequences: DataFrame) -> DataFrame:
     """(left, right, f): the adjacent pairs of named places, counted within tasks in blocks before they are summed."""
 
-    def batch_of(lefts: list[np.ndarray], rights: list[np.ndarray]) -> pa.RecordBatch:
+    def batches_of(lefts: list[np.ndarray], rights: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         left, right = np.concatenate(lefts), np.concatenate(rights)
         ids, code = np.unique(np.concatenate((left, right)), return_inverse=True)
         pair, times = np.unique(code[: len(left)] * len(ids) + code[len(left) :], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(ids[pair // len(ids)]), pa.array(ids[pair % len(ids)]), pa.array(times.astype(np.int64))], ["left", "right", "times"])
+        for low in range(0, len(pair), SENT):
+            p = pair[low : low + SENT]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[p // len(ids)]), pa.array(ids[p % len(ids)]), pa.array(times[low : low + SENT].astype(np.int64))], ["left", "right", "times"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lefts, rights, held = [], [], 0
@@ -275,10 +300,10 @@ def pair_counts(sequences: DataFrame) -> DataFrame:
                 rights.append(right[named])
                 held += len(lefts[-1])
                 if held >= COUNTED:
-                    yield batch_of(lefts, rights)
+                    yield from batches_of(lefts, rights)
                     lefts, rights, held = [], [], 0
         if held:
-            yield batch_of(lefts, rights)
+            yield from batches_of(lefts, rights)
 
     return sequences.mapInArrow(count, "left long, right long, times long").groupBy("left", "right").agg(F.sum("times").alias("f"))
 
@@ -321,10 +346,10 @@ def pair_sequences(sequences: DataFrame, names: DataFrame, common: int, level: i
                     both, code = np.unique(np.stack((a[open_], b[open_])), axis=1, return_inverse=True)
                     out[at[open_]] = -1 - code.ravel()
                     rows = [{"left": x, "right": y} for x, y in both.T.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([squeezed(out)], pa.list_(pa.int64())), pa.array([rows], ASKED_PAIRS)], ["ids", "asked"])
+                yield pa.RecordBatch.from_arrays([pa.array([packed(squeezed(out))], pa.binary()), pa.array([rows], ASKED_PAIRS)], ["ids", "asked"])
 
     asked_type = T.ArrayType(T.StructType([T.StructField("left", T.LongType()), T.StructField("right", T.LongType())]))
-    chunks = sequences.mapInArrow(run, T.StructType([T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("asked", asked_type)]))
+    chunks = sequences.mapInArrow(run, T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("asked", asked_type)]))
     return settled(chunks, names, ["left", "right"], complete, level)
 
 

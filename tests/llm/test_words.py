@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import pickle
 import random
 import re
 import string
@@ -84,6 +85,15 @@ def known_words(rows):
     return collocations.Words(pa.table({n: pa.array(c, t) for n, c, t in zip(("id", "lang", "word"), columns, (pa.int64(), pa.string(), pa.binary()), strict=True)}))
 
 
+def test_phrase_chunks_are_packed_and_sent_without_the_package(spark):
+    docs = spark.createDataFrame([("en", "one two three. " * 2000)], "lang string, text string")
+    words = spark.createDataFrame([(k, "en", w, 2000) for k, w in enumerate(("one", "two", "three"), 1)], "id long, lang string, phrase string, f long")
+    (row,) = collocations.word_sequences(docs, words, 100).collect()
+    assert len(row.ids) < 8000 and collocations.unpacked(row.ids).tolist() == [1, 2, 3, 0] * 2000
+    assert collocations.unpacked(collocations.packed(np.zeros(0, np.int64))).tolist() == []
+    assert b"sorrel" not in pickle.dumps(known_words([(1, "en", b"one")]).parts())
+
+
 def test_phrases_by_filters_of_any_size(spark, monkeypatch):
     rows = phrase_rows(6)
     for words in (1 << 10, 64):
