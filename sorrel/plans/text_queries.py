@@ -204,8 +204,7 @@ def char_wb_ngrams_documents(spark, d):
 @query()
 def tfidf_weights_documents(spark, d):
     """tfidf_weights over documents. Tests hold it against brute force; there is no SQL."""
-    size = load(spark, d, "documents").agg(F.count(F.lit(1)).alias("n"))
-    weighed = learning.weights_of_counts(document_grams(spark, d).withColumnRenamed("n", "tf"), size, "doc_id")
+    weighed = learning.weights_of_texts(texts(spark, d), "doc_id", "text")
     return weighed.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 

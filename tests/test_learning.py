@@ -74,3 +74,21 @@ def test_grams_and_weights_cover_the_documents(spark, tmp_path):
     raw = {(i, g): (1 + math.log(n)) * (math.log(6 / (1 + df[g])) + 1) for (i, g), n in tf.items() if df[g] >= 2}
     wanted = {(i, g): x / math.sqrt(sum(y * y for (j, _), y in raw.items() if j == i)) for (i, g), x in raw.items()}
     assert {(r.doc_id, r.term): r.weight for r in registry.QUERIES["tfidf_weights_documents"](spark, str(tmp_path)).collect()} == pytest.approx(wanted, abs=1e-6)
+
+
+def test_weights_by_blocks_equal_weights_of_grams(spark, monkeypatch):
+    monkeypatch.setattr(learning, "BLOCK_CHARACTERS", 400)
+    monkeypatch.setattr(learning, "ROWS_SENT", 50)
+    values = [" ".join(f"wörd{k % m} The the" for m in (2, 3, 5, 7)) for k in range(60)] + ["", None, "only-here", "a"]
+    table = spark.createDataFrame(list(enumerate(values)), "i long, t string").repartition(3)
+    wanted = {(r.i, r.term): r.weight for r in learning.tfidf(table, "i", text.char_wb_ngrams(learning.F.coalesce("t", learning.F.lit("")))).collect()}
+    weighed = learning.weights_of_texts(table, "i", "t")
+    assert {(r.i, r.term): r.weight for r in weighed.collect()} == pytest.approx(wanted, abs=1e-12)
+    assert learning.weights_of_texts(table.limit(0), "i", "t").collect() == []
+
+
+def test_weights_of_documents_shuffle_no_document(spark, tmp_path):
+    spark.createDataFrame([(k, f"red fox {k}") for k in range(9)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    weighed = registry.QUERIES["tfidf_weights_documents"](spark, str(tmp_path))
+    assert "hashpartitioning(doc_id" not in weighed._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id for r in weighed.collect()} == set(range(9))
