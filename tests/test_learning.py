@@ -92,3 +92,13 @@ def test_weights_of_documents_shuffle_no_document(spark, tmp_path):
     weighed = registry.QUERIES["tfidf_weights_documents"](spark, str(tmp_path))
     assert "hashpartitioning(doc_id" not in weighed._jdf.queryExecution().executedPlan().toString()
     assert {r.doc_id for r in weighed.collect()} == set(range(9))
+
+
+def test_grams_of_a_block_equal_counts_of_each_text(monkeypatch):
+    draw = random.Random(3)
+    values = ["ab  AB a", "", None, " ", "x y 😀 😀😀 ΑΣ İ ß", "abc abcd abcde abc", *[" ".join("".join(draw.choices("abcé가", k=draw.randrange(1, 9))) for _ in range(draw.randrange(0, 40))) for _ in range(30)]]
+    for sent in (1, 100, 1 << 17):
+        monkeypatch.setattr(learning, "ROWS_SENT", sent)
+        block = learning._Grams(values)
+        got = [{block.grams[k]: n for k, n in zip(at.tolist(), tf.tolist(), strict=True)} for at, tf in block.rows()]
+        assert got == [dict(text._count_grams(v, 2, 5)) for v in values] and len(set(block.grams)) == len(block.grams)
