@@ -54,3 +54,29 @@ def test_search_with_the_learned_embedding(spark):
     found = search.search_batch(docs.withColumn("vector", embed(F.col("content"))), expanded, embedder=embed)
     best = found.dense.where(F.col("rank") <= 8).collect()
     assert {int(r.doc_id[1:]) % 5 for r in best} == {1} and found.final.count() == 10
+
+
+def test_grams_are_hashed_once(spark, table, monkeypatch):
+    values = [None, "", " ", "a", "ab é 가 İ ß Σ", "x y 😀 😀a", "가나다라 마바 " * 3, *[f"wörd{k} the The" for k in range(30)]]
+    for places, characters in ((37, 5), (4096, 1 << 17), (100_000, 40)):
+        monkeypatch.setattr(embedding, "CHARACTERS", characters)
+        got = [{int(k): int(row[k]) for k in np.flatnonzero(row)} for row in embedding.counted(values, places)]
+        assert got == [embedding.grams(v, places) for v in values]
+    passes = spark.sparkContext.accumulator(0)
+    plain = embedding.counted
+
+    def spied(texts, places):
+        passes.add(len(texts))
+        return plain(texts, places)
+
+    monkeypatch.setattr(embedding, "counted", spied)
+    rows = table.withColumn("grams", embedding.hashed(128)(F.col("text"))).localCheckpoint()
+    model = embedding.learn_hashed(rows, "grams", dimensions=6, places=128)
+    vectors = embedding.embedder_of_hashed(spark, model)(F.col("grams"))
+    got = {r.doc_id: r.v for r in rows.select("doc_id", vectors.alias("v")).collect()}
+    assert passes.value == len(got) == 152
+    assert np.allclose(model.basis, embedding.learn(table, "text", dimensions=6, places=128).basis, atol=1e-6)
+    texts = {r.doc_id: r.text for r in table.collect()}
+    for k in (0, 1, 77, 900, 901):
+        wanted = embedding.matrix([texts[k]], model.idf)[0] @ model.basis
+        assert np.allclose(got[k], wanted / (np.linalg.norm(wanted) or 1))
