@@ -6,7 +6,7 @@ import pytest
 
 from sorrel.functions import text
 from sorrel.operators import classify, learning
-from sorrel.plans import registry
+from sorrel.plans import metric_queries, registry
 
 
 def plain_grams(value):
@@ -102,3 +102,32 @@ def test_grams_of_a_block_equal_counts_of_each_text(monkeypatch):
         block = learning._Grams(values)
         got = [{block.grams[k]: n for k, n in zip(at.tolist(), tf.tolist(), strict=True)} for at, tf in block.rows()]
         assert got == [dict(text._count_grams(v, 2, 5)) for v in values] and len(set(block.grams)) == len(block.grams)
+
+
+def test_vectors_of_folds_are_made_in_arrays(spark, corpus, monkeypatch):
+    folder, texts = corpus
+    fitted, plans, learner = [], [], learning.LogisticRegression
+
+    class Spy(learner):
+        def __init__(self, **options):
+            super().__init__(**options | {"maxIter": 1})
+
+        def fit(self, data, *rest):
+            plans.append(data._jdf.queryExecution().executedPlan().toString())
+            fitted.append({r.review_id: dict(zip(r.features.indices.tolist(), r.features.values.tolist(), strict=True)) for r in data.select("review_id", "features").collect()})
+            return super().fit(data, *rest)
+
+    monkeypatch.setattr(learning, "LogisticRegression", Spy)
+    monkeypatch.setattr(learning, "BLOCK_CHARACTERS", 2000)
+    monkeypatch.setattr(learning, "VECTORS_MADE", 5)
+    said = learning.cross_validate(metric_queries.rows(spark, folder).drop("pred"), folds=2, features=4000).collect()
+    assert len({r.review_id for r in said}) == len(said) == len(texts)
+    tf = {i: plain_grams(t) for i, t in texts.items()}
+    for got, plan in zip(fitted, plans, strict=True):
+        df, total = Counter(g for i in got for g in tf[i]), sum((tf[i] for i in got), Counter())
+        top = sorted(sorted((g for g in df if df[g] >= 2), key=lambda g: (-total[g], g))[:4000])
+        for i, vector in got.items():
+            raw = {k: (1 + math.log(tf[i][g])) * (math.log((1 + len(got)) / (1 + df[g])) + 1) for k, g in enumerate(top) if g in tf[i]}
+            norm = math.sqrt(sum(x * x for x in raw.values()))
+            assert vector == pytest.approx({k: x / norm for k, x in raw.items()}, abs=1e-12)
+        assert "BatchEvalPython" not in plan and "MapInArrow" in plan
