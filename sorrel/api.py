@@ -21,7 +21,8 @@ __all__ = ["build_documents", "build_search_body", "postprocess_results", "predi
 
 def build_search_body(documents: DataFrame, queries: DataFrame) -> dict[str, DataFrame]:
     """The clauses of the full query for each of queries (query_id, query), by name, each as scored documents."""
-    return review_index.clauses(review_index.build(documents), settled(expand(queries)))
+    expanded = settled(expand(queries))
+    return review_index.clauses(review_index.build(documents, expanded=expanded), expanded)
 
 
 def predict_sentiment(rows: DataFrame, predict: Callable[[str], int]) -> DataFrame:

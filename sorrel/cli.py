@@ -134,7 +134,7 @@ def evaluate_command(spark, a) -> dict:
     gold = cases.select("query_id", F.explode("gold").alias("doc_id"))
     expanded = search.settled(search.expand(cases.select("query_id", "query")))
     there = a.index_name and files.path_exists(spark, f"{a.index_name}/blocks")
-    index = review_index.load(spark, a.index_name) if there else review_index.build(docs, folder=a.index_name or None)
+    index = review_index.load(spark, a.index_name) if there else review_index.build(docs, folder=a.index_name or None, expanded=None if a.index_name else expanded)
     graph = search.vector_graph_of(docs) if search.stores_graph(docs) else None
     legs = search.search_batch(docs, expanded, index, score_pairs, a.k, embedder=embedder, graph=graph)
     final = legs.final.select("query_id", "doc_id", F.col("final_rank").alias("rank"))

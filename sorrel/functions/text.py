@@ -222,7 +222,9 @@ def truncated(c: Column, length: int) -> Column:
 
 def labelled_lines(pairs: list[tuple[str, Column]]) -> Column:
     """label: value lines, in order, without those whose value is null or blank."""
-    lines = [F.when(strip(v) != "", F.concat(F.lit(f"{label}: "), strip(v))) for label, v in pairs]
+    edges = lambda v: F.concat(F.substring(v, 1, 1), F.substring(v, -1, 1))
+    bare = lambda v: F.when(edges(v).rlike(r"(?U)\s"), strip(v)).otherwise(v)  # noqa: E731  most values need no pass over the whole text
+    lines = [F.when(v.rlike(r"(?U)\S"), F.concat(F.lit(f"{label}: "), bare(v))) for label, v in pairs]
     return F.concat_ws("\n", *lines)
 
 

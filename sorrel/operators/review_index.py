@@ -1,6 +1,6 @@
 """The stored index of enriched reviews, and its search: all clauses in one join, best first by blocks.
 
-Reviews are numbered by the length of their content, and RANGE neighbours make a range. A block holds the postings of one
+Reviews are ordered by the length of their content, and about RANGE neighbours make a range. A block holds the postings of one
 (field, term) in one range, with their scores (impacts), and states the greatest of them, how many there are, and the union
 of their filter masks. So blocks of a range bound the score that a query can reach there: ranges with the greatest bounds are
 scored first, and then only ranges whose bound reaches the score of the last result so far. Answers and issues are elements
@@ -10,11 +10,12 @@ pair of issue category and sentiment, so a filter is applied to blocks and posti
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +25,6 @@ from sorrel import vocab
 from sorrel.functions import text
 from sorrel.operators import lexical
 from sorrel.scratch import forget, scratch_path, ship, written
-from sorrel.sources import files
 
 Tokens = Callable[[Column], Column]
 #: Reviews of a range, and ranges of a query that are scored first.
@@ -67,46 +67,74 @@ def lets_through(asked: Column, there: Column) -> Column:
     return (asked == 0) | (asked.bitwiseAND(there) != 0)
 
 
-def ranges(documents: DataFrame) -> DataFrame:
-    """(doc_id, range): reviews in order of their content's length, RANGE to a range."""
-    sized = documents.select(F.col("review_id").alias("doc_id"), F.coalesce(F.length("content"), F.lit(0)).alias("size"))
-    placed = files.numbered(sized.repartitionByRange("size", "doc_id").sortWithinPartitions("size", "doc_id"))
-    return placed.select("doc_id", F.floor((F.col("ordinal") - 1) / RANGE).cast("long").alias("range"))
+def lengths(documents: DataFrame) -> DataFrame:
+    """(size, n, ahead): how many reviews have a content of each length, and how many a shorter one. A row for each different length: as few as the root of twice the characters."""
+    sized = documents.groupBy(_size().alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    ahead = F.sum("n").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1))
+    return written(sized.select("size", "n", F.coalesce(ahead, F.lit(0)).alias("ahead")), "lengths")
 
 
-def invert(flat: DataFrame) -> DataFrame:
-    """(doc_id, range, mask, field, element, dl, term, tf, places) of (doc_id, range, mask, field, element, tokens): each element's tokens are counted in its task. places is null but for the fields of phrases."""
-    schema = T.StructType([*[flat.schema[c] for c in ("doc_id", "range", "mask", "field", "element")], T.StructField("dl", T.LongType()), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("places", T.ArrayType(T.IntegerType()))])
-    phrases, names = set(vocab.PHRASE_FIELDS), schema.names
+def _size() -> Column:
+    return F.coalesce(F.length("content"), F.lit(0))
+
+
+def in_ranges(documents: DataFrame, told: DataFrame) -> DataFrame:
+    """documents with range: in order of their content's length, about RANGE to a range. Those of one length stand by a hash of their id, so neither sorting nor a join of reviews is needed. told: lengths()."""
+    sizes = F.broadcast(told.select(F.col("size").alias("_size"), F.col("n").alias("_n"), F.col("ahead").alias("_ahead")))
+    spot = F.col("_ahead") + F.pmod(F.xxhash64("doc_id"), F.col("_n"))
+    return documents.withColumn("_size", _size()).join(sizes, "_size").withColumn("range", F.floor(spot / RANGE).cast("long")).drop("_size", "_n", "_ahead")
+
+
+def invert(flat: DataFrame, words: list[str] | None = None) -> DataFrame:
+    """(doc_id, range, mask, field, element, dl, term, tf, places) of (doc_id, range, mask, field, element, tokens): each element's tokens are counted in its task, or with words only those among them. places is null but for the fields of phrases.
+
+    Rows without a term tell, for a field and some elements, in tf how many of them have tokens, and in dl how many these have.
+    """
+    head = ["doc_id", "range", "mask", "field", "element"]
+    schema = T.StructType([*[flat.schema[c] for c in head], T.StructField("dl", T.LongType()), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("places", T.ArrayType(T.IntegerType()))])
+    phrases, names = list(vocab.PHRASE_FIELDS), schema.names
+    shared = None if words is None else flat.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = None if shared is None else pa.array(shared.value, pa.string())
         for whole in batches:
             for low in range(0, whole.num_rows, 512):
                 batch = whole.slice(low, 512)
-                rows, terms, tfs, places, dls = [], [], [], [], []
-                for k, (field, value) in enumerate(zip(batch.column("field").to_pylist(), batch.column("tokens"), strict=True)):
-                    tokens = value.as_py() or []
-                    if field in phrases:
-                        spots: dict[str, list[int]] = {}
-                        for at, token in enumerate(tokens):
-                            spots.setdefault(token, []).append(at)
-                        counts: dict[str, int] = {t: len(p) for t, p in spots.items()}
-                        places.extend(spots.values())
-                    else:
-                        counts = Counter(tokens)
-                        places.extend([None] * len(counts))
-                    rows.extend([k] * len(counts))
-                    terms.extend(counts)
-                    tfs.extend(counts.values())
-                    dls.extend([len(tokens)] * len(counts))
-                taken = batch.select(["doc_id", "range", "mask", "field", "element"]).take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(dls, pa.int64()), pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names)
+                lists, heads = batch.column("tokens"), batch.select(head)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                values = lists.flatten()
+                if asked is None:
+                    coded = values.dictionary_encode()
+                    code, known = coded.indices, coded.dictionary
+                else:
+                    code, known = pc.index_in(values, value_set=asked), asked
+                code = pc.fill_null(code, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                hit = np.flatnonzero(code >= 0)
+                row, begin = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
+                key, place = row[hit] * max(len(known), 1) + code[hit], hit - begin[hit]
+                order = np.argsort(key, kind="stable")
+                key, place = key[order], place[order]
+                first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
+                tf = np.diff(np.append(first, len(key)))
+                owner, term = np.divmod(key[first], max(len(known), 1))
+                told = pc.is_in(batch.column("field"), value_set=pa.array(phrases)).to_numpy(zero_copy_only=False)[owner]
+                ends = pa.array(np.concatenate(([0], np.cumsum(np.where(told, tf, 0)))), pa.int32())
+                spots = pa.ListArray.from_arrays(ends, pa.array(place[np.repeat(told, tf)], pa.int32()), mask=pa.array(~told))
+                yield pa.RecordBatch.from_arrays([*heads.take(pa.array(owner)).columns, pa.array(sizes[owner]), known.take(pa.array(term)), pa.array(tf, pa.int64()), spots], names)
+                fields = np.array(batch.column("field").to_pylist(), object)
+                each = [np.flatnonzero(fields == f) for f in sorted(set(fields))]
+                sums = [pa.array([int(f(sizes[at])) for at in each], pa.int64()) for f in (np.sum, np.count_nonzero)]
+                nothing = [pa.nulls(len(each), k) for k in (pa.string(), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*heads.take(pa.array([at[0] for at in each], pa.int64())).columns, sums[0], nothing[0], sums[1], nothing[1]], names)
 
     return flat.mapInArrow(run, schema)
 
 
-def build(documents: DataFrame, tokens: Tokens = text.tokens_cased, folder: str | None = None) -> ReviewIndex:
-    """The index of enriched reviews, stored in folder (scratch without one). 
+def build(documents: DataFrame, tokens: Tokens = text.tokens_cased, folder: str | None = None, expanded: DataFrame | None = None) -> ReviewIndex:
+    """The index of enriched reviews, stored in folder (scratch without one).
+
+    With expanded, a stated set of queries, it holds all reviews' postings of the terms that these look up and no others: what
+    a search for them needs that makes its index anew. Lengths and numbers of texts are those of all tokens in either case.
 
     Blocks are dealt by field, term and range, so a frequent term has many files, and each file is in their order. No file's
     size is fixed: partitions are as large as adaptive execution makes them.
@@ -119,23 +147,28 @@ def build(documents: DataFrame, tokens: Tokens = text.tokens_cased, folder: str
     plain = [part(n, F.lit(-1), joined(n) if n == "aspect_keywords" else blank(F.col(n))) for n in vocab.SEARCH_FIELDS]
     answers = F.transform(F.coalesce("review_survey_answers", F.array()), lambda a, i: part(ANSWER, i, blank(a["answer"])))
     evidence = F.transform(F.coalesce("issue_sentiments", F.array()), lambda s, i: part(EVIDENCE, i, blank(s["evidence"])))
-    placed = documents.withColumnRenamed("review_id", "doc_id").join(ranges(documents), "doc_id").withColumn("mask", mask_of(F.col("issue_sentiments")))
+    told, words = lengths(documents), None if expanded is None else looked_up(expanded, tokens)
+    placed = in_ranges(documents.withColumnRenamed("review_id", "doc_id"), told).withColumn("mask", mask_of(F.col("issue_sentiments")))
     parts = placed.select("doc_id", "range", "mask", F.explode(F.concat(F.array(*plain), answers, evidence)).alias("p"))
     flat = parts.select("doc_id", "range", "mask", "p.field", "p.element", tokens(F.col("p.text")).alias("tokens"))
-    counted = written(invert(flat), "inverted")
-    each = counted.groupBy("field", "doc_id", "element").agg(F.first("dl").alias("dl"))
-    each.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/fields")
+    inverted = written(invert(flat, words), "inverted")
+    sums = inverted.where(F.col("term").isNull() & (F.col("tf") > 0)).groupBy("field").agg(F.sum("tf").alias("n"), F.sum("dl").alias("dl"))
+    sums.select("field", "n", (F.col("dl") / F.col("n")).alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/fields")
+    counted = inverted.where(F.col("term").isNotNull())
     counted.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{folder}/terms")
     fields, terms = (spark.read.parquet(f"{folder}/{name}") for name in ("fields", "terms"))
     known = counted.join(terms, ["field", "term"]).join(F.broadcast(fields), "field")  # a row for each field
     impact = lexical.bm25(F.col("n"), F.col("df"), F.col("tf"), F.col("dl"), F.col("avgdl"))
-    impacts = known.select("field", "term", "range", "doc_id", "element", impact.alias("impact"), "mask").unionByName(keyword_impacts(placed))
+    keywords = keyword_impacts(placed)
+    if words is not None:
+        keywords = keywords.join(F.broadcast(spark.createDataFrame([(w,) for w in words], "term string")), "term", "left_semi")
+    impacts = known.select("field", "term", "range", "doc_id", "element", impact.alias("impact"), "mask").unionByName(keywords)
     posting = F.struct("doc_id", "element", "impact", "mask")
     blocks = impacts.groupBy("field", "term", "range").agg(F.max("impact").alias("most"), F.count(F.lit(1)).alias("n"), F.bit_or("mask").alias("mask"), F.collect_list(posting).alias("postings"))
     places = counted.where(F.col("places").isNotNull()).select("field", "term", "doc_id", "places", "dl", "range", "mask")
     for name, rows, order in (("blocks", blocks, ("field", "term", "range")), ("places", places, ("field", "term", "doc_id"))):
         rows.sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
-    forget(counted)
+    forget(inverted, told)
     return load(spark, folder)
 
 
@@ -189,11 +222,23 @@ def asked_terms(expanded: DataFrame, tokens: Tokens = text.tokens_cased) -> Data
     return flat.groupBy("query_id", "asked", "clause", "field", "term").agg(F.sum("weight").alias("weight"))
 
 
-def phrase_scores(index: ReviewIndex, expanded: DataFrame, tokens: Tokens = text.tokens_cased) -> DataFrame:
-    """(query_id, doc_id, range, mask, score): the phrases of the query's aspect and sentiment, summed."""
+def asked_phrases(expanded: DataFrame) -> DataFrame:
+    """(query_id, phrase): the phrases of each query's aspect and sentiment; query_id is a struct of the query and the phrase's number."""
     mood = F.col("target_sentiment")
     phrases = F.when(mood == "positive", F.col("positive_phrases")).when(mood == "negative", F.col("negative_phrases")).otherwise(F.array().cast("array<string>"))
-    each = expanded.select("query_id", F.posexplode(phrases).alias("nth", "phrase")).select(F.struct("query_id", "nth").alias("query_id"), "phrase")
+    return expanded.select("query_id", F.posexplode(phrases).alias("nth", "phrase")).select(F.struct("query_id", "nth").alias("query_id"), "phrase")
+
+
+def looked_up(expanded: DataFrame, tokens: Tokens = text.tokens_cased) -> list[str]:
+    """All terms that a search for the queries looks up, words of phrases too."""
+    spoken = asked_phrases(expanded).select(F.explode(tokens(F.col("phrase"))).alias("term"))
+    found = asked_terms(expanded, tokens).select("term").union(spoken).where(F.col("term").isNotNull()).distinct()
+    return sorted(r["term"] for r in found.collect())
+
+
+def phrase_scores(index: ReviewIndex, expanded: DataFrame, tokens: Tokens = text.tokens_cased) -> DataFrame:
+    """(query_id, doc_id, range, mask, score): the phrases of the query's aspect and sentiment, summed."""
+    each = asked_phrases(expanded)
     words = each.select(F.explode(tokens(F.col("phrase"))).alias("term")).distinct()
     rows = index.places.join(words, "term", "left_semi")
     places = rows.select("field", "term", "doc_id", F.explode("places").alias("place"), "dl")

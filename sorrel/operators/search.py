@@ -87,7 +87,7 @@ Tokens = Callable[[Column], Column]
 
 def lexical_leg(documents: DataFrame, expanded: DataFrame, tokens: Tokens = text.tokens_cased, top: int = vocab.LEXICAL_TOP, index: review_index.ReviewIndex | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the full clause list over enriched documents, without those that the filter excludes. See review_index.best()."""
-    return review_index.best(index or review_index.build(documents, tokens), expanded, tokens, top).ranked
+    return review_index.best(index or review_index.build(documents, tokens, expanded=expanded), expanded, tokens, top).ranked
 
 
 def issue_filter(candidates: DataFrame) -> DataFrame:
@@ -339,7 +339,8 @@ def search_batch(documents: DataFrame, expanded: DataFrame, index: review_index.
     near = dense_leg_or_scan(vectors, variants, vocab.DENSE_TOP, dense)
     fused = written(fuse(lex, near), "fused")
     columns = [c for c in ("product_name", "content", "dense_text", "issue_sentiments") if c in documents.columns]
-    candidates = fused.join(documents.select(F.col("review_id").alias("doc_id"), *columns), "doc_id").join(expanded.select("query_id", "query"), "query_id")
+    fetched = fused.join(documents.select(F.col("review_id").alias("doc_id"), *columns), "doc_id").join(expanded.select("query_id", "query"), "query_id")
+    candidates = written(fetched, "candidates")  # or the filter on contents would run over all documents before the join
     final = written(post_filter(rerank(candidates, score_pairs), size, expanded), "final")
     return Legs(lex, near, fused, final)
 

@@ -70,6 +70,21 @@ def test_a_search_reads_heads_first_and_tokenizes_no_review(spark, documents, ex
     assert rows_of(review_index.best(again, expanded).ranked) == rows_of(review_index.best(index, expanded).ranked)
 
 
+def test_a_search_that_makes_its_index_stores_what_its_queries_look_up(spark, documents, expanded, monkeypatch):
+    built, build = [], review_index.build
+    monkeypatch.setattr(review_index, "build", lambda *a, **k: built.append(build(*a, **k)) or built[-1])
+    found = search.lexical_leg(documents, expanded, top=20)
+    whole = build(documents)
+    assert rows_of(found) == rows_of(review_index.exhaustive(whole, expanded, top=20)) != []
+    words = {w for r in expanded.select(*[F.col(c) for c in ("bm25_terms", "aspect_terms", "positive_terms", "negative_terms", "positive_phrases", "negative_phrases")], F.array("query").alias("q")).collect() for ts in r for t in ts for w in t.split()}
+    terms = {(r.field, r.term): r.df for r in built[0].terms.collect()}
+    assert terms == {(r.field, r.term): r.df for r in whole.terms.collect() if r.term in {t for _, t in terms}} and {t for _, t in terms} <= words
+    # Lengths and numbers of texts are those of all tokens.
+    of_all = documents.select(text.tokens_cased(F.coalesce("content", F.lit(""))).alias("t")).where(F.size("t") > 0).agg(F.count("t").alias("n"), F.avg(F.size("t")).alias("avgdl")).first()
+    fields = [{r.field: (r.n, r.avgdl) for r in index.fields.collect()} for index in (built[0], whole)]
+    assert fields[0] == fields[1] and fields[0]["content"] == (of_all.n, of_all.avgdl)
+
+
 def test_filter_masks(spark):
     issues = "array<struct<issue_category:string,sentiment:string,evidence:string>>"
     df = spark.createDataFrame([(0, []), (1, [("카메라", "negative", "x"), ("기타", "neutral", "")]), (2, None), (3, [("카메라", "nonsense", "")])], f"i int, s {issues}")

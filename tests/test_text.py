@@ -50,3 +50,11 @@ def test_dense_text(spark):
 
 def test_float_tag():
     assert text.float_tag(-0.25) == "m0p25"
+
+
+def test_labelled_lines_strip_values_of_any_edge(spark):
+    values = [None, "", " 　", "a", "a b", "　a b", "a b\u0085", "\n a  \r\n", " 가 나 ", "😀 x 😀"]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+    lines = text.labelled_lines([("L", F.col("v"))])
+    got = {r.i: r.line for r in rows.select("i", lines.alias("line")).collect()}
+    assert got == {i: f"L: {v.strip()}" if v and v.strip() else "" for i, v in enumerate(values)}
